@@ -86,3 +86,29 @@ def runs(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
             held.append(frame)
     if held:
         yield pd.concat(held, ignore_index=True)
+
+
+class WordTable:
+    """Numbers for words, and a row of figures for each, made once a worker. Emptied when it has over `limit` words."""
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 400_000) -> None:
+        self.make, self.limit = make, limit
+        self.index: dict[str, int] = {}
+        self.store = make([])
+
+    def numbers(self, docs: list[list[str]]) -> list[np.ndarray]:
+        """The row numbers of each document's words; they hold until the next call."""
+        index = self.index
+        if len(index) > self.limit:
+            index.clear()
+        n = len(index)
+        new = list({w for words in docs for w in words if w not in index})
+        if new:
+            if n + len(new) > len(self.store):
+                grown = np.zeros((2 * (n + len(new)), self.store.shape[1]), self.store.dtype)
+                grown[:n] = self.store[:n]
+                self.store = grown
+            self.store[n : n + len(new)] = self.make(new)
+            index.update(zip(new, range(n, n + len(new)), strict=True))
+        get = index.__getitem__
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in docs]

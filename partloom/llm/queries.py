@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import quality as _quality, sharding, urls
-from partloom.llm.common import small_batches, table
+from partloom.llm import langid, packing, quality as _quality, sharding, simhash, toxicity, urls
+from partloom.llm.common import crc_fold, table
+
+
+#: A tokenizer file of the installed package; packing takes any path.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    from public_tokenizers import path
+
+    return str(path(WORD_BPE))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, langid.learn(docs))
+    return out.select("doc_id", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,20 +33,39 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return q.select("doc_id", *[F.col(f"quality.{x}") for x in names])
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language": op1_language,
         "op2_sharding": op2_sharding,
+        "op4_packing": op4_packing,
         "op5_quality": op5_quality,
+        "op6_simhash": op6_simhash,
+        "op7_toxicity": op7_toxicity,
         "op10_urls": op10_urls,
     }
 
