@@ -23,17 +23,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder; later reads survive lost executors.
-
-    The folder is spark.checkpoint.dir. Only a local master may go without it.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, from spark.checkpoint.dir. Only a local master may go without, and gets one of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None and not sc.master.startswith("local"):
+        if folder is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder; later reads survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

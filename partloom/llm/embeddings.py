@@ -7,7 +7,7 @@ f = <b / sqrt(D), x>. For a rotated unit vector y, <b / sqrt(D), y> / f is an un
 upper bound is below the threshold are dropped; the others are recomputed exactly from the vectors.
 
 Pairs meet in buckets of equal label and equal code bits, in TABLES tables of BITS bits. A pair at
-cosine 0.93 shares a bucket with probability 0.9999, closer ones more surely. Each pair is counted in
+cosine 0.93 shares a bucket with probability 0.9996, closer ones more surely. Each pair is counted in
 the first table that it shares.
 """
 

@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import langid, packing, quality as _quality, sharding, simhash, toxicity, urls
+from partloom.llm import embeddings, langid, linededup, packing, pieces, quality as _quality, sharding, simhash, toxicity, urls
 from partloom.llm.common import crc_fold, table
 
 
 #: A tokenizer file of the installed package; packing takes any path.
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = WORD_BPE) -> str:
     from public_tokenizers import path
 
-    return str(path(WORD_BPE))
+    return str(path(name))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,6 +59,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_deleted", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "deleted_runs")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -62,10 +76,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language": op1_language,
         "op2_sharding": op2_sharding,
+        "op3_pieces": op3_pieces,
         "op4_packing": op4_packing,
         "op5_quality": op5_quality,
         "op6_simhash": op6_simhash,
         "op7_toxicity": op7_toxicity,
+        "op8_lines": op8_lines,
+        "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
     }
 
