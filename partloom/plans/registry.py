@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from partloom.plans import domain
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
@@ -17,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"{name} is registered twice")
         _QUERIES[name] = f
         if sql is not None:
-            _ORACLES[name] = sql
+            _ORACLES[name] = domain.oracle(sql)
         return f
 
     return register
@@ -48,9 +50,15 @@ def customer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _load() -> None:
+    from partloom.plans import q_dml, q_nested, q_relations, q_search, q_text  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
