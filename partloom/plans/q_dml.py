@@ -1 +1,417 @@
-"""To come."""
+"""Updates, upserts and state (group K), and batch commands (group L)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from partloom.functions import rules, text as T
+from partloom.operators import dml as K, relations as R
+from partloom.plans import commands as L
+from partloom.plans.domain import frame
+from partloom.plans.q_relations import FILLED_SQL, ROUTED_SQL, filled, routed
+from partloom.plans.registry import query
+from partloom.sources import csv as C
+
+
+@query("K01", "SELECT id, CASE WHEN id % 3 = 0 AND is_active THEN 'bulk' ELSE notes END AS notes FROM parts")
+def k01(spark: SparkSession, sf: str) -> DataFrame:
+    return K.set_where(frame(spark, sf, "parts"), (F.col("id") % 3 == 0) & F.col("is_active"), notes=F.lit("bulk")).select("id", "notes")
+
+
+_BATCH = "SELECT 'PN-' || cast(id AS string) AS part_number, part_name, id AS pos FROM seed_parts WHERE id % 4 = 0 UNION ALL SELECT 'PN-' || cast(id + 1 AS string), 'late ' || part_name, id + 1000000 FROM seed_parts WHERE id % 4 = 3"
+
+
+@query("K02", f"""WITH b AS ({_BATCH}), l AS (SELECT part_number, arg_max(part_name, pos) AS part_name FROM b GROUP BY 1), t AS (SELECT part_number, min(part_name) AS part_name FROM target_parts GROUP BY 1)
+SELECT coalesce(t.part_number, l.part_number) AS part_number, CASE WHEN l.part_number IS NULL THEN t.part_name ELSE l.part_name END AS part_name, CASE WHEN t.part_number IS NULL THEN 'created' WHEN l.part_number IS NULL THEN 'kept' ELSE 'updated' END AS change FROM t FULL JOIN l ON t.part_number = l.part_number""")
+def k02(spark: SparkSession, sf: str) -> DataFrame:
+    seed = frame(spark, sf, "seed_parts")
+    number = lambda c: F.concat(F.lit("PN-"), c.cast("string")).alias("part_number")
+    early = seed.where("id % 4 = 0").select(number(F.col("id")), "part_name", F.col("id").alias("pos"))
+    late = seed.where("id % 4 = 3").select(number(F.col("id") + 1), F.concat(F.lit("late "), "part_name").alias("part_name"), (F.col("id") + 1000000).alias("pos"))
+    target = frame(spark, sf, "target_parts").groupBy("part_number").agg(F.min("part_name").alias("part_name"))
+    return K.upsert(target, early.unionByName(late), ["part_number"], "pos", ["part_name"])
+
+
+@query("K03", "SELECT s.part_number, s.id AS stock_quantity, t.part_number IS NOT NULL AS updates, v.id AS vendor, 'C' || cast(s.id % 5 AS string) AS colour FROM seed_parts s LEFT JOIN (SELECT DISTINCT part_number FROM target_parts) t ON t.part_number = s.part_number LEFT JOIN vendors v ON v.name = 'Supplier#' || lpad(cast(s.id % 20 AS string), 9, '0')")
+def k03(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploaded text rows to columns, an attribute map and a vendor looked up by name, ignoring case."""
+    s = frame(spark, sf, "seed_parts")
+    name = F.concat(F.lit("SUPPLIER#"), F.lpad((F.col("id") % 20).cast("string"), 9, "0"))
+    raw = s.select(F.col("part_number").alias("Part #"), F.col("id").cast("string").alias("Stock Quantity"), name.alias("Vendor"), F.concat(F.lit("C"), F.col("id") % 5).alias("Colour"))
+    rows = C.split_fields(C.normalized(raw, C.PART_ALIASES), ["part_number", "stock_quantity", "primary_vendor"], [])
+    have = frame(spark, sf, "target_parts").select("part_number", F.lit(True).alias("have")).distinct()
+    vendors = frame(spark, sf, "vendors").select(F.lower("name").alias("key"), F.col("id").alias("vendor"))
+    out = rows.join(have, "part_number", "left").join(vendors, F.lower("primary_vendor") == vendors["key"], "left")
+    return out.select("part_number", F.coalesce(F.col("stock_quantity").try_cast("long"), F.lit(0)).alias("stock_quantity"), F.coalesce("have", F.lit(False)).alias("updates"), "vendor", F.col("specifications")["colour"].alias("colour"))
+
+
+_INSERTS = "SELECT sid AS seed_id, part_number FROM (SELECT coalesce(seed_id, id) AS sid, part_number FROM seed_parts) WHERE sid NOT IN (SELECT seed_id FROM target_parts WHERE seed_id IS NOT NULL) AND part_number NOT IN (SELECT part_number FROM target_parts)"
+
+
+@query("K04", _INSERTS)
+def k04(spark: SparkSession, sf: str) -> DataFrame:
+    return K.insert_only(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["part_number"]).select("seed_id", "part_number")
+
+
+@query("K05", "SELECT t.id, CASE WHEN t.part_name = '' AND s.part_name <> '' THEN s.part_name ELSE t.part_name END AS part_name, CASE WHEN t.notes = '' AND s.notes <> '' THEN s.notes ELSE t.notes END AS notes, t.price FROM target_parts t LEFT JOIN seed_parts s ON s.seed_id = t.seed_id")
+def k05(spark: SparkSession, sf: str) -> DataFrame:
+    return K.fill_blanks(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["part_name", "notes", "price"], ["price"]).select("id", "part_name", "notes", "price")
+
+
+@query("K06", "SELECT t.id, CASE WHEN s.seed_id IS NULL THEN t.oem ELSE s.oem END AS oem, CASE WHEN s.seed_id IS NULL THEN 0 ELSE (t.oem IS DISTINCT FROM s.oem)::int + (t.price IS DISTINCT FROM s.price)::int END AS changed FROM target_parts t LEFT JOIN seed_parts s ON s.seed_id = t.seed_id")
+def k06(spark: SparkSession, sf: str) -> DataFrame:
+    return K.overwrite(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["oem", "price"]).select("id", "oem", "changed")
+
+
+@query("K07", "SELECT 'part_name' AS step, count(*) AS blanks FROM target_parts WHERE part_name = '' UNION ALL SELECT 'notes', count(*) FROM target_parts WHERE notes = ''")
+def k07(spark: SparkSession, sf: str) -> DataFrame:
+    """What each step of a sync has left to do, so that a run with a time budget can stop between steps and go on later."""
+    t = frame(spark, sf, "target_parts")
+    left = [t.where(K.blank(F.col(c))).agg(F.count(F.lit(1)).alias("blanks")).select(F.lit(c).alias("step"), "blanks") for c in ("part_name", "notes")]
+    return left[0].unionByName(left[1])
+
+
+_GROUPS = "(SELECT id AS loser, min(id) OVER (PARTITION BY make, model, engine, year) AS survivor FROM applications)"
+
+
+@query("K08", f"SELECT m.survivor AS application_id, unit_id, min(au.id) AS id, coalesce(arg_max(position, CASE WHEN position <> '' THEN au.id END), NULL) AS position FROM application_units au JOIN {_GROUPS} m ON m.loser = au.application_id GROUP BY 1, 2")
+def k08(spark: SparkSession, sf: str) -> DataFrame:
+    mapping = L.merge_map(frame(spark, sf, "applications"), ["make", "model", "engine", "year"], [F.col("id")])
+    return K.repoint(frame(spark, sf, "application_units"), mapping, "application_id", ["unit_id"], ["position"])
+
+
+_PARTS = "(SELECT p.id AS loser, coalesce(g.s, p.id) AS survivor FROM parts p LEFT JOIN (SELECT yt_number AS k, min(id) AS s FROM parts WHERE yt_number <> '' GROUP BY 1) g ON g.k = p.yt_number)"
+
+
+@query("K09", f"SELECT min(i.id) AS id, i.bom_id, m.survivor AS part_id, i.unit_qty FROM bom_items i LEFT JOIN {_PARTS} m ON m.loser = i.part_id GROUP BY i.bom_id, m.survivor, i.unit_qty")
+def k09(spark: SparkSession, sf: str) -> DataFrame:
+    mapping = L.merge_map(frame(spark, sf, "parts").where("yt_number <> ''"), ["yt_number"], [F.col("id")])
+    return L.clean_bom_items(frame(spark, sf, "bom_items"), mapping).select("id", "bom_id", "part_id", "unit_qty")
+
+
+@query("K10", "WITH RECURSIVE e AS (SELECT p_partkey AS old, p_partkey + 3 AS new FROM part WHERE p_partkey % 10 < 7), w AS (SELECT old AS name, new AS target FROM e UNION ALL SELECT w.name, e.new FROM w JOIN e ON w.target = e.old) SELECT name, max(target) AS final FROM w GROUP BY name")
+def k10(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "parts").where("id % 10 < 7")
+    return K.chase(p.select(F.col("id").alias("old"), (F.col("id") + 3).alias("new")))
+
+
+@query("K11", "SELECT id, bom_id, CASE WHEN part_id % 10 = 3 THEN NULL ELSE part_id END AS part_id FROM bom_items WHERE bom_id NOT IN (SELECT id FROM boms WHERE name = '')")
+def k11(spark: SparkSession, sf: str) -> DataFrame:
+    left = K.cascade(frame(spark, sf, "bom_items"), frame(spark, sf, "boms").where("name = ''"), "bom_id")
+    return K.set_null(left, frame(spark, sf, "parts").where("NOT is_active"), "part_id").select("id", "bom_id", "part_id")
+
+
+@query("K12", "SELECT p.id, cast(p.stock_quantity - coalesce(sum(l.quantity), 0) AS bigint) AS stock FROM parts p LEFT JOIN (SELECT part_id, CASE line_number WHEN 2 THEN 0 WHEN 3 THEN quantity + 1 ELSE quantity END AS quantity FROM invoice_items) l ON l.part_id = p.id GROUP BY p.id, p.stock_quantity")
+def k12(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines are created; line 2 of each invoice is deleted again and line 3 grows by one."""
+    items = frame(spark, sf, "invoice_items").select("part_id", "line_number", "quantity")
+    none, line = F.lit(None).cast("long"), F.col("line_number")
+    made = items.select(none.alias("old_part"), none.alias("old_qty"), F.col("part_id").alias("new_part"), F.col("quantity").cast("long").alias("new_qty"))
+    changed = items.where(line.isin(2, 3)).select(F.col("part_id").alias("old_part"), F.col("quantity").cast("long").alias("old_qty"), F.when(line == 3, F.col("part_id")).alias("new_part"), F.when(line == 3, F.col("quantity") + 1).cast("long").alias("new_qty"))
+    return K.stock_after(frame(spark, sf, "parts"), K.ledger(made.unionByName(changed)))
+
+
+@query("K13", "SELECT t.id, t.price IS DISTINCT FROM s.price AS touched FROM target_parts t JOIN seed_parts s ON s.id = t.id")
+def k13(spark: SparkSession, sf: str) -> DataFrame:
+    s = frame(spark, sf, "seed_parts").select("id", F.col("price").alias("new"))
+    return frame(spark, sf, "target_parts").select("id", "price").join(s, "id").select("id", (~F.col("price").eqNullSafe(F.col("new"))).alias("touched"))
+
+
+@query("K14", "SELECT s.id, coalesce(nullif(CASE WHEN s.id % 2 = 0 THEN '' ELSE s.substitute_number END, ''), u.unit_number) AS number FROM substitutes s LEFT JOIN units u ON u.id = s.substitute_unit_id")
+def k14(spark: SparkSession, sf: str) -> DataFrame:
+    u = frame(spark, sf, "units").select(F.col("id").alias("substitute_unit_id"), "unit_number")
+    own = T.nullif_blank(F.when(F.col("id") % 2 == 0, "").otherwise(F.col("substitute_number")))
+    return frame(spark, sf, "substitutes").join(u, "substitute_unit_id", "left").select("id", F.coalesce(own, "unit_number").alias("number"))
+
+
+@query("K15", "SELECT b.id, coalesce(nullif(b.oem, ''), d.oem, '') AS oem, coalesce(nullif(b.notes, ''), d.notes, '') AS notes FROM parts b LEFT JOIN (SELECT manufacturer_number AS k, arg_min(oem, id) AS oem, arg_min(notes, id) AS notes FROM parts WHERE id % 2 = 1 GROUP BY 1) d ON d.k = b.manufacturer_number WHERE b.id % 2 = 0")
+def k15(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "parts")
+    dupes = p.where("id % 2 = 1").groupBy("manufacturer_number").agg(F.min_by("oem", "id").alias("d_oem"), F.min_by("notes", "id").alias("d_notes"))
+    merged = p.where("id % 2 = 0").join(dupes, "manufacturer_number", "left")
+    take = lambda c: F.coalesce(T.nullif_blank(F.col(c)), F.col(f"d_{c}"), F.lit("")).alias(c)
+    return merged.select("id", take("oem"), take("notes"))
+
+
+@query("K16", "SELECT id, CASE WHEN status = 'DRAFT' AND id % 2 = 0 THEN 'SENT' WHEN id % 5 = 0 THEN 'CANCELLED' ELSE status END AS status FROM invoices")
+def k16(spark: SparkSession, sf: str) -> DataFrame:
+    printed = (F.col("status") == "DRAFT") & (F.col("id") % 2 == 0)
+    return frame(spark, sf, "invoices").select("id", F.when(printed, "SENT").when(F.col("id") % 5 == 0, "CANCELLED").otherwise(F.col("status")).alias("status"))
+
+
+_PAIRS = "SELECT least(unit_id, substitute_unit_id) AS low, greatest(unit_id, substitute_unit_id) AS high, min(id) AS kept, count(DISTINCT unit_id < substitute_unit_id) AS directions, count(*) AS n FROM substitutes WHERE substitute_unit_id IS NOT NULL AND unit_id <> substitute_unit_id GROUP BY 1, 2"
+
+
+@query("K17", _PAIRS)
+def k17(spark: SparkSession, sf: str) -> DataFrame:
+    return R.unordered_pairs(frame(spark, sf, "substitutes"), "unit_id", "substitute_unit_id", "id")
+
+
+@query("K18", "SELECT min(id) AS id FROM substitutes WHERE substitute_unit_id IS NULL GROUP BY unit_id, substitute_number")
+def k18(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "substitutes").where("substitute_unit_id IS NULL").groupBy("unit_id", "substitute_number").agg(F.min("id").alias("id")).select("id")
+
+
+@query("K19", "SELECT id, bom_id FROM bom_items WHERE bom_id % 3 <> 0 UNION ALL SELECT -id, id FROM boms WHERE id % 3 = 0")
+def k19(spark: SparkSession, sf: str) -> DataFrame:
+    changed = frame(spark, sf, "boms").where("id % 3 = 0")
+    rows = changed.select((-F.col("id")).alias("id"), F.col("id").alias("bom_id"))
+    return K.replace_children(frame(spark, sf, "bom_items").select("id", "bom_id"), changed.select(F.col("id").alias("bom_id")), rows, "bom_id")
+
+
+@query("L01", """WITH e AS (SELECT seed_id, part_name FROM seed_parts WHERE seed_id IS NOT NULL), s AS (SELECT seed_id, upper(replace(part_name, 'Original ', '')) AS part_name FROM target_parts WHERE seed_id IS NOT NULL)
+SELECT CASE WHEN s.seed_id IS NULL THEN 'MISSING_IN_DB' WHEN e.seed_id IS NULL THEN 'EXTRA_IN_DB' WHEN lower(e.part_name) = lower(s.part_name) THEN 'MATCH' ELSE 'MISMATCH' END AS status, count(*) AS n FROM e FULL JOIN s ON e.seed_id = s.seed_id GROUP BY 1""")
+def l01(spark: SparkSession, sf: str) -> DataFrame:
+    e = frame(spark, sf, "seed_parts").where("seed_id IS NOT NULL")
+    s = frame(spark, sf, "target_parts").where("seed_id IS NOT NULL").withColumn("part_name", F.upper(F.expr("replace(part_name, 'Original ', '')")))
+    return L.audit(e, s, ["seed_id"], "part_name").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L02", "SELECT id, CASE WHEN notes <> '' THEN notes WHEN voltage = '12V' THEN 'low.pdf' WHEN voltage = '24V' THEN 'high.pdf' ELSE notes END AS notes FROM parts")
+def l02(spark: SparkSession, sf: str) -> DataFrame:
+    return L.backfill(frame(spark, sf, "parts"), "notes", F.col("voltage"), {"12V": "low.pdf", "24V": "high.pdf"}).select("id", "notes")
+
+
+@query("L03", "SELECT make, model, engine, year, min(id) AS id, count(*) AS merged FROM (SELECT id, CASE make WHEN 'Brand#11' THEN 'Brand#12' ELSE make END AS make, model, engine, year FROM applications) GROUP BY make, model, engine, year")
+def l03(spark: SparkSession, sf: str) -> DataFrame:
+    apps = frame(spark, sf, "applications").withColumn("model", F.concat(F.regexp_replace("model", " ", "   "), F.lit(".")))
+    return L.tidy_applications(apps, {"Brand#11": "Brand#12"})
+
+
+@query("L04", "SELECT u.id, CASE WHEN u.id IN (SELECT unit_id FROM cross_references) THEN 'linked' WHEN u.yt_number <> '' AND u.yt_number IN (SELECT yt_number FROM parts) THEN 'part' ELSE 'empty' END AS kind FROM units u WHERE u.unit_number IS NULL")
+def l04(spark: SparkSession, sf: str) -> DataFrame:
+    return L.bare_units(frame(spark, sf, "units"), frame(spark, sf, "cross_references"), frame(spark, sf, "parts"))
+
+
+_SIZED = "(SELECT b.id, b.unit_id, count(i.id) AS n FROM boms b LEFT JOIN bom_items i ON i.bom_id = b.id WHERE b.unit_id IS NOT NULL GROUP BY 1, 2)"
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    n = frame(spark, sf, "bom_items").groupBy(F.col("bom_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return frame(spark, sf, "boms").where("unit_id IS NOT NULL").select("id", "unit_id").join(n, "id", "left").fillna(0, ["n"])
+
+
+@query("L05", f"SELECT min(i.id) AS id, m.s AS bom_id, i.part_id, i.unit_qty FROM bom_items i JOIN (SELECT id, first_value(id) OVER (PARTITION BY unit_id ORDER BY n DESC, id) AS s FROM {_SIZED} UNION ALL SELECT id, id FROM boms WHERE unit_id IS NULL) m ON m.id = i.bom_id GROUP BY m.s, i.part_id, i.unit_qty")
+def l05(spark: SparkSession, sf: str) -> DataFrame:
+    """A unit's BOMs merged into the one with most items, the lowest of equals."""
+    mapping = L.merge_map(_sized(spark, sf), ["unit_id"], [F.col("n").desc(), F.col("id")])
+    return K.repoint(frame(spark, sf, "bom_items"), mapping, "bom_id", ["part_id", "unit_qty"], []).select("id", "bom_id", "part_id", "unit_qty")
+
+
+@query("L06", "SELECT unit_id, cross_ref_number, maker, min(id) AS id FROM (SELECT *, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' ELSE interchange_type END AS maker FROM cross_references) GROUP BY 1, 2, 3")
+def l06(spark: SparkSession, sf: str) -> DataFrame:
+    renamed = T.renamed(F.col("interchange_type"), {"ALFA ROMEO": "Alfa Romeo", "Alfa-romeo.": "Alfa Romeo"})
+    return frame(spark, sf, "cross_references").groupBy("unit_id", "cross_ref_number", renamed.alias("maker")).agg(F.min("id").alias("id"))
+
+
+@query("L07", "SELECT i.id FROM bom_items i WHERE part_id IS NULL OR part_id NOT IN (SELECT id FROM parts WHERE id % 6 = 1)")
+def l07(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts whose number holds a leaked list go, with their BOM items."""
+    number = F.when(F.col("id") % 6 == 1, F.concat(F.lit("Bosch: 1 | "), "part_name")).otherwise(F.col("part_name"))
+    leaked = frame(spark, sf, "parts").where(number.contains("|"))
+    return K.cascade(frame(spark, sf, "bom_items"), leaked, "part_id").select("id")
+
+
+@query("L08", "SELECT x.id, coalesce(m.real, x.unit_id) AS unit_id FROM cross_references x LEFT JOIN (SELECT s.id AS shell, min(r.id) AS real FROM units s JOIN units r ON s.yt_number = r.yt_number WHERE s.yt_number <> '' AND s.unit_number IS NULL AND r.unit_number IS NOT NULL GROUP BY 1) m ON m.shell = x.unit_id")
+def l08(spark: SparkSession, sf: str) -> DataFrame:
+    u = frame(spark, sf, "units").where("yt_number <> ''")
+    real = u.where("unit_number IS NOT NULL").groupBy("yt_number").agg(F.min("id").alias("survivor"))
+    mapping = u.where("unit_number IS NULL").select(F.col("id").alias("unit_id"), "yt_number").join(real, "yt_number").drop("yt_number")
+    return frame(spark, sf, "cross_references").join(mapping, "unit_id", "left").select("id", F.coalesce("survivor", "unit_id").alias("unit_id"))
+
+
+_SEG = "CASE WHEN regexp_matches(y, '^[0-9]{2}-[0-9]{2}$') THEN CASE WHEN a > b THEN (CASE WHEN a >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN b >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) ELSE (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) END ELSE y END"
+
+
+@query("L09", f"""WITH s AS (SELECT DISTINCT id, make, model, engine, trim(unnest(string_split(year, '|'))) AS y FROM applications), r AS (SELECT *, try_cast(substr(y, 1, 2) AS int) AS a, try_cast(substr(y, 4, 2) AS int) AS b FROM s), e AS (SELECT id, make, model, engine, {_SEG} AS year FROM r),
+f AS (SELECT id, make, model, engine, CASE WHEN regexp_matches(year, '^[0-9]{{4}}-[0-9]{{4}}$') AND substr(year, 1, 4) > substr(year, 6, 4) THEN substr(year, 6, 4) || '-' || substr(year, 1, 4) ELSE year END AS year FROM e) SELECT make, model, engine, year, min(id) AS id, count(*) AS merged FROM f GROUP BY make, model, engine, year""")
+def l09(spark: SparkSession, sf: str) -> DataFrame:
+    return L.normalize_applications(frame(spark, sf, "applications"))
+
+
+@query("L10", "SELECT unit_id, cross_ref_number, CASE interchange_type WHEN 'WAI' THEN 'WAI' WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa-Romeo' WHEN 'FORD' THEN 'Ford' WHEN 'BOSCH-' THEN 'Bosch-' ELSE interchange_type END AS maker, first(id ORDER BY length(notes) DESC, id) AS id FROM cross_references GROUP BY 1, 2, 3")
+def l10(spark: SparkSession, sf: str) -> DataFrame:
+    rows = frame(spark, sf, "cross_references").withColumn("maker", T.maker_name(F.col("interchange_type"), {"WAI": "WAI"}))
+    return R.first_of(rows, ["unit_id", "cross_ref_number", "maker"], [F.length("notes").desc(), F.col("id")]).select("unit_id", "cross_ref_number", "maker", "id")
+
+
+@query("L11", "SELECT CASE WHEN regexp_matches(n, '(?i)brush') THEN 'Brushes' WHEN regexp_matches(n, '(?i)pulley') THEN 'Pulleys' END AS category, count(*) AS n FROM (SELECT CASE id % 3 WHEN 0 THEN 'Brush ' WHEN 1 THEN 'pulley ' ELSE 'x ' END AS n FROM parts) GROUP BY 1")
+def l11(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("id") % 3 == 0, "Brush ").when(F.col("id") % 3 == 1, "pulley ").otherwise("x ")
+    return frame(spark, sf, "parts").groupBy(T.first_match(name, rules.PART_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("L12", "SELECT yt_number, first(id ORDER BY (oem <> '')::int + (notes <> '')::int + (price IS NOT NULL)::int DESC, id) AS id, count(*) AS merged FROM parts WHERE yt_number IN (SELECT yt_number FROM parts WHERE yt_number <> '' GROUP BY 1 HAVING count(DISTINCT nullif(oem, '')) = 1) GROUP BY yt_number")
+def l12(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of one number and one brand merged into the most complete."""
+    p = frame(spark, sf, "parts").where("yt_number <> ''")
+    one = p.groupBy("yt_number").agg(F.count_distinct(T.nullif_blank(F.col("oem"))).alias("brands"), F.count(F.lit(1)).alias("merged")).where("brands = 1").drop("brands")
+    rows = p.join(one, "yt_number").withColumn("score", R.completeness(["oem", "notes"], ["price"]))
+    return R.first_of(rows, ["yt_number"], [F.col("score").desc(), F.col("id")]).select("yt_number", "id", "merged")
+
+
+@query("L13", r"SELECT unit_id, number, min(id) AS id, count(*) AS merged FROM (SELECT id, unit_id, regexp_replace(CASE WHEN contains(n, '(') AND NOT contains(n, ')') THEN regexp_replace(n, '\s*\([^)]*$', '') ELSE n END, '^(.+?)\s+\(([^)]+)\)(.*)$', '\1') AS number FROM (SELECT id, unit_id, regexp_replace(cross_ref_number, '(?i)\s+Pg\.\s*\d+\s*$', '') AS n FROM cross_references)) GROUP BY unit_id, number")
+def l13(spark: SparkSession, sf: str) -> DataFrame:
+    n = T.drop_open_paren(T.drop_page_reference(F.col("cross_ref_number")))
+    return frame(spark, sf, "cross_references").withColumn("n", n).groupBy("unit_id", F.coalesce(T.annotation(F.col("n"))["base"], "n").alias("number")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
+
+
+@query("L14", "SELECT id, CASE WHEN yt_number <> '' THEN yt_number ELSE coalesce((SELECT min(j.yt_number) FROM units j WHERE j.unit_type = u.unit_type AND j.yt_number <> ''), '') END AS yt_number FROM units u")
+def l14(spark: SparkSession, sf: str) -> DataFrame:
+    known = frame(spark, sf, "units").where("yt_number <> ''").groupBy("unit_type").agg(F.min("yt_number").alias("known"))
+    return frame(spark, sf, "units").join(known, "unit_type", "left").select("id", F.coalesce(T.nullif_blank(F.col("yt_number")), "known", F.lit("")).alias("yt_number"))
+
+
+@query("L15", f"SELECT kept AS id FROM ({_PAIRS}) UNION ALL SELECT min(id) FROM substitutes WHERE substitute_unit_id IS NULL GROUP BY unit_id, substitute_number")
+def l15(spark: SparkSession, sf: str) -> DataFrame:
+    s = frame(spark, sf, "substitutes")
+    pairs = R.unordered_pairs(s, "unit_id", "substitute_unit_id", "id").select(F.col("kept").alias("id"))
+    return pairs.unionByName(s.where("substitute_unit_id IS NULL").groupBy("unit_id", "substitute_number").agg(F.min("id").alias("id")).select("id"))
+
+
+@query("L16", "SELECT s.id FROM cross_references s WHERE ends_with(s.cross_ref_number, '-') AND EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND l.cross_ref_number = rtrim(s.cross_ref_number, '-'))")
+def l16(spark: SparkSession, sf: str) -> DataFrame:
+    """Broken-off numbers that another row of the unit has whole."""
+    x = frame(spark, sf, "cross_references").select("id", "unit_id", "cross_ref_number")
+    cut = x.where(F.col("cross_ref_number").endswith("-")).withColumn("cross_ref_number", F.regexp_replace("cross_ref_number", "-+$", ""))
+    return cut.join(x.select("unit_id", "cross_ref_number"), ["unit_id", "cross_ref_number"], "left_semi").select("id")
+
+
+@query("L17", "SELECT id FROM boms WHERE id NOT IN (SELECT b.id FROM boms b WHERE b.unit_id IS NOT NULL AND b.id NOT IN (SELECT bom_id FROM bom_items WHERE part_id IS NOT NULL AND unit_qty > 25) AND b.unit_id IN (SELECT o.unit_id FROM boms o JOIN bom_items i ON i.bom_id = o.id WHERE i.part_id IS NOT NULL AND i.unit_qty > 25 AND o.unit_id IS NOT NULL))")
+def l17(spark: SparkSession, sf: str) -> DataFrame:
+    real = frame(spark, sf, "bom_items").where("part_id IS NOT NULL AND unit_qty > 25").select(F.col("bom_id").alias("id"))
+    boms = frame(spark, sf, "boms").select("id", "unit_id")
+    shells = boms.join(real, "id", "left_anti").join(boms.join(real, "id", "left_semi").select("unit_id"), "unit_id", "left_semi")
+    return boms.join(shells.select("id"), "id", "left_anti").select("id")
+
+
+@query("L18", "SELECT coalesce(seed_id, id) AS seed_id, id, part_number FROM target_parts")
+def l18(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf, "target_parts").select(F.coalesce("seed_id", "id").alias("seed_id"), "id", "part_number")
+
+
+@query("L19", "SELECT p.id, coalesce(nullif(p.oem, ''), b.oem, '') AS oem FROM parts p LEFT JOIN (SELECT manufacturer_number AS k, min(oem) AS oem FROM parts WHERE oem <> '' GROUP BY 1 HAVING count(DISTINCT oem) = 1) b ON b.k = p.manufacturer_number")
+def l19(spark: SparkSession, sf: str) -> DataFrame:
+    p = frame(spark, sf, "parts")
+    one = p.where("oem <> ''").groupBy("manufacturer_number").agg(F.count_distinct("oem").alias("n"), F.min("oem").alias("brand")).where("n = 1")
+    return p.join(one, "manufacturer_number", "left").select("id", F.coalesce(T.nullif_blank(F.col("oem")), "brand", F.lit("")).alias("oem"))
+
+
+@query("L20", "SELECT u.id, CASE WHEN u.unit_type = '' THEN n.n_name ELSE u.unit_type END AS unit_type FROM units u LEFT JOIN nation n ON n.n_nationkey = u.unit_type_id")
+def l20(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("unit_type_id"), "n_name")
+    return K.set_where(frame(spark, sf, "units").join(n, "unit_type_id", "left"), F.col("unit_type") == "", unit_type=F.col("n_name")).select("id", "unit_type")
+
+
+_Y12 = "array_to_string(list_transform(string_split(year, '-'), lambda y: CASE WHEN regexp_matches(y, '^[0-9]{2}$') THEN CASE WHEN try_cast(y AS int) <= 30 THEN '20' || y ELSE '19' || y END ELSE y END), '-')"
+_TOKEN = "CASE WHEN contains(options, 'Manual') THEN 'Manual' WHEN contains(options, 'Automatic') THEN 'Automatic' ELSE '' END"
+
+
+@query("L21", f"""WITH f AS ({FILLED_SQL}), x AS (SELECT *, {_Y12} AS y, {_TOKEN} AS token, array_to_string(list_filter(list_transform(string_split(options, ';'), lambda x: trim(x)), lambda x: x NOT IN ('Automatic', 'Manual')), ';') AS rest FROM f)
+SELECT g.make, g.model, g.transmission, g.options, coalesce(yy.v, '') AS year, coalesce(mm.v, '') AS mfr, coalesce(n.n, 0) AS n_units FROM (SELECT make, model, arg_min(token, pos) AS transmission, arg_min(rest, pos) AS options FROM x GROUP BY 1, 2) g
+LEFT JOIN (SELECT make, model, string_agg(y, ' | ' ORDER BY p) AS v FROM (SELECT make, model, y, min(pos) AS p FROM x WHERE y <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2) yy ON yy.make = g.make AND yy.model = g.model
+LEFT JOIN (SELECT make, model, string_agg(mfr, ', ' ORDER BY p) AS v FROM (SELECT make, model, mfr, min(pos) AS p FROM x WHERE mfr <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2) mm ON mm.make = g.make AND mm.model = g.model
+LEFT JOIN (SELECT make, model, count(DISTINCT u.id) AS n FROM x JOIN units u ON u.unit_number = x.part_number GROUP BY 1, 2) n ON n.make = g.make AND n.model = g.model""")
+def l21(spark: SparkSession, sf: str) -> DataFrame:
+    return L.import_applications(filled(spark, sf), frame(spark, sf, "units"))
+
+
+@query("L22", "SELECT DISTINCT p.id AS part_id, u.id AS unit_id FROM staging_interchange s JOIN units u ON u.unit_number = s.our_number JOIN parts p ON p.manufacturer_number = 'MF' || substr(s.their_number, 2)")
+def l22(spark: SparkSession, sf: str) -> DataFrame:
+    s = frame(spark, sf, "staging_interchange")
+    u = frame(spark, sf, "units").where("unit_number IS NOT NULL").select(F.col("unit_number").alias("our_number"), F.col("id").alias("unit_id"))
+    p = frame(spark, sf, "parts").select("manufacturer_number", F.col("id").alias("part_id"))
+    return s.join(u, "our_number").withColumn("manufacturer_number", F.concat(F.lit("MF"), F.expr("substr(their_number, 2)"))).join(p, "manufacturer_number").select("part_id", "unit_id").distinct()
+
+
+@query("L23", "SELECT unit_id, CASE WHEN interchange_type = 'BOSCH-' THEN 'family' ELSE 'interchange' END AS output, count(DISTINCT cross_ref_number) AS n FROM cross_references WHERE NOT contains(cross_ref_number, '|') GROUP BY 1, 2")
+def l23(spark: SparkSession, sf: str) -> DataFrame:
+    """Interchanges of a unit; rows of one label are its family instead, and numbers with a leaked list are dropped."""
+    output = F.when(F.col("interchange_type") == "BOSCH-", "family").otherwise("interchange")
+    return frame(spark, sf, "cross_references").where(~F.col("cross_ref_number").contains("|")).groupBy("unit_id", output.alias("output")).agg(F.count_distinct("cross_ref_number").alias("n"))
+
+
+@query("L24", "SELECT i.id, p.id AS part_id, coalesce(try_cast(CASE WHEN i.id % 4 = 0 THEN 'as req' ELSE cast(i.unit_qty AS string) END AS int), 1) AS qty FROM bom_items i LEFT JOIN parts p ON p.id = i.part_id AND p.is_active")
+def l24(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("id") % 4 == 0, "as req").otherwise(F.col("unit_qty").cast("string"))
+    p = frame(spark, sf, "parts").where("is_active").select(F.col("id").alias("part_id"), F.col("id").alias("found"))
+    return frame(spark, sf, "bom_items").join(p, "part_id", "left").select("id", F.col("found").alias("part_id"), F.coalesce(raw.try_cast("int"), F.lit(1)).alias("qty"))
+
+
+_REFS = "SELECT id AS part, CASE id % 4 WHEN 0 THEN 'substitute' WHEN 1 THEN 'interchange' WHEN 2 THEN 'superseded_from' ELSE 'superseded_by' END AS t, id + 7 AS ref FROM parts"
+
+
+@query("L25", f"SELECT CASE WHEN starts_with(t, 'superseded') THEN 'superseding' ELSE t END AS kind, count(*) AS n, count(p.id) AS linked FROM (SELECT t, CASE WHEN t = 'superseded_by' THEN part ELSE ref END AS b FROM ({_REFS})) r LEFT JOIN parts p ON p.id = r.b GROUP BY 1")
+def l25(spark: SparkSession, sf: str) -> DataFrame:
+    from partloom.operators.nested import directed
+
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("substitute", "interchange", "superseded_from", "superseded_by")]), (F.col("id") % 4 + 1).cast("int"))
+    refs = directed(frame(spark, sf, "parts").select(F.col("id").alias("part"), kinds.alias("ref_type"), (F.col("id") + 7).alias("ref")))
+    known = frame(spark, sf, "parts").select(F.col("id").alias("b"), F.lit(1).alias("one"))
+    return refs.join(known, "b", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("one").alias("linked"))
+
+
+@query("L26", "SELECT c_custkey, c_name, n_name AS c_nationkey_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def l26(spark: SparkSession, sf: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    return L.flatten(read("customer").select("c_custkey", "c_name", "c_nationkey"), {"c_nationkey": (read("nation"), "n_nationkey", "n_name")})
+
+
+_ONE = "(SELECT identifier, min(id) AS id FROM (SELECT id, unnest([manufacturer_number, yt_number, j_and_n]) AS identifier FROM parts) WHERE identifier <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1)"
+
+
+@query("L27", f"SELECT s.pos, o.id AS part_id FROM staging_interchange s LEFT JOIN {_ONE} o ON o.identifier = s.our_number")
+def l27(spark: SparkSession, sf: str) -> DataFrame:
+    one = R.unambiguous(frame(spark, sf, "parts"), "id", ["manufacturer_number", "yt_number", "j_and_n"]).select(F.col("identifier").alias("our_number"), F.col("id").alias("part_id"))
+    return frame(spark, sf, "staging_interchange").select("pos", "our_number").join(one, "our_number", "left").select("pos", "part_id")
+
+
+@query("L30", f"SELECT identifier FROM {_ONE} UNION SELECT substitute_number FROM substitutes")
+def l30(spark: SparkSession, sf: str) -> DataFrame:
+    one = R.unambiguous(frame(spark, sf, "parts"), "id", ["manufacturer_number", "yt_number", "j_and_n"]).select("identifier")
+    return one.union(frame(spark, sf, "substitutes").select("substitute_number")).distinct()
+
+
+@query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
+def l31(spark: SparkSession, sf: str) -> DataFrame:
+    return L.import_interchange(routed(spark, sf))
+
+
+@query("L32", "SELECT 'units' AS table_name, count(*) AS n_rows FROM units UNION ALL SELECT 'parts', count(*) FROM parts")
+def l32(spark: SparkSession, sf: str) -> DataFrame:
+    return C.inspect({t: frame(spark, sf, t) for t in ("units", "parts")}).select("table_name", "n_rows")
+
+
+@query("L33", f"SELECT id AS loser, s AS survivor FROM (SELECT id, first_value(id) OVER (PARTITION BY unit_id ORDER BY n DESC, id DESC) AS s FROM {_SIZED}) WHERE id <> s")
+def l33(spark: SparkSession, sf: str) -> DataFrame:
+    return L.merge_map(_sized(spark, sf), ["unit_id"], [F.col("n").desc(), F.col("id").desc()])
+
+
+@query("L34", "SELECT DISTINCT b.id AS bom_id, au.application_id AS part_id FROM boms b JOIN application_units au ON au.unit_id = b.unit_id WHERE NOT EXISTS (SELECT 1 FROM bom_items i WHERE i.bom_id = b.id AND i.part_id = au.application_id)")
+def l34(spark: SparkSession, sf: str) -> DataFrame:
+    links = frame(spark, sf, "boms").select(F.col("id").alias("bom_id"), "unit_id").join(frame(spark, sf, "application_units").select("unit_id", F.col("application_id").alias("part_id")), "unit_id")
+    return L.missing_bom_items(links, frame(spark, sf, "bom_items"))
+
+
+@query("L35", f"SELECT 'insert' AS action, count(*) AS n FROM ({_INSERTS}) UNION ALL SELECT 'fill', count(*) FROM target_parts t JOIN seed_parts s ON s.seed_id = t.seed_id WHERE t.part_name = '' OR t.notes = ''")
+def l35(spark: SparkSession, sf: str) -> DataFrame:
+    t, s = frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts")
+    n = F.count(F.lit(1)).alias("n")
+    after = K.fill_blanks(t, s, ["part_name", "notes"], []).select("id", F.col("part_name").alias("p2"), F.col("notes").alias("n2"))
+    filled_ = t.join(after, "id").where("part_name <> p2 OR notes <> n2")
+    return K.insert_only(t, s, ["part_number"]).agg(n).select(F.lit("insert").alias("action"), "n").unionByName(filled_.agg(n).select(F.lit("fill").alias("action"), "n"))
+
+
+@query("L36", "SELECT t.id, s.notes FROM target_parts t LEFT JOIN seed_parts s ON s.part_number = t.part_number")
+def l36(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict copying by key: rows without a source lose their value."""
+    s = frame(spark, sf, "seed_parts").select("part_number", F.col("notes"))
+    return frame(spark, sf, "target_parts").select("id", "part_number").join(s, "part_number", "left").select("id", "notes")
+
+
+@query("L37", "SELECT category, count(*) AS n FROM (SELECT coalesce(a.t, CASE WHEN contains(lower(p.category), 'steel') THEN 'Steel' ELSE 'Other' END) AS category FROM parts p LEFT JOIN (SELECT yt_number AS k, min(unit_type) AS t FROM units WHERE yt_number <> '' AND unit_type <> '' GROUP BY 1) a ON a.k = nullif(p.yt_number, '')) GROUP BY category")
+def l37(spark: SparkSession, sf: str) -> DataFrame:
+    by = frame(spark, sf, "units").where("yt_number <> '' AND unit_type <> ''").groupBy("yt_number").agg(F.min("unit_type").alias("t"))
+    best = F.coalesce("t", F.when(T.contains_text(F.col("category"), "steel"), "Steel").otherwise("Other"))
+    p = frame(spark, sf, "parts").select("yt_number", "category").join(by, "yt_number", "left")
+    return p.groupBy(best.alias("category")).agg(F.count(F.lit(1)).alias("n"))
