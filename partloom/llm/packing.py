@@ -19,11 +19,17 @@ from pyspark.sql import DataFrame, functions as F
 from partloom.llm.common import cut, gapless, small_batches
 
 CAPACITY = 2048
-#: Entries of a worker's cache from words to ids; it is emptied when full.
+#: Entries of each generation of a worker's cache from words to ids.
 CACHE_WORDS = 400_000
 RANK_BUCKETS = 64
 #: Characters that Python takes for white space but Unicode does not.
 _ODD = tuple("\x1c\x1d\x1e\x1f")
+#: Marks that end a word's token; an apostrophe does not always.
+_MARKS = frozenset(".,;:!?")
+
+#: Byte-level models write each byte as a printable character: itself if it is one, else from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 #: (items, bins): each of the bins holds items, (length, times) in order.
 Group = tuple[list[tuple[int, int]], int]
@@ -32,8 +38,9 @@ Group = tuple[list[tuple[int, int]], int]
 class Ids:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, by a cache of words.
 
-    White space always ends a token, so that a text's ids are those of its words in a row. Texts for
-    which lower-casing or splitting might differ from the tokenizer's own go through it whole.
+    White space always ends a token, so that a text's ids are those of its words in a row, and so does the place
+    between a letter and a mark after it. A word of small Latin letters is one token of the model, to which it goes at once. Texts for which lower-casing or splitting might
+    differ from the tokenizer's own go through it whole. The cache has two generations: a full one is kept until the next is full.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,29 +49,72 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        probes = ["the", "größe", "niño", "zzyzx"]
+        self.by_word = self._pack(["the niño,\n x"])[0] == b"".join(self._pack(["the", "niño", ",", "x"]))
+        self.direct = self.by_word and self._pack(probes) == [self._model(w) for w in probes]
 
     def _pack(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
+        one = self.id_bytes
+        return [b"".join([one[i] for i in e.ids]) for e in self.encode(texts, add_special_tokens=False)]
+
+    def _model(self, word: str) -> bytes:
+        one = self.id_bytes
+        return b"".join([one[x.id] for x in self.tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS))])
+
+    def _learn(self, new: set[str]) -> None:
+        """Put the ids of new words into the cache; `word,` takes those of `word` and of `,`."""
+        known, old = self.words, self.old
+        marked, todo = [], set()
+        for w in new:
+            ids = old.get(w)
+            if ids is not None:
+                known[w] = ids
+            elif len(w) > 1 and w[-1] in _MARKS and w[-2].lower().isalpha():
+                marked.append(w)
+            else:
+                todo.add(w)
+        for w in marked:
+            for x in (w[:-1], w[-1]):
+                if x not in known and x not in todo:
+                    ids = old.get(x)
+                    if ids is None:
+                        todo.add(x)
+                    else:
+                        known[x] = ids
+        plain = {w for w in todo if self.direct and w.isalpha() and w == w.lower() and _plain(w)}
+        for w in plain:
+            known[w] = self._model(w)
+        ask = list(todo - plain)
+        for k in range(0, len(ask), 10_000):
+            known.update(zip(ask[k : k + 10_000], self._pack(ask[k : k + 10_000]), strict=True))
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1]]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
+            self.words, self.old = {}, self.words
         known = self.words
-        split: list[list[str] | None] = []
-        for t in texts:
-            if "<|" in t or any(c in t for c in _ODD):
-                split.append(None)
-            else:
-                split.append((t.lower() if t.isascii() or max(t) < "ɐ" else t).split())
+        split: list[list[str] | None] = [None if not self.by_word or "<|" in t or any(c in t for c in _ODD) else (t.lower() if _plain(t) else t).split() for t in texts]
         new = {w for words in split if words for w in words if w not in known}
         if new:
-            todo = list(new)
-            for k in range(0, len(todo), 10_000):
-                known.update(zip(todo[k : k + 10_000], self._pack(todo[k : k + 10_000]), strict=True))
+            self._learn(new)
         return [self._pack([t])[0] if words is None else b"".join([known[w] for w in words]) for t, words in zip(texts, split, strict=True)]
 
 
+def _plain(text: str) -> bool:
+    """Whether all characters are ASCII or Latin-1, which are lower-cased alike everywhere and never combine."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 _IDS: dict[str, Ids] = {}  # a worker's own
 
 
