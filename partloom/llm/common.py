@@ -57,16 +57,16 @@ def gapless(df: DataFrame, group: list[str], bucket: Column, buckets: int, order
     integer column from 0 to buckets - 1. The caller must have a bound for the number of groups,
     since groups x buckets counts are broadcast.
     """
-    rows = df.withColumn("_bucket", bucket)
-    sums = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*group, "_bucket").orderBy(*order)
+    rows = df.withColumn("__bucket", bucket)
+    sums = rows.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(*group, "__bucket").orderBy(*order)
     return (
-        rows.withColumn("_at", F.row_number().over(within))
-        .join(F.broadcast(starts), [*group, "_bucket"])
-        .withColumn(name, (F.col("_start") + F.col("_at") - 1).cast("long"))
-        .drop("_bucket", "_at", "_start")
+        rows.withColumn("__at", F.row_number().over(within))
+        .join(F.broadcast(starts), [*group, "__bucket"])
+        .withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("long"))
+        .drop("__bucket", "__at", "__start")
     )
 
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from partloom.llm.common import WordTable, crc_fold, small_batches
@@ -242,6 +243,24 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, shape)
 
 
+def keep_pure(df: DataFrame, model: Model, text: str = "text", least_share: float = 0.5) -> DataFrame:
+    """The rows of df, unchanged, whose text has a language that holds at least this share of its letters.
+
+    Rows are dropped where they are read, without a join. Null texts and those without a letter go.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    held = spark.sparkContext.broadcast(model)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller, k = Labeller(held.value), len(held.value.langs)
+        for batch in batches:
+            share = [np.bincount(p, weights=n, minlength=k) if k and len(p) else np.zeros(1) for p, n in labeller.paths(batch.column(text).to_pylist())]
+            yield batch.filter(pa.array([bool(s.sum()) and s.max() >= least_share * s.sum() for s in share], pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """fit() on the documents that are not held out."""
     return fit(docs.where(crc_fold(F.col("doc_id")) != 1), per_language=per_language)

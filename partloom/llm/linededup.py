@@ -126,9 +126,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     the new ones.
     """
     rows = df.drop("n_lines", "n_deleted", "deleted_runs")
-    found = repeated_runs(rows, doc_id, text, min_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("runs").alias("deleted_runs"))
-    docs = rows.withColumn("_text_hash", F.xxhash64(text))
-    joined = docs.join(found, docs[doc_id].eqNullSafe(found["_id"]) & (docs["_text_hash"] == found["_th"]), "left")
+    found = repeated_runs(rows, doc_id, text, min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("runs").alias("deleted_runs"))
+    docs = rows.withColumn("__text_hash", F.xxhash64(text))
+    joined = docs.join(found, docs[doc_id].eqNullSafe(found["__id"]) & (docs["__text_hash"] == found["__th"]), "left")
     gone = F.col("deleted_runs")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.exists(gone, lambda r: (r["first"] <= i) & (i <= r["last"]))), "\n")
@@ -139,4 +139,4 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
             "n_deleted": F.coalesce(n_gone, F.lit(0)),
             text: F.when(gone.isNotNull(), left).otherwise(F.col(text)),
         }
-    ).drop("_id", "_th", "_text_hash")
+    ).drop("__id", "__th", "__text_hash")

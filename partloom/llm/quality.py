@@ -110,13 +110,13 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     Null and empty texts have no words, so that they fail. Each row is judged alone: repeated rows
     and ties get equal results. Columns of df stay, but for one named as `into`.
     """
-    m = F.col("_m")
+    m = F.col("__m")
     base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     broken = F.filter(F.array(*[_broken(r, m) for r in rules]), lambda x: x.isNotNull())
     return (
         df.drop(into)
-        .withColumn("_n", _measures(df[text]))
-        .withColumn("_m", F.struct(F.col("_n.word_chars"), F.col("_n.n_symbols"), F.col("_n.words.*"), F.col("_n.lines.*")))
-        .withColumn(into, F.struct(F.col("_m.*"), base.alias("base_failed"), broken.alias("broken"), (~base & (F.size(broken) == 0)).alias("kept")))
-        .drop("_m", "_n")
+        .withColumn("__n", _measures(df[text]))
+        .withColumn("__m", F.struct(F.col("__n.word_chars"), F.col("__n.n_symbols"), F.col("__n.words.*"), F.col("__n.lines.*")))
+        .withColumn(into, F.struct(F.col("__m.*"), base.alias("base_failed"), broken.alias("broken"), (~base & (F.size(broken) == 0)).alias("kept")))
+        .drop("__m", "__n")
     )

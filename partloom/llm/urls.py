@@ -109,17 +109,17 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[U
     """
     made = ("host", "path", "rule", "verdict")
     rows = pages.drop(*made).withColumns({"host": host_of(pages[url]), "path": path_of(pages[url])})
-    rows = rows.withColumn("_fit", matched(F.col("host"), F.col("path"), rules))
-    hits = rows.where("_fit is not null").groupBy(F.when(F.col("_fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("__fit", matched(F.col("host"), F.col("path"), rules))
+    hits = rows.where("__fit is not null").groupBy(F.when(F.col("__fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     totals = hits.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = hits.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     scores = propagate(host_links(rows, "host", html), seeds)
     score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    hosts = scores.groupBy("host").agg(score("trust").alias("trust"), score("distrust").alias("distrust"))
-    bad = F.col("distrust") > most_distrust * (F.col("trust") + F.col("distrust"))
+    hosts = scores.groupBy("host").agg(score("trust").alias("__trust"), score("distrust").alias("__distrust"))
+    bad = F.col("__distrust") > most_distrust * (F.col("__trust") + F.col("__distrust"))
     return (
         rows.join(hosts, "host", "left")
-        .withColumn("rule", F.col("_fit.rule"))
-        .withColumn("verdict", F.coalesce(F.col("_fit.verdict"), F.when(bad, "block"), F.lit("allow")))
-        .drop("_fit", "trust", "distrust")
+        .withColumn("rule", F.col("__fit.rule"))
+        .withColumn("verdict", F.coalesce(F.col("__fit.verdict"), F.when(bad, "block"), F.lit("allow")))
+        .drop("__fit", "__trust", "__distrust")
     )
