@@ -15,7 +15,7 @@ from partloom.llm import langid, linededup, packing, quality as rules, simhash
 from partloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose words lie so far outside its own language is a mixture that no language should have.
+#: A document stays if one language holds this share of its letters.
 LEAST_LANGUAGE_SHARE = 0.5
 
 
@@ -25,9 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from what the stage is given. Rejects texts without a letter and those mostly outside any one language."""
-    found = langid.identify(docs, langid.learn(docs)).select(F.col("doc_id").alias("_id"), "lang_pred", F.col("score").alias("_share"))
-    good = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("_share") >= LEAST_LANGUAGE_SHARE)).select("_id").distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]), "left_semi").select(*COLUMNS)
+    return langid.keep_pure(docs.select(*COLUMNS), langid.learn(docs), least_share=LEAST_LANGUAGE_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
