@@ -69,7 +69,8 @@ class Model:
         """A row for each word, relative to its best language, and last its number of letters."""
         k, unknown = len(self.langs), len(self.grams)
         out = np.zeros((len(words), k + 1), np.float32)
-        if not words:
+        out[:, k] = [len(w) for w in words]
+        if not words or not k:
             return out
         at = [[self.grams.get(g, unknown) for g in _grams(w)] for w in words]
         lengths = np.fromiter(map(len, at), np.int64, len(at))
@@ -84,7 +85,6 @@ class Model:
                 wrong[own] = False
                 out[i, :k][wrong] = WRONG_SCRIPT + out[i, own].min()
         out[:, :k] -= out[:, :k].max(axis=1, keepdims=True)
-        out[:, k] = [len(w) for w in words]
         return out
 
 
