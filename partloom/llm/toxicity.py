@@ -17,7 +17,7 @@ from partloom.llm.common import WordTable, crc_fold, small_batches
 MAX_LABELLED = 20_000
 #: A term enters the lexicon if toxic texts hold it so much more often than by chance (standard deviations, log odds).
 LEAST_Z, WEAK, STRONG = 6.0, 1.5, 3.5
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 SECOND_PERSON = frozenset(
     "you your yours yourself u ur ye du dich dir dein deine deinen deinem deiner ihr euch euer eure tu te toi ton ta tes vous votre vos "
     "tú ti contigo tuyo tuya usted ustedes vosotros vuestro vuestra".split()
