@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partloom.llm import quality, urls
+from partloom.llm import linededup, quality, sharding, urls
 
 
 def op5_sql(documents: str = "documents") -> str:
@@ -63,5 +63,60 @@ SELECT page_id, g.host, path, rule, coalesce(given, CASE WHEN distrust > 0.5 * (
 FROM g LEFT JOIN hosts ON g.host = hosts.host"""
 
 
+def _crc_table() -> str:
+    """The 256 steps of CRC-32, from its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return f"{out}::bigint[]"
+
+
+def op2_sql(shards: int = 40, buckets: int = 1024) -> str:
+    u = lambda node: f"((('0x' || substr(md5(k || '|' || {node}), 1, 13))::bigint + 1) / 4503599627370496.0)"
+
+    def draws(name: str, n: int) -> str:
+        rows = ", ".join(f"({x.region}, {x.rack}, {x.shard}, {x.weight}::double)" for x in sharding.topology(n))
+        return f"""
+{name}_t AS (SELECT * FROM (VALUES {rows}) AS t(region, rack, shard, weight)),
+{name}_r AS (SELECT region, sum(weight) AS weight FROM {name}_t GROUP BY 1),
+{name}_k AS (SELECT region, rack, sum(weight) AS weight FROM {name}_t GROUP BY 1, 2),
+{name}_1 AS (SELECT n, any_value(k) AS k, arg_min(r.region, -ln({u("r.region")}) / r.weight) AS region FROM d, {name}_r r GROUP BY n),
+{name}_2 AS (SELECT n, any_value(k) AS k, p.region, arg_min(c.rack, -ln({u("c.region || '/' || c.rack")}) / c.weight) AS rack FROM {name}_1 p JOIN {name}_k c ON p.region = c.region GROUP BY n, p.region),
+{name} AS (SELECT n, arg_min(c.shard, -ln({u("c.region || '/' || c.rack || '/' || c.shard")}) / c.weight) AS shard FROM {name}_2 p JOIN {name}_t c ON p.region = c.region AND p.rack = c.rack GROUP BY n)"""
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(cast(doc_id AS string), '') AS k, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+crc AS (SELECT n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::bigint)),
+  lambda c, b: xor(c >> 8, list_extract({_crc_table()}, (xor(c, b) & 255) + 1))), 4294967295::bigint) AS text_crc32 FROM d),{draws("now", shards)},{draws("grown", shards + 1)},
+placed AS (SELECT d.doc_id, (length(raw) // 2 + 16)::bigint AS size, text_crc32, 'key' AS law, now.shard::int AS shard, grown.shard::int AS grown_shard,
+  ('0x' || substr(md5(k || '|slot'), 1, 6))::bigint % {buckets} AS bucket FROM d JOIN crc USING (n) JOIN now USING (n) JOIN grown USING (n))
+SELECT doc_id, size, text_crc32, law, shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1)::bigint AS slot, grown_shard FROM placed"""
+
+
+def op8_sql(least: int = linededup.MIN_WORDS) -> str:
+    blank = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return rf"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
+raw AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM docs),
+lines AS (SELECT doc_id, text, pos, trim(x, {blank}) AS line, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS k FROM raw WHERE trim(x, {blank}) <> ''),
+counted AS (SELECT *, len(regexp_split_to_array(line, '[ 	-]+')) AS w FROM lines),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, text ORDER BY k) AS upto FROM counted),
+lists AS (SELECT doc_id, text, list(line ORDER BY k) AS l, list(pos ORDER BY k) AS ps FROM lines GROUP BY doc_id, text),
+ahead AS (SELECT a.doc_id, a.text, a.k AS i, min(b.k) AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text IS NOT DISTINCT FROM b.text AND b.k BETWEEN a.k AND a.k + {least} AND b.upto - a.upto + a.w >= {least} GROUP BY 1, 2, 3),
+back AS (SELECT b.doc_id, b.text, max(a.k) AS i, b.k AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text IS NOT DISTINCT FROM b.text AND a.k BETWEEN b.k - {least} AND b.k AND b.upto - a.upto + a.w >= {least} GROUP BY 1, 2, 4),
+windows AS (SELECT doc_id, text, i, ps[i] AS first, ps[j] AS last, list_slice(l, i, j) AS run FROM (SELECT * FROM ahead UNION SELECT * FROM back) JOIN lists USING (doc_id, text)),
+later AS (SELECT DISTINCT doc_id, text, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+marked AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY doc_id, text ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM later),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text ORDER BY first, last) AS island FROM marked),
+merged AS (SELECT doc_id, text, min(first) AS first, max(last) AS last FROM islands GROUP BY doc_id, text, island),
+gone AS (SELECT doc_id, text, list([first, last] ORDER BY first) AS runs, sum(last - first + 1) AS n FROM merged GROUP BY doc_id, text)
+SELECT d.doc_id, len(string_split(d.text, chr(10)))::int AS n_lines, coalesce(g.n, 0)::int AS n_deleted,
+  md5(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: len(list_filter(coalesce(g.runs, []), lambda r: i - 1 BETWEEN r[1] AND r[2])) = 0), chr(10))) AS text_md5,
+  coalesce(array_to_string(list_transform(g.runs, lambda r: r[1] || '-' || r[2]), ','), '') AS deleted_runs
+FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.text = d.text"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality": op5_sql(), "op10_urls": op10_sql()}
+    return {"op2_sharding": op2_sql(), "op5_quality": op5_sql(), "op8_lines": op8_sql(), "op10_urls": op10_sql()}

@@ -60,8 +60,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is deleted of each document, and the MD5 of what is left."""
     out = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_deleted", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "deleted_runs")
+    runs = F.array_join(F.transform("deleted_runs", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    return out.select("doc_id", "n_lines", "n_deleted", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.coalesce(runs, F.lit("")).alias("deleted_runs"))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
