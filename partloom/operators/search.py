@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.functions.text import any_of, contains_text, nullif_blank
+from partloom.operators.lineage import cut_lineage
 
 
 def where_equal(df: DataFrame, **wanted: str | None) -> DataFrame:
@@ -48,15 +47,27 @@ def tier(direct: Column) -> Column:
     return F.when(F.coalesce(direct, F.lit(False)), 0).otherwise(1)
 
 
-def page(df: DataFrame, number: int, per_page: int, order: Iterable[Column]) -> DataFrame:
-    """One page of an order that has no ties: the last page for numbers past it, the first for lower than 1.
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `place`, its position from 0 in an order without ties, by a distributed sort.
 
-    Sorting and numbering are distributed: the rows before the page are counted by partition of the sort.
+    Rows are sorted into ranges and numbered within each; the sizes of the ranges before are added. Only one
+    count for each range is gathered.
     """
+    rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    within = F.lit((1 << 33) - 1)
+    keyed = rows.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(within))
+    sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return keyed.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_at")).drop("_id", "_range", "_at", "_start")
+
+
+def page(df: DataFrame, number: int, per_page: int, order: list[Column]) -> DataFrame:
+    """One page of an order without ties, in that order: the last page for numbers past it, the first for lower than 1."""
     per_page = min(per_page, 500) if per_page > 0 else 50
     last = max(1, -(-df.count() // per_page))
-    number = min(max(1, number), last)
-    return df.orderBy(*order).offset((number - 1) * per_page).limit(per_page)
+    first = (min(max(1, number), last) - 1) * per_page
+    return placed(df, order).where((F.col("place") >= first) & (F.col("place") < first + per_page)).orderBy("place").drop("place")
 
 
 def tiered(base: DataFrame, direct: Column, deep: Column, q: str, least: int = 3) -> DataFrame:

@@ -366,6 +366,39 @@ def l27(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "staging_interchange").select("pos", "our_number").join(one, "our_number", "left").select("pos", "part_id")
 
 
+@query("L28", """SELECT 'unit' AS step, count(*) AS n FROM (SELECT DISTINCT our_number FROM staging_interchange WHERE our_number <> '' AND our_number NOT IN (SELECT unit_number FROM units WHERE unit_number IS NOT NULL)) UNION ALL
+SELECT 'xref', count(*) FROM (SELECT DISTINCT u.id, s.their_number FROM staging_interchange s JOIN units u ON u.unit_number = s.our_number) UNION ALL
+SELECT 'substitute', count(*) FROM (SELECT DISTINCT least(x.unit_id, x.substitute_unit_id), greatest(x.unit_id, x.substitute_unit_id) FROM substitutes x WHERE x.substitute_unit_id IS NOT NULL AND x.unit_id <> x.substitute_unit_id) UNION ALL
+SELECT 'bom_item', count(*) FROM (SELECT DISTINCT bom_id, part_id FROM bom_items WHERE part_id IN (SELECT id FROM parts WHERE is_active))""")
+def l28(spark: SparkSession, sf: str) -> DataFrame:
+    """The steps of a product line's import, each with the rows that it would add."""
+    staged = frame(spark, sf, "staging_interchange").where("our_number <> ''")
+    units = frame(spark, sf, "units").where("unit_number IS NOT NULL").select(F.col("unit_number").alias("our_number"), F.col("id").alias("unit_id"))
+    active = frame(spark, sf, "parts").where("is_active").select(F.col("id").alias("part_id"))
+    steps = {
+        "unit": C.append_new(units, staged.select("our_number"), ["our_number"]),
+        "xref": staged.join(units, "our_number").select("unit_id", "their_number").distinct(),
+        "substitute": R.unordered_pairs(frame(spark, sf, "substitutes"), "unit_id", "substitute_unit_id", "id"),
+        "bom_item": frame(spark, sf, "bom_items").join(active, "part_id", "left_semi").select("bom_id", "part_id").distinct(),
+    }
+    out = None
+    for name, rows in steps.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("L29", "SELECT id, CASE WHEN notes = '' THEN 'fits ' || make ELSE notes || chr(10) || 'fits ' || make END AS notes, make, model, '200' || cast(id % 9 AS string) AS year FROM parts JOIN (SELECT id AS aid, make, model FROM applications) ON aid = id")
+def l29(spark: SparkSession, sf: str) -> DataFrame:
+    """A note for each application line of a sheet, and the line itself read as make, model and year."""
+    from partloom.functions.lines import application_blocks
+
+    block = F.concat("make", F.lit("\n"), "model", F.lit(" 200"), (F.col("id") % 9).cast("string"))
+    apps = application_blocks(frame(spark, sf, "applications").select("id", block.alias("text")), "id", "text").drop("engine")
+    parts = frame(spark, sf, "parts").select("id", "notes").join(apps, "id")
+    return parts.withColumn("notes", T.append_text(F.col("notes"), F.concat(F.lit("fits "), "make")))
+
+
 @query("L30", f"SELECT identifier FROM {_ONE} UNION SELECT substitute_number FROM substitutes")
 def l30(spark: SparkSession, sf: str) -> DataFrame:
     one = R.unambiguous(frame(spark, sf, "parts"), "id", ["manufacturer_number", "yt_number", "j_and_n"]).select("identifier")
