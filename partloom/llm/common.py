@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, from spark.checkpoint.dir. Only a local master may go without, and gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))

@@ -246,15 +246,17 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         .select(F.col("vec_id").alias("rep"), F.xxhash64("vec_id").alias("rep_hash"), F.xxhash64("label").alias("label_hash"), F.size("embedding").alias("dim"), "copies", "embedding")
     )
     spread = cut(vectors.select("rep", "rep_hash", "label_hash", "dim", "embedding").mapInPandas(_buckets(least), "g long, t int, dim int, rep long, body binary"))
-    sizes = spread.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    met = spread.join(sizes.withColumn("blocks", blocks).drop("size"), "g").withColumn("own", own)
-    tiles = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("own", "with"), F.greatest("own", "with"))).alias("g"),
-        "t", "dim", "rep", "body",
-        F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"),
-    )
+    sizes = cut(spread.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    if sizes.isEmpty():  # then rows move once only, to their buckets
+        tiles = spread.withColumn("side", F.lit(2))
+    else:
+        met = spread.join(sizes, "g", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK).cast("int"), F.lit(1)))
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        tiles = met.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            F.when(F.col("blocks") == 1, F.col("g")).otherwise(F.xxhash64("g", F.least("own", "with"), F.greatest("own", "with"))).alias("g"),
+            "t", "dim", "rep", "body",
+            F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"),
+        )
     shape = "g long, t int, dim int, rep long, side int, body binary"
     near = cut(tiles.repartition("g").sortWithinPartitions("g").mapInPandas(_survivors(least), shape))
     exact = (
