@@ -141,14 +141,30 @@ def c17(spark: SparkSession, sf: str) -> DataFrame:
     return copies.join(links, "original").select("original", "copy", "unit_id")
 
 
-@query("C18", "SELECT id FROM parts WHERE contains(lower(part_number), '12') OR contains(lower(yt_number), '12') OR contains(lower(j_and_n), '12') OR id IN (SELECT part_id FROM bom_items WHERE contains(lower(description), 'item 12')) OR id IN (SELECT application_id FROM application_units au JOIN units u ON u.id = au.unit_id WHERE contains(lower(u.yt_number), '12'))")
+#: What a related-number search looks at: the part's own columns, those of its BOM items, its linked units, and their relations.
+_OWN, _UNIT = ("part_number", "manufacturer_number", "yt_number", "j_and_n", "oem"), ("unit_number", "yt_number")
+_HAS = lambda alias, cols: " OR ".join(f"contains(lower({alias}{c}), '117')" for c in cols)
+
+
+@query("C18", f"""WITH u AS (SELECT id FROM units WHERE {_HAS("", _UNIT)} UNION SELECT unit_id FROM cross_references WHERE {_HAS("", ("cross_ref_number",))} UNION SELECT cross_ref_unit_id FROM cross_references WHERE {_HAS("", ("cross_ref_number",))}
+UNION SELECT unit_id FROM substitutes WHERE {_HAS("", ("substitute_number",))} UNION SELECT substitute_unit_id FROM substitutes WHERE {_HAS("", ("substitute_number",))} UNION SELECT unit_id FROM boms WHERE {_HAS("", ("name",))})
+SELECT id FROM parts WHERE {_HAS("", _OWN)} OR id IN (SELECT part_id FROM bom_items WHERE {_HAS("", ("description",))}) OR id IN (SELECT i.part_id FROM bom_items i JOIN boms b ON b.id = i.bom_id WHERE {_HAS("b.", ("name",))})
+OR id IN (SELECT application_id FROM application_units WHERE unit_id IN (SELECT id FROM u)) OR id IN (SELECT id FROM applications WHERE {_HAS("", ("unit_number", "name"))})""")
 def c18(spark: SparkSession, sf: str) -> DataFrame:
-    p = frame(spark, sf, "parts")
-    own = S.search(p, "12", ["part_number", "yt_number", "j_and_n"]).select("id")
-    items = S.search(frame(spark, sf, "bom_items"), "item 12", ["description"]).select(F.col("part_id").alias("id"))
-    units = S.search(frame(spark, sf, "units"), "12", ["yt_number"]).select(F.col("id").alias("unit_id"))
-    linked = frame(spark, sf, "application_units").join(units, "unit_id", "left_semi").select(F.col("application_id").alias("id"))
-    return p.select("id").join(own.union(items).union(linked), "id", "left_semi")
+    """Parts related to a number by any path: each path gives ids, and the parts are semi-joined with their union."""
+    q = "117"
+    hits = lambda view, cols: S.search(frame(spark, sf, view), q, list(cols))
+    xrefs, subs, boms = hits("cross_references", ["cross_ref_number"]), hits("substitutes", ["substitute_number"]), hits("boms", ["name"])
+    ends = lambda df, *cs: df.select(F.explode(F.array_compact(F.array(*cs))).alias("unit_id"))
+    units = hits("units", _UNIT).select(F.col("id").alias("unit_id")).union(ends(xrefs, "unit_id", "cross_ref_unit_id")).union(ends(subs, "unit_id", "substitute_unit_id")).union(ends(boms, "unit_id"))
+    items = frame(spark, sf, "bom_items")
+    ids = (
+        hits("parts", _OWN).select("id").union(hits("bom_items", ["description"]).select(F.col("part_id").alias("id")))
+        .union(items.join(boms.select(F.col("id").alias("bom_id")), "bom_id", "left_semi").select("part_id"))
+        .union(frame(spark, sf, "application_units").join(units, "unit_id", "left_semi").select("application_id"))
+        .union(hits("applications", ["unit_number", "name"]).select("id"))
+    )
+    return frame(spark, sf, "parts").select("id").join(ids, "id", "left_semi")
 
 
 @query("C19", "SELECT b.id, count(i.id) AS n_items, coalesce(string_agg(cast(i.id AS string), ',' ORDER BY i.id), '') AS items FROM boms b LEFT JOIN bom_items i ON i.bom_id = b.id GROUP BY b.id")
