@@ -11,6 +11,7 @@ from partloom.llm.common import SPACE, let
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
+MEASURES = ("word_chars", "n_symbols", "n_words", "n_stop_words", "n_repeat_words", "n_lines", "n_dup_lines")
 #: The most frequent function words of the languages in the corpus.
 STOP_WORDS = (
     "the of and to a in is was that for it as with be by on not he his but at are this have from or had an they which you were "
@@ -110,13 +111,15 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     Null and empty texts have no words, so that they fail. Each row is judged alone: repeated rows
     and ties get equal results. Columns of df stay, but for one named as `into`.
     """
-    m = F.col("__m")
-    base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
-    broken = F.filter(F.array(*[_broken(r, m) for r in rules]), lambda x: x.isNotNull())
-    return (
-        df.drop(into)
-        .withColumn("__n", _measures(df[text]))
-        .withColumn("__m", F.struct(F.col("__n.word_chars"), F.col("__n.n_symbols"), F.col("__n.words.*"), F.col("__n.lines.*")))
-        .withColumn(into, F.struct(F.col("__m.*"), base.alias("base_failed"), broken.alias("broken"), (~base & (F.size(broken) == 0)).alias("kept")))
-        .drop("__m", "__n")
+
+    def verdict(m: Column) -> Column:
+        base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+        broken = F.filter(F.array(*[_broken(r, m) for r in rules]), lambda x: x.isNotNull())
+        kept = ~base & (F.size(broken) == 0)
+        return F.struct(*[m[x].alias(x) for x in MEASURES], base.alias("base_failed"), broken.alias("broken"), kept.alias("kept"))
+
+    # One expression, bound at each step, so that a filter on `kept` that moves below the projection measures each text once.
+    flat = lambda n: F.struct(
+        n["word_chars"].alias("word_chars"), n["n_symbols"].alias("n_symbols"), *[n["words"][x].alias(x) for x in MEASURES[2:5]], *[n["lines"][x].alias(x) for x in MEASURES[5:]]
     )
+    return df.drop(into).withColumn(into, let(_measures(df[text]), lambda n: let(flat(n), verdict)))
