@@ -35,38 +35,31 @@ def _uniform(key: Column, node: Column) -> Column:
     return (head.cast("double") + 1) / float(1 << 52)
 
 
-def _draw(key: Column, children: list[tuple[str, int, float]]) -> Column:
-    """The child with the least -ln(u) / weight, so that its odds are its share of the weights."""
-    if len(children) == 1:
-        return F.lit(children[0][1])
-    draws = [F.struct((-F.ln(_uniform(key, F.lit(name))) / weight).alias("draw"), F.lit(i).alias("id")) for name, i, weight in children]
-    return F.array_min(F.array(*draws))["id"]
-
-
 def place(key: Column, leaves: list[Leaf]) -> Column:
-    """The shard of a key. A change of weights moves keys only between subtrees whose weights change."""
-    tree: dict[int, dict[int, list[Leaf]]] = defaultdict(lambda: defaultdict(list))
+    """The shard of a key. A change of weights moves keys only between subtrees whose weights change.
+
+    The tree is a constant map from each node to its children; from the root on, the child with the least
+    -ln(u) / weight is entered, so that its odds are its share of the weights.
+    """
+    weight: dict[str, float] = defaultdict(float)
+    below: dict[str, set[str]] = defaultdict(set)
+    number: dict[str, int] = {}
     for x in leaves:
-        if x.weight > 0:
-            tree[x.region][x.rack].append(x)
-    if not tree:
+        path = (str(x.region), f"{x.region}/{x.rack}", f"{x.region}/{x.rack}/{x.shard}")
+        number[path[-1]] = x.shard
+        for above, node in zip(("", *path), path, strict=False):
+            if x.weight > 0:
+                below[above].add(node)
+                weight[node] += x.weight
+    if not below:
         raise ValueError("the tree has no shard with a weight")
-    weigh = lambda xs: sum(x.weight for x in xs)
-
-    def pick(at: Column, options: dict[int, Column]) -> Column:
-        out = None
-        for i, then in options.items():
-            out = F.when(at == i, then) if out is None else out.when(at == i, then)
-        return out
-
-    def rack_level(r: int) -> Column:
-        racks = tree[r]
-        rack = _draw(key, [(f"{r}/{k}", k, weigh(v)) for k, v in racks.items()])
-        shards = {k: _draw(key, [(f"{r}/{k}/{x.shard}", x.shard, x.weight) for x in v]) for k, v in racks.items()}
-        return pick(rack, shards) if len(racks) > 1 else next(iter(shards.values()))
-
-    region = _draw(key, [(str(r), r, sum(weigh(v) for v in racks.values())) for r, racks in tree.items()])
-    return pick(region, {r: rack_level(r) for r in tree}) if len(tree) > 1 else rack_level(next(iter(tree)))
+    child = lambda n: F.struct(F.lit(n).alias("name"), F.lit(weight[n]).alias("weight"))
+    tree = F.create_map(*[x for above, nodes in below.items() for x in (F.lit(above), F.array(*map(child, sorted(nodes))))])
+    node = F.lit("")
+    for _ in range(3):
+        draws = F.transform(F.element_at(tree, node), lambda c: F.struct((-F.ln(_uniform(key, c["name"])) / c["weight"]).alias("draw"), c["name"].alias("name")))
+        node = F.array_min(draws)["name"]
+    return F.element_at(F.create_map(*[x for n, i in number.items() for x in (F.lit(n), F.lit(i))]), node)
 
 
 def shard(df: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None, key: str = "doc_id", text: str = "text", buckets: int = 1024) -> DataFrame:
