@@ -35,13 +35,11 @@ def unambiguous(df: DataFrame, id_: str, columns: list[str]) -> DataFrame:
 
 
 def with_prefix_of(rows: DataFrame, others: DataFrame, scope: list[str], column: str) -> DataFrame:
-    """Rows whose value is a proper prefix of another's in the same scope."""
-    longer = others.select(*scope, F.col(column).alias("_longer"))
-    hit = [rows[s] == longer[s] for s in scope] + [longer["_longer"].startswith(rows[column]) & (F.length(longer["_longer"]) > F.length(rows[column]))]
-    cond = hit[0]
-    for h in hit[1:]:
-        cond = cond & h
-    return rows.join(longer, cond, "left_semi")
+    """Rows whose value is a proper prefix of another's in the same scope. The prefixes of each distinct value are listed once and joined by equality, so that no pair of a scope's values is compared."""
+    longer = others.select(*scope, F.col(column).alias("_longer")).where(F.length("_longer") > 0).distinct()
+    listed = longer.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_longer") - 1)))
+    heads = listed.select(*scope, F.substr("_longer", F.lit(1), "_k").alias(column)).distinct()
+    return rows.join(heads, [*scope, column], "left_semi").select(*rows.columns)
 
 
 def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str, head: int = 3) -> DataFrame:

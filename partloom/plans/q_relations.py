@@ -119,7 +119,7 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
 @query("C14", "SELECT s.id FROM cross_references s WHERE length(s.cross_ref_number) <= 3 AND EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND starts_with(l.cross_ref_number, s.cross_ref_number) AND length(l.cross_ref_number) > length(s.cross_ref_number))")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     x = frame(spark, sf, "cross_references").select("id", "unit_id", "cross_ref_number")
-    return R.with_prefix_of(x.where("length(cross_ref_number) <= 3"), x, ["unit_id"], "cross_ref_number").select("id")
+    return R.with_prefix_of(x, x, ["unit_id"], "cross_ref_number").select("id")
 
 
 @query("C15", "SELECT DISTINCT s.substitute_number FROM substitutes s WHERE EXISTS (SELECT 1 FROM substitutes l WHERE starts_with(l.substitute_number, s.substitute_number) AND length(l.substitute_number) > length(s.substitute_number))")
