@@ -199,11 +199,15 @@ _UNITS = "(quantity::bigint * cast(unit_price * 100 AS bigint) * (10000 - cast(d
 _LINE = f"(({_UNITS} // 10000 + CASE WHEN {_UNITS} % 10000 > 5000 OR ({_UNITS} % 10000 = 5000 AND ({_UNITS} // 10000) % 2 = 1) THEN 1 ELSE 0 END)::decimal(18,0) * 0.01::decimal(3,2))"
 
 
+def subtotals(invoices: DataFrame, lines: DataFrame) -> DataFrame:
+    """(id, subtotal) of every invoice: the totals of all its lines, 0 without any."""
+    sums = lines.groupBy(F.col("invoice_id").alias("id")).agg(F.sum(M.line_total(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))).alias("s"))
+    return invoices.select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0)).cast("decimal(14,2)").alias("subtotal"))
+
+
 @query("D05", f"SELECT i.id, cast(coalesce(sum(cast({_LINE} AS decimal(12,2))), 0) AS decimal(14,2)) AS subtotal FROM invoices i LEFT JOIN invoice_items l ON l.invoice_id = i.id AND l.quantity > 40 GROUP BY i.id")
 def d05(spark: SparkSession, sf: str) -> DataFrame:
-    lines = frame(spark, sf, "invoice_items").where("quantity > 40")
-    sums = lines.groupBy(F.col("invoice_id").alias("id")).agg(F.sum(M.line_total(F.col("quantity"), F.col("unit_price"), F.col("discount_pct"))).alias("s"))
-    return frame(spark, sf, "invoices").select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0)).cast("decimal(14,2)").alias("subtotal"))
+    return subtotals(frame(spark, sf, "invoices"), frame(spark, sf, "invoice_items"))
 
 
 @query("D06", "SELECT coalesce(max(ordering), 0) AS last FROM contacts WHERE vendor_id = -1 UNION ALL SELECT coalesce(max(ordering), 0) FROM contacts")

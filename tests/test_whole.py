@@ -1,12 +1,13 @@
 """Queries over all their rows, held against SQL of their own where the registered SQL takes only a part."""
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
 import pytest
 
 from partloom.operators import relations as R
-from partloom.plans import domain, registry
+from partloom.plans import domain, q_relations, registry
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
@@ -37,3 +38,18 @@ def test_scoped_prefixes_join_by_equality(spark):
     assert found.columns == ["u", "n"] and rows(found) == [(1, "ABCDE"), (1, "ABCDE"), (3, "")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "StartsWith" not in plan
+
+
+WHOLE_D05 = f"SELECT i.id, cast(coalesce(sum(cast({q_relations._LINE} AS decimal(12,2))), 0) AS decimal(14,2)) AS subtotal FROM invoices i LEFT JOIN invoice_items l ON l.invoice_id = i.id GROUP BY i.id"
+
+
+@needs_tables
+def test_d05_sums_every_line(spark):
+    assert rows(registry.queries()["D05"](spark, SF)) == by_sql(WHOLE_D05)
+
+
+def test_subtotals_of_small_lines_and_of_none(spark):
+    invoices = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    lines = [(1, 1, Decimal("10.00"), Decimal("0.00")), (1, 50, Decimal("2.00"), Decimal("10.00")), (2, 40, Decimal("0.50"), Decimal("0.00"))]
+    got = q_relations.subtotals(invoices, spark.createDataFrame(lines, "invoice_id long, quantity int, unit_price decimal(10,2), discount_pct decimal(5,2)"))
+    assert rows(got) == [(1, Decimal("100.00")), (2, Decimal("20.00")), (3, Decimal("0.00"))]
