@@ -34,12 +34,16 @@ def unambiguous(df: DataFrame, id_: str, columns: list[str]) -> DataFrame:
     return values.groupBy("identifier").agg(F.count_distinct(id_).alias("n"), F.min(id_).alias(id_)).where("n = 1").drop("n")
 
 
+def prefixes(df: DataFrame, scope: list[str], column: str, short_by: int = 0) -> DataFrame:
+    """(scope..., column): the distinct prefixes of the distinct values of each scope, at least `short_by` characters shorter, the empty one included."""
+    longer = df.select(*scope, F.col(column).alias("_longer")).where(F.length("_longer") >= short_by).distinct()
+    listed = longer.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_longer") - short_by)))
+    return listed.select(*scope, F.substr("_longer", F.lit(1), "_k").alias(column)).distinct()
+
+
 def with_prefix_of(rows: DataFrame, others: DataFrame, scope: list[str], column: str) -> DataFrame:
-    """Rows whose value is a proper prefix of another's in the same scope. The prefixes of each distinct value are listed once and joined by equality, so that no pair of a scope's values is compared."""
-    longer = others.select(*scope, F.col(column).alias("_longer")).where(F.length("_longer") > 0).distinct()
-    listed = longer.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_longer") - 1)))
-    heads = listed.select(*scope, F.substr("_longer", F.lit(1), "_k").alias(column)).distinct()
-    return rows.join(heads, [*scope, column], "left_semi").select(*rows.columns)
+    """Rows whose value is a proper prefix of another's in the same scope. Prefixes are joined by equality, so that no pair of a scope's values is compared."""
+    return rows.join(prefixes(others, scope, column, 1), [*scope, column], "left_semi").select(*rows.columns)
 
 
 def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str, head: int = 3) -> DataFrame:

@@ -103,3 +103,46 @@ def flatten(facts: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]]) ->
     for column, (table, key, name) in lookups.items():
         out = out.join(table.select(F.col(key).alias(column), F.col(name).alias(f"{column}_name")), column, "left").drop(column)
     return out
+
+
+def _completed(rows: DataFrame, all_rows: DataFrame, scope: list[str], number: str, name: str) -> DataFrame:
+    """rows with a flag `name`: whether a number of the scope that does not end with a dash starts with the row's, less its last character. Case is folded."""
+    whole = all_rows.where(~F.col(number).endswith("-")).select(*scope, F.lower(number).alias("_stem"))
+    found = R.prefixes(whole, scope, "_stem").withColumn(name, F.lit(True))
+    stem = F.lower(F.substring(number, F.lit(1), F.length(number) - 1))
+    return rows.withColumn("_stem", stem).join(found, [*scope, "_stem"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_stem")
+
+
+def cleanup_fragments(df: DataFrame, owner: str, number: str, label: str, siblings: bool = True) -> DataFrame:
+    """(id, action, number, label) of each number that ends with a dash, other than a lone dash; with the values that it had or, if merged, gets.
+
+    First pass: a label that begins with a suffix completes the number: `delete` if the owner has the
+    whole number already or a lower id gets the same number and label, else `merge`. Without a suffix,
+    `delete` if a number of the owner completes it. Orphan pass, over what the first one left: `orphan`
+    if a number of the owner or of any other completes it, if it looks broken, or (with `siblings`) if the
+    owner has another fragment of the same label. What stays a fragment is `manual`, or `merge` if it was merged.
+    """
+    x = df.select("id", owner, F.col(number).alias("number"), F.col(label).alias("label"))
+    dash = F.col("number").endswith("-") & (F.col("number") != "-")
+    rows = x.where(dash).withColumn("_s", T.label_suffix(F.col("label")))
+    with_suffix = rows.where("_s.suffix <> ''").select(
+        "id", owner, "number", "label", F.concat("number", "_s.suffix").alias("_number"), F.coalesce(T.nullif_blank(F.col("_s.maker")), "label").alias("_label")
+    )
+    have = x.select(owner, F.col("number").alias("_number")).distinct().withColumn("_have", F.lit(True))
+    checked = with_suffix.join(have, [owner, "_number"], "left")
+    first = R.survivors(checked.where("_have is null"), [owner, "_number", "_label"], [F.col("id")])
+    bare = _completed(rows.where("_s.suffix = ''").drop("_s"), x, [owner], "number", "_done")
+    same = ["id", owner, "number", "label"]
+    gone = checked.where("_have").select(*same).unionByName(first.where("not survivor").select(*same)).unionByName(bare.where("_done").select(*same))
+    merged = first.where("survivor").select("id", owner, F.col("_number").alias("number"), F.col("_label").alias("label"), F.lit("merge").alias("action"))
+    left = merged.unionByName(bare.where("not _done").select(*same, F.lit("manual").alias("action")))
+    now = x.where(~F.coalesce(dash, F.lit(False))).unionByName(left.select(*same))
+    open_ = _completed(_completed(left.where(dash), now, [owner], "number", "_own"), now, [], "number", "_any")
+    broken = F.size(T.artifact_reasons(F.col("number"), F.col("label"))) > 0
+    if siblings:
+        twins = left.where(dash).groupBy(owner, F.struct("label").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+        open_ = open_.withColumn("_of", F.struct("label")).join(twins, [owner, "_of"], "left")
+        broken = broken | (F.col("_n") > 1)
+    judged = open_.withColumn("action", F.when(F.col("_own") | F.col("_any") | broken, "orphan").otherwise(F.col("action")))
+    out = gone.withColumn("action", F.lit("delete")).unionByName(left.where(~dash)).unionByName(judged.select(*same, "action"))
+    return out.select("id", "action", F.col("number").alias(number), F.col("label").alias(label))

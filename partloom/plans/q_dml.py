@@ -271,10 +271,8 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("L16", "SELECT s.id FROM cross_references s WHERE ends_with(s.cross_ref_number, '-') AND EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND l.cross_ref_number = rtrim(s.cross_ref_number, '-'))")
 def l16(spark: SparkSession, sf: str) -> DataFrame:
-    """Broken-off numbers that another row of the unit has whole."""
-    x = frame(spark, sf, "cross_references").select("id", "unit_id", "cross_ref_number")
-    cut = x.where(F.col("cross_ref_number").endswith("-")).withColumn("cross_ref_number", F.regexp_replace("cross_ref_number", "-+$", ""))
-    return cut.join(x.select("unit_id", "cross_ref_number"), ["unit_id", "cross_ref_number"], "left_semi").select("id")
+    """What becomes of each broken-off number: deleted, merged with the suffix in its label, deleted as an orphan, or left for review."""
+    return L.cleanup_fragments(frame(spark, sf, "cross_references"), "unit_id", "cross_ref_number", "interchange_type")
 
 
 @query("L17", "SELECT id FROM boms WHERE id NOT IN (SELECT b.id FROM boms b WHERE b.unit_id IS NOT NULL AND b.id NOT IN (SELECT bom_id FROM bom_items WHERE part_id IS NOT NULL AND unit_qty > 25) AND b.unit_id IN (SELECT o.unit_id FROM boms o JOIN bom_items i ON i.bom_id = o.id WHERE i.part_id IS NOT NULL AND i.unit_qty > 25 AND o.unit_id IS NOT NULL))")
