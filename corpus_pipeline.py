@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import langid, linededup, packing, quality as rules, simhash
+from partloom.llm import jaccard, langid, linededup, packing, quality as rules
 from partloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,9 +36,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    """Keeps the document with the smallest doc_id of each component of texts alike by 0.8 or more over five words."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # the same each time, since docs is read from Parquet
+    found = rows.select("_row", "doc_id").join(jaccard.near_duplicates(rows, "_row"), "_row")
+    kept = found.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
 
 
@@ -67,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language scores, SimHash over XXH64 and token ids are beyond SQL; tests hold the stages against brute-force versions.
+#: Language scores, MinHash over XXH64 and token ids are beyond SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None

@@ -31,22 +31,29 @@ SMALL = 16
 _ALL = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of a text's shingles; a text of fewer words is one shingle, one without words gives 0."""
+def hashes(text: str | None, words: int = 3) -> np.ndarray:
+    """XXH64 of each of a text's shingles; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # for bytes: A-Z and ASCII white space
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = max(1, len(found) - words + 1)
     last = ends[min(words, len(found)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), last.tolist(), strict=True)), "<u8", k)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), last.tolist(), strict=True)), "<u8", k)
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of a text's shingles; a text without words gives 0."""
+    h = hashes(text, words)
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > k, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
