@@ -36,11 +36,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component of texts alike by 0.8 or more over five words."""
+    """Keeps one row of each component of texts alike by 0.8 or more over five words: of the smallest doc_id, any of its rows.
+
+    Repeated rows are alike. A null doc_id comes last, so that such a row stays only if its component has no other.
+    """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # the same each time, since docs is read from Parquet
     found = rows.select("_row", "doc_id").join(jaccard.near_duplicates(rows, "_row"), "_row")
-    kept = found.groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").select(*COLUMNS)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,15 @@ def test_components_of_shingle_sets(spark):
         first.setdefault(component[k], k)
     assert {k: first[component[k]] for k in component} == {k: u.find(k) for k in component}
     assert jaccard.near_duplicates(df.where("false"), "k").count() == 0
+
+
+def test_stage_keeps_one_row_of_repeated_rows_and_null_ids(spark, tmp_path):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    a, b, c, d = ([word() for _ in range(120)] for _ in range(4))
+    near = [*a[:60], word(), *a[61:]]
+    text = " ".join
+    rows = [(1, text(a)), (1, text(a)), (1, text(a)), (None, text(near)), (None, text(b)), (None, text(c)), (None, text(c)), (2, text(d)), (3, text(d)), (2, text(d))]
+    got = stage(spark, tmp_path / "docs", rows)
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, text(a)), (None, text(b)), (None, text(c)), (2, text(d))], key=repr)
+    assert stage(spark, tmp_path / "none", []) == []
