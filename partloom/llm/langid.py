@@ -131,11 +131,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def _constant(s: np.ndarray) -> int | None:
-    """The language of the best path if that never changes, as far as a bound on every span's gain shows it."""
+    """The language of the best path if that never changes, as far as a bound on every span's gain shows it.
+
+    Two spans of other languages at the ends of a text cost one change together, so that each may gain half a change at most.
+    """
     best = int(s.sum(axis=0, dtype=np.float64).argmax())
     sums = np.cumsum(s - s[:, best : best + 1], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.concatenate((np.zeros((1, s.shape[1])), sums[:-1])), axis=0)
-    return best if (sums - low).max() <= SWITCH else None
+    return best if (sums - low).max() <= SWITCH / 2 else None
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
