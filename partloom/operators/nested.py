@@ -21,6 +21,12 @@ def submodels(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.explode(F.when(F.col(column).rlike(shape), many).otherwise(F.array(F.col(column)))))
 
 
+def further_numbers(df: DataFrame, column: str, have: DataFrame) -> DataFrame:
+    """(id, first, other) of each number after the first of a comma list, unless have (id, other) has it; a single number has none."""
+    rows = df.select("id", F.split(column, r",\s*").alias("_n")).select("id", F.col("_n")[0].alias("first"), F.explode(F.expr("slice(_n, 2, size(_n))")).alias("other"))
+    return rows.join(have, ["id", "other"], "left_anti").select("id", "first", "other")
+
+
 def merge_maps(old: Column, new: Column) -> Column:
     """All keys; the new value where both have one."""
     return F.map_zip_with(old, new, lambda _, a, b: F.coalesce(b, a))

@@ -22,10 +22,10 @@ def j02(spark: SparkSession, sf: str) -> DataFrame:
 @query("J03", "SELECT id, 'JN' || cast(id % 7 AS string) AS first, 'K' || cast(id AS string) AS other FROM parts WHERE id % 2 = 0 AND id > 0")
 def j03(spark: SparkSession, sf: str) -> DataFrame:
     """The first number stays, the others become relations unless the part has them already."""
-    numbers = F.split(F.concat(F.lit("JN"), F.col("id") % 7, F.lit(", K"), "id", F.lit(", K0")), r",\s*")
-    rows = frame(spark, sf, "parts").where("id % 2 = 0").select("id", numbers.alias("n")).select("id", F.col("n")[0].alias("first"), F.explode(F.slice("n", 2, 100)).alias("other"))
+    several = F.concat(F.lit("JN"), F.col("id") % 7, F.lit(", K"), "id", F.lit(", K0"))
+    numbers = F.when(F.col("id") % 2 == 0, several).otherwise(F.concat(F.lit("JN"), F.col("id") % 7))
     have = frame(spark, sf, "parts").select("id", F.lit("K0").alias("other"))
-    return rows.join(have, ["id", "other"], "left_anti").select("id", "first", "other")
+    return N.further_numbers(frame(spark, sf, "parts").select("id", numbers.alias("n")), "n", have)
 
 
 @query("J04", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS type, 'new' AS origin FROM events")

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from partloom.operators import relations as R
+from partloom.operators import nested as N, relations as R
 from partloom.plans import commands, domain, q_relations, registry
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +126,9 @@ def test_l16_is_the_whole_command(spark):
     table = by_sql("SELECT id, unit_id, cross_ref_number, interchange_type FROM cross_references")
     got = rows(registry.queries()["L16"](spark, SF))
     assert got == plain_cleanup(table, True)
+
+
+def test_further_numbers_of_odd_and_even_parts(spark):
+    df = spark.createDataFrame([(1, "A, B,C"), (2, "A, K0"), (3, "A"), (4, None), (5, "")], "id long, n string")
+    have = spark.createDataFrame([(2, "K0"), (3, "B")], "id long, other string")
+    assert rows(N.further_numbers(df, "n", have)) == [(1, "A", "B"), (1, "A", "C")]
