@@ -64,12 +64,12 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 40, check_every: int = 4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000, check_every: int = 4) -> DataFrame:
     """Personalised PageRank of (kind, host) from seeds (kind, host, seed).
 
     Trust flows along links and distrust against them; each kind's seeds sum to 1. A host without
-    links of its kind passes nothing on. Scores stop moving by more than `tolerance` in all, or
-    `rounds` end. Every check_every rounds the lineage is cut in the shared folder.
+    links of its kind passes nothing on. It ends when scores move by `tolerance` or less in all; not having
+    settled in `rounds` is an error. Every check_every rounds the lineage is cut in the shared folder.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
@@ -93,9 +93,9 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             ranks.unionByName(before.select("kind", "host", (-F.col("score")).alias("score")))
             .groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
         )
-        if done == rounds or (moved or 0.0) <= tolerance:
-            break
-    return ranks
+        if (moved or 0.0) <= tolerance:
+            return ranks
+    raise RuntimeError(f"scores did not settle in {rounds} rounds")
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[UrlRule, ...] = RULES, most_distrust: float = 0.5) -> DataFrame:
