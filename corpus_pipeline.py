@@ -20,25 +20,27 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows whose text passes all rules; null and empty texts fail. Each row is judged alone, whole, whatever its other columns hold."""
     return rules.quality(docs).where("quality.kept").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from what the stage is given. Rejects texts without a letter and those mostly outside any one language."""
+    """Learns from what the stage is given. Rejects null texts, those without a letter and those mostly outside any one language; ids play no part."""
     return langid.keep_pure(docs.select(*COLUMNS), langid.learn(docs), least_share=LEAST_LANGUAGE_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated runs; a document of which nothing is left goes."""
+    """Deletes later copies of repeated runs; a document of which nothing is left goes. Rows alike in doc_id and text keep the same lines; null texts stay."""
     out = linededup.dedup_lines(docs)
     left = (F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component of texts alike by 0.8 or more over five words: of the smallest doc_id, any of its rows.
+    """SimHash over five words, with exact similarity: one row of each component of texts alike by 0.8 or more stays, of the smallest doc_id any row.
 
-    Repeated rows are alike. A null doc_id comes last, so that such a row stays only if its component has no other.
+    Repeated rows, and nulls and texts without words among themselves, are alike. A null doc_id comes last, so that such a row stays only if its
+    component has no other. Whole texts count, however long. An empty table gives an empty one.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # the same each time, since docs is read from Parquet
     found = rows.select("_row", "doc_id").join(jaccard.near_duplicates(rows, "_row"), "_row")
@@ -47,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every row, repeated ones each, into sequences; a null or empty text is the one id 0, a very long one is cut. An empty table gives an empty one."""
     return packing.pack(docs, tokenizer_path())
 
 

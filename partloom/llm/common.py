@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,16 +12,33 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of characters outside this ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Texts are long, so that Arrow batches hold few rows.
-ROWS_PER_BATCH = 1000
+#: Texts are long, so that frames of few rows are worked on at a time.
+ROWS_PER_FRAME = 1000
+#: Rows of one key that a join gives to one task.
+ROWS_PER_TASK = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+def small(frames: Iterable[pd.DataFrame], rows: int = ROWS_PER_FRAME) -> Iterator[pd.DataFrame]:
+    """Frames of at most so many rows. Spark bounds the bytes of what it sends by spark.sql.execution.arrow.maxBytesPerBatch."""
+    for frame in frames:
+        for k in range(0, len(frame), rows):
+            yield frame.iloc[k : k + rows].reset_index(drop=True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local["):
+        if folder is None and re.match(r"local($|\[)", sc.master) is None:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
@@ -50,24 +68,47 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def gapless(df: DataFrame, group: list[str], bucket: Column, buckets: int, order: list[Column], name: str) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """df with a number from 0 without gaps within each group, without a group in one task.
 
-    Rows are numbered within (group, bucket); the counts of earlier buckets are added. bucket is an
-    integer column from 0 to buckets - 1. The caller must have a bound for the number of groups,
-    since groups x buckets counts are broadcast.
+    Rows are numbered within (group, bucket) in the given order; the counts of a group's earlier buckets are added. bucket is an
+    integer column. The counts are joined by the keys by which the rows are dealt already; Spark may broadcast them
+    where it finds them small.
+    """
+    at, b, n, start = fresh(df, "_at", "_bucket", "_n", "_start")
+    rows = df.withColumn(b, bucket)
+    sums = rows.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(*group, b).orderBy(*order)
+    placed = rows.withColumn(at, F.row_number().over(within)).join(starts, [*group, b])
+    return placed.withColumn(name, (F.col(start) + F.col(at) - 1).cast("long")).drop(b, at, start)
+
+
+def join_spread(rows: DataFrame, facts: DataFrame, key: list[str], size: str, spread: list[str], how: str = "inner", per_task: int | None = None, total: int | None = None) -> DataFrame:
+    """rows joined with facts, which has each key once and in `size` about how many rows have it; size is dropped.
+
+    The rows of a key that has over per_task of them are dealt to several tasks by a hash of their `spread` columns, and its
+    facts are copied for each. What is broadcast is the list of such keys, at most one for each per_task rows. Where the `total` of all rows
+    is known and no more than that, no key can have too many.
     """
-    rows = df.withColumn("__bucket", bucket)
-    sums = rows.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    return (
-        rows.withColumn("__at", F.row_number().over(within))
-        .join(F.broadcast(starts), [*group, "__bucket"])
-        .withColumn(name, (F.col("__start") + F.col("__at") - 1).cast("long"))
-        .drop("__bucket", "__at", "__start")
-    )
+    per = per_task or ROWS_PER_TASK
+    if total is not None and total <= per:
+        return rows.join(facts.drop(size), key, how)
+    salt, splits = fresh(rows, "_salt", "_splits")
+    hot = facts.where(F.col(size) > per).select(*key, F.ceil(F.col(size) / per).cast("int").alias(splits))
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn(salt, F.pmod(F.xxhash64(*spread), F.coalesce(splits, F.lit(1))).cast("int")).drop(splits)
+    last = F.when(F.col(size) > per, F.ceil(F.col(size) / per) - 1).otherwise(0).cast("int")
+    copies = facts.withColumn(salt, F.explode(F.sequence(F.lit(0), last))).drop(size)
+    return dealt.join(copies, [*key, salt], how).drop(salt)
+
+
+def by_text(df: DataFrame, doc_id: str, text: str, work: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]], made: str) -> DataFrame:
+    """work applied to frames (doc_id, text) and giving doc_id and the columns `made`. Ids go as strings, so that nulls do not turn others into floats."""
+    kind = df.schema[doc_id].dataType
+    out = df.select(df[doc_id].cast("string").alias("doc_id"), df[text].alias("text")).mapInPandas(lambda frames: work(small(frames)), f"doc_id string, {made}")
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def runs(frames: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

@@ -4,28 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import cut
+from partloom.llm.common import cut, join_spread
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
     """(node, component) for every node of links: the smallest node that it reaches, itself included.
 
-    Each step groups by node and takes a minimum, which combines before the shuffle, so that a node
-    with a third of all links is no hot spot. Each round is written to the shared folder.
+    Each step groups by node and takes a minimum, which combines before the shuffle; where the minimum goes back to a node's
+    links, those of a node with very many are dealt to several tasks. Each round is written to the shared folder.
+    Links with a null end are left out.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = None
+    state, total = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        size = F.count(F.lit(1)).alias("n")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), size)
+        large = join_spread(both.where("v > u"), least, ["u"], "n", ["v"], total=2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), size)
+        small = join_spread(large, down, ["u"], "n", ["v"], total=2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

@@ -1,27 +1,30 @@
-"""Near-duplicates by the Jaccard similarity of their sets of word shingles.
+"""SimHash near-duplicates of word shingles down to a similarity that fingerprints alone do not reach.
 
-Candidates share one of BANDS bands of ROWS MinHash values each: a pair at similarity s is missed with probability
-(1 - s^ROWS)^BANDS, 0.00007 at 0.8 and less above. Every link is then verified on the whole sets.
+The pivot tables of SimHash find pairs whose fingerprints differ in a few bits. Sets of shingles with a Jaccard similarity of
+0.8 differ in about 10 of 64, which no table of parts can find, so that candidates come from MinHash too: they share one of BANDS
+bands of ROWS values each, by which a pair at similarity s is missed with probability (1 - s^ROWS)^BANDS, 0.00007 at
+0.8 and less above. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import cut, runs, small_batches
+from partloom.llm.common import cut, join_spread, runs, small as few
 from partloom.llm.components import components
-from partloom.llm.simhash import SEED, hashes
+from partloom.llm.simhash import SEED, hashes, links as simhash_links, majority
 
 WORDS = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 5
-#: Up to this size all pairs of a bucket are compared in joins, beyond it one task finds the links that connect its members.
-SMALL = 16
+#: Up to this size all pairs of a bucket are compared. In larger ones all are compared with one member, then those that are not connected to
+#: it yet with all, in blocks of BLOCK by BLOCK sets.
+SMALL, BLOCK = 16, 256
 _CHUNK = 8192
 _MULTIPLY = np.random.default_rng([SEED, 1]).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng([SEED, 2]).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -54,63 +57,106 @@ def _alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarra
 
 
 def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, d, bands): d is a digest of the whole set, 0 for the empty one."""
+    """(key, d, fp, bands): d is a digest of the whole set, 0 for the empty one."""
     import xxhash
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
+        for x in few(frames):
             sets = [shingles(t, words) for t in x["text"]]
             d = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"key": x["key"], "d": d, "bands": [bands(s) for s in sets]})
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"key": x["key"], "d": d, "fp": fp, "bands": [bands(s) for s in sets]})
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(work, "key long, d long, fp long, bands array<long>")
+
+
+def _read(s: bytes) -> np.ndarray:
+    return np.frombuffer(s, np.uint64)
+
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(work, "key long, d long, bands array<long>")
+def _verify(least: float) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield x.loc[[bool(_alike(_read(s), [_read(t)], least)[0]) for s, t in zip(x["s"], x["t"], strict=True)], ["a", "b"]]
+
+    return work
+
+
+def _tiles(least: float) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Links between the asking members of a tile and its others that are of another component, one for each such component."""
+
+    def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in runs(frames, "tile"):
+            for _, rows in frame.groupby("tile", sort=False):
+                ask, held = rows[rows["asks"]], rows[~rows["asks"]]
+                d, of = held["d"].to_numpy(), held["component"].to_numpy()
+                sets = [_read(x) for x in held["s"]]
+                for one, own, s in zip(ask["d"], ask["component"], ask["s"], strict=True):
+                    at = np.flatnonzero(of != own)
+                    if len(at):
+                        at = at[_alike(_read(s), [sets[k] for k in at], least)]
+                        first = np.unique(of[at], return_index=True)[1]
+                        if len(first):
+                            yield pd.DataFrame({"a": one, "b": d[at[first]]})
+
+    return work
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of sets with fingerprints that the pivot tables link, by the least set of each fingerprint, and of sets with equal ones."""
+    least = nodes.groupBy("fp").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    near = simhash_links(least.select("fp"))
+    side = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    apart = near.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("fa", "x"), "fa").join(side("fb", "y"), "fb")
+    equal = join_spread(nodes.select("d", "fp"), least, ["fp"], "n_rows", ["d"]).where("d <> least")
+    return apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(equal.select(F.col("least").alias("a"), F.col("d").alias("b")))
 
 
 def near_duplicates(df: DataFrame, key: str, text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(key, component), a row for each row of df: equal for rows connected by links of similarity `least` or more.
 
     key is a long that differs in all rows and is the same whenever df is computed. Texts of fewer words
-    than a shingle are one shingle; those without words, and nulls, are alike. Equal sets are compared once.
+    than a shingle are one shingle; those without words, and nulls, are alike. Equal sets, such as those of repeated rows, are compared
+    once. All words of a very long text count; a pair at the very threshold is linked. Other columns of df, whatever their names, are not
+    carried. An empty table gives an empty one.
     """
-    small_batches(df.sparkSession)
     prints = cut(_sketches(df, key, text, words))
-    nodes = prints.groupBy("d").agg(F.min("key").alias("key"))
+    nodes = cut(prints.groupBy("d", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_rows")))
     keys = prints.join(nodes.select("key"), "key", "left_semi").select("d", F.explode("bands").alias("g"))
-    sizes = keys.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(keys.join(sizes, "g"))
-    wanted = nodes.join(members.select("d").distinct(), "d", "left_semi")
+    size = F.count(F.lit(1))
+    sizes = keys.groupBy("g").agg(size.alias("n"), size.alias("n_rows"), F.min("d").alias("root")).where("n > 1")
+    members = cut(join_spread(keys, sizes, ["g"], "n_rows", ["d"]))
+    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    among = small.select("g", F.col("d").alias("a")).join(small.select("g", F.col("d").alias("b")), "g").where("a < b").select("a", "b")
+    to_root = large.where("d <> root").select(F.col("root").alias("a"), F.col("d").alias("b"))
+    pairs = cut(among.unionByName(to_root).unionByName(_fingerprint_pairs(nodes.where("d <> 0"))).distinct())
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d", "left_semi").select("key", "d")
 
     def sets_of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
+        for x in few(frames):
             yield pd.DataFrame({"d": x["d"], "s": [shingles(t, words).tobytes() for t in x["text"]]})
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key").select("d", "text")
     sets = cut(texts.mapInPandas(sets_of, "d long, s binary"))
-    read = lambda s: np.frombuffer(s, np.uint64)
-
-    def verify(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            yield x.loc[[bool(_alike(read(s), [read(t)], least)[0]) for s, t in zip(x["s"], x["t"], strict=True)], ["a", "b"]]
-
-    def forest(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in runs(frames, "g"):
-            for _, rows in frame.groupby("g", sort=False):
-                d, s = rows["d"].to_numpy(), [read(x) for x in rows["s"]]
-                left = np.arange(len(d))
-                while len(left):
-                    open_, left = [left[0]], left[1:]
-                    while open_ and len(left):
-                        one = open_.pop()
-                        hit = _alike(s[one], [s[k] for k in left], least)
-                        found, left = left[hit], left[~hit]
-                        open_ += found.tolist()
-                        if len(found):
-                            yield pd.DataFrame({"a": np.repeat(d[one], len(found)), "b": d[found]})
-
-    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-    pairs = small.select("g", F.col("d").alias("a")).join(small.select("g", F.col("d").alias("b")), "g").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("d").alias("a"), "s"), "a").join(sets.select(F.col("d").alias("b"), F.col("s").alias("t")), "b")
-    grouped = large.join(sets, "d").select("g", "d", "s").repartition("g").sortWithinPartitions("g")
-    links = both.mapInPandas(verify, "a long, b long").unionByName(grouped.mapInPandas(forest, "a long, b long"))
+    from_a = sets.withColumnRenamed("d", "a").join(pairs.groupBy("a").agg(size.alias("n_rows")), "a")
+    both = join_spread(pairs, from_a, ["a"], "n_rows", ["b"]).join(sets.select(F.col("d").alias("b"), F.col("s").alias("t")), "b")
+    links = cut(both.mapInPandas(_verify(least), "a long, b long"))
     found = components(links)
-    return prints.join(found.withColumnRenamed("node", "d"), "d", "left").select(F.col("key").alias(key), F.coalesce("component", "d").alias("component"))
+
+    # What is left of large buckets: members of another component than the root's, against all of the bucket.
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    placed = large.join(of("d"), "d", "left").join(of("root"), "root", "left")
+    placed = cut(placed.select("g", "d", "n", F.coalesce("d_in", "d").alias("component"), (F.coalesce("d_in", "d") != F.coalesce("root_in", "root")).alias("asks")))
+    open_ = placed.groupBy("g").agg(F.count_if("asks").alias("n_ask"), size.alias("n_rows")).where("n_ask > 0")
+    rest = cut(join_spread(placed, open_, ["g"], "n_rows", ["d"]))
+    if not rest.isEmpty():
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("d"), blocks(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        asking = rest.where("asks").select("g", own("n_ask").alias("i"), each("n").alias("j"), "d", "component", F.lit(True).alias("asks"))
+        held = rest.select("g", each("n_ask").alias("i"), own("n").alias("j"), "d", "component", F.lit(False).alias("asks"))
+        tiles = asking.unionByName(held).select(F.xxhash64("g", "i", "j").alias("tile"), "d", "component", "asks").join(sets, "d")
+        more = tiles.repartition("tile").sortWithinPartitions("tile").mapInPandas(_tiles(least), "a long, b long")
+        found = components(links.unionByName(more))
+    facts = nodes.join(found.withColumnRenamed("node", "d"), "d", "left").select("d", "n_rows", F.coalesce("component", "d").alias("component"))
+    return join_spread(prints.select("key", "d"), facts, ["d"], "n_rows", ["key"]).select(F.col("key").alias(key), "component")

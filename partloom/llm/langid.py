@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import WordTable, crc_fold, small_batches
+from partloom.llm.common import ROWS_PER_FRAME, WordTable, by_text, crc_fold, small
 
 UNKNOWN = "und"
 #: First code points of script ranges; a range ends where the next begins. Fixed values of Unicode.
@@ -37,6 +37,8 @@ SCRIPT_SHARE = 0.01
 WRONG_SCRIPT, SWITCH = -30.0, 12.0
 #: Documents of each language to learn from, about: they are drawn by a hash of the id.
 PER_LANGUAGE = 2000
+#: More languages than that are an error: each is a column of the model, and their names are gathered.
+MAX_LANGUAGES = 1000
 
 
 def script_of(word: str) -> str:
@@ -92,11 +94,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learn from a sample of about per_language whole texts of each non-null language.
 
     What reaches the driver is the trigrams of that sample, so that the model's size is bounded by
-    the parameter. Languages with fewer texts use all.
+    the parameter. Languages with fewer texts use all. More than MAX_LANGUAGES languages are an error.
     """
-    small_batches(docs.sparkSession)
     docs = docs.where(F.col(lang).isNotNull())
-    totals = {r[0]: r[1] for r in docs.groupBy(lang).count().collect()}
+    totals = {r[0]: r[1] for r in docs.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"there are more than {MAX_LANGUAGES} languages to learn")
     langs = sorted(totals)
     share = F.lit(0)
     for x in langs:
@@ -104,7 +107,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     sample = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language sample")), F.lit(1_000_000)) < share)
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in small(frames):
             found: dict[tuple[str, str, str], int] = defaultdict(int)
             for one, x in zip(frame["lang"], frame["text"], strict=True):
                 for w in words_of(x):
@@ -146,7 +149,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
     if not len(order) or not lengths[0]:
-        return [np.zeros(0, np.int8) for _ in scores]
+        return [np.zeros(0, np.int16) for _ in scores]
     k = scores[0].shape[1]
     active = [int(n) for n in np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")]  # documents longer than t
     first = np.concatenate(([0], np.cumsum(active)))
@@ -154,9 +157,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     for rank, i in enumerate(order):
         by_time[first[: lengths[rank]] + rank] = scores[i]
     value = by_time[: active[0]].astype(np.float64)
-    came = np.zeros((first[-1], k), np.int8)
-    own = np.arange(k, dtype=np.int8)
-    final = np.zeros(len(order), np.int8)
+    came = np.zeros((first[-1], k), np.int16)
+    own = np.arange(k, dtype=np.int16)
+    final = np.zeros(len(order), np.int16)
     for t in range(1, len(active)):
         m = active[t]
         if m < active[t - 1]:
@@ -168,7 +171,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         came[first[t] : first[t] + m] = np.where(stay, own, top[:, None])
         value = np.where(stay, value, jump[:, None]) + by_time[first[t] : first[t] + m]
     final[: len(value)] = value.argmax(axis=1)
-    path = np.empty(first[-1], np.int8)
+    path = np.empty(first[-1], np.int16)
     now = final
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
@@ -176,7 +179,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         if t:
             now = now.copy()
             now[:m] = came[first[t] : first[t] + m][np.arange(m), now[:m]]
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(scores)
     for rank, i in enumerate(order):
         out[i] = path[first[: lengths[rank]] + rank]
     return out
@@ -199,13 +202,13 @@ class Labeller:
             rows = self.table.store[n]
             letters = rows[:, k]
             if not len(n) or not k:
-                out.append((np.zeros(len(n), np.int8), letters))
+                out.append((np.zeros(len(n), np.int16), letters))
                 continue
             same = _constant(rows[:, :k])
             if same is None:
                 waiting.append(len(out))
                 mixed.append(rows[:, :k])
-            out.append((np.full(len(n), same or 0, np.int8), letters))
+            out.append((np.full(len(n), same or 0, np.int16), letters))
         for at, path in zip(waiting, viterbi(mixed), strict=True):
             out[at] = (path, out[at][1])
         return out
@@ -216,10 +219,10 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     score is the share of the text's letters in spans of lang_pred; spans are (lang, first word,
     words). A null text, or one without a letter, is `und` with score 0 and no spans, as is
-    any if no language was learned. Ties go to the language first by name. Repeated rows get equal results.
+    any if no language was learned. Ties go to the language first by name. Repeated rows get equal results. Of a very long text
+    all words are scored. An empty table gives an empty one. Other columns of df, whatever their names, are not carried.
     """
     spark = df.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,23 +244,22 @@ def identify(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                 spans.append([{"lang": langs[path[a]], "first": int(a), "words": int(b - a)} for a, b in zip(starts, ends, strict=True)])
             yield pd.DataFrame({"doc_id": frame["doc_id"], "lang_pred": pred, "score": score, "spans": spans})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    shape = f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>"
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, shape)
+    return by_text(df, doc_id, text, work, "lang_pred string, score double, spans array<struct<lang:string,first:int,words:int>>")
 
 
 def keep_pure(df: DataFrame, model: Model, text: str = "text", least_share: float = 0.5) -> DataFrame:
     """The rows of df, unchanged, whose text has a language that holds at least this share of its letters.
 
-    Rows are dropped where they are read, without a join. Null texts and those without a letter go.
+    Rows are dropped where they are read, without a join. Null texts and those without a letter go. Each row is judged alone, by all
+    words of its text however long, so that repeated rows and ties share a fate; ids and other columns, null or not, play no part. An empty
+    table gives an empty one.
     """
     spark = df.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller, k = Labeller(held.value), len(held.value.langs)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS_PER_FRAME) for whole in batches for k in range(0, whole.num_rows, ROWS_PER_FRAME)):
             share = [np.bincount(p, weights=n, minlength=k) if k and len(p) else np.zeros(1) for p, n in labeller.paths(batch.column(text).to_pylist())]
             yield batch.filter(pa.array([bool(s.sum()) and s.max() >= least_share * s.sum() for s in share], pa.bool_()))
 

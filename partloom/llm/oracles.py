@@ -37,7 +37,7 @@ def op10_sql() -> str:
         f"WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(urls.RULES, key=lambda r: -len(r.name))
     )
     verdict = " ".join(f"WHEN '{r.name}' THEN '{r.verdict}'" for r in urls.RULES)
-    rounds, damping = 20, 0.85
+    rounds, damping = 100, 0.85
     steps = "".join(
         f""",
 r{i} AS (SELECT kind, host, sum(score) AS score FROM (
@@ -91,7 +91,7 @@ WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(cast(doc_id AS str
 crc AS (SELECT n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(raw) // 2), lambda i: ('0x' || substr(raw, 2 * i + 1, 2))::bigint)),
   lambda c, b: xor(c >> 8, list_extract({_crc_table()}, (xor(c, b) & 255) + 1))), 4294967295::bigint) AS text_crc32 FROM d),{draws("now", shards)},{draws("grown", shards + 1)},
 placed AS (SELECT d.doc_id, (length(raw) // 2 + 16)::bigint AS size, text_crc32, 'key' AS law, now.shard::int AS shard, grown.shard::int AS grown_shard,
-  ('0x' || substr(md5(k || '|slot'), 1, 6))::bigint % {buckets} AS bucket FROM d JOIN crc USING (n) JOIN now USING (n) JOIN grown USING (n))
+  ('0x' || substr(md5(k || '|' || text_crc32 || '|slot'), 1, 6))::bigint % {buckets} AS bucket FROM d JOIN crc USING (n) JOIN now USING (n) JOIN grown USING (n))
 SELECT doc_id, size, text_crc32, law, shard, (row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1)::bigint AS slot, grown_shard FROM placed"""
 
 
@@ -101,12 +101,13 @@ def op8_sql(least: int = linededup.MIN_WORDS) -> str:
 WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
 raw AS (SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM docs),
 lines AS (SELECT doc_id, text, pos, trim(x, {blank}) AS line, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS k FROM raw WHERE trim(x, {blank}) <> ''),
-counted AS (SELECT *, len(regexp_split_to_array(line, '[ 	-]+')) AS w FROM lines),
+counted AS (SELECT *, len(regexp_split_to_array(line, '[ 	-
+]+')) AS w FROM lines),
 sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, text ORDER BY k) AS upto FROM counted),
 lists AS (SELECT doc_id, text, list(line ORDER BY k) AS l, list(pos ORDER BY k) AS ps FROM lines GROUP BY doc_id, text),
-ahead AS (SELECT a.doc_id, a.text, a.k AS i, min(b.k) AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text IS NOT DISTINCT FROM b.text AND b.k BETWEEN a.k AND a.k + {least} AND b.upto - a.upto + a.w >= {least} GROUP BY 1, 2, 3),
-back AS (SELECT b.doc_id, b.text, max(a.k) AS i, b.k AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text IS NOT DISTINCT FROM b.text AND a.k BETWEEN b.k - {least} AND b.k AND b.upto - a.upto + a.w >= {least} GROUP BY 1, 2, 4),
-windows AS (SELECT doc_id, text, i, ps[i] AS first, ps[j] AS last, list_slice(l, i, j) AS run FROM (SELECT * FROM ahead UNION SELECT * FROM back) JOIN lists USING (doc_id, text)),
+windows AS (SELECT doc_id, text, i, ps[i] AS first, ps[j] AS last, list_slice(l, i, j) AS run FROM (
+  SELECT a.doc_id, a.text, a.k AS i, b.k AS j FROM sums a JOIN sums b ON a.doc_id = b.doc_id AND a.text IS NOT DISTINCT FROM b.text
+  AND b.k BETWEEN a.k AND a.k + {least} AND b.upto - a.upto + a.w >= {least} AND b.upto - b.w - a.upto < {least}) JOIN lists USING (doc_id, text)),
 later AS (SELECT DISTINCT doc_id, text, first, last FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
 marked AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY doc_id, text ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM later),
 islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, text ORDER BY first, last) AS island FROM marked),

@@ -16,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import cut, gapless, small_batches
+from partloom.llm.common import by_text, cut, gapless
 
 CAPACITY = 2048
 #: Entries of each generation of a worker's cache from words to ids.
 CACHE_WORDS = 400_000
-RANK_BUCKETS = 64
+#: Pieces of one length that are numbered in one task.
+ROWS_PER_BUCKET = 1_000_000
 #: Characters that Python takes for white space but Unicode does not.
 _ODD = tuple("\x1c\x1d\x1e\x1f")
 #: Marks that end a word's token; an apostrophe does not always.
@@ -126,8 +127,6 @@ def _ids(path: str) -> Ids:
 
 def tokenize(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): pieces of at most capacity ids; each document ends with id 0."""
-    small_batches(df.sparkSession)
-
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = _ids(tokenizer)
         for frame in frames:
@@ -143,8 +142,7 @@ def tokenize(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
             pieces = np.array(piece, np.int64)
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[at], "piece": pieces.astype(np.int32), "start": pieces * capacity, "length": np.array(size, np.int64), "ids_crc32": np.array(crc, np.int64)})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return by_text(df, doc_id, text, work, "piece int, start long, length long, ids_crc32 long")
 
 
 def _largest_pair(fits: np.ndarray, counts: np.ndarray, room: int) -> int:
@@ -249,20 +247,26 @@ _RANKS = 1 << 44
 
 
 def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece; other columns of df are not carried.
 
     A null or empty text is the one id 0. Very long texts are cut into pieces. Repeated rows and equal
-    doc_ids are packed each. Pieces of one length are alike to the plan; they take its places by
-    (hash bucket, doc_id, piece). An empty table gives an empty one.
+    doc_ids are packed each. A piece of the full length is a sequence of its own. Other pieces of one length are alike to the
+    plan and take its places by any order of rows, so that ties need no rule. An empty table gives an empty one.
     """
     spark = df.sparkSession
-    pieces = cut(tokenize(df, tokenizer, doc_id, text, capacity))
+    pieces = cut(tokenize(df, tokenizer, doc_id, text, capacity).withColumn("row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").count().collect():  # at most `capacity` rows
         counts[length] = n
-    places = spark.sparkContext.broadcast(plan(counts, capacity))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int")
-    ranked = gapless(pieces, ["length"], bucket, RANK_BUCKETS, [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
+    buckets = -(-counts // ROWS_PER_BUCKET)
+    counts[capacity] = 0
+    table = plan(counts, capacity)
+    sequences = int(table[:, 3].max(initial=0) + counts.sum()) + 1  # above all of the plan's
+    places = spark.sparkContext.broadcast(table)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    of_length = F.element_at(F.array(*[F.lit(int(n)) for n in buckets]), (F.col("length") + 1).cast("int"))
+    bucket = F.pmod(F.xxhash64("row"), F.greatest(of_length, F.lit(1))).cast("int")
+    ranked = gapless(pieces.where(F.col("length") < capacity), ["length"], bucket, [F.col("row")], "rank")
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = places.value
@@ -274,7 +278,8 @@ def pack(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "tex
             nth = rank - row[:, 1]
             yield x.assign(sequence_id=row[:, 3] + nth // row[:, 2], offset=row[:, 4] + nth % row[:, 2] * length)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    kind = df.schema[doc_id].dataType.simpleString()
-    shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInPandas(work, shape)
+    kind = df.schema[doc_id].dataType
+    shape = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    full = pieces.where(F.col("length") == capacity).select(*names, (F.col("row") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    planned = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), *names[1:], "rank").mapInPandas(work, shape)
+    return planned.withColumn("doc_id", F.col("doc_id").cast(kind)).unionByName(full)

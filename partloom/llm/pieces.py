@@ -3,6 +3,10 @@
 The automaton reads a text once. At each position it reports the pieces that end there, longest first, by its
 output links, and each relaxes the best score up to that position. A character that is no piece
 falls back to the pieces of its bytes. The pieces and their scores come from a model file; nothing is trained.
+
+A unigram model's scores are log probabilities, and the best path has the highest sum. A BPE model's are the ranks of its merges,
+whose sum means nothing: there the best path has the fewest ids, and of those the lowest sum of ranks, so that it never
+has more ids than the model's own merges give.
 """
 
 from __future__ import annotations
@@ -10,16 +14,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import small_batches
+from partloom.llm.common import by_text
 
 SPACE = "▁"
-#: An unknown character costs this much more than the worst piece.
+#: A unigram model's unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
+#: What an id costs where scores are ranks: more than the ranks of any chunk can sum up to.
+ID_COST = 1 << 48
 CACHE_CHUNKS = 400_000
 
 
@@ -53,7 +60,13 @@ class Codec:
                 self.bytes_.append(piece.replace(SPACE, " ").encode())
         if len(self.byte_id) < 256:
             raise ValueError(f"{path} has no pieces for bytes")
-        self.unknown = min(s for _, s in self.score.values()) - UNKNOWN_PENALTY
+        self.ranked = all(float(s).is_integer() for _, s in self.score.values())
+        if self.ranked:
+            by_rank = sorted(self.score, key=lambda p: (-self.score[p][1], self.score[p][0]))
+            self.score = {p: (self.score[p][0], -ID_COST - n) for n, p in enumerate(by_rank)}
+            self.unknown = -len(by_rank)  # besides its bytes' ids
+        else:
+            self.unknown = min(s for _, s in self.score.values()) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, (i, s) in self.score.items():
             self.automaton.add_word(piece, (len(piece), i, s))
@@ -64,16 +77,20 @@ class Codec:
         self.chunks = None if crossing else re.compile(f"{line}|{plain}" if line else plain).findall
         self.known: dict[str, bytes] = {}
 
+    def unknown_score(self, c: str) -> float:
+        """Of a character that goes by its bytes."""
+        return self.unknown - ID_COST * len(c.encode("utf-8", "surrogatepass")) if self.ranked else self.unknown
+
     def best(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best path over a text in which spaces are signs; at the places in `literal` the sign is itself."""
         n, low = len(text), float("-inf")
         score, came, by = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
-        single, at, unknown = self.score, 0, self.unknown
+        single, at = self.score, 0
         ends: Iterable = self.automaton.iter(text)
-        for end, (length, i, s) in [*ends, (n - 1, (0, -1, low))]:
+        for end, (length, i, s) in chain(ends, [(n - 1, (0, -1, low))]):
             for k in range(at, end + 1):
                 if text[k] not in single or k in literal:
-                    value = score[k] + unknown
+                    value = score[k] + self.unknown_score(text[k])
                     if value > score[k + 1]:
                         score[k + 1], came[k + 1], by[k + 1] = value, k, -1
             at = max(at, end + 1)
@@ -112,9 +129,17 @@ class Codec:
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        got = b"".join(map(self.bytes_.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return got[1:].decode("utf-8", "surrogatepass") if got else ""
+    def decode(self, ids: Iterable[int | None]) -> str:
+        """The text of ids; one that is null or not in the vocabulary is a replacement character, as are bytes that are no text.
+
+        A space in front goes, which encode() puts there.
+        """
+        size = len(self.bytes_)
+        got = b"".join([self.bytes_[i] if i is not None and 0 <= i < size else b"\xef\xbf\xbd" for i in ids]).removeprefix(b" ")
+        try:
+            return got.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return got.decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}  # a worker's own
@@ -127,8 +152,11 @@ def codec(path: str) -> Codec:
 
 
 def encode(df: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """df with the ids of each text as array<int>; null for a null text, empty for an empty one. Other columns stay."""
-    small_batches(df.sparkSession)
+    """df with the ids of each text as array<int>; null for a null text, empty for an empty one.
+
+    A very long text is encoded whole. Of paths that are equally good the first found stays, so that repeated rows and ties get equal ids. Other
+    columns stay, but for one named as `into`. An empty table gives an empty one.
+    """
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
@@ -139,13 +167,16 @@ def encode(df: DataFrame, model: str, text: str = "text", into: str = "ids") ->
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """df with the text of each array of ids; null for null. Other columns stay."""
-    small_batches(df.sparkSession)
+    """df with the text of each array of ids, however long; null for null, empty for none.
+
+    Null ids, ids that are not in the vocabulary, and bytes that are no text become replacement characters. Repeated rows and ties get equal texts.
+    Other columns stay, but for one named as `into`. An empty table gives an empty one.
+    """
 
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
         c = codec(model)
-        return pd.Series([None if r is None else c.decode(np.asarray(r, "<u4").tobytes()) for r in rows], dtype=object)
+        return pd.Series([None if r is None else c.decode(None if i is None or i != i else int(i) for i in r) for r in rows], dtype=object)
 
     return df.drop(into).withColumn(into, text(df[ids]))
 
@@ -153,16 +184,15 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -
 def digest(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_ids, ids_crc32, round_trip), a row for each row of df, without moving the ids: round_trip is whether decoding gives the text.
 
-    A null text has no ids, crc 0 and a null round_trip. Repeated rows get equal results.
+    A null text has no ids, crc 0 and a null round_trip. Repeated rows get equal results, and ties too; very long texts are encoded whole. An empty
+    table gives an empty one. Other columns of df, whatever their names, are not carried.
     """
-    small_batches(df.sparkSession)
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model)
         for x in frames:
             ids = [c.encode(t or "") for t in x["text"]]
-            same = [None if t is None else c.decode(i) == t for t, i in zip(x["text"], ids, strict=True)]
+            same = [None if t is None else c.decode(np.frombuffer(i, "<u4").tolist()) == t for t, i in zip(x["text"], ids, strict=True)]
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_ids": [len(i) // 4 for i in ids], "ids_crc32": [zlib.crc32(i) for i in ids], "round_trip": pd.array(same, "boolean")})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
+    return by_text(df, doc_id, text, work, "n_ids long, ids_crc32 long, round_trip boolean")

@@ -66,9 +66,9 @@ def shard(df: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None, ke
     """df with size, text_crc32, shard, slot and grown_shard (the shard in the tree `grown`).
 
     Rows with equal keys share a shard; a null key is one key, the empty text. A null text has no
-    bytes. Slots number a shard's rows by (hash bucket, key, crc, size): ties are rows alike in all
-    three, which get neighbouring slots. Shards x buckets counts are broadcast. Columns of df stay,
-    but for those named as the new ones. An empty table gives an empty one.
+    bytes; a very long one is measured whole. Slots number a shard's rows by (bucket, key, crc, size), where the bucket is drawn from
+    key and crc, so that the rows of one key are dealt to many tasks. Ties are rows alike in all three, which get neighbouring slots.
+    Columns of df stay, but for those named as the new ones. An empty table gives an empty one.
     """
     k = F.coalesce(df[key].cast("string"), F.lit(""))
     bytes_ = F.coalesce(F.octet_length(df[text]), F.lit(0)).cast("long")
@@ -82,5 +82,6 @@ def shard(df: DataFrame, leaves: list[Leaf], grown: list[Leaf] | None = None, ke
             "grown_shard": place(k, grown) if grown else F.lit(None).cast("int"),
         }
     )
-    bucket = (F.conv(F.substring(F.md5(F.concat_ws("|", k, F.lit("slot")).cast("binary")), 1, 6), 16, 10).cast("long") % buckets).cast("int")
-    return gapless(rows, ["shard"], bucket, buckets, [F.col(key), F.col("text_crc32"), F.col("size")], "slot")
+    drawn = F.md5(F.concat_ws("|", k, F.col("text_crc32").cast("string"), F.lit("slot")).cast("binary"))
+    bucket = (F.conv(F.substring(drawn, 1, 6), 16, 10).cast("long") % buckets).cast("int")
+    return gapless(rows, ["shard"], bucket, [F.col(key), F.col("text_crc32"), F.col("size")], "slot")

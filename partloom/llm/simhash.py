@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partloom.llm.common import cut, runs, small_batches
+from partloom.llm.common import by_text, cut, join_spread, runs
 from partloom.llm.components import components
 
 RADIUS = 3
@@ -47,26 +47,27 @@ def hashes(text: str | None, words: int = 3) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts[:k].tolist(), last.tolist(), strict=True)), "<u8", k)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """64-bit SimHash of a text's shingles; a text without words gives 0."""
-    h = hashes(text, words)
+def majority(h: np.ndarray) -> int:
+    """The 64-bit number of the bits that over half of the hashes have; 0 of none."""
     if not len(h):
         return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """64-bit SimHash of a text's shingles; a text without words gives 0."""
+    return majority(hashes(text, words))
+
+
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
-    small_batches(df.sparkSession)
-
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             fp = np.array([fingerprint(t, words) for t in x["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": x["doc_id"], "fp": fp})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, f"doc_id {kind}, fp long")
+    return by_text(df, doc_id, text, work, "fp long")
 
 
 def hex_of(fp: Column) -> Column:
@@ -173,15 +174,16 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of df: the smallest doc_id reachable over links.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows and exact
-    copies share a fingerprint, which is compared once. A null doc_id gets a fingerprint and the
-    smallest other doc_id of its component, null if there is none. An empty table gives an empty one.
+    Null and empty texts have fingerprint 0 and are linked like any other; of very long ones all words count. Repeated rows and exact
+    copies share a fingerprint, which is compared once; ties are such. A null doc_id gets a fingerprint and the
+    smallest other doc_id of its component, null if there is none. An empty table gives an empty one. Other columns of df, whatever
+    their names, are not carried.
     """
     prints = cut(fingerprints(df, doc_id, text, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")))
     found = components(links(nodes.select("fp")))
     member = nodes.join(found.withColumnRenamed("node", "fp"), "fp").select("fp", "component", "least")
     lowest = member.groupBy("component").agg(F.min("least").alias("lowest"))
     linked = member.join(lowest, "component").select("fp", "lowest")
-    of = nodes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = nodes.join(linked, "fp", "left").select("fp", "n_rows", F.coalesce("lowest", "least").alias("component_id"))
+    return join_spread(prints, of, ["fp"], "n_rows", ["doc_id"]).select("doc_id", "fp", "component_id")

@@ -11,10 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import WordTable, crc_fold, small_batches
+from partloom.llm.common import WordTable, by_text, crc_fold, cut, small
 
 #: At most so many labelled texts are learned from, those with the least hashes of their ids.
 MAX_LABELLED = 20_000
+#: The calibration is fitted to scores of texts that neither lexicon nor trees have seen, in so many folds.
+FOLDS = 3
 #: A term enters the lexicon if toxic texts hold it so much more often than by chance (standard deviations, log odds).
 LEAST_Z, WEAK, STRONG = 6.0, 1.5, 3.5
 STEMS = (4, 5, 6, 7)
@@ -161,17 +163,27 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
     return Trees(base, np.array(features).reshape(-1, inner), np.array(thresholds).reshape(-1, inner), np.array(leaves).reshape(-1, inner + 1))
 
 
-def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps (from, share) by pooling adjacent violators; each step's share leans to one half by one row."""
-    blocks: list[list[float]] = []  # from, sum, rows
-    values, at = np.unique(raw, return_inverse=True)
-    for v, s, n in zip(values, np.bincount(at, y, len(values)), np.bincount(at, minlength=len(values)), strict=True):
+def _pool(values: np.ndarray, sums: np.ndarray, rows: np.ndarray) -> list[list[float]]:
+    """[from, sum, rows] of rising shares, by pooling adjacent violators of rising values."""
+    blocks: list[list[float]] = []
+    for v, s, n in zip(values, sums, rows, strict=True):
         blocks.append([v, s, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, s2, n2 = blocks.pop()
             blocks[-1][1] += s2
             blocks[-1][2] += n2
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.5) / (b[2] + 1) for b in blocks])
+    return blocks
+
+
+def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps (from, share) by pooling adjacent violators.
+
+    Each pooled step's share leans to one half by one row, so that none is certain; where that makes a step lower than the one before, they are pooled again.
+    """
+    values, at = np.unique(raw, return_inverse=True)
+    first = _pool(values, np.bincount(at, y, len(values)), np.bincount(at, minlength=len(values)))
+    again = _pool(*(np.array([b[k] for b in first]) + add for k, add in ((0, 0.0), (1, 0.5), (2, 1.0)))) if first else []
+    return np.array([b[0] for b in again]), np.array([b[1] / b[2] for b in again])
 
 
 @dataclass
@@ -182,7 +194,7 @@ class Model:
     shares: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Within a step the uncalibrated order breaks ties, by less than the step to the next."""
+        """The calibrated share, and within a step by up to 0.0001 more for a higher uncalibrated score; it never falls as that rises."""
         raw = self.trees.raw(x)
         if not len(self.steps):
             return 1 / (1 + np.exp(-raw))
@@ -190,63 +202,77 @@ class Model:
         return np.clip(self.shares[at] + 1e-4 * (1 / (1 + np.exp(-raw)) - 0.5), 0, 1)
 
 
+def lexicon_of(clean: np.ndarray, bad: np.ndarray, names: np.ndarray, n_clean: float, n_bad: float) -> dict[str, float]:
+    """Log odds of the terms that toxic texts hold beyond chance, of the numbers of clean and toxic texts with each."""
+    expected = (clean + bad) * n_bad / max(1.0, n_clean + n_bad)
+    odds = np.log(((bad + 0.5) / (n_bad + 1)) / ((clean + 0.5) / (n_clean + 1)))
+    keep = (bad >= 3) & ((bad - expected) / np.sqrt(np.maximum(expected, 1e-9)) >= LEAST_Z) & (odds >= WEAK)
+    return dict(zip(names[keep].tolist(), odds[keep].astype(float).tolist(), strict=True))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
     """Learn from at most max_labelled texts with a non-null label; an id with several labels counts as toxic if one says so.
 
-    The lexicon is the terms and stems that toxic texts of the sample hold beyond chance. The trees' output for
-    texts that they have not seen (two folds) is what the calibration is fitted to.
+    Of an id with several texts the first in order counts, so that the bound holds. The lexicon is the terms and stems that toxic texts of the
+    sample hold beyond chance. The calibration is fitted to the output of trees for texts of a fold that neither they nor their lexicon have seen.
     """
-    small_batches(docs.sparkSession)
     drawn = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample"))
     sample = (
         labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL")
         .groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(drawn).limit(max_labelled)
     )
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity fold")), F.lit(FOLDS)).cast("int")
+    texts = cut(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("fold", fold))
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for y, t in zip(frame["y"], frame["text"], strict=True):
-                bad = int(y > 0)
+        for frame in small(frames):
+            found: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2 * FOLDS, np.int64))
+            for y, k, t in zip(frame["y"], frame["fold"], frame["text"], strict=True):
                 own = {plain(x) for x in set(tokens(t))}
                 for term in {k for w in own if w for k in terms(w)} | {""}:
-                    found[term][bad] += 1
-            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["term", "clean", "bad"])
-
-    counted = texts.select("y", "text").mapInPandas(count, "term string, clean long, bad long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    rows = counted.where("bad >= 3 OR term = ''").toPandas()
-    total = rows[rows["term"] == ""][["clean", "bad"]].sum()
-    rows = rows[rows["term"] != ""]
-    clean, bad = float(total["clean"]), float(total["bad"])
-    expected = (rows["clean"] + rows["bad"]) * bad / max(1.0, clean + bad)
-    odds = np.log(((rows["bad"] + 0.5) / (bad + 1)) / ((rows["clean"] + 0.5) / (clean + 1)))
-    keep = ((rows["bad"] - expected) / np.sqrt(expected.clip(lower=1e-9)) >= LEAST_Z) & (odds >= WEAK)
-    lexicon = dict(zip(rows["term"][keep], odds[keep].astype(float), strict=True))
+                    found[term][2 * k + int(y > 0)] += 1
+            yield pd.DataFrame([(k, *v.tolist()) for k, v in found.items()], columns=["term", *counters])
 
-    def dense(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(lexicon)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "y": frame["y"] > 0, "x": list(features.batch(list(frame["text"])))})
+    counters = [f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "bad")]
+    counted = texts.select("y", "fold", "text").mapInPandas(count, f"term string, {', '.join(f'{c} long' for c in counters)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in counters])
+    bad_ones = sum((F.col(f"bad{k}") for k in range(FOLDS)), F.lit(0))
+    rows = counted.where((bad_ones >= 3) | (F.col("term") == "")).toPandas()
+    figures = rows[counters].to_numpy(float).reshape(len(rows), FOLDS, 2)
+    names = rows["term"].to_numpy()
+
+    def lexicon(folds: list[int]) -> dict[str, float]:
+        n = figures[:, folds].sum(axis=1)
+        total = n[names == ""].sum(axis=0)
+        at = names != ""
+        return lexicon_of(n[at, 0], n[at, 1], names[at], *total)
 
-    got = texts.mapInPandas(dense, "doc_id string, y boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
-    x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
-    y = got["y"].to_numpy(float)
-    fold = np.arange(len(y)) % 2
+    others = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)]
+    lexicons = [*map(lexicon, others), lexicon(list(range(FOLDS)))]
+
+    def dense(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = [Features(x) for x in lexicons]
+        for frame in small(frames):
+            x = np.concatenate([f.batch(list(frame["text"])) for f in made], axis=1)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "fold": frame["fold"], "y": frame["y"] > 0, "x": list(x)})
+
+    got = texts.mapInPandas(dense, "doc_id string, fold int, y boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    x = np.array(got["x"].tolist(), float).reshape(len(got), FOLDS + 1, len(NAMES))
+    y, own = got["y"].to_numpy(float), got["fold"].to_numpy()
     unseen = np.zeros(len(y))
-    for k in (0, 1):
-        unseen[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-    return Model(lexicon, boost(x, y), *isotonic(unseen, y))
+    for k in range(FOLDS):
+        unseen[own == k] = boost(x[own != k, k], y[own != k]).raw(x[own == k, k])
+    return Model(lexicons[-1], boost(x[:, -1], y), *isotonic(unseen, y))
 
 
 def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score), a row for each row of df.
 
-    A null text counts as empty and is scored by its features, all zero, as any other. Repeated rows
-    get equal scores. Without any label the score is one half.
+    A null text counts as empty and is scored by its features, all zero, as any other; of a very long one all tokens count. Repeated rows
+    and ties get equal scores. Without any label the score is one half. An empty table gives an empty one. Other columns of df, whatever
+    their names, are not carried.
     """
     spark = df.sparkSession
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,8 +280,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": held.value.scores(features.batch(list(frame["text"])))})
 
-    kind = df.schema[doc_id].dataType.simpleString()
-    return df.select(df[doc_id].alias("doc_id"), df[text].alias("text")).mapInPandas(work, f"doc_id {kind}, score double")
+    return by_text(df, doc_id, text, work, "score double")
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partloom.llm.common import cut
+from partloom.llm.common import cut, fresh, join_spread
 
 
 @dataclass(frozen=True)
@@ -53,11 +53,11 @@ def matched(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
 
 def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     """(src, dst, n): pages of host src with an absolute link to another host dst."""
+    lower = lambda x: F.translate(x, string.ascii_uppercase, string.ascii_lowercase)
     links = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""), F.lit(1))
     return (
         pages.where((F.col(host) != "") & F.col(html).isNotNull())
-        .select(F.col(host).alias("src"), F.explode(F.array_distinct(links)).alias("dst"))
-        .withColumn("dst", F.translate("dst", string.ascii_uppercase, string.ascii_lowercase))
+        .select(F.col(host).alias("src"), F.explode(F.array_distinct(F.transform(links, lower))).alias("dst"))
         .where("src <> dst")
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -105,21 +105,21 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[U
     share of all allowed pages, its distrust seed its share of all blocked ones. Other pages follow
     their host: blocked if distrust / (trust + distrust) > most_distrust, else allowed, as are hosts
     that neither reaches. A null url, or one without `://`, has an empty host and path and is
-    allowed. Null html has no links. Repeated rows are judged alike. Other columns stay.
+    allowed; ties, of equal trust and distrust, are allowed too. Null or empty html has no links; of a very long one all links count.
+    Repeated rows are judged alike, and count each. An empty table gives an empty one. Other columns stay, but for those named as the new ones.
     """
-    made = ("host", "path", "rule", "verdict")
-    rows = pages.drop(*made).withColumns({"host": host_of(pages[url]), "path": path_of(pages[url])})
-    rows = rows.withColumn("__fit", matched(F.col("host"), F.col("path"), rules))
-    hits = rows.where("__fit is not null").groupBy(F.when(F.col("__fit.verdict") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
+    fit = fresh(pages, "_fit")[0]
+    rows = pages.drop("rule", "verdict").withColumns({"host": host_of(pages[url]), "path": path_of(pages[url])})
+    rows = rows.withColumn(fit, matched(F.col("host"), F.col("path"), rules))
+    kind = F.when(F.col(f"{fit}.verdict") == "allow", "trust").otherwise("distrust")
+    hits = rows.where(F.col(fit).isNotNull()).groupBy(kind.alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     totals = hits.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = hits.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))
     scores = propagate(host_links(rows, "host", html), seeds)
     score = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    hosts = scores.groupBy("host").agg(score("trust").alias("__trust"), score("distrust").alias("__distrust"))
-    bad = F.col("__distrust") > most_distrust * (F.col("__trust") + F.col("__distrust"))
-    return (
-        rows.join(hosts, "host", "left")
-        .withColumn("rule", F.col("__fit.rule"))
-        .withColumn("verdict", F.coalesce(F.col("__fit.verdict"), F.when(bad, "block"), F.lit("allow")))
-        .drop("__fit", "__trust", "__distrust")
-    )
+    bad, n_rows = fresh(rows, "_bad", "_n_rows")
+    blocked = score("distrust") > most_distrust * (score("trust") + score("distrust"))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias(n_rows)).join(scores.groupBy("host").agg(blocked.alias(bad)), "host", "left")
+    verdict = F.coalesce(F.col(f"{fit}.verdict"), F.when(F.col(bad), "block"), F.lit("allow"))
+    joined = join_spread(rows, hosts, ["host"], n_rows, ["path"], "left")
+    return joined.withColumn("rule", F.col(f"{fit}.rule")).withColumn("verdict", verdict).drop(fit, bad)

@@ -5,10 +5,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
-from partloom.llm import embeddings, linededup, simhash
+from pyspark.sql import functions as F
+
+from partloom.llm import common, embeddings, linededup, simhash
 from partloom.llm.components import components
 
 
@@ -137,8 +140,9 @@ def test_embeddings(spark, monkeypatch):
     n, u = plain_links(rows, 0.93)
     assert sum(n.values()) > 300
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep string")
-    for block in (embeddings.BLOCK, 40):
+    for block, bucket in ((embeddings.BLOCK, embeddings.BUCKET), (20, 8)):
         monkeypatch.setattr(embeddings, "BLOCK", block)
+        monkeypatch.setattr(embeddings, "BUCKET", bucket)
         got = embeddings.near_duplicates(df).collect()
         assert len(got) == len(rows)
         found = sum(r.n_links for r in {r.vec_id: r for r in got}.values())
@@ -153,6 +157,31 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_recall_and_counts_on_planted_vectors(spark, monkeypatch):
+    """64 dimensions around the threshold, in buckets of 16: all links but few, none false, and counts that agree with the components."""
+    monkeypatch.setattr(embeddings, "BUCKET", 16)
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(40, 64))
+    x = np.concatenate([(c + rng.normal(0, 0.27, (15, 64))) for c in centres] + [rng.normal(size=(600, 64))]).astype(np.float32)
+    label = np.arange(len(x)) // 15 % 2
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    link = (y @ y.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    df = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int")
+    got = embeddings.near_duplicates(df).orderBy("vec_id").toPandas()
+    n = got["n_links"].to_numpy()
+    assert (n <= link.sum(axis=1)).all() and n.sum() >= 0.999 * link.sum() > 1000
+    assert ((n > 0) == (got.groupby("component_id")["vec_id"].transform("size") > 1).to_numpy()).all()
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(1 if i < 90 else i, i) for i in range(100)] + [(None, 7)], "k int, v int")
+    facts = rows.where("k IS NOT NULL").groupBy("k").count().withColumn("fact", F.col("k") * 10)
+    got = common.join_spread(rows, facts, ["k"], "count", ["v"], "left", per_task=20)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(k, v, k and 10 * k) for k, v in map(tuple, rows.collect())], key=repr)
+    assert got.columns == ["k", "v", "fact"]
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 64))
@@ -160,7 +189,7 @@ def test_estimates_are_unbiased_and_bounded():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     code, factor, q, scale = embeddings.encode(x, 1)
     body = [a.tobytes() + b.tobytes() + c.tobytes() + d.tobytes() for a, b, c, d in zip(code, factor, scale, q[:, ::2] << 4 | q[:, 1::2], strict=True)]
-    c = embeddings._Codes(body, 64)
+    c = embeddings._Codes(body, 64, 1)
     i, j = np.arange(200), np.arange(200, 400)
     true = (x[i] * x[j]).sum(axis=1)
     estimate = np.einsum("nd,nd->n", c.b[i], c.y[j]) / c.factor[i]
@@ -188,6 +217,40 @@ def plain_lines(docs, least=linededup.MIN_WORDS):
     return gone
 
 
+def test_suffix_array_is_in_order_with_its_first_places(spark):
+    """Names of suffixes rise with their lines, equal ones share a name, and neighbours meet in the intervals of their common lines."""
+    rng = random.Random(31)
+    docs = [(i, "\n".join(f"line {c} of many" for c in rng.choices("abc", k=rng.randint(1, 12)))) for i in range(25)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    suffixes, array, depth = linededup.suffix_array(df, "doc_id", "text", 12)
+    text = dict(docs)
+    assert depth == 4  # three lines of four words hold twelve, after the first
+    rank = {}
+    for r in suffixes.collect():
+        rank.setdefault(r["rank"], set()).add((tuple(text[r.doc_id].split("\n")[r.lines[0] :]), r.doc_id, r.k))
+    line = {tuple(text[r.doc_id].split("\n")[r.lines[0]] for r in [r])[0]: r.ids[0] for r in suffixes.collect()}
+    order = [min([line[x] for x in s[0][:4]] for s in rank[k]) for k in sorted(rank)]
+    assert order == sorted(order) and all(len({s[0][:4] for s in members}) == 1 for members in rank.values())
+    for r in array.collect():
+        assert (r["first"].doc_id, r["first"].k) == min(s[1:] for s in rank[r["rank"]]) and r.n == len(rank[r["rank"]])
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_intervals_across_ranges(parts):
+    """Ranges that are swept apart give the intervals of one sweep."""
+    import pandas as pd
+
+    rng = random.Random(parts)
+    ids = sorted({tuple(rng.choices((1, 2), k=rng.randint(2, 6))) for _ in range(60)})
+    frame = pd.DataFrame({"rank": range(len(ids)), "ids": [np.array(x) for x in ids], "least": 2, "n": 1, "doc_id": "d", "th": 0, "k": 0})
+    cuts = sorted(rng.sample(range(1, len(ids)), parts - 1))
+    ranges = [frame.iloc[a:b].assign(part=p) for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(ids)]))]
+    ends = [dict(zip(e.columns, e.iloc[0])) for x in ranges for e in linededup._ends(6)(iter([x]))]
+    carried = linededup._carried(ends, 6)
+    got = {(r, m): i for x in ranges for e in linededup._intervals(carried)(iter([x.iloc[:2], x.iloc[2:]])) for r, m, i in zip(e["rank"], e["m"], e["interval"])}
+    assert got == {(i, m): next(j for j, y in enumerate(ids) if y[:m] == x[:m]) for i, x in enumerate(ids) for m in range(2, len(x) + 1)}
+
+
 def test_line_dedup(spark):
     rng = random.Random(8)
     pool = [" ".join(f"l{k}w{i}" for i in range(rng.choice([1, 4, 12, 20, 30, 55]))) for k in range(30)]

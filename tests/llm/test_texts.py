@@ -1,5 +1,6 @@
 """Language, SentencePiece, packing and toxicity."""
 
+import itertools
 import random
 import struct
 import zlib
@@ -44,6 +45,47 @@ def test_language(spark):
     assert langid.identify(docs_of(spark, ["abc"]), empty).first().lang_pred == "und"
 
 
+def test_many_languages():
+    """More languages than a byte counts."""
+    rng = np.random.default_rng(8)
+    s = np.full((30, 200), -40.0, np.float32)
+    s[:15, 170] = s[15:, 199] = 0
+    (path,) = langid.viterbi([s + rng.normal(0, 0.1, s.shape).astype(np.float32)])
+    assert path.tolist() == [170] * 15 + [199] * 15
+
+
+def plain_language(model, text):
+    """(language, share of letters) by scoring every path of a short text."""
+    words = langid.words_of(text)
+    k, n = len(model.langs), len(words)
+    if not n:
+        return "und", 0.0
+    score = np.zeros((n, k))
+    for i, w in enumerate(words):
+        grams = [f"<{w}>"[j : j + 3] for j in range(len(w))]
+        score[i] = sum(model.logp[model.grams.get(g, len(model.grams))].astype(float) for g in grams)
+        own = model.scripts.get(langid.script_of(w))
+        if own is None:
+            score[i] = 0
+        else:
+            floor = score[i][own].min() + langid.WRONG_SCRIPT
+            score[i] = [score[i][j] if j in own else floor for j in range(k)]
+    best = max(itertools.product(range(k), repeat=n), key=lambda p: sum(score[i][j] for i, j in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:])))
+    letters = [sum(len(w) for w, j in zip(words, best) if j == lang) for lang in range(k)]
+    return model.langs[int(np.argmax(letters))], max(letters) / sum(letters)
+
+
+def test_language_of_whole_documents_is_that_of_the_best_path(spark):
+    rows, text = corpus(12)
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rng = random.Random(13)
+    asked = [" ".join([*text("aa").split()[: rng.randint(0, 4)], *text("bb").split()[: rng.randint(0, 3)], *text("cc").split()[: rng.randint(0, 2)]]) for _ in range(60)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs_of(spark, asked), model).collect()}
+    for i, t in enumerate(asked):
+        lang, score = plain_language(model, t)
+        assert got[i] == (lang, pytest.approx(score)), t
+
+
 def plain_viterbi(s, switch):
     value, back = s[0].astype(float), []
     for row in s[1:]:
@@ -73,14 +115,14 @@ def test_pieces_round_trip_and_best_path(spark):
     rows, _ = corpus(2, 30)
     texts = [*ODD[1:], *[r[1] for r in rows], "  two  spaces\n\nand lines ", "\t", "x" * 200 + "\x00"]
     for t in texts:
-        assert c.decode(c.encode(t)) == t
+        assert c.decode(np.frombuffer(c.encode(t), "<u4").tolist()) == t
 
     def worth(text):
         best = [0.0] + [float("-inf")] * len(text)
         for end in range(1, len(text) + 1):
             for start in range(max(0, end - 48), end):
                 p = text[start:end]
-                s = c.score[p][1] if p in c.score else c.unknown if end == start + 1 else float("-inf")
+                s = c.score[p][1] if p in c.score else c.unknown_score(p) if end == start + 1 else float("-inf")
                 best[end] = max(best[end], best[start] + s)
         return best[-1]
 
@@ -94,8 +136,9 @@ def test_pieces_round_trip_and_best_path(spark):
                 got, k = got + name[ids[k]], k + 1
             else:
                 first = c.bytes_[ids[k]][0]
-                got, k = got + c.unknown, k + (1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4)
-        assert got == pytest.approx(worth(signs))
+                n = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
+                got, k = got + c.unknown_score(b"".join(c.bytes_[i] for i in ids[k : k + n]).decode()), k + n
+        assert got == worth(signs)
     path = tokenizer_path(PIECES)
     back = pieces.decode(pieces.encode(docs_of(spark, ODD), path), path).orderBy("doc_id").collect()
     assert [r.decoded for r in back] == ODD and back[1].ids == [] and back[0].ids is None
@@ -104,6 +147,24 @@ def test_pieces_round_trip_and_best_path(spark):
     assert pieces.digest(docs_of(spark, ODD).where("false"), path).count() == 0
 
 
+def test_pieces_are_no_more_than_the_models_own(spark):
+    import sentencepiece
+
+    path = tokenizer_path(PIECES)
+    c, own = pieces.Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rows, _ = corpus(6, 40)
+    texts = [*[r[1] for r in rows], "the quick brown fox", "Les données, naïves: 12345 ... ==> größer", "日本語 テスト ok"]
+    assert c.ranked and all(len(c.encode(t)) // 4 <= len(own.encode(t)) for t in texts)
+
+
+def test_decoding_takes_any_ids():
+    c = pieces.Codec(tokenizer_path(PIECES))
+    the = next(i for p, (i, _) in c.score.items() if p == "the")
+    assert c.decode([the]) == "the" and c.decode([]) == ""
+    assert c.decode([None, 10**6, -1, the]) == "\ufffd" * 3 + "the"
+    assert c.decode([c.byte_id[0xE9], the]) == "\ufffdthe"
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -193,4 +254,60 @@ def test_isotonic_rises():
     x = rng.normal(size=500)
     y = (rng.random(500) < 1 / (1 + np.exp(-x))).astype(float)
     steps, shares = toxicity.isotonic(x, y)
-    assert (np.diff(steps) > 0).all() and (np.diff(shares) >= -0.26).all() and 0 < shares.min() < shares.max() < 1
+    assert (np.diff(steps) > 0).all() and (np.diff(shares) >= 0).all() and 0 < shares.min() < shares.max() < 1
+    steps, shares = toxicity.isotonic(np.array([0.0] + [1.0] * 10), np.array([0.0] + [1.0] + [0.0] * 9))
+    assert (np.diff(shares) >= 0).all()
+
+
+def plain_isotonic(y, w):
+    """Every block's share by the max-min formula."""
+    n = len(y)
+    mean = lambda a, b: float((y[a : b + 1] * w[a : b + 1]).sum() / w[a : b + 1].sum())
+    return [max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+
+
+def test_isotonic_is_the_best_rising_fit():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(1, 25))
+        y = (rng.random(n) < np.linspace(0.1, 0.9, n)).astype(float)
+        steps = toxicity._pool(np.arange(n), y, np.ones(n))
+        got = np.concatenate([np.repeat(b[1] / b[2], b[2]) for b in steps])
+        assert got == pytest.approx(plain_isotonic(y, np.ones(n)))
+
+
+def plain_boost(x, y, trees, depth, rate, ridge=1.0):
+    """Boosting that tries every split between neighbouring values."""
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    value = np.full(len(x), np.log(share / (1 - share)))
+    worth = lambda g, h: g.sum() ** 2 / (h.sum() + ridge)
+
+    def grow(at, g, h, left, out):
+        best, pick = 1e-9, None
+        for f in range(x.shape[1]) if left else ():
+            for t in np.unique(x[at, f])[:-1]:
+                low, high = at[x[at, f] <= t], at[x[at, f] > t]
+                gain = worth(g[low], h[low]) + worth(g[high], h[high]) - worth(g[at], h[at])
+                if gain > best + 1e-9:
+                    best, pick = gain, (low, high)
+        if pick is None:
+            out[at] = rate * g[at].sum() / (h[at].sum() + ridge)
+        else:
+            for side in pick:
+                grow(side, g, h, left - 1, out)
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-value))
+        out = np.zeros(len(x))
+        grow(np.arange(len(x)), y - p, p * (1 - p), depth, out)
+        value = value + out
+    return value
+
+
+def test_boosting_takes_the_best_of_all_splits():
+    rng = np.random.default_rng(5)
+    for _ in range(8):
+        x = rng.integers(0, 12, (60, 3)).astype(float) + rng.random(3)
+        y = (x[:, 0] + rng.normal(0, 3, 60) > 7).astype(float)
+        got = toxicity.boost(x, y, trees=6, depth=2, bins=4000).raw(x)
+        assert got == pytest.approx(plain_boost(x, y, 6, 2, 0.2), abs=1e-6)
