@@ -25,8 +25,8 @@ from partloom.llm.common import by_text
 SPACE = "▁"
 #: A unigram model's unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
-#: What an id costs where scores are ranks: more than the ranks of any chunk can sum up to.
-ID_COST = 1 << 48
+#: What an id costs where scores are ranks: more than the ranks of LONG ids sum up to. Longer chunks are counted in whole numbers.
+ID_COST, LONG = float(1 << 34), 1 << 18
 CACHE_CHUNKS = 400_000
 
 
@@ -84,6 +84,8 @@ class Codec:
     def best(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best path over a text in which spaces are signs; at the places in `literal` the sign is itself."""
         n, low = len(text), float("-inf")
+        if self.ranked and n > LONG:
+            return self._best_of_long(text, literal)
         score, came, by = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
         single, at = self.score, 0
         ends: Iterable = self.automaton.iter(text)
@@ -99,7 +101,34 @@ class Codec:
                 value = score[start] + s
                 if value > score[end + 1]:
                     score[end + 1], came[end + 1], by[end + 1] = value, start, i
+        return self._path(text, came, by)
+
+    def _best_of_long(self, text: str, literal: frozenset[int]) -> list[int]:
+        """best() with pairs (ids, ranks) instead of their weighted sum."""
+        n = len(text)
+        split = lambda s: (round(-s // ID_COST), -s % ID_COST)
+        far = (n * 8 + 8, 0.0)
+        cost, came, by = [(0, 0.0)] + [far] * n, [0] * (n + 1), [-1] * (n + 1)
+        at = 0
+        for end, (length, i, s) in chain(self.automaton.iter(text), [(n - 1, (0, -1, 0.0))]):
+            for k in range(at, end + 1):
+                if text[k] not in self.score or k in literal:
+                    ids, rank = split(self.unknown_score(text[k]))
+                    value = (cost[k][0] + ids, cost[k][1] + rank)
+                    if value < cost[k + 1]:
+                        cost[k + 1], came[k + 1], by[k + 1] = value, k, -1
+            at = max(at, end + 1)
+            start = end + 1 - length
+            if length and not (literal and not literal.isdisjoint(range(start, end + 1))):
+                ids, rank = split(s)
+                value = (cost[start][0] + ids, cost[start][1] + rank)
+                if value < cost[end + 1]:
+                    cost[end + 1], came[end + 1], by[end + 1] = value, start, i
+        return self._path(text, came, by)
+
+    def _path(self, text: str, came: list[int], by: list[int]) -> list[int]:
         out: list[int] = []
+        n = len(text)
         while n:
             if by[n] >= 0:
                 out.append(by[n])
@@ -134,8 +163,12 @@ class Codec:
 
         A space in front goes, which encode() puts there.
         """
-        size = len(self.bytes_)
-        got = b"".join([self.bytes_[i] if i is not None and 0 <= i < size else b"\xef\xbf\xbd" for i in ids]).removeprefix(b" ")
+        found, size = list(ids), len(self.bytes_)
+        if None in found or found and not 0 <= min(found) <= max(found) < size:
+            parts: Iterable[bytes] = [self.bytes_[i] if i is not None and 0 <= i < size else b"\xef\xbf\xbd" for i in found]
+        else:
+            parts = map(self.bytes_.__getitem__, found)
+        got = b"".join(parts).removeprefix(b" ")
         try:
             return got.decode("utf-8", "surrogatepass")
         except UnicodeDecodeError:

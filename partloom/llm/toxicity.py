@@ -51,55 +51,61 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").split()
 
 
+#: Columns of the table of tokens that no lexicon changes, and those of each lexicon.
+_SHARED, _OWN = 8, 3
+
+
 @dataclass
 class Features:
-    """Dense features from a lexicon of terms and their log odds; per-token figures are made once a worker."""
+    """Dense features by one or several lexicons of terms and their log odds; per-token figures are made once a worker."""
 
-    lexicon: dict[str, float]
+    lexicons: list[dict[str, float]]
     table: WordTable = field(init=False)
 
     def __post_init__(self) -> None:
         self.table = WordTable(self._of_tokens)
 
-    def _odds(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0)
-
     def _of_tokens(self, found: list[str]) -> np.ndarray:
-        out = np.zeros((len(found), 10), np.float32)
+        out = np.zeros((len(found), _SHARED + _OWN * len(self.lexicons)), np.float32)
         for i, x in enumerate(found):
             word = plain(x)
             masked = bool(_INNER.search(word)) and any(map(str.isalpha, word))
             clear = unmask(word) if masked else word
-            odds = self._odds(word) if word else 0.0
-            shown = self._odds(clear) if masked and clear else odds
             upper = sum(map(str.isupper, x))
             letters = sum(map(str.isalpha, x))
-            odds = max(odds, shown)
-            out[i] = (
-                odds >= STRONG, WEAK <= odds < STRONG, word in SECOND_PERSON, upper, letters, letters > 1 and upper == letters,
-                x.count("!"), x.count("?"), len(x) - sum(map(str.isalnum, x)), masked + 1000 * (masked and shown >= STRONG),
-            )
+            row = [word in SECOND_PERSON, upper, letters, letters > 1 and upper == letters, x.count("!"), x.count("?"), len(x) - sum(map(str.isalnum, x)), masked]
+            asked, hidden = terms(word) if word else [], terms(clear) if masked and clear else []
+            for lexicon in self.lexicons:
+                odds = max([lexicon.get(t, 0.0) for t in asked], default=0.0)
+                shown = max([lexicon.get(t, 0.0) for t in hidden], default=0.0) if hidden else odds
+                odds = max(odds, shown)
+                row += odds >= STRONG, WEAK <= odds < STRONG, masked and shown >= STRONG
+            out[i] = row
         return out
 
     def batch(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(NAMES)))
-        for row, n in zip(out, self.table.numbers([tokens(t) for t in texts]), strict=True):
+        """A row for each text, and in it one of len(NAMES) figures for each lexicon."""
+        out = np.zeros((len(texts), len(self.lexicons), len(NAMES)))
+        for made, n in zip(out, self.table.numbers([tokens(t) for t in texts]), strict=True):
             if not len(n):
                 continue
             rows = self.table.store[n]
             sums = rows.sum(axis=0, dtype=np.float64)
-            strong, you = np.flatnonzero(rows[:, 0]), np.flatnonzero(rows[:, 2])
-            nearness = share = 0.0
-            if len(strong) and len(you):
-                at = np.searchsorted(you, strong)
-                gap = np.minimum(np.abs(strong - you[np.minimum(at, len(you) - 1)]), np.abs(strong - you[np.maximum(at - 1, 0)]))
-                nearness, share = 1 / (1 + gap.min()), (gap <= 5).mean()
-            hidden, masked = divmod(sums[9], 1000)
-            words, letters = len(n), max(1.0, sums[4])
-            row[:] = (
-                np.log1p(words), 100 * sums[0] / words, 100 * sums[1] / words, np.log1p(sums[0]), 100 * sums[2] / words, nearness, share,
-                sums[3] / letters, sums[5] / words, sums[6] / words, sums[7] / words, sums[8] / words, masked / words, 100 * hidden / words,
-            )
+            you = np.flatnonzero(rows[:, 0])
+            words, letters = len(n), max(1.0, sums[2])
+            for k, row in enumerate(made):
+                first = _SHARED + _OWN * k
+                n_strong, n_weak, n_hidden = sums[first : first + _OWN]
+                nearness = share = 0.0
+                if n_strong and len(you):
+                    strong = np.flatnonzero(rows[:, first])
+                    at = np.searchsorted(you, strong)
+                    gap = np.minimum(np.abs(strong - you[np.minimum(at, len(you) - 1)]), np.abs(strong - you[np.maximum(at - 1, 0)]))
+                    nearness, share = 1 / (1 + gap.min()), (gap <= 5).mean()
+                row[:] = (
+                    np.log1p(words), 100 * n_strong / words, 100 * n_weak / words, np.log1p(n_strong), 100 * sums[0] / words, nearness, share,
+                    sums[1] / letters, sums[3] / words, sums[4] / words, sums[5] / words, sums[6] / words, sums[7] / words, 100 * n_hidden / words,
+                )
         return out
 
 
@@ -251,9 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     lexicons = [*map(lexicon, others), lexicon(list(range(FOLDS)))]
 
     def dense(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = [Features(x) for x in lexicons]
+        features = Features(lexicons)
         for frame in small(frames):
-            x = np.concatenate([f.batch(list(frame["text"])) for f in made], axis=1)
+            x = features.batch(list(frame["text"])).reshape(len(frame), -1)
             yield pd.DataFrame({"doc_id": frame["doc_id"].astype(str), "fold": frame["fold"], "y": frame["y"] > 0, "x": list(x)})
 
     got = texts.mapInPandas(dense, "doc_id string, fold int, y boolean, x array<double>").toPandas().sort_values("doc_id", kind="stable")
@@ -276,9 +282,9 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     held = spark.sparkContext.broadcast(model)
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features = Features(held.value.lexicon)
+        features = Features([held.value.lexicon])
         for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": held.value.scores(features.batch(list(frame["text"])))})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": held.value.scores(features.batch(list(frame["text"]))[:, 0])})
 
     return by_text(df, doc_id, text, work, "score double")
 

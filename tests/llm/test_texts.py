@@ -157,6 +157,17 @@ def test_pieces_are_no_more_than_the_models_own(spark):
     assert c.ranked and all(len(c.encode(t)) // 4 <= len(own.encode(t)) for t in texts)
 
 
+def test_long_chunks_get_the_same_path(monkeypatch):
+    c = pieces.Codec(tokenizer_path(PIECES))
+    rng = random.Random(17)
+    for t in ["".join(rng.choices("abcdetrß日▁", k=rng.randint(1, 80))) for _ in range(40)]:
+        literal = frozenset(k for k, x in enumerate(t) if x == "▁" and rng.random() < 0.5)
+        whole = c.best(t, literal)
+        monkeypatch.setattr(pieces, "LONG", 0)
+        assert c.best(t, literal) == whole
+        monkeypatch.undo()
+
+
 def test_decoding_takes_any_ids():
     c = pieces.Codec(tokenizer_path(PIECES))
     the = next(i for p, (i, _) in c.score.items() if p == "the")
