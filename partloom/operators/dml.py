@@ -23,10 +23,15 @@ def upsert(target: DataFrame, rows: DataFrame, key: list[str], pos: str, columns
     return both.select(*key, *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], change.alias("change"))
 
 
+def backfilled(target: DataFrame, seed: DataFrame) -> DataFrame:
+    """target in which rows without a seed_id take their id, if the seed has it as a seed_id."""
+    known = seed.where("seed_id IS NOT NULL").select(F.col("seed_id").alias("id"), F.lit(True).alias("_known")).distinct()
+    return target.join(known, "id", "left").withColumn("seed_id", F.coalesce("seed_id", F.when(F.col("_known"), F.col("id")))).select(*target.columns)
+
+
 def insert_only(target: DataFrame, seed: DataFrame, unique: list[str]) -> DataFrame:
-    """The seed rows that a sync would add: their seed_id is new, and no unique value is taken, neither in the target nor by an earlier seed row."""
-    seed = seed.withColumn("seed_id", F.coalesce("seed_id", "id"))
-    new = seed.join(target.select("seed_id"), "seed_id", "left_anti")
+    """The seed rows that a sync would add: their seed_id is not null and new, and no unique value is taken, neither in the target nor by an earlier seed row."""
+    new = seed.where("seed_id IS NOT NULL").join(target.select("seed_id"), "seed_id", "left_anti")
     for c in unique:
         new = new.join(target.where(F.col(c).isNotNull()).select(c), c, "left_anti")
         first = F.row_number().over(Window.partitionBy(c).orderBy("seed_id"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from partloom.operators.lineage import cut_lineage
+
 
 def both_ends(edges: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
     """(node, other, ...): each edge seen from either end; edges without a far end only from the near one."""
@@ -82,17 +84,35 @@ def ordered_concat(df: DataFrame, keys: list[str], value: str, pos: str, sep: st
     return first.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda x: x[value]), sep).alias(value))
 
 
-def fill_down(df: DataFrame, run: list[str], columns: list[str], pos: str, part: list[str]) -> DataFrame:
-    """Blanks take the value above, within rows that follow one another with equal `run` columns. `part` splits the input into independent parts."""
-    order = Window.partitionBy(*part).orderBy(pos)
+def fill_down(df: DataFrame, run: list[str], columns: list[str], pos: str) -> DataFrame:
+    """Blanks take the value above, within rows that follow one another in the order of pos with equal `run` columns.
+
+    The rows are dealt to ranges of pos. Each is filled alone; what a range begins with is carried over from the ranges before
+    it, of which only the first and last rows and the values at their end are gathered.
+    """
+    ranged = cut_lineage(df.repartitionByRange(pos).withColumn("_range", F.spark_partition_id()))
+    order = Window.partitionBy("_range").orderBy(pos)
     changed = F.lit(False)
     for c in run:
         changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(order))
-    marked = df.withColumn("_new", changed.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy(*part, "_run").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.row_number().over(order) == 1, 0).otherwise(changed.cast("int"))
+    marked = ranged.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy("_range", "_run").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumns({f"_at_{c}": F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(within) for c in columns})
+    row = F.struct(*run)
+    values = F.struct(*[F.col(f"_at_{c}").alias(c) for c in columns])
+    ends = marked.groupBy("_range").agg(F.min_by(row, pos).alias("first"), F.max_by(row, pos).alias("last"), (F.max("_run") > 0).alias("broken"), F.max_by(values, pos).alias("at_end"))
+    heads, before, held = [], None, [""] * len(columns)
+    for e in sorted(ends.collect(), key=lambda e: e["_range"]):  # a row for each range
+        head = held if before is not None and tuple(before) == tuple(e["first"]) else [""] * len(columns)
+        heads.append((e["_range"], *head))
+        held = [v or ("" if e["broken"] else h) for v, h in zip(e["at_end"], head, strict=True)]
+        before = e["last"]
+    carried = df.sparkSession.createDataFrame(heads, ", ".join(["_range int", *[f"_from_{c} string" for c in columns]]))
+    filled = marked.join(F.broadcast(carried), "_range")
     for c in columns:
-        marked = marked.withColumn(c, F.coalesce(F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(within), F.lit("")))
-    return marked.drop("_new", "_run")
+        filled = filled.withColumn(c, F.coalesce(f"_at_{c}", F.when(F.col("_run") == 0, F.col(f"_from_{c}")), F.lit("")))
+    return filled.select(*df.columns)
 
 
 def pages_of(df: DataFrame, keys: list[str], order: list[Column], first: int, then: int) -> DataFrame:
@@ -107,3 +127,24 @@ def unordered_pairs(df: DataFrame, a: str, b: str, id_: str) -> DataFrame:
     return pairs.groupBy(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).agg(
         F.min(id_).alias("kept"), F.count_distinct(F.col(a) < F.col(b)).alias("directions"), F.count(F.lit(1)).alias("n")
     )
+
+
+def with_any(df: DataFrame, id_: str, paths: list[DataFrame]) -> DataFrame:
+    """Rows whose id one of the paths gives; each is a table of one column of ids."""
+    ids = paths[0].toDF(id_)
+    for more in paths[1:]:
+        ids = ids.unionByName(more.toDF(id_))
+    return df.join(ids, id_, "left_semi")
+
+
+def moved(rows: DataFrame, mapping: DataFrame, key: str, unique: list[str], order: list[Column]) -> DataFrame:
+    """rows with `key` moved from losers to survivors (loser, survivor), without those moved to where their `unique` values are already.
+
+    Rows that stay are kept whatever they repeat; of several moved rows alike the first in order is kept. Nulls are alike.
+    """
+    to = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"))
+    both = rows.join(to, key, "left").withColumn("_moves", F.col("_to").isNotNull()).withColumn(key, F.coalesce("_to", key)).drop("_to")
+    group = Window.partitionBy(key, *unique)
+    taken = F.max(~F.col("_moves")).over(group)
+    nth = F.row_number().over(group.orderBy("_moves", *order))
+    return both.withColumn("_keep", ~F.col("_moves") | (~taken & (nth == 1))).where("_keep").drop("_keep", "_moves")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import time
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from partloom.functions import text as T, years as Y
 from partloom.operators import dml as K, nested as N, relations as R
+from partloom.operators.lineage import cut_lineage
 
 
 def audit(expected: DataFrame, stored: DataFrame, key: list[str], value: str, loose: bool = True) -> DataFrame:
@@ -59,15 +64,24 @@ def tidy_applications(apps: DataFrame, renames: dict[str, str]) -> DataFrame:
 
 
 def import_applications(filled: DataFrame, units: DataFrame) -> DataFrame:
-    """Staged rows, blanks filled down, as one application a make, model and engine: joined years and makers, first options, linked units."""
-    rows = filled.withColumn("year", Y.expand_import(F.col("year"))).withColumn("x", T.take_token(F.col("options"), ("Automatic", "Manual")))
-    key = ["make", "model"]
-    first = rows.groupBy(*key).agg(F.min_by("x.token", "pos").alias("transmission"), F.min_by("x.rest", "pos").alias("options"), F.min("pos").alias("pos"))
-    years, makers = R.ordered_concat(rows, key, "year", "pos", " | "), R.ordered_concat(rows, key, "mfr", "pos", ", ")
-    number = units.where("unit_number IS NOT NULL").select(F.col("unit_number").alias("part_number"), F.col("id").alias("unit_id"))
-    links = rows.join(number, "part_number").groupBy(*key).agg(F.count_distinct("unit_id").alias("n_units"))
-    out = first.join(years, key, "left").join(makers, key, "left").join(links, key, "left")
-    return out.select(*key, "transmission", "options", F.coalesce("year", F.lit("")).alias("year"), F.coalesce("mfr", F.lit("")).alias("mfr"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
+    """Staged rows, blanks filled down, as one application for each make, model, engine, number, maker and transmission.
+
+    Years, options and other numbers are joined in the order in which they come first. Rows without a number, and those whose number is a
+    cross reference, are left out. unit_id is the unit of that number, null if one is to be created.
+    """
+    bare = F.regexp_replace("part_number", ",+$", "")
+    rows = filled.where((F.col("part_number") != "") & ~bare.startswith("400-") & ~bare.startswith("410-"))
+    rows = rows.withColumn("_x", T.take_token(F.col("options"), ("Automatic", "Manual"))).withColumns({"transmission": F.col("_x.token"), "options": F.col("_x.rest")})
+    key = ["make", "model", "engine", "part_number", "mfr", "transmission"]
+    out = rows.groupBy(*key).agg(F.min("pos").alias("pos"))
+    for column in ("year", "options"):
+        out = out.join(R.ordered_concat(rows, key, column, "pos", " | "), key, "left")
+    number = units.where("unit_number IS NOT NULL").groupBy(F.col("unit_number").alias("part_number")).agg(F.max("id").alias("unit_id"))
+    return out.join(number, "part_number", "left").select(
+        F.coalesce(T.nullif_blank(T.join_non_blank(" ", *[F.col(c) for c in ("make", "model", "engine", "transmission")])), F.lit("Unknown")).alias("name"),
+        *key, Y.expand_import(F.coalesce("year", F.lit(""))).alias("year"),
+        T.join_non_blank(" | ", F.col("transmission"), F.coalesce("options", F.lit(""))).alias("options"), "unit_id",
+    )
 
 
 def import_interchange(routed: DataFrame) -> DataFrame:
@@ -88,13 +102,169 @@ def clean_bom_items(items: DataFrame, mapping: DataFrame) -> DataFrame:
     return K.repoint(items, mapping, "part_id", ["bom_id", "unit_qty"], ["description"])
 
 
-def bare_units(units: DataFrame, referenced: DataFrame, parts: DataFrame) -> DataFrame:
-    """(id, kind) of units without a number: linked ones stay, those whose yt number a part has become parts, the rest are empty."""
-    bare = units.where("unit_number IS NULL").select("id", "yt_number")
-    linked = referenced.select(F.col("unit_id").alias("id"), F.lit(True).alias("linked")).distinct()
-    known = parts.where("yt_number <> ''").select("yt_number", F.lit(True).alias("part")).distinct()
-    kind = F.when(F.col("linked"), "linked").when(F.col("part"), "part").otherwise("empty")
-    return bare.join(linked, "id", "left").join(known, "yt_number", "left").select("id", kind.alias("kind"))
+def bare_units(units: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, kind, target) of units with nothing but a number: it is the yt number of a real unit (`unit`), else of a part (`part`), else of `none`."""
+    bare = (F.col("yt_number") == "") & (F.col("manufacturer") == "") & (F.col("unit_type_category") == "")
+    of = lambda df, name: df.where("yt_number <> ''").groupBy(F.col("yt_number").alias("unit_number")).agg(F.max("id").alias(name))
+    found = units.where(bare).select("id", "unit_number").join(of(units.where(~bare), "_unit"), "unit_number", "left").join(of(parts, "_part"), "unit_number", "left")
+    kind = F.when(F.col("_unit").isNotNull(), "unit").when(F.col("_part").isNotNull(), "part").otherwise("none")
+    return found.select("id", kind.alias("kind"), F.coalesce("_unit", "_part").alias("target"))
+
+
+@dataclass
+class Migrated:
+    """Tables after units were folded into others."""
+
+    units: DataFrame
+    xrefs: DataFrame
+    links: DataFrame
+    interchanges: DataFrame
+
+
+def redirect(rows: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
+    """rows in which `key` points to the survivor (loser, survivor); a null survivor clears it."""
+    to = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"), F.lit(True).alias("_hit"))
+    return rows.join(to, key, "left").withColumn(key, F.when(F.col("_hit"), F.col("_to")).otherwise(F.col(key))).drop("_to", "_hit")
+
+
+def fold_bare_units(units: DataFrame, parts: DataFrame, xrefs: DataFrame, links: DataFrame, interchanges: DataFrame) -> Migrated:
+    """Bare units of a real unit give it their cross references, those of a part become its interchanges; both go. The others stay.
+
+    A cross reference that the real unit has already is dropped, as is an interchange that the part has; references to a unit that goes
+    follow it, or are cleared. interchanges are (part_id, interchange_number, source_name, notes, new).
+    """
+    kinds = cut_lineage(bare_units(units, parts))
+    to_unit = kinds.where("kind = 'unit'").select(F.col("id").alias("loser"), F.col("target").alias("survivor"))
+    to_part = kinds.where("kind = 'part'").select(F.col("id").alias("unit_id"), F.col("target").alias("part_id"))
+    gone = kinds.where("kind <> 'none'").select("id")
+    after = R.moved(xrefs, to_unit, "unit_id", ["cross_ref_number", "interchange_type"], [F.col("id")])
+    after = after.join(to_part.select("unit_id"), "unit_id", "left_anti")
+    after = redirect(after, "cross_ref_unit_id", to_unit.unionByName(to_part.select(F.col("unit_id").alias("loser"), F.lit(None).cast("long").alias("survivor"))))
+    key = ["part_id", "interchange_number", "source_name"]
+    made = xrefs.join(to_part, "unit_id").select("part_id", F.substring("cross_ref_number", 1, 100).alias("interchange_number"), F.substring("interchange_type", 1, 150).alias("source_name"), "id", "notes")
+    first = R.first_of(made.join(interchanges.select(*key), key, "left_anti"), key, [F.col("id")])
+    both = interchanges.select(*key, "notes", F.lit(False).alias("new")).unionByName(first.select(*key, "notes", F.lit(True).alias("new")))
+    return Migrated(units.join(gone, "id", "left_anti"), after, K.cascade(links, gone, "unit_id"), both)
+
+
+def fold_alias_units(units: DataFrame, xrefs: DataFrame, links: DataFrame) -> Migrated:
+    """Units that are only another number of a real unit with their yt number go; their application links and references to them follow it."""
+    text = ("manufacturer", "oem", "voltage", "amp_rating")
+    blank = F.col("unit_type_id").isNull()
+    for c in text:
+        blank = blank & (F.col(c) == "")
+    known = xrefs.where("cross_ref_number <> ''").select(F.col("cross_ref_number").alias("unit_number")).distinct()
+    shells = units.where(blank & (F.col("yt_number") != "")).join(known, "unit_number", "left_semi")
+    real = units.where(~blank).groupBy("yt_number").agg(F.min("id").alias("survivor"))
+    mapping = cut_lineage(shells.select(F.col("id").alias("loser"), "unit_number", "yt_number").join(real, "yt_number"))
+    ranked = links.join(mapping.select(F.col("loser").alias("unit_id"), "yt_number", "unit_number"), "unit_id", "left")
+    after = R.moved(ranked, mapping, "unit_id", ["application_id"], [F.col("yt_number"), F.col("unit_number"), F.col("id")]).select(*links.columns)
+    gone = mapping.select(F.col("loser").alias("id"))
+    left = redirect(K.cascade(xrefs, gone, "unit_id"), "cross_ref_unit_id", mapping)
+    return Migrated(units.join(gone, "id", "left_anti"), left, after, None)
+
+
+def merge_unit_boms(boms: DataFrame, items: DataFrame, unique: Callable[[DataFrame], DataFrame], order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(boms, items) after the BOMs of each unit were merged into the first in `order`, over id, unit_id and their number of items n.
+
+    unique adds the column `_unique` to items; an item that moves is dropped if the BOM that stays has it. The BOMs are merged in order, items by id.
+    """
+    sizes = items.groupBy(F.col("bom_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    sized = boms.where("unit_id IS NOT NULL").select("id", "unit_id").join(sizes, "id", "left").fillna(0, ["n"])
+    nth = Window.partitionBy("unit_id").orderBy(*order)
+    placed = sized.withColumn("_nth", F.row_number().over(nth)).withColumn("survivor", F.first("id").over(nth))
+    mapping = cut_lineage(placed.where("id <> survivor").select(F.col("id").alias("loser"), "survivor", "_nth"))
+    ranked = unique(items).join(mapping.select(F.col("loser").alias("bom_id"), "_nth"), "bom_id", "left")
+    after = R.moved(ranked, mapping, "bom_id", ["_unique"], [F.col("_nth"), F.col("id")])
+    return boms.join(mapping.select(F.col("loser").alias("id")), "id", "left_anti"), after.select(*items.columns)
+
+
+def cleanup_boms(boms: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(boms, items): items without number and text deleted, a unit's BOMs merged into the one with most items, those left without items deleted."""
+    real = items.where((F.col("yt_number") != "") | (F.col("description") != "") | (F.col("j_and_n") != ""))
+    yt = F.lower(F.trim(F.coalesce("yt_number", F.lit(""))))
+    key = F.when(yt != "", F.concat(F.lit("yt "), yt)).otherwise(F.concat(F.lit("text "), F.lower(F.trim(F.coalesce("description", F.lit(""))))))
+    left, after = merge_unit_boms(boms, real, lambda df: df.withColumn("_unique", key), [F.col("n").desc(), F.col("id")])
+    after = cut_lineage(after)
+    return left.join(after.select(F.col("bom_id").alias("id")), "id", "left_semi"), after
+
+
+def empty_boms(boms: DataFrame, items: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id) of a unit's BOMs without an item of a numbered part, where the unit has another BOM with one."""
+    numbered = parts.where("part_number IS NOT NULL AND part_number <> ''").select(F.col("id").alias("part_id"))
+    real = items.join(numbered, "part_id", "left_semi").select(F.col("bom_id").alias("id")).distinct()
+    owned = boms.where("unit_id IS NOT NULL").select("id", "unit_id")
+    return owned.join(real, "id", "left_anti").join(owned.join(real, "id", "left_semi").select("unit_id"), "unit_id", "left_semi").select("id")
+
+
+def export_seed(tables: dict[str, DataFrame], private: Iterable[str]) -> dict[str, DataFrame]:
+    """The tables as a seed: private ones without rows, and a row without a seed_id has its id."""
+    out = {}
+    for name, df in tables.items():
+        df = df.where(F.lit(False)) if name in private else df
+        out[name] = df.withColumn("seed_id", F.coalesce("seed_id", "id")) if "seed_id" in df.columns else df
+    return out
+
+
+@dataclass
+class Synced:
+    """A table with the seed's rows added and blanks filled, `change` (insert, fill or kept), and the counts of the run."""
+
+    rows: DataFrame
+    counts: DataFrame
+
+
+@dataclass(frozen=True)
+class SyncTable:
+    target: DataFrame
+    seed: DataFrame
+    unique: tuple[str, ...]
+    fill: tuple[str, ...]
+    protected: tuple[str, ...] = ()
+
+
+def sync_table(t: SyncTable) -> Synced:
+    """seed_ids are filled where the seed knows the id, new seed rows are added, and blanks filled, but for columns of the customer's own.
+
+    counts are (inserted, conflicts, updated, skipped): rows added, rows not added for a value that is taken, values filled, and what is left of the seed.
+    """
+    target = cut_lineage(K.backfilled(t.target, t.seed))
+    new = cut_lineage(K.insert_only(target, t.seed, list(t.unique)))
+    filled = K.fill_blanks(target, t.seed, list(t.fill), list(t.protected))
+    old = target.select("id", *[F.col(c).alias(f"_old_{c}") for c in t.fill])
+    n_filled = sum((F.when(F.col(c).eqNullSafe(F.col(f"_old_{c}")), 0).otherwise(1) for c in t.fill), F.lit(0))
+    kept = filled.join(old, "id").withColumn("_filled", n_filled).withColumn("change", F.when(F.col("_filled") > 0, "fill").otherwise("kept"))
+    columns = [c for c in target.columns if c != "id"]
+    added = new.select(F.lit(None).cast("long").alias("id"), *columns, F.lit(0).alias("_filled"), F.lit("insert").alias("change"))
+    rows = cut_lineage(kept.select("id", *columns, "_filled", "change").unionByName(added))
+    seeded = t.seed.where("seed_id IS NOT NULL")
+    unknown = seeded.join(target.select("seed_id"), "seed_id", "left_anti").agg(F.count(F.lit(1)).alias("_unknown"))
+    total = seeded.agg(F.count(F.lit(1)).alias("_total"))
+    of_rows = rows.agg(F.count_if(F.col("change") == "insert").alias("inserted"), F.coalesce(F.sum("_filled"), F.lit(0)).alias("updated"))
+    one = of_rows.withColumn("_k", F.lit(1)).join(unknown.withColumn("_k", F.lit(1)), "_k").join(total.withColumn("_k", F.lit(1)), "_k")
+    counts = one.select("inserted", (F.col("_unknown") - F.col("inserted")).alias("conflicts"), "updated", F.greatest(F.lit(0), F.col("_total") - F.col("_unknown") - F.col("updated")).alias("skipped"))
+    return Synced(rows.drop("_filled"), counts)
+
+
+def sync_catalog(tables: dict[str, SyncTable], budget: float, done: Iterable[str] = (), clock: Callable[[], float] = time.monotonic) -> tuple[dict[str, DataFrame], list[Row]]:
+    """Synchronises tables in order until the budget of seconds is spent: (rows of each table, a report row of each).
+
+    The time is looked at before each table, which is written whole to the shared folder before the next. Tables that were `done` in an earlier run
+    and those not reached stay as they are; a later run goes on with the names that the report tells as done.
+    """
+    end, finished, out, report = clock() + budget, set(done), {}, []
+    stopped = False
+    for name, t in tables.items():
+        state, counts = "done before", Row(inserted=0, conflicts=0, updated=0, skipped=0)
+        out[name] = t.target
+        if name not in finished:
+            stopped = stopped or clock() >= end
+            state = "left"
+            if not stopped:
+                synced = sync_table(t)
+                out[name], counts, state = synced.rows, synced.counts.first(), "done"
+        report.append(Row(table_name=name, state=state, **counts.asDict()))
+    return out, report
 
 
 def flatten(facts: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -146,3 +316,227 @@ def cleanup_fragments(df: DataFrame, owner: str, number: str, label: str, siblin
     judged = open_.withColumn("action", F.when(F.col("_own") | F.col("_any") | broken, "orphan").otherwise(F.col("action")))
     out = gone.withColumn("action", F.lit("delete")).unionByName(left.where(~dash)).unionByName(judged.select(*same, "action"))
     return out.select("id", "action", F.col("number").alias(number), F.col("label").alias(label))
+
+
+def classify_parts(parts: DataFrame, name: str, rules: list[tuple[str, list[str]]], overwrite: bool = False) -> DataFrame:
+    """parts with the category of the first rule that their name fits; only blank ones are changed, unless overwrite. Names that no rule fits change nothing."""
+    found = T.first_match(F.col(name), rules)
+    open_ = F.lit(True) if overwrite else F.coalesce("category", F.lit("")) == ""
+    return parts.withColumn("category", F.when(open_ & found.isNotNull(), found).otherwise(F.col("category")))
+
+
+#: Text columns of parts that a clean-up tidies, and those that may end with a page reference or an open parenthesis.
+_PART_TEXT = ("part_number", "part_name", "manufacturer_number", "yt_number", "j_and_n", "oem", "category", "voltage")
+_PART_NUMBERS = ("part_number", "part_name", "manufacturer_number")
+
+
+def tidy_parts(parts: DataFrame, whitelist: dict[str, str], renames: dict[str, str]) -> DataFrame:
+    """parts with single spaces, without open parentheses and page references where something is left, and with makers' names in one spelling."""
+    out = parts.withColumns({c: F.regexp_replace(T.strip(F.col(c)), " {2,}", " ") for c in _PART_TEXT})
+    for fix in (T.drop_open_paren, T.drop_page_reference):
+        out = out.withColumns({c: F.coalesce(T.nullif_blank(T.strip(fix(F.col(c)))), F.col(c)) for c in _PART_NUMBERS})
+    maker = T.renamed(T.maker_name(F.col("oem"), whitelist), renames)
+    return out.withColumn("oem", F.coalesce(T.nullif_blank(maker), F.col("oem")))
+
+
+def cleanup_parts(
+    parts: DataFrame, boms: DataFrame, items: DataFrame, whitelist: dict[str, str], renames: dict[str, str], variants: list[tuple[str, str]]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(parts, boms, items) after text was tidied, parts of one number merged, equal items collapsed and empty BOMs deleted.
+
+    Parts of one yt number whose makers, blanks aside, are one go to the most complete. Then those of a variant's maker go to the lowest
+    part of the base maker with their number. Items follow; one that its BOM has already, by part and quantity, goes.
+    """
+    tidy = cut_lineage(tidy_parts(parts, whitelist, renames))
+    numbered = tidy.where("yt_number <> ''")
+    one = numbered.groupBy("yt_number").agg(F.count_distinct(T.nullif_blank(F.col("oem"))).alias("_makers")).where("_makers = 1").drop("_makers")
+    score = R.completeness(list(_PART_TEXT), ["cost_price", "price"])
+    mapping = cut_lineage(merge_map(numbered.join(one, "yt_number").withColumn("_score", score), ["yt_number"], [F.col("_score").desc(), F.col("id")]))
+    moves = [mapping]
+    left = cut_lineage(tidy.join(mapping.select(F.col("loser").alias("id")), "id", "left_anti"))
+    for base, variant in variants:
+        known = left.where((F.col("yt_number") != "") & (F.col("oem") == base)).groupBy("yt_number").agg(F.min("id").alias("survivor"))
+        more = cut_lineage(left.where(F.col("oem") == variant).join(known, "yt_number").select(F.col("id").alias("loser"), "survivor").where("loser <> survivor"))
+        moves.append(more)
+        left = left.join(more.select(F.col("loser").alias("id")), "id", "left_anti")
+    for mapping in moves:
+        items = R.moved(items, mapping, "part_id", ["bom_id", "unit_qty"], [F.col("id")])
+    items = cut_lineage(R.first_of(items, ["bom_id", "part_id", "unit_qty"], [F.col("id")]))
+    return left, boms.join(items.select(F.col("bom_id").alias("id")), "id", "left_semi"), items
+
+
+def staged_entities(staged: DataFrame, known: DataFrame, key: str, fill: list[str]) -> DataFrame:
+    """(key, id, fill..., change) of all staged keys: what is stored, blanks filled by the first staged value that is not blank, by pos. id is null for new ones."""
+    first = staged.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(*[F.min_by(F.col(c), F.when(~K.blank(F.col(c)), F.col("pos"))).alias(f"_{c}") for c in fill])
+    stored = known.groupBy(key).agg(F.max("id").alias("id"), *[F.max_by(F.coalesce(c, F.lit("")), "id").alias(c) for c in fill])
+    both = first.join(stored, key, "left")
+    filled = {c: F.coalesce(T.nullif_blank(F.col(c)), F.col(f"_{c}"), F.lit("")) for c in fill}
+    differs = F.lit(False)
+    for c in fill:
+        differs = differs | (filled[c] != F.coalesce(c, F.lit("")))
+    change = F.when(F.col("id").isNull(), "created").when(differs, "updated").otherwise("kept")
+    return both.select(key, "id", *[v.alias(c) for c, v in filled.items()], change.alias("change"))
+
+
+def new_relations(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFrame:
+    """The first row by pos of each key that known lacks."""
+    return R.first_of(rows.join(known.select(*key), key, "left_anti"), key, [F.col("pos")])
+
+
+def import_master(staged: DataFrame, refs: DataFrame, known: DataFrame, prefix: str = "JN:") -> dict[str, DataFrame]:
+    """parts, and relations by kind (number, other, ref_number, notes): a catalog's parts and what its references say, by their own numbers.
+
+    A part superseded by one of the catalog makes that one's superseding; by another it only gets a line of notes. The first of several
+    equal relations counts. `other` is the part that a number is, where the catalog has it and it is not the part itself.
+    """
+    clean = staged.withColumns({c: T.normalize_space(F.col(c)) for c in ("number", "part_name", "category", "code")})
+    named = clean.withColumns({"part_name": F.coalesce(T.nullif_blank(F.col("part_name")), F.lit("")), "category": F.coalesce(T.nullif_blank(F.col("category")), F.col("code"))})
+    parts = cut_lineage(staged_entities(named, known, "number", ["part_name", "category"]))
+    first_name = R.first_of(named.where("number <> ''"), ["number"], [F.col("pos")]).select("number", F.coalesce(T.nullif_blank(F.col("part_name")), F.col("number")).alias("_first"))
+    parts = parts.join(first_name, "number").withColumn("part_name", F.when(F.col("change") == "created", F.col("_first")).otherwise(F.col("part_name"))).drop("_first")
+    have = parts.select("number")
+    rows = refs.select("pos", *[T.normalize_space(F.col(c)).alias(c) for c in ("number", "ref_number", "ref_type", "maker", "notes")]).where("ref_number <> ''").join(have, "number", "left_semi")
+    rows = rows.join(have.select(F.col("number").alias("ref_number"), F.col("number").alias("other")), "ref_number", "left").withColumn("other", F.nullif("other", "number"))
+    kind = F.lower(F.coalesce(T.nullif_blank(F.col("ref_type")), F.lit("reference")))
+    rows = rows.withColumns({"kind": kind, "text": T.join_non_blank(" | ", F.col("maker"), F.col("notes"))})
+    of = lambda cond, number, other, ref: rows.where(cond).select("pos", F.col(number).alias("number"), F.col(other).alias("other"), ref.alias("ref_number"), F.col("text").alias("notes"))
+    own = lambda cond: of(cond, "number", "other", F.col("ref_number"))
+    by = F.col("kind") == "superseded_by"
+    streams = {
+        "substitute": own(F.col("kind") == "substitute"),
+        "interchange": own(F.col("kind").isin("reference", "interchange")),
+        "superseding": own(F.col("kind") == "superseded_from").unionByName(of(by & F.col("other").isNotNull(), "other", "number", F.concat(F.lit(prefix), "number"))),
+    }
+    out = {name: R.first_of(df, ["number", "ref_number"], [F.col("pos")]).drop("pos") for name, df in streams.items()}
+    maker = F.when(F.col("maker") != "", F.concat(F.lit(" ("), "maker", F.lit(")"))).otherwise("")
+    told = rows.where(by & F.col("other").isNull()).withColumn("line", F.concat(F.lit("Superseded by: "), "ref_number", maker))
+    lines = R.ordered_concat(told, ["number"], "line", "pos", "\n")
+    return {"part": parts, **out, "note": lines.select("number", F.col("line").alias("notes"))}
+
+
+def import_line(products: DataFrame, xrefs: DataFrame, substitutes: DataFrame, bom: DataFrame, units: DataFrame, parts: DataFrame, boms: DataFrame, known_xrefs: DataFrame, known_subs: DataFrame) -> dict[str, DataFrame]:
+    """A product line by yt numbers: units, cross references, substitutes, stub parts, BOMs and items that it adds or changes.
+
+    Blank columns of units are filled, and notes appended. A unit with a BOM of the line's name gets no other. known_xrefs and known_subs are by unit_id.
+    """
+    clean = products.withColumns({c: T.normalize_space(F.col(c)) for c in ("yt_number", "manufacturer", "family", "notes")}).where("yt_number <> ''")
+    filled = staged_entities(clean, units, "yt_number", ["manufacturer", "family"])
+    stored = units.groupBy("yt_number").agg(F.max_by("notes", "id").alias("_old"))
+    noted = filled.join(R.first_of(clean, ["yt_number"], [F.col("pos")]).select("yt_number", F.col("notes").alias("_new")), "yt_number").join(stored, "yt_number", "left")
+    old = F.coalesce("_old", F.lit(""))
+    adds = (F.col("_new") != "") & ~old.contains(F.col("_new"))
+    notes = F.when(adds, T.strip(F.concat_ws("\n", old, "_new"))).otherwise(old)
+    change = F.when((F.col("change") == "kept") & adds, "updated").otherwise(F.col("change"))
+    unit = cut_lineage(noted.withColumns({"notes": notes, "change": change}).select("yt_number", "id", "manufacturer", "family", "notes", "change"))
+    names = unit.select("yt_number")
+    ids = units.join(names, "yt_number", "left_semi").select(F.col("id").alias("unit_id"), "yt_number")
+    found = xrefs.select("pos", T.normalize_space(F.col("our_number")).alias("yt_number"), T.normalize_space(F.col("their_number")).alias("number"), T.normalize_space(F.col("manufacturer")).alias("label"))
+    xref_key = ["yt_number", "number", "label"]
+    have = known_xrefs.join(ids, "unit_id").select("yt_number", F.col("cross_ref_number").alias("number"), F.col("interchange_type").alias("label"))
+    xref = new_relations(found.where("number <> ''").join(names, "yt_number", "left_semi"), have, xref_key)
+    subs = substitutes.select("pos", T.normalize_space(F.col("yt_number")).alias("yt_number"), T.normalize_space(F.col("substitute_yt")).alias("number")).where("number <> ''").join(names, "yt_number", "left_semi")
+    have = known_subs.join(ids, "unit_id").select("yt_number", F.col("substitute_number").alias("number"))
+    target = names.select(F.col("yt_number").alias("number"), F.col("yt_number").alias("other"))
+    substitute = new_relations(subs, have, ["yt_number", "number"]).join(target, "number", "left")
+    rows = bom.withColumns({c: T.normalize_space(F.col(c)) for c in ("yt_number", "part_name", "yt_part", "jn_part")})
+    stub = R.first_of(rows.where("yt_part <> ''"), ["yt_part"], [F.col("pos")])
+    for column in ("yt_number", "part_number"):
+        stub = stub.join(parts.where(F.col(column).isNotNull()).select(F.col(column).alias("yt_part")), "yt_part", "left_anti")
+    named = boms.join(ids, "unit_id").select("yt_number", "name").where(F.col("name") == F.concat("yt_number", F.lit(" BOM"))).select("yt_number")
+    new_bom = cut_lineage(rows.select("yt_number").distinct().join(names, "yt_number", "left_semi").join(named, "yt_number", "left_anti"))
+    item = rows.where("yt_part <> ''").join(new_bom, "yt_number", "left_semi")
+    return {
+        "unit": unit, "xref": xref.select(*xref_key), "substitute": substitute.select("yt_number", "number", "other"),
+        "part": stub.select(F.col("yt_part").alias("number"), F.col("part_name").alias("label")),
+        "bom": new_bom.select("yt_number", F.concat("yt_number", F.lit(" BOM")).alias("label")), "item": item.select("pos", "yt_number", F.col("yt_part").alias("number"), F.col("part_name").alias("label")),
+    }
+
+
+def import_numbers(staged: DataFrame, refs: DataFrame, xrefs: DataFrame, known: DataFrame, identifiers: DataFrame, interchanges: DataFrame) -> dict[str, DataFrame]:
+    """A catalog's parts from two staging tables, and the interchanges of its original numbers and cross references.
+
+    refs are (pos, number, ref_number, ref_type, maker, notes), xrefs (pos, number, source_number, section, family), identifiers (identifier, id)
+    of parts that one number names alone, interchanges those known, (number, ref_number). Parts only cross references name take their family, else
+    section. What original numbers add is known to the cross references.
+    """
+    norm = lambda df, cols: df.withColumns({c: T.normalize_space(F.col(c)) for c in cols})
+    detail, cross = norm(staged, ["number", "part_name", "category", "maker"]).where("number <> ''"), norm(xrefs, ["number", "source_number", "section", "family"]).where("number <> ''")
+    order = F.struct("source_number", "pos")
+    first_by = lambda c: F.min_by(F.col(c), F.when(F.col(c) != "", order)).alias(f"_{c}")
+    meta = cross.groupBy("number").agg(first_by("family"), first_by("section"))
+    one = R.first_of(detail, ["number"], [F.col("pos")]).select("number", F.lit(True).alias("_detail"), *[F.col(c).alias(f"_{c}") for c in ("part_name", "category", "maker")])
+    stored = known.select("number", "id", "part_name", "category", "maker")
+    every = detail.select("number").union(cross.select("number")).distinct().join(one, "number", "left").join(meta, "number", "left").join(stored, "number", "left")
+    new, has = F.col("id").isNull(), F.col("_detail").isNotNull()
+    or_blank = lambda *cs: F.coalesce(*[T.nullif_blank(F.col(c)) for c in cs], F.lit(""))
+    category = F.when(has & new, or_blank("_category", "_family")).when(has, or_blank("_category")).otherwise(or_blank("_family", "_section"))
+    name = F.when(new, or_blank("_part_name", "number")).otherwise(or_blank("part_name", "_part_name"))
+    values = {"part_name": name, "category": F.coalesce(T.nullif_blank(F.col("category")), category), "maker": or_blank("maker", "_maker")}
+    differs = F.lit(False)
+    for c, v in values.items():
+        differs = differs | (v != F.coalesce(c, F.lit("")))
+    part = cut_lineage(every.select("number", "id", *[v.alias(c) for c, v in values.items()], F.when(new, "created").when(differs, "updated").otherwise("kept").alias("change")))
+    have = part.select("number")
+    target = identifiers.select(F.col("identifier").alias("ref_number"), F.col("id").alias("other"))
+    key = ["number", "ref_number"]
+    original = norm(refs, ["number", "ref_number", "ref_type", "maker", "notes"]).where("ref_number <> '' AND lower(ref_type) = 'original_number'").join(have, "number", "left_semi")
+    told = F.concat(F.lit("Original number"), F.when(F.col("maker") != "", F.concat(F.lit(": "), "maker")).otherwise(""), F.when(F.col("notes") != "", F.concat(F.lit(" | "), "notes")).otherwise(""))
+    first = cut_lineage(new_relations(original.withColumn("text", told), interchanges, key).join(target, "ref_number", "left").select(*key, "other", F.col("text").alias("notes")))
+    rows = cross.where("source_number <> ''").withColumn("ref_number", F.col("source_number")).join(have, "number", "left_semi")
+    second = new_relations(rows, interchanges.select(*key).unionByName(first.select(*key)), key).join(target, "ref_number", "left")
+    return {"part": part, "detail": first, "xref": second.select(*key, "other", T.join_non_blank(" | ", F.col("section"), F.col("family")).alias("notes"))}
+
+
+def copy_by_key(target: DataFrame, old: DataFrame, key: str, columns: list[str], strict: bool) -> DataFrame:
+    """target with the columns of old's row of its key (the last by id); a blank there changes nothing, unless strict. Rows without a match stay."""
+    last = old.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(*[F.max_by(F.coalesce(c, F.lit("")), "id").alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+    joined = target.join(last, key, "left")
+    take = lambda c: F.col("_hit") & (F.lit(strict) | (F.col(f"_{c}") != ""))
+    return joined.withColumns({c: F.when(F.coalesce(take(c), F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}).select(*target.columns)
+
+
+def recategorize(parts: DataFrame, prod: DataFrame, valid: DataFrame, keywords: dict[str, str]) -> DataFrame:
+    """parts with the category that production has for their yt number, else for their part number, else by keyword; only categories of `valid` (name) are taken."""
+    known = prod.where("category <> ''")
+    by = lambda c: known.where(F.coalesce(c, F.lit("")) != "").groupBy(c).agg(F.max_by("category", "id").alias(f"_{c}"))
+    found = parts.join(by("yt_number"), "yt_number", "left").join(by("part_number"), "part_number", "left")
+    best = F.coalesce("_yt_number", "_part_number", T.mapped(F.col("category"), keywords))
+    checked = found.withColumn("_best", best).join(valid.select(F.col("name").alias("_best"), F.lit(True).alias("_valid")), "_best", "left")
+    return checked.withColumn("category", F.when(F.col("_valid"), F.col("_best")).otherwise(F.col("category"))).select(*parts.columns)
+
+
+def replace_fields(fields: DataFrame, prod: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """fields in which each category that production has fields for has those, if the two sets differ."""
+    tagged = lambda df, side: df.select(key, *columns, F.lit(side).alias("_side"))
+    sides = tagged(fields, 1).unionByName(tagged(prod, 2)).groupBy(key, *columns).agg(F.count_distinct("_side").alias("_sides"))
+    differ = sides.groupBy(key).agg((F.max(F.when(F.col("_sides") < 2, 1).otherwise(0)) == 1).alias("_differs"))
+    has = prod.select(key).distinct().join(differ.where("_differs").select(key), key, "left_semi")
+    changed = has.join(fields.select(key).distinct(), key, "left_semi")
+    return K.replace_children(fields.select(key, *columns), changed, prod.join(changed, key, "left_semi").select(key, *columns), key)
+
+
+def fill_oem_numbers(parts: DataFrame, interchanges: DataFrame, sources: dict[str, list[str]], links: DataFrame, owners: DataFrame, units: DataFrame) -> DataFrame:
+    """parts with oem number, maker, maker's number and voltage filled where they are blank.
+
+    The oem number is the first interchange of a source of its maker. A part without a maker takes that of its interchanges if they name one maker
+    only, and its number. The maker's number is the first of the j_and_n list. Voltage comes from the first linked unit, else from the owner.
+    """
+    canonical = {s: maker for maker, names in sources.items() for s in names}
+    named = interchanges.where("interchange_number <> ''").withColumn("maker", T.mapped(F.col("source_name"), canonical)).where("maker IS NOT NULL")
+    first = named.groupBy("part_id", "maker").agg(F.min_by("interchange_number", "id").alias("number")).withColumnRenamed("part_id", "id")
+    single = first.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("maker").alias("_maker"), F.min("number").alias("_only")).where("_n = 1").drop("_n")
+    live = units.where("voltage <> ''").select(F.col("id").alias("unit_id"), "voltage")
+    linked = links.join(live, "unit_id").groupBy(F.col("part_id").alias("id")).agg(F.min_by("voltage", "unit_id").alias("_linked"))
+    owned = owners.join(live, "unit_id").groupBy(F.col("part_id").alias("id")).agg(F.min("voltage").alias("_owned"))
+    joined = parts.join(first.select("id", F.col("maker").alias("oem"), F.col("number").alias("_number")), ["id", "oem"], "left").join(single, "id", "left").join(linked, "id", "left").join(owned, "id", "left")
+    no_maker = F.col("oem") == ""
+    number = F.when(F.col("oem_number") != "", F.col("oem_number")).when(no_maker, F.coalesce("_only", F.lit(""))).otherwise(F.coalesce("_number", F.lit("")))
+    jn = T.strip(F.element_at(F.split(T.strip(F.col("j_and_n")), r" \| "), 1))
+    return joined.withColumns(
+        {
+            "oem_number": number,
+            "oem": F.when(no_maker, F.coalesce("_maker", F.lit(""))).otherwise(F.col("oem")),
+            "manufacturer_number": F.when(F.col("manufacturer_number") == "", jn).otherwise(F.col("manufacturer_number")),
+            "voltage": F.when(F.col("voltage") == "", F.coalesce("_linked", "_owned", F.lit(""))).otherwise(F.col("voltage")),
+        }
+    ).select(*parts.columns)

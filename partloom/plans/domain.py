@@ -63,8 +63,56 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey E
 FROM orders""",
     "bom_items": """
 SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, l_orderkey AS bom_id, CASE WHEN l_linenumber = 6 THEN NULL ELSE l_partkey END AS part_id,
-  CASE WHEN l_linenumber = 2 THEN '' ELSE l_linestatus || ' item ' || cast(l_partkey % 50 AS string) END AS description, cast(l_quantity AS int) AS unit_qty
+  CASE WHEN l_linenumber = 2 THEN '' ELSE l_linestatus || ' item ' || cast(l_partkey % 50 AS string) END AS description, cast(l_quantity AS int) AS unit_qty,
+  CASE WHEN l_partkey % 3 = 0 THEN '' ELSE 'YT' || cast(l_partkey % 300 AS string) END AS yt_number, CASE WHEN l_partkey % 2 = 0 THEN '' ELSE 'JN' || cast(l_partkey % 90 AS string) END AS j_and_n,
+  CASE WHEN l_linenumber = 1 THEN 'OE' || cast(l_partkey % 211 AS string) ELSE '' END AS oem_number, 'n' || cast(l_suppkey % 13 AS string) AS notes, 'B' || cast(l_suppkey AS string) AS bin_number
 FROM lineitem""",
+    "part_interchanges": """
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, l_partkey AS part_id, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 1 + l_suppkey % 150 END AS interchange_part_id,
+  'X' || cast((l_suppkey * 7 + l_partkey) % 1000 AS string) AS interchange_number, CASE l_suppkey % 3 WHEN 0 THEN 'FORD' WHEN 1 THEN 'WAI' ELSE 'Delco 117' END AS source_name, CASE WHEN l_suppkey % 2 = 0 THEN '' ELSE l_returnflag END AS notes
+FROM lineitem WHERE l_linenumber = 4""",
+    "part_supersedings": """
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, l_partkey AS part_id, CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE 1 + l_suppkey % 140 END AS old_part_id,
+  'Z' || cast(l_suppkey % 300 AS string) AS old_part_number, CASE WHEN l_suppkey % 50 = 7 THEN 'was 117' ELSE '' END AS notes
+FROM lineitem WHERE l_linenumber = 5""",
+    "part_substitutes": """
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, l_partkey AS part_id, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 1 + l_suppkey % 130 END AS substitute_part_id,
+  'S' || cast(l_suppkey % 200 AS string) AS substitute_number, CASE WHEN l_suppkey % 60 = 9 THEN 'like 117' ELSE '' END AS notes
+FROM lineitem WHERE l_linenumber = 6""",
+    "part_units": """
+SELECT DISTINCT l_partkey AS part_id, 1 + l_suppkey % 150 AS unit_id FROM lineitem WHERE l_linenumber = 3""",
+    "part_owners": """
+SELECT p_partkey AS part_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 1 + p_partkey % 140 END AS unit_id FROM part""",
+    "stock_units": """
+SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'YT' || cast(c_custkey % 400 AS string) WHEN 1 THEN 'X' || cast(c_custkey AS string) ELSE 'U' || cast(c_custkey AS string) END AS unit_number,
+  CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'YT' || cast(c_custkey % 97 AS string) ELSE 'YT' || cast(c_custkey % 200 AS string) END AS yt_number,
+  CASE WHEN c_custkey % 4 < 2 THEN '' ELSE 'Hitachi' END AS manufacturer, CASE WHEN c_custkey % 4 < 2 THEN '' ELSE 'OEM' END AS oem, CASE WHEN c_custkey % 4 = 2 THEN '12V' ELSE '' END AS voltage,
+  CASE WHEN c_custkey % 4 = 3 THEN '90' ELSE '' END AS amp_rating, CASE WHEN c_custkey % 4 < 2 THEN NULL ELSE c_nationkey END AS unit_type_id, CASE WHEN c_custkey % 4 < 2 THEN '' ELSE c_mktsegment END AS unit_type_category
+FROM customer""",
+    "staging_products": """
+SELECT p_partkey AS pos, 'YT' || cast(p_partkey AS string) AS yt_number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' Maker  ' || cast(p_partkey % 5 AS string) END AS manufacturer,
+  CASE p_partkey % 4 WHEN 0 THEN 'TILT' WHEN 1 THEN 'TRIM' ELSE '' END AS family, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'fits ' || p_type END AS notes FROM part""",
+    "line_units": """
+SELECT c_custkey AS id, 'YT' || cast(c_custkey % 120 AS string) AS yt_number, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Old' END AS manufacturer, CASE WHEN c_custkey % 5 = 0 THEN 'DD' ELSE '' END AS family,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'seen' ELSE 'fits STANDARD' END AS notes FROM customer WHERE c_custkey <= 150""",
+    "staging_substitutes": """
+SELECT s_suppkey AS pos, 'YT' || cast(s_suppkey AS string) AS yt_number, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'YT' || cast(s_suppkey * 7 % 300 AS string) END AS substitute_yt FROM supplier""",
+    "staging_bom": """
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'YT' || cast(l_orderkey % 300 AS string) AS yt_number, 'Part ' || cast(l_partkey % 50 AS string) AS part_name,
+  CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'YT' || cast(l_partkey % 400 AS string) END AS yt_part, 'JN' || cast(l_partkey % 90 AS string) AS jn_part FROM lineitem WHERE l_linenumber <= 2""",
+    "staging_master": """
+SELECT p_partkey AS pos, ' J' || cast(p_partkey % 150 AS string) AS number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS part_name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS category,
+  CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'C' || cast(p_size AS string) END AS code, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'about ' || p_brand END AS description, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS maker FROM part""",
+    "master_parts": """
+SELECT p_partkey AS id, 'J' || cast(p_partkey AS string) AS number, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'kept name' END AS part_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'kept' END AS category, '' AS maker FROM part WHERE p_partkey <= 120 AND p_partkey % 5 < 2""",
+    "staging_refs": """
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'J' || cast(l_partkey % 170 AS string) AS number, CASE WHEN l_suppkey % 11 = 0 THEN '' WHEN l_linenumber = 2 THEN 'MF' || cast(l_partkey % 600 AS string) ELSE 'J' || cast(l_suppkey % 200 AS string) END AS ref_number,
+  CASE l_linenumber WHEN 1 THEN 'Substitute' WHEN 2 THEN 'interchange' WHEN 3 THEN 'superseded_from' WHEN 4 THEN 'superseded_by' WHEN 5 THEN '' ELSE 'Original_Number' END AS ref_type,
+  CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'Maker ' || cast(l_suppkey % 4 AS string) END AS maker, l_returnflag AS notes FROM lineitem""",
+    "seed_vendors": """
+SELECT s_suppkey AS id, s_suppkey AS seed_id, s_name AS name, 'nation ' || cast(s_nationkey AS string) AS notes FROM supplier WHERE s_suppkey % 4 <> 1""",
+    "target_vendors": """
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS seed_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'kept' END AS notes FROM supplier WHERE s_suppkey % 4 <> 2""",
     "invoices": """
 SELECT o_orderkey AS id, 'INV-' || lpad(cast(o_orderkey % 10000 AS string), 4, '0') AS invoice_number,
   CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_custkey END AS customer_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Stored ' || cast(o_custkey % 50 AS string) ELSE '' END AS customer_name,

@@ -8,7 +8,7 @@ from partloom.functions import rules, text as T
 from partloom.operators import dml as K, relations as R
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
-from partloom.plans.q_relations import FILLED_SQL, ROUTED_SQL, filled, routed
+from partloom.plans.q_relations import ROUTED_SQL, routed
 from partloom.plans.registry import query
 from partloom.sources import csv as C
 
@@ -45,14 +45,6 @@ def k03(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("part_number", F.coalesce(F.col("stock_quantity").try_cast("long"), F.lit(0)).alias("stock_quantity"), F.coalesce("have", F.lit(False)).alias("updates"), "vendor", F.col("specifications")["colour"].alias("colour"))
 
 
-_INSERTS = "SELECT sid AS seed_id, part_number FROM (SELECT coalesce(seed_id, id) AS sid, part_number FROM seed_parts) WHERE sid NOT IN (SELECT seed_id FROM target_parts WHERE seed_id IS NOT NULL) AND part_number NOT IN (SELECT part_number FROM target_parts)"
-
-
-@query("K04", _INSERTS)
-def k04(spark: SparkSession, sf: str) -> DataFrame:
-    return K.insert_only(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["part_number"]).select("seed_id", "part_number")
-
-
 @query("K05", "SELECT t.id, CASE WHEN t.part_name = '' AND s.part_name <> '' THEN s.part_name ELSE t.part_name END AS part_name, CASE WHEN t.notes = '' AND s.notes <> '' THEN s.notes ELSE t.notes END AS notes, t.price FROM target_parts t LEFT JOIN seed_parts s ON s.seed_id = t.seed_id")
 def k05(spark: SparkSession, sf: str) -> DataFrame:
     return K.fill_blanks(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["part_name", "notes", "price"], ["price"]).select("id", "part_name", "notes", "price")
@@ -63,14 +55,6 @@ def k06(spark: SparkSession, sf: str) -> DataFrame:
     return K.overwrite(frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts"), ["oem", "price"]).select("id", "oem", "changed")
 
 
-@query("K07", "SELECT 'part_name' AS step, count(*) AS blanks FROM target_parts WHERE part_name = '' UNION ALL SELECT 'notes', count(*) FROM target_parts WHERE notes = ''")
-def k07(spark: SparkSession, sf: str) -> DataFrame:
-    """What each step of a sync has left to do, so that a run with a time budget can stop between steps and go on later."""
-    t = frame(spark, sf, "target_parts")
-    left = [t.where(K.blank(F.col(c))).agg(F.count(F.lit(1)).alias("blanks")).select(F.lit(c).alias("step"), "blanks") for c in ("part_name", "notes")]
-    return left[0].unionByName(left[1])
-
-
 _GROUPS = "(SELECT id AS loser, min(id) OVER (PARTITION BY make, model, engine, year) AS survivor FROM applications)"
 
 
@@ -178,26 +162,6 @@ def l03(spark: SparkSession, sf: str) -> DataFrame:
     return L.tidy_applications(apps, {"Brand#11": "Brand#12"})
 
 
-@query("L04", "SELECT u.id, CASE WHEN u.id IN (SELECT unit_id FROM cross_references) THEN 'linked' WHEN u.yt_number <> '' AND u.yt_number IN (SELECT yt_number FROM parts) THEN 'part' ELSE 'empty' END AS kind FROM units u WHERE u.unit_number IS NULL")
-def l04(spark: SparkSession, sf: str) -> DataFrame:
-    return L.bare_units(frame(spark, sf, "units"), frame(spark, sf, "cross_references"), frame(spark, sf, "parts"))
-
-
-_SIZED = "(SELECT b.id, b.unit_id, count(i.id) AS n FROM boms b LEFT JOIN bom_items i ON i.bom_id = b.id WHERE b.unit_id IS NOT NULL GROUP BY 1, 2)"
-
-
-def _sized(spark: SparkSession, sf: str) -> DataFrame:
-    n = frame(spark, sf, "bom_items").groupBy(F.col("bom_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return frame(spark, sf, "boms").where("unit_id IS NOT NULL").select("id", "unit_id").join(n, "id", "left").fillna(0, ["n"])
-
-
-@query("L05", f"SELECT min(i.id) AS id, m.s AS bom_id, i.part_id, i.unit_qty FROM bom_items i JOIN (SELECT id, first_value(id) OVER (PARTITION BY unit_id ORDER BY n DESC, id) AS s FROM {_SIZED} UNION ALL SELECT id, id FROM boms WHERE unit_id IS NULL) m ON m.id = i.bom_id GROUP BY m.s, i.part_id, i.unit_qty")
-def l05(spark: SparkSession, sf: str) -> DataFrame:
-    """A unit's BOMs merged into the one with most items, the lowest of equals."""
-    mapping = L.merge_map(_sized(spark, sf), ["unit_id"], [F.col("n").desc(), F.col("id")])
-    return K.repoint(frame(spark, sf, "bom_items"), mapping, "bom_id", ["part_id", "unit_qty"], []).select("id", "bom_id", "part_id", "unit_qty")
-
-
 @query("L06", "SELECT unit_id, cross_ref_number, maker, min(id) AS id FROM (SELECT *, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' ELSE interchange_type END AS maker FROM cross_references) GROUP BY 1, 2, 3")
 def l06(spark: SparkSession, sf: str) -> DataFrame:
     renamed = T.renamed(F.col("interchange_type"), {"ALFA ROMEO": "Alfa Romeo", "Alfa-romeo.": "Alfa Romeo"})
@@ -212,14 +176,6 @@ def l07(spark: SparkSession, sf: str) -> DataFrame:
     return K.cascade(frame(spark, sf, "bom_items"), leaked, "part_id").select("id")
 
 
-@query("L08", "SELECT x.id, coalesce(m.real, x.unit_id) AS unit_id FROM cross_references x LEFT JOIN (SELECT s.id AS shell, min(r.id) AS real FROM units s JOIN units r ON s.yt_number = r.yt_number WHERE s.yt_number <> '' AND s.unit_number IS NULL AND r.unit_number IS NOT NULL GROUP BY 1) m ON m.shell = x.unit_id")
-def l08(spark: SparkSession, sf: str) -> DataFrame:
-    u = frame(spark, sf, "units").where("yt_number <> ''")
-    real = u.where("unit_number IS NOT NULL").groupBy("yt_number").agg(F.min("id").alias("survivor"))
-    mapping = u.where("unit_number IS NULL").select(F.col("id").alias("unit_id"), "yt_number").join(real, "yt_number").drop("yt_number")
-    return frame(spark, sf, "cross_references").join(mapping, "unit_id", "left").select("id", F.coalesce("survivor", "unit_id").alias("unit_id"))
-
-
 _SEG = "CASE WHEN regexp_matches(y, '^[0-9]{2}-[0-9]{2}$') THEN CASE WHEN a > b THEN (CASE WHEN a >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN b >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) ELSE (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) END ELSE y END"
 
 
@@ -235,21 +191,6 @@ def l10(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_of(rows, ["unit_id", "cross_ref_number", "maker"], [F.length("notes").desc(), F.col("id")]).select("unit_id", "cross_ref_number", "maker", "id")
 
 
-@query("L11", "SELECT CASE WHEN regexp_matches(n, '(?i)brush') THEN 'Brushes' WHEN regexp_matches(n, '(?i)pulley') THEN 'Pulleys' END AS category, count(*) AS n FROM (SELECT CASE id % 3 WHEN 0 THEN 'Brush ' WHEN 1 THEN 'pulley ' ELSE 'x ' END AS n FROM parts) GROUP BY 1")
-def l11(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.when(F.col("id") % 3 == 0, "Brush ").when(F.col("id") % 3 == 1, "pulley ").otherwise("x ")
-    return frame(spark, sf, "parts").groupBy(T.first_match(name, rules.PART_CATEGORIES).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("L12", "SELECT yt_number, first(id ORDER BY (oem <> '')::int + (notes <> '')::int + (price IS NOT NULL)::int DESC, id) AS id, count(*) AS merged FROM parts WHERE yt_number IN (SELECT yt_number FROM parts WHERE yt_number <> '' GROUP BY 1 HAVING count(DISTINCT nullif(oem, '')) = 1) GROUP BY yt_number")
-def l12(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of one number and one brand merged into the most complete."""
-    p = frame(spark, sf, "parts").where("yt_number <> ''")
-    one = p.groupBy("yt_number").agg(F.count_distinct(T.nullif_blank(F.col("oem"))).alias("brands"), F.count(F.lit(1)).alias("merged")).where("brands = 1").drop("brands")
-    rows = p.join(one, "yt_number").withColumn("score", R.completeness(["oem", "notes"], ["price"]))
-    return R.first_of(rows, ["yt_number"], [F.col("score").desc(), F.col("id")]).select("yt_number", "id", "merged")
-
-
 @query("L13", r"SELECT unit_id, number, min(id) AS id, count(*) AS merged FROM (SELECT id, unit_id, regexp_replace(CASE WHEN contains(n, '(') AND NOT contains(n, ')') THEN regexp_replace(n, '\s*\([^)]*$', '') ELSE n END, '^(.+?)\s+\(([^)]+)\)(.*)$', '\1') AS number FROM (SELECT id, unit_id, regexp_replace(cross_ref_number, '(?i)\s+Pg\.\s*\d+\s*$', '') AS n FROM cross_references)) GROUP BY unit_id, number")
 def l13(spark: SparkSession, sf: str) -> DataFrame:
     n = T.drop_open_paren(T.drop_page_reference(F.col("cross_ref_number")))
@@ -269,51 +210,12 @@ def l15(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.unionByName(s.where("substitute_unit_id IS NULL").groupBy("unit_id", "substitute_number").agg(F.min("id").alias("id")).select("id"))
 
 
-@query("L16", "SELECT s.id FROM cross_references s WHERE ends_with(s.cross_ref_number, '-') AND EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND l.cross_ref_number = rtrim(s.cross_ref_number, '-'))")
-def l16(spark: SparkSession, sf: str) -> DataFrame:
-    """What becomes of each broken-off number: deleted, merged with the suffix in its label, deleted as an orphan, or left for review."""
-    return L.cleanup_fragments(frame(spark, sf, "cross_references"), "unit_id", "cross_ref_number", "interchange_type")
-
-
-@query("L17", "SELECT id FROM boms WHERE id NOT IN (SELECT b.id FROM boms b WHERE b.unit_id IS NOT NULL AND b.id NOT IN (SELECT bom_id FROM bom_items WHERE part_id IS NOT NULL AND unit_qty > 25) AND b.unit_id IN (SELECT o.unit_id FROM boms o JOIN bom_items i ON i.bom_id = o.id WHERE i.part_id IS NOT NULL AND i.unit_qty > 25 AND o.unit_id IS NOT NULL))")
-def l17(spark: SparkSession, sf: str) -> DataFrame:
-    real = frame(spark, sf, "bom_items").where("part_id IS NOT NULL AND unit_qty > 25").select(F.col("bom_id").alias("id"))
-    boms = frame(spark, sf, "boms").select("id", "unit_id")
-    shells = boms.join(real, "id", "left_anti").join(boms.join(real, "id", "left_semi").select("unit_id"), "unit_id", "left_semi")
-    return boms.join(shells.select("id"), "id", "left_anti").select("id")
-
-
-@query("L18", "SELECT coalesce(seed_id, id) AS seed_id, id, part_number FROM target_parts")
-def l18(spark: SparkSession, sf: str) -> DataFrame:
-    return frame(spark, sf, "target_parts").select(F.coalesce("seed_id", "id").alias("seed_id"), "id", "part_number")
-
-
-@query("L19", "SELECT p.id, coalesce(nullif(p.oem, ''), b.oem, '') AS oem FROM parts p LEFT JOIN (SELECT manufacturer_number AS k, min(oem) AS oem FROM parts WHERE oem <> '' GROUP BY 1 HAVING count(DISTINCT oem) = 1) b ON b.k = p.manufacturer_number")
-def l19(spark: SparkSession, sf: str) -> DataFrame:
-    p = frame(spark, sf, "parts")
-    one = p.where("oem <> ''").groupBy("manufacturer_number").agg(F.count_distinct("oem").alias("n"), F.min("oem").alias("brand")).where("n = 1")
-    return p.join(one, "manufacturer_number", "left").select("id", F.coalesce(T.nullif_blank(F.col("oem")), "brand", F.lit("")).alias("oem"))
-
-
 @query("L20", "SELECT u.id, CASE WHEN u.unit_type = '' THEN n.n_name ELSE u.unit_type END AS unit_type FROM units u LEFT JOIN nation n ON n.n_nationkey = u.unit_type_id")
 def l20(spark: SparkSession, sf: str) -> DataFrame:
     n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("unit_type_id"), "n_name")
     return K.set_where(frame(spark, sf, "units").join(n, "unit_type_id", "left"), F.col("unit_type") == "", unit_type=F.col("n_name")).select("id", "unit_type")
 
 
-_Y12 = "array_to_string(list_transform(string_split(year, '-'), lambda y: CASE WHEN regexp_matches(y, '^[0-9]{2}$') THEN CASE WHEN try_cast(y AS int) <= 30 THEN '20' || y ELSE '19' || y END ELSE y END), '-')"
-_TOKEN = "CASE WHEN contains(options, 'Manual') THEN 'Manual' WHEN contains(options, 'Automatic') THEN 'Automatic' ELSE '' END"
-
-
-@query("L21", f"""WITH f AS ({FILLED_SQL}), x AS (SELECT *, {_Y12} AS y, {_TOKEN} AS token, array_to_string(list_filter(list_transform(string_split(options, ';'), lambda x: trim(x)), lambda x: x NOT IN ('Automatic', 'Manual')), ';') AS rest FROM f)
-SELECT g.make, g.model, g.transmission, g.options, coalesce(yy.v, '') AS year, coalesce(mm.v, '') AS mfr, coalesce(n.n, 0) AS n_units FROM (SELECT make, model, arg_min(token, pos) AS transmission, arg_min(rest, pos) AS options FROM x GROUP BY 1, 2) g
-LEFT JOIN (SELECT make, model, string_agg(y, ' | ' ORDER BY p) AS v FROM (SELECT make, model, y, min(pos) AS p FROM x WHERE y <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2) yy ON yy.make = g.make AND yy.model = g.model
-LEFT JOIN (SELECT make, model, string_agg(mfr, ', ' ORDER BY p) AS v FROM (SELECT make, model, mfr, min(pos) AS p FROM x WHERE mfr <> '' GROUP BY 1, 2, 3) GROUP BY 1, 2) mm ON mm.make = g.make AND mm.model = g.model
-LEFT JOIN (SELECT make, model, count(DISTINCT u.id) AS n FROM x JOIN units u ON u.unit_number = x.part_number GROUP BY 1, 2) n ON n.make = g.make AND n.model = g.model""")
-def l21(spark: SparkSession, sf: str) -> DataFrame:
-    return L.import_applications(filled(spark, sf), frame(spark, sf, "units"))
-
-
 @query("L22", "SELECT DISTINCT p.id AS part_id, u.id AS unit_id FROM staging_interchange s JOIN units u ON u.unit_number = s.our_number JOIN parts p ON p.manufacturer_number = 'MF' || substr(s.their_number, 2)")
 def l22(spark: SparkSession, sf: str) -> DataFrame:
     s = frame(spark, sf, "staging_interchange")
@@ -336,19 +238,6 @@ def l24(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "bom_items").join(p, "part_id", "left").select("id", F.col("found").alias("part_id"), F.coalesce(raw.try_cast("int"), F.lit(1)).alias("qty"))
 
 
-_REFS = "SELECT id AS part, CASE id % 4 WHEN 0 THEN 'substitute' WHEN 1 THEN 'interchange' WHEN 2 THEN 'superseded_from' ELSE 'superseded_by' END AS t, id + 7 AS ref FROM parts"
-
-
-@query("L25", f"SELECT CASE WHEN starts_with(t, 'superseded') THEN 'superseding' ELSE t END AS kind, count(*) AS n, count(p.id) AS linked FROM (SELECT t, CASE WHEN t = 'superseded_by' THEN part ELSE ref END AS b FROM ({_REFS})) r LEFT JOIN parts p ON p.id = r.b GROUP BY 1")
-def l25(spark: SparkSession, sf: str) -> DataFrame:
-    from partloom.operators.nested import directed
-
-    kinds = F.element_at(F.array(*[F.lit(x) for x in ("substitute", "interchange", "superseded_from", "superseded_by")]), (F.col("id") % 4 + 1).cast("int"))
-    refs = directed(frame(spark, sf, "parts").select(F.col("id").alias("part"), kinds.alias("ref_type"), (F.col("id") + 7).alias("ref")))
-    known = frame(spark, sf, "parts").select(F.col("id").alias("b"), F.lit(1).alias("one"))
-    return refs.join(known, "b", "left").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("one").alias("linked"))
-
-
 @query("L26", "SELECT c_custkey, c_name, n_name AS c_nationkey_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def l26(spark: SparkSession, sf: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
@@ -364,28 +253,6 @@ def l27(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "staging_interchange").select("pos", "our_number").join(one, "our_number", "left").select("pos", "part_id")
 
 
-@query("L28", """SELECT 'unit' AS step, count(*) AS n FROM (SELECT DISTINCT our_number FROM staging_interchange WHERE our_number <> '' AND our_number NOT IN (SELECT unit_number FROM units WHERE unit_number IS NOT NULL)) UNION ALL
-SELECT 'xref', count(*) FROM (SELECT DISTINCT u.id, s.their_number FROM staging_interchange s JOIN units u ON u.unit_number = s.our_number) UNION ALL
-SELECT 'substitute', count(*) FROM (SELECT DISTINCT least(x.unit_id, x.substitute_unit_id), greatest(x.unit_id, x.substitute_unit_id) FROM substitutes x WHERE x.substitute_unit_id IS NOT NULL AND x.unit_id <> x.substitute_unit_id) UNION ALL
-SELECT 'bom_item', count(*) FROM (SELECT DISTINCT bom_id, part_id FROM bom_items WHERE part_id IN (SELECT id FROM parts WHERE is_active))""")
-def l28(spark: SparkSession, sf: str) -> DataFrame:
-    """The steps of a product line's import, each with the rows that it would add."""
-    staged = frame(spark, sf, "staging_interchange").where("our_number <> ''")
-    units = frame(spark, sf, "units").where("unit_number IS NOT NULL").select(F.col("unit_number").alias("our_number"), F.col("id").alias("unit_id"))
-    active = frame(spark, sf, "parts").where("is_active").select(F.col("id").alias("part_id"))
-    steps = {
-        "unit": C.append_new(units, staged.select("our_number"), ["our_number"]),
-        "xref": staged.join(units, "our_number").select("unit_id", "their_number").distinct(),
-        "substitute": R.unordered_pairs(frame(spark, sf, "substitutes"), "unit_id", "substitute_unit_id", "id"),
-        "bom_item": frame(spark, sf, "bom_items").join(active, "part_id", "left_semi").select("bom_id", "part_id").distinct(),
-    }
-    out = None
-    for name, rows in steps.items():
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("step"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query("L29", "SELECT id, CASE WHEN notes = '' THEN 'fits ' || make ELSE notes || chr(10) || 'fits ' || make END AS notes, make, model, '200' || cast(id % 9 AS string) AS year FROM parts JOIN (SELECT id AS aid, make, model FROM applications) ON aid = id")
 def l29(spark: SparkSession, sf: str) -> DataFrame:
     """A note for each application line of a sheet, and the line itself read as make, model and year."""
@@ -397,52 +264,12 @@ def l29(spark: SparkSession, sf: str) -> DataFrame:
     return parts.withColumn("notes", T.append_text(F.col("notes"), F.concat(F.lit("fits "), "make")))
 
 
-@query("L30", f"SELECT identifier FROM {_ONE} UNION SELECT substitute_number FROM substitutes")
-def l30(spark: SparkSession, sf: str) -> DataFrame:
-    one = R.unambiguous(frame(spark, sf, "parts"), "id", ["manufacturer_number", "yt_number", "j_and_n"]).select("identifier")
-    return one.union(frame(spark, sf, "substitutes").select("substitute_number")).distinct()
-
-
 @query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
 def l31(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_interchange(routed(spark, sf))
 
 
-@query("L32", "SELECT 'units' AS table_name, count(*) AS n_rows FROM units UNION ALL SELECT 'parts', count(*) FROM parts")
-def l32(spark: SparkSession, sf: str) -> DataFrame:
-    return C.inspect({t: frame(spark, sf, t) for t in ("units", "parts")}).select("table_name", "n_rows")
-
-
-@query("L33", f"SELECT id AS loser, s AS survivor FROM (SELECT id, first_value(id) OVER (PARTITION BY unit_id ORDER BY n DESC, id DESC) AS s FROM {_SIZED}) WHERE id <> s")
-def l33(spark: SparkSession, sf: str) -> DataFrame:
-    return L.merge_map(_sized(spark, sf), ["unit_id"], [F.col("n").desc(), F.col("id").desc()])
-
-
 @query("L34", "SELECT DISTINCT b.id AS bom_id, au.application_id AS part_id FROM boms b JOIN application_units au ON au.unit_id = b.unit_id WHERE NOT EXISTS (SELECT 1 FROM bom_items i WHERE i.bom_id = b.id AND i.part_id = au.application_id)")
 def l34(spark: SparkSession, sf: str) -> DataFrame:
     links = frame(spark, sf, "boms").select(F.col("id").alias("bom_id"), "unit_id").join(frame(spark, sf, "application_units").select("unit_id", F.col("application_id").alias("part_id")), "unit_id")
     return L.missing_bom_items(links, frame(spark, sf, "bom_items"))
-
-
-@query("L35", f"SELECT 'insert' AS action, count(*) AS n FROM ({_INSERTS}) UNION ALL SELECT 'fill', count(*) FROM target_parts t JOIN seed_parts s ON s.seed_id = t.seed_id WHERE t.part_name = '' OR t.notes = ''")
-def l35(spark: SparkSession, sf: str) -> DataFrame:
-    t, s = frame(spark, sf, "target_parts"), frame(spark, sf, "seed_parts")
-    n = F.count(F.lit(1)).alias("n")
-    after = K.fill_blanks(t, s, ["part_name", "notes"], []).select("id", F.col("part_name").alias("p2"), F.col("notes").alias("n2"))
-    filled_ = t.join(after, "id").where("part_name <> p2 OR notes <> n2")
-    return K.insert_only(t, s, ["part_number"]).agg(n).select(F.lit("insert").alias("action"), "n").unionByName(filled_.agg(n).select(F.lit("fill").alias("action"), "n"))
-
-
-@query("L36", "SELECT t.id, s.notes FROM target_parts t LEFT JOIN seed_parts s ON s.part_number = t.part_number")
-def l36(spark: SparkSession, sf: str) -> DataFrame:
-    """Strict copying by key: rows without a source lose their value."""
-    s = frame(spark, sf, "seed_parts").select("part_number", F.col("notes"))
-    return frame(spark, sf, "target_parts").select("id", "part_number").join(s, "part_number", "left").select("id", "notes")
-
-
-@query("L37", "SELECT category, count(*) AS n FROM (SELECT coalesce(a.t, CASE WHEN contains(lower(p.category), 'steel') THEN 'Steel' ELSE 'Other' END) AS category FROM parts p LEFT JOIN (SELECT yt_number AS k, min(unit_type) AS t FROM units WHERE yt_number <> '' AND unit_type <> '' GROUP BY 1) a ON a.k = nullif(p.yt_number, '')) GROUP BY category")
-def l37(spark: SparkSession, sf: str) -> DataFrame:
-    by = frame(spark, sf, "units").where("yt_number <> '' AND unit_type <> ''").groupBy("yt_number").agg(F.min("unit_type").alias("t"))
-    best = F.coalesce("t", F.when(T.contains_text(F.col("category"), "steel"), "Steel").otherwise("Other"))
-    p = frame(spark, sf, "parts").select("yt_number", "category").join(by, "yt_number", "left")
-    return p.groupBy(best.alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -116,7 +116,7 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("id", F.concat(F.lit("MF"), bare).alias("n")).join(p, "n").select("id", "part")
 
 
-@query("C14", "SELECT s.id FROM cross_references s WHERE length(s.cross_ref_number) <= 3 AND EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND starts_with(l.cross_ref_number, s.cross_ref_number) AND length(l.cross_ref_number) > length(s.cross_ref_number))")
+@query("C14", "SELECT s.id FROM cross_references s WHERE EXISTS (SELECT 1 FROM cross_references l WHERE l.unit_id = s.unit_id AND starts_with(l.cross_ref_number, s.cross_ref_number) AND length(l.cross_ref_number) > length(s.cross_ref_number))")
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     x = frame(spark, sf, "cross_references").select("id", "unit_id", "cross_ref_number")
     return R.with_prefix_of(x, x, ["unit_id"], "cross_ref_number").select("id")
@@ -141,30 +141,34 @@ def c17(spark: SparkSession, sf: str) -> DataFrame:
     return copies.join(links, "original").select("original", "copy", "unit_id")
 
 
-#: What a related-number search looks at: the part's own columns, those of its BOM items, its linked units, and their relations.
-_OWN, _UNIT = ("part_number", "manufacturer_number", "yt_number", "j_and_n", "oem"), ("unit_number", "yt_number")
-_HAS = lambda alias, cols: " OR ".join(f"contains(lower({alias}{c}), '117')" for c in cols)
+#: What a related-number search looks at, by table: its own columns, and columns of the part or unit that it points to.
+_RELATED = {
+    "part_interchanges": (("interchange_number", "source_name", "notes"), "interchange_part_id"),
+    "part_supersedings": (("old_part_number", "notes"), "old_part_id"),
+    "part_substitutes": (("substitute_number", "notes"), "substitute_part_id"),
+    "bom_items": (("oem_number", "j_and_n", "yt_number", "description", "notes", "bin_number"), None),
+}
+_NUMBERS = {"parts": ("part_number", "yt_number"), "units": ("unit_number", "yt_number")}
+_HAS = lambda cols: " OR ".join(f"contains(lower({c}), '117')" for c in cols)
+_IDS = {t: f"(SELECT id FROM {t} WHERE {_HAS(cols)})" for t, cols in _NUMBERS.items()}
+_PATHS = [f"SELECT part_id FROM {t} WHERE {_HAS(cols)}" + (f" OR {far} IN {_IDS['parts']}" if far else "") for t, (cols, far) in _RELATED.items()]
+_PATHS += [f"SELECT part_id FROM {t} WHERE unit_id IN {_IDS['units']}" for t in ("part_owners", "part_units")]
 
 
-@query("C18", f"""WITH u AS (SELECT id FROM units WHERE {_HAS("", _UNIT)} UNION SELECT unit_id FROM cross_references WHERE {_HAS("", ("cross_ref_number",))} UNION SELECT cross_ref_unit_id FROM cross_references WHERE {_HAS("", ("cross_ref_number",))}
-UNION SELECT unit_id FROM substitutes WHERE {_HAS("", ("substitute_number",))} UNION SELECT substitute_unit_id FROM substitutes WHERE {_HAS("", ("substitute_number",))} UNION SELECT unit_id FROM boms WHERE {_HAS("", ("name",))})
-SELECT id FROM parts WHERE {_HAS("", _OWN)} OR id IN (SELECT part_id FROM bom_items WHERE {_HAS("", ("description",))}) OR id IN (SELECT i.part_id FROM bom_items i JOIN boms b ON b.id = i.bom_id WHERE {_HAS("b.", ("name",))})
-OR id IN (SELECT application_id FROM application_units WHERE unit_id IN (SELECT id FROM u)) OR id IN (SELECT id FROM applications WHERE {_HAS("", ("unit_number", "name"))})""")
+@query("C18", f"SELECT id FROM parts WHERE id IN (SELECT part_id FROM ({' UNION ALL '.join(_PATHS)}) WHERE part_id IS NOT NULL)")
 def c18(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts related to a number by any path: each path gives ids, and the parts are semi-joined with their union."""
+    """Parts related to a number by any of 23 paths: each table's own texts, and numbers of the parts and units that it points to."""
     q = "117"
-    hits = lambda view, cols: S.search(frame(spark, sf, view), q, list(cols))
-    xrefs, subs, boms = hits("cross_references", ["cross_ref_number"]), hits("substitutes", ["substitute_number"]), hits("boms", ["name"])
-    ends = lambda df, *cs: df.select(F.explode(F.array_compact(F.array(*cs))).alias("unit_id"))
-    units = hits("units", _UNIT).select(F.col("id").alias("unit_id")).union(ends(xrefs, "unit_id", "cross_ref_unit_id")).union(ends(subs, "unit_id", "substitute_unit_id")).union(ends(boms, "unit_id"))
-    items = frame(spark, sf, "bom_items")
-    ids = (
-        hits("parts", _OWN).select("id").union(hits("bom_items", ["description"]).select(F.col("part_id").alias("id")))
-        .union(items.join(boms.select(F.col("id").alias("bom_id")), "bom_id", "left_semi").select("part_id"))
-        .union(frame(spark, sf, "application_units").join(units, "unit_id", "left_semi").select("application_id"))
-        .union(hits("applications", ["unit_number", "name"]).select("id"))
-    )
-    return frame(spark, sf, "parts").select("id").join(ids, "id", "left_semi")
+    hits = {t: S.search(frame(spark, sf, t), q, list(cols)).select("id") for t, cols in _NUMBERS.items()}
+    paths = []
+    for t, (cols, far) in _RELATED.items():
+        rows = frame(spark, sf, t)
+        paths.append(S.search(rows, q, list(cols)).select("part_id"))
+        if far:
+            paths.append(rows.join(hits["parts"].withColumnRenamed("id", far), far, "left_semi").select("part_id"))
+    for t in ("part_owners", "part_units"):
+        paths.append(frame(spark, sf, t).join(hits["units"].withColumnRenamed("id", "unit_id"), "unit_id", "left_semi").select("part_id"))
+    return R.with_any(frame(spark, sf, "parts").select("id"), "id", paths)
 
 
 @query("C19", "SELECT b.id, count(i.id) AS n_items, coalesce(string_agg(cast(i.id AS string), ',' ORDER BY i.id), '') AS items FROM boms b LEFT JOIN bom_items i ON i.bom_id = b.id GROUP BY b.id")
@@ -205,7 +209,7 @@ def subtotals(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     return invoices.select("id").join(sums, "id", "left").select("id", F.coalesce("s", F.lit(0)).cast("decimal(14,2)").alias("subtotal"))
 
 
-@query("D05", f"SELECT i.id, cast(coalesce(sum(cast({_LINE} AS decimal(12,2))), 0) AS decimal(14,2)) AS subtotal FROM invoices i LEFT JOIN invoice_items l ON l.invoice_id = i.id AND l.quantity > 40 GROUP BY i.id")
+@query("D05", f"SELECT i.id, cast(coalesce(sum(cast({_LINE} AS decimal(12,2))), 0) AS decimal(14,2)) AS subtotal FROM invoices i LEFT JOIN invoice_items l ON l.invoice_id = i.id GROUP BY i.id")
 def d05(spark: SparkSession, sf: str) -> DataFrame:
     return subtotals(frame(spark, sf, "invoices"), frame(spark, sf, "invoice_items"))
 
@@ -343,17 +347,17 @@ def e07(spark: SparkSession, sf: str) -> DataFrame:
 
 FILLED_SQL = """
 SELECT * REPLACE (coalesce(last_value(nullif(year, '') IGNORE NULLS) OVER w, '') AS year, coalesce(last_value(nullif(mfr, '') IGNORE NULLS) OVER w, '') AS mfr) FROM (
-  SELECT *, sum(new) OVER (PARTITION BY make ORDER BY pos) AS run FROM (SELECT *, CASE WHEN model = lag(model) OVER (PARTITION BY make ORDER BY pos) AND engine = lag(engine) OVER (PARTITION BY make ORDER BY pos) THEN 0 ELSE 1 END AS new FROM staging_applications))
-WINDOW w AS (PARTITION BY make, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+  SELECT *, sum(new) OVER (ORDER BY pos) AS run FROM (SELECT *, CASE WHEN make = lag(make) OVER (ORDER BY pos) AND model = lag(model) OVER (ORDER BY pos) AND engine = lag(engine) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS new FROM staging_applications))
+WINDOW w AS (PARTITION BY run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
 def filled(spark: SparkSession, sf: str) -> DataFrame:
-    return R.fill_down(frame(spark, sf, "staging_applications"), ["model", "engine"], ["year", "mfr"], "pos", ["make"])
+    return R.fill_down(frame(spark, sf, "staging_applications"), ["make", "model", "engine"], ["year", "mfr"], "pos")
 
 
 @query("E08", f"SELECT pos, year, mfr FROM ({FILLED_SQL})")
 def e08(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs are found within a make, which is the part of the file that one task holds."""
+    """Runs are found in the order of the file."""
     return filled(spark, sf).select("pos", "year", "mfr")
 
 

@@ -81,11 +81,15 @@ def append_new(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.dropDuplicates(key).join(target.select(*key), key, "left_anti")
 
 
-def inspect(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, columns, n_rows) of each table."""
+def inspect(tables: dict[str, DataFrame], by: str | None = None) -> DataFrame:
+    """(table_name, columns, n_rows) of each table; with `by` also a sample, the first row in that order as text of at most 200 characters."""
     out = None
     for name, df in tables.items():
-        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(",".join(df.columns)).alias("columns"), "n_rows")
+        n = F.count(F.lit(1)).alias("n_rows")
+        shown = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
+        short = F.when(F.length(shown) > 200, F.concat(F.substring(shown, 1, 200), F.lit("..."))).otherwise(shown)
+        figures = [n, F.coalesce(F.min_by(short, by), F.lit("(no rows)")).alias("sample")] if by else [n]
+        row = df.agg(*figures).select(F.lit(name).alias("table_name"), F.lit(",".join(df.columns)).alias("columns"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 

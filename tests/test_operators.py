@@ -21,7 +21,7 @@ def test_resolution_takes_the_first_route(spark):
 
 def test_fill_down_stops_at_runs(spark):
     df = spark.createDataFrame([(1, "m", "a", "x"), (2, "m", "a", ""), (3, "m", "b", ""), (4, "m", "a", ""), (5, "m", "a", "y")], "pos int, make string, model string, year string")
-    assert [r.year for r in R.fill_down(df, ["model"], ["year"], "pos", ["make"]).orderBy("pos").collect()] == ["x", "x", "", "", "y"]
+    assert [r.year for r in R.fill_down(df, ["make", "model"], ["year"], "pos").orderBy("pos").collect()] == ["x", "x", "", "", "y"]
 
 
 def test_prefix_semi_joins(spark):
@@ -43,8 +43,10 @@ def test_chase_follows_chains_and_leaves_cycles(spark):
 
 def test_insert_only_and_fill_blanks(spark):
     target = spark.createDataFrame([(1, 1, "P1", "Original Name", None), (2, 2, "P2", "", 9.5)], "id long, seed_id long, number string, name string, price double")
-    seed = spark.createDataFrame([(1, 1, "P1", "New", 1.0), (2, 2, "P2", "Two", 1.0), (3, None, "P3", "Three", 1.0), (4, 4, "P1", "Taken", 1.0)], target.schema)
-    assert rows(K.insert_only(target, seed, ["number"]).select("seed_id", "number")) == [(3, "P3")]
+    seed = spark.createDataFrame([(1, 1, "P1", "New", 1.0), (2, 2, "P2", "Two", 1.0), (3, None, "P3", "Three", 1.0), (4, 4, "P1", "Taken", 1.0), (5, 5, "P5", "Five", 1.0), (6, 6, "P5", "Twice", 1.0)], target.schema)
+    assert rows(K.insert_only(target, seed, ["number"]).select("seed_id", "number")) == [(5, "P5")]
+    old = spark.createDataFrame([(5, None, "P9", "", None), (7, None, "P8", "", None), (1, 1, "P1", "", None)], target.schema)
+    assert rows(K.backfilled(old, seed).select("id", "seed_id")) == [(1, 1), (5, 5), (7, None)]
     assert rows(K.fill_blanks(target, seed, ["name", "price"], ["price"]).select("id", "name", "price")) == [(1, "Original Name", None), (2, "Two", 9.5)]
     assert rows(K.overwrite(target, seed, ["price"]).select("id", "price", "changed")) == [(1, 1.0, 1), (2, 1.0, 1)]
 
