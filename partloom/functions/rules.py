@@ -69,3 +69,9 @@ PART_MAKER_RENAMES = {
     "Nippondenso": "Nippon Denso",
 }
 MAKER_VARIANTS = [("Mitsubishi", "Mitsubishi Electric"), ("Hitachi", "Hitachi Automotive")]
+
+# makers' names that keep their capitals.
+MAKER_ACRONYMS = [
+    "WAI", "PIC", "OEM", "GM", "BMW", "MES", "EGI", "API", "TSA", "MGU", "BEPCO", "BBB", "ACDelco", "NAPA", "OE", "AC", "DC", "LRI", "SAE",
+    "IMS", "JD", "GMC", "DRI", "SEG", "CAE",
+]

@@ -137,14 +137,26 @@ def with_any(df: DataFrame, id_: str, paths: list[DataFrame]) -> DataFrame:
     return df.join(ids, id_, "left_semi")
 
 
+def _settled(rows: DataFrame, unique: list[str], order: list[Column]) -> DataFrame:
+    """rows without those with `_moves` whose unique values a row that stays has, or an earlier one that moves. Nulls are alike."""
+    group = Window.partitionBy(*unique)
+    taken = F.max(~F.col("_moves")).over(group)
+    nth = F.row_number().over(group.orderBy("_moves", *order))
+    return rows.withColumn("_keep", ~F.col("_moves") | (~taken & (nth == 1))).where("_keep").drop("_keep", "_moves")
+
+
 def moved(rows: DataFrame, mapping: DataFrame, key: str, unique: list[str], order: list[Column]) -> DataFrame:
     """rows with `key` moved from losers to survivors (loser, survivor), without those moved to where their `unique` values are already.
 
-    Rows that stay are kept whatever they repeat; of several moved rows alike the first in order is kept. Nulls are alike.
+    Rows that stay are kept whatever they repeat; of several moved rows alike the first in order is kept.
     """
     to = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"))
     both = rows.join(to, key, "left").withColumn("_moves", F.col("_to").isNotNull()).withColumn(key, F.coalesce("_to", key)).drop("_to")
-    group = Window.partitionBy(key, *unique)
-    taken = F.max(~F.col("_moves")).over(group)
-    nth = F.row_number().over(group.orderBy("_moves", *order))
-    return both.withColumn("_keep", ~F.col("_moves") | (~taken & (nth == 1))).where("_keep").drop("_keep", "_moves")
+    return _settled(both, [key, *unique], order)
+
+
+def rewritten(rows: DataFrame, column: str, value: Column, unique: list[str], order: list[Column]) -> DataFrame:
+    """rows with a new value of a column where it is not null and differs, without those that another row with the value makes needless, by `unique`."""
+    new = F.coalesce(value, F.col(column))
+    changed = rows.withColumn("_moves", F.coalesce(new != F.col(column), F.lit(False))).withColumn(column, new)
+    return _settled(changed, [column, *unique], order)

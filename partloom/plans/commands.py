@@ -28,20 +28,6 @@ def backfill(df: DataFrame, column: str, by: Column, table: dict[str, str]) -> D
     return K.set_where(df, K.blank(F.col(column)) & T.mapped(by, table).isNotNull(), **{column: T.mapped(by, table)})
 
 
-def subset_pairs(sets: DataFrame, group: list[str], owner: str, item: str) -> DataFrame:
-    """(subset, superset) of owners in one group whose items are a proper subset of another's; of several the largest, then the lowest.
-
-    Pairs meet through a shared item, and only those of one group.
-    """
-    sets = sets.select(*group, owner, item).distinct()
-    sizes = sets.groupBy(*group, owner).agg(F.count(F.lit(1)).alias("size"))
-    sized = sets.join(sizes, [*group, owner])
-    a = sized.select(*group, item, F.col(owner).alias("subset"), F.col("size").alias("small"))
-    b = sized.select(*group, item, F.col(owner).alias("superset"), F.col("size").alias("large"))
-    common = a.join(b, [*group, item]).where("small < large").groupBy("subset", "superset", "small", "large").agg(F.count(F.lit(1)).alias("n"))
-    return R.first_of(common.where("n = small"), ["subset"], [F.col("large").desc(), F.col("superset")]).select("subset", "superset")
-
-
 def merge_map(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """(loser, survivor) of each group's rows."""
     first = R.first_of(df, keys, order).select(*keys, F.col("id").alias("survivor"))
@@ -56,11 +42,95 @@ def normalize_applications(apps: DataFrame) -> DataFrame:
     return rows.groupBy("make", "model", "engine", "year").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
 
 
-def tidy_applications(apps: DataFrame, renames: dict[str, str]) -> DataFrame:
-    """Text tidied, makes renamed, hyphens repaired, then equal rows merged into the lowest id."""
+def cleanup_applications(apps: DataFrame, links: DataFrame, renames: dict[str, str], pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """(applications, links): text tidied, makes renamed, hyphens repaired; then a variant make's rows that the base make has too, and
+    equal rows, merged into the lowest id. Links follow; those of one application and unit become one with the last position that is not blank.
+    """
     tidy = lambda c: T.repair_hyphen(T.tidy_model(F.col(c)))
     rows = apps.withColumns({c: tidy(c) for c in ("make", "model", "engine")}).withColumn("make", T.renamed(F.col("make"), renames))
-    return rows.groupBy("make", "model", "engine", "year").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
+    rows = cut_lineage(rows)
+    key = ["model", "engine", "year"]
+    for base, variant in pairs:
+        known = rows.where(F.col("make") == base).groupBy(*key).agg(F.min("id").alias("survivor"))
+        to_base = cut_lineage(rows.where(F.col("make") == variant).join(known, key).select(F.col("id").alias("loser"), "survivor"))
+        rows = rows.join(to_base.select(F.col("loser").alias("id")), "id", "left_anti")
+        links = K.repoint(links, to_base, "application_id", ["unit_id"], ["position"])
+    rows = cut_lineage(rows)
+    equal = cut_lineage(merge_map(rows, ["make", *key], [F.col("id")]))
+    return rows.join(equal.select(F.col("loser").alias("id")), "id", "left_anti"), K.repoint(links, equal, "application_id", ["unit_id"], ["position"])
+
+
+def acronyms(df: DataFrame, column: str, explicit: list[str], longest: int = 4) -> dict[str, str]:
+    """Names in capitals that stay so: the explicit ones, and single words of at most `longest` letters or digits that the column has in capitals.
+
+    What is gathered are distinct words of so few characters.
+    """
+    word = T.strip(F.regexp_replace(T.strip(F.col(column)), r"\.+$", ""))
+    short = df.select(word.alias("w")).where(F.col("w").rlike(f"^[A-Z0-9]{{1,{longest}}}$") & F.col("w").rlike("[A-Z]")).distinct()
+    return {r.w: r.w for r in short.collect()} | {x.upper(): x for x in explicit}
+
+
+def normalize_makers(xrefs: DataFrame, explicit: list[str]) -> DataFrame:
+    """xrefs with makers in one spelling; of those alike then in unit, number and maker the one with the longest notes stays, of equals the lowest id."""
+    named = xrefs.withColumn("interchange_type", T.maker_name(F.col("interchange_type"), acronyms(xrefs, "interchange_type", explicit)))
+    return R.first_of(named, ["unit_id", "cross_ref_number", "interchange_type"], [F.length(F.coalesce("notes", F.lit(""))).desc(), F.col("id")])
+
+
+def cleanup_xrefs(xrefs: DataFrame, renames: dict[str, str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """What is left of cross references, step by step: open parentheses and page references cut off, mere page references deleted, numbers that
+    their unit and maker have with an annotation deleted, makers renamed, and a variant maker's numbers that the base maker has deleted.
+
+    Of rows that a cut or a new name makes alike in unit, maker and number, one that had it already stays, else the lowest id.
+    """
+    number, maker, same = F.col("cross_ref_number"), "interchange_type", ["unit_id", "interchange_type"]
+    out = xrefs
+    for fix in (T.drop_open_paren, T.drop_page_reference):
+        out = cut_lineage(R.rewritten(out, "cross_ref_number", T.nullif_blank(T.strip(fix(number))), same, [F.col("id")]))
+    out = out.where(~F.coalesce(T.is_page_reference(number), F.lit(False)))
+    tagged = out.withColumns({"_brand": F.lower(F.coalesce(maker, F.lit(""))), "_base": T.strip(T.annotation(number)["base"])})
+    annotated = tagged.where("_base IS NOT NULL").groupBy("unit_id", "_brand", F.col("_base").alias("cross_ref_number")).agg(F.min("id").alias("_by"), F.max("id").alias("_or"))
+    found = tagged.drop("_base").join(annotated, ["unit_id", "_brand", "cross_ref_number"], "left")
+    out = found.where(F.col("_by").isNull() | ((F.col("_by") == F.col("id")) & (F.col("_or") == F.col("id")))).select(*xrefs.columns)
+    out = cut_lineage(R.rewritten(out, maker, T.mapped(F.col(maker), renames), ["unit_id", "cross_ref_number"], [F.col("id")]))
+    for base, variant in pairs:
+        known = out.where(F.col(maker) == base).select("unit_id", "cross_ref_number", F.lit(variant).alias(maker))
+        out = out.join(known, ["unit_id", "cross_ref_number", maker], "left_anti").select(*xrefs.columns)
+    return out
+
+
+def unit_category(generator_makers: Iterable[str]) -> Column:
+    """A unit's category by family, yt number, maker and type, '' if nothing tells."""
+    family, yt = F.upper(F.trim("family")), F.trim("yt_number")
+    return (
+        F.when(family == "TILT&TRIM", "Motor").when(family.isin("DD", "PMGR"), "Starter").when(yt.rlike(r"^[45]\d{5}$"), "Generator")
+        .when(yt.rlike(r"^\d{6,}$") & F.col("manufacturer").isin(*generator_makers), "Generator").when(F.col("unit_type") != "", F.col("unit_type"))
+        .when(F.col("manufacturer") == "Romaine Electric", "Alternator").otherwise("")
+    )
+
+
+def cleanup_units(units: DataFrame, xrefs: DataFrame, links: DataFrame, generator_makers: Iterable[str]) -> tuple[DataFrame, DataFrame]:
+    """(units, links): numbers without commas at their end, merged into the unit that has it; blank categories and yt numbers told; test units deleted.
+
+    A yt number is that of the number itself for numeric motors, else of the first unit with a cross reference to it. Bare units, with nothing but a number, stay as they are.
+    """
+    bare = (F.col("yt_number") == "") & (F.col("manufacturer") == "") & (F.col("category") == "")
+    cut = F.regexp_replace(T.strip(F.col("unit_number")), ",+$", "")
+    dirty = units.where(~bare & F.col("unit_number").endswith(",")).withColumn("_clean", cut)
+    keeper = units.groupBy(F.col("unit_number").alias("_clean")).agg(F.min("id").alias("survivor"))
+    mapping = cut_lineage(dirty.join(keeper, "_clean").select(F.col("id").alias("loser"), "survivor"))
+    links = R.moved(links, mapping, "unit_id", ["application_id"], [F.col("id")])
+    left = units.join(mapping.select(F.col("loser").alias("id")), "id", "left_anti")
+    left = left.withColumn("unit_number", F.when(~bare & F.col("unit_number").endswith(","), cut).otherwise(F.col("unit_number")))
+    left = cut_lineage(left.withColumn("category", F.when(~bare & (F.col("category") == ""), unit_category(generator_makers)).otherwise(F.col("category"))))
+    hosts = xrefs.join(left.where("yt_number <> ''").select(F.col("id").alias("unit_id"), F.col("yt_number").alias("_yt")), "unit_id")
+    host = hosts.groupBy(F.col("cross_ref_number").alias("unit_number")).agg(F.min_by("_yt", "unit_id").alias("_yt"))
+    motor = (F.col("category") == "Motor") & F.col("unit_number").rlike(r"^45\d{4}$")
+    told = F.when(motor, F.col("unit_number")).otherwise(F.coalesce("_yt", F.lit("")))
+    wants = ~bare & (F.col("yt_number") == "") & (F.coalesce("unit_number", F.lit("")) != "")
+    out = left.join(host, "unit_number", "left").withColumn("yt_number", F.when(wants, told).otherwise(F.col("yt_number"))).select(*units.columns)
+    test = (F.lower(F.coalesce("unit_number", F.lit(""))) == "test") | (F.lower("yt_number") == "test")
+    out = cut_lineage(out)
+    return out.where(~test), K.cascade(links, out.where(test), "unit_id")
 
 
 def import_applications(filled: DataFrame, units: DataFrame) -> DataFrame:

@@ -109,6 +109,12 @@ SELECT p_partkey AS id, 'J' || cast(p_partkey AS string) AS number, CASE WHEN p_
 SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'J' || cast(l_partkey % 170 AS string) AS number, CASE WHEN l_suppkey % 11 = 0 THEN '' WHEN l_linenumber = 2 THEN 'MF' || cast(l_partkey % 600 AS string) ELSE 'J' || cast(l_suppkey % 200 AS string) END AS ref_number,
   CASE l_linenumber WHEN 1 THEN 'Substitute' WHEN 2 THEN 'interchange' WHEN 3 THEN 'superseded_from' WHEN 4 THEN 'superseded_by' WHEN 5 THEN '' ELSE 'Original_Number' END AS ref_type,
   CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'Maker ' || cast(l_suppkey % 4 AS string) END AS maker, l_returnflag AS notes FROM lineitem""",
+    "loose_units": """
+SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'W' || cast(c_custkey AS string) || ',' ELSE 'U' || cast(c_custkey - 4 AS string) || ',,' END WHEN 1 THEN 'U' || cast(c_custkey AS string)
+    WHEN 2 THEN 'X' || cast(c_custkey AS string) WHEN 3 THEN '45' || lpad(cast(c_custkey % 10000 AS string), 4, '0') ELSE CASE WHEN c_custkey % 20 = 4 THEN 'Test' ELSE 'V' || cast(c_custkey AS string) END END AS unit_number,
+  CASE WHEN c_custkey % 5 = 1 THEN 'YT' || cast(c_custkey % 300 AS string) WHEN c_custkey % 30 = 9 THEN '450123' ELSE '' END AS yt_number, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Romaine Electric' ELSE 'Hitachi' END AS manufacturer,
+  CASE WHEN c_custkey % 5 = 3 THEN 'TILT&TRIM' WHEN c_custkey % 7 = 0 THEN 'DD' ELSE '' END AS family, CASE WHEN c_custkey % 4 = 0 THEN c_mktsegment ELSE '' END AS unit_type, CASE WHEN c_custkey % 8 = 1 THEN 'Old' ELSE '' END AS category
+FROM customer""",
     "seed_vendors": """
 SELECT s_suppkey AS id, s_suppkey AS seed_id, s_name AS name, 'nation ' || cast(s_nationkey AS string) AS notes FROM supplier WHERE s_suppkey % 4 <> 1""",
     "target_vendors": """

@@ -363,3 +363,68 @@ def l37(spark: SparkSession, sf: str) -> DataFrame:
     theirs = fields.where("category IN ('ASIA', 'EUROPE')").withColumn("field_name", F.when(F.col("category") == "ASIA", F.concat(F.lit("new "), "field_name")).otherwise(F.col("field_name")))
     theirs = theirs.unionByName(spark.createDataFrame([("MOON", "field", 0)], "category string, field_name string, place long"))
     return stacked(part=L.recategorize(p.select("id", "yt_number", "part_number", "category"), prod, valid, _KEYWORDS).select("id", "category"), field=L.replace_fields(fields, theirs, "category", ["field_name", "place"]))
+
+
+_REPOINTED = "SELECT coalesce(m.survivor, l.application_id) AS application_id, l.unit_id, min(l.id) AS id, arg_max(l.position, CASE WHEN l.position <> '' THEN l.id END) AS position FROM {links} l LEFT JOIN {mapping} m ON m.loser = l.application_id GROUP BY 1, 2"
+_MAKES = {"Brand#11": "Brand#12"}
+_PAIRS = [("Brand#21", "Brand#22")]
+
+
+@query("L03", f"""WITH a AS (SELECT id, CASE make WHEN 'Brand#11' THEN 'Brand#12' ELSE make END AS make, model, engine, year FROM applications),
+m1 AS (SELECT v.id AS loser, b.id AS survivor FROM a v JOIN (SELECT model, engine, year, min(id) AS id FROM a WHERE make = 'Brand#21' GROUP BY 1, 2, 3) b USING (model, engine, year) WHERE v.make = 'Brand#22'),
+a1 AS (SELECT * FROM a WHERE id NOT IN (SELECT loser FROM m1)), m2 AS (SELECT id AS loser, s AS survivor FROM (SELECT id, min(id) OVER (PARTITION BY make, model, engine, year) AS s FROM a1) WHERE id <> s),
+l1 AS ({_REPOINTED.format(links="application_units", mapping="m1")}), l2 AS ({_REPOINTED.format(links="l1", mapping="m2")})
+SELECT 'application' AS kind, id, make, model, NULL::bigint AS application_id, NULL::bigint AS unit_id, NULL AS position FROM a1 WHERE id NOT IN (SELECT loser FROM m2) UNION ALL SELECT 'link', id, NULL, NULL, application_id, unit_id, position FROM l2""")
+def l03(spark: SparkSession, sf: str) -> DataFrame:
+    """Models come with spare spaces and a full stop, which the clean-up takes off again."""
+    untidy = frame(spark, sf, "applications").withColumn("model", F.concat(F.regexp_replace("model", " ", "   "), F.lit(".")))
+    apps, links = L.cleanup_applications(untidy, frame(spark, sf, "application_units"), _MAKES, _PAIRS)
+    return stacked(application=apps.select("id", "make", "model"), link=links.select("id", "application_id", "unit_id", "position"))
+
+
+@query("L10", """WITH n AS (SELECT id, unit_id, cross_ref_number, notes, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa-Romeo' WHEN '10346 Ford' THEN '10346 FORD' WHEN 'BOSCH-' THEN 'Bosch-' ELSE interchange_type END AS maker FROM cross_references)
+SELECT id, maker FROM (SELECT id, maker, row_number() OVER (PARTITION BY unit_id, cross_ref_number, maker ORDER BY length(notes) DESC, id) AS k FROM n) WHERE k = 1""")
+def l10(spark: SparkSession, sf: str) -> DataFrame:
+    """FORD and WAI are short words in capitals, which stay so wherever they stand."""
+    return L.normalize_makers(frame(spark, sf, "cross_references"), rules.MAKER_ACRONYMS).select("id", F.col("interchange_type").alias("maker"))
+
+
+def _rewritten_sql(source: str, column: str, value: str, unique: str, name: str) -> str:
+    return f"""{name}x AS (SELECT * REPLACE (coalesce({value}, {column}) AS {column}), coalesce({value}, {column}) <> {column} AS moves FROM {source}),
+{name} AS (SELECT * EXCLUDE (moves, taken, k) FROM (SELECT *, max(NOT moves) OVER (PARTITION BY {column}, {unique}) AS taken, row_number() OVER (PARTITION BY {column}, {unique}, moves ORDER BY id) AS k FROM {name}x) WHERE NOT moves OR (NOT taken AND k = 1))"""
+
+
+_OPEN = "CASE WHEN contains(n, '(') AND NOT contains(n, ')') THEN nullif(trim(regexp_replace(n, '\\s*\\([^)]*$', '')), '') END"
+_PAGE = "nullif(trim(regexp_replace(n, '(?i)\\s+Pg\\.\\s*\\d+\\s*$', '')), '')"
+_BASE = "nullif(trim(regexp_extract(n, '^(.+?)\\s+\\(([^)]+)\\)(.*)$', 1)), '')"
+
+
+@query("L13", f"""WITH c AS (SELECT id, unit_id, CASE WHEN id % 97 = 0 THEN 'Pg. 17' ELSE cross_ref_number END AS n, interchange_type AS t FROM cross_references),
+{_rewritten_sql("c", "n", _OPEN, "unit_id, t", "s0")}, {_rewritten_sql("s0", "n", _PAGE, "unit_id, t", "s1")}, s2 AS (SELECT *, lower(coalesce(t, '')) AS brand FROM s1 WHERE NOT regexp_matches(n, '(?i)^\\s*Pg\\.\\s*\\d+\\s*$')),
+s3 AS (SELECT id, unit_id, n, t FROM s2 s WHERE NOT EXISTS (SELECT 1 FROM (SELECT id, unit_id, brand, {_BASE} AS base FROM s2) a WHERE a.unit_id = s.unit_id AND a.brand = s.brand AND a.base = s.n AND a.id <> s.id)),
+{_rewritten_sql("s3", "t", "CASE t WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' END", "unit_id, n", "s4")}
+SELECT id, unit_id, n AS number, t AS maker FROM s4 s WHERE NOT (t = '10346 Ford' AND EXISTS (SELECT 1 FROM s4 b WHERE b.t = 'FORD' AND b.unit_id = s.unit_id AND b.n = s.n))""")
+def l13(spark: SparkSession, sf: str) -> DataFrame:
+    """All five steps. Some numbers are made mere page references."""
+    x = frame(spark, sf, "cross_references").select("id", "unit_id", F.when(F.col("id") % 97 == 0, "Pg. 17").otherwise(F.col("cross_ref_number")).alias("cross_ref_number"), "interchange_type")
+    out = L.cleanup_xrefs(x, {"ALFA ROMEO": "Alfa Romeo", "Alfa-romeo.": "Alfa Romeo"}, [("FORD", "10346 Ford")])
+    return out.select("id", "unit_id", F.col("cross_ref_number").alias("number"), F.col("interchange_type").alias("maker"))
+
+
+_GENERATORS = ", ".join(f"'{m}'" for m in rules.GENERATOR_MAKERS)
+
+
+@query("L14", f"""WITH u AS (SELECT *, yt_number = '' AND manufacturer = '' AND category = '' AS bare, regexp_replace(trim(unit_number), ',+$', '') AS clean FROM loose_units),
+m AS (SELECT u.id AS loser, k.id AS survivor FROM u JOIN (SELECT unit_number, min(id) AS id FROM loose_units GROUP BY 1) k ON k.unit_number = u.clean WHERE NOT bare AND ends_with(u.unit_number, ',')),
+l AS (SELECT a.id, a.application_id, coalesce(m.survivor, a.unit_id) AS unit_id, m.loser IS NOT NULL AS moves FROM application_units a LEFT JOIN m ON m.loser = a.unit_id),
+r AS (SELECT *, max(NOT moves) OVER (PARTITION BY unit_id, application_id) AS taken, row_number() OVER (PARTITION BY unit_id, application_id, moves ORDER BY id) AS k FROM l),
+s AS (SELECT id, bare, yt_number, CASE WHEN NOT bare THEN clean ELSE unit_number END AS unit_number, CASE WHEN bare OR category <> '' THEN category WHEN upper(trim(family)) = 'TILT&TRIM' THEN 'Motor' WHEN upper(trim(family)) IN ('DD', 'PMGR') THEN 'Starter'
+  WHEN regexp_matches(trim(yt_number), '^[45][0-9]{{5}}$') THEN 'Generator' WHEN regexp_matches(trim(yt_number), '^[0-9]{{6,}}$') AND manufacturer IN ({_GENERATORS}) THEN 'Generator' WHEN unit_type <> '' THEN unit_type WHEN manufacturer = 'Romaine Electric' THEN 'Alternator' ELSE '' END AS category
+  FROM u WHERE id NOT IN (SELECT loser FROM m)),
+h AS (SELECT cross_ref_number AS unit_number, arg_min(s.yt_number, s.id) AS yt FROM cross_references c JOIN s ON s.id = c.unit_id WHERE s.yt_number <> '' GROUP BY 1),
+f AS (SELECT s.id, s.unit_number, s.category, CASE WHEN s.bare OR s.yt_number <> '' OR s.unit_number = '' THEN s.yt_number WHEN s.category = 'Motor' AND regexp_matches(s.unit_number, '^45[0-9]{{4}}$') THEN s.unit_number ELSE coalesce(h.yt, '') END AS yt_number FROM s LEFT JOIN h USING (unit_number))
+SELECT 'unit' AS kind, id, unit_number, category, yt_number, NULL::bigint AS unit_id FROM f WHERE lower(unit_number) <> 'test' AND lower(yt_number) <> 'test'
+UNION ALL SELECT 'link', id, NULL, NULL, NULL, unit_id FROM r WHERE (NOT moves OR (NOT taken AND k = 1)) AND unit_id NOT IN (SELECT id FROM f WHERE lower(unit_number) = 'test' OR lower(yt_number) = 'test')""")
+def l14(spark: SparkSession, sf: str) -> DataFrame:
+    units, links = L.cleanup_units(frame(spark, sf, "loose_units"), frame(spark, sf, "cross_references"), frame(spark, sf, "application_units"), rules.GENERATOR_MAKERS)
+    return stacked(unit=units.select("id", "unit_number", "category", "yt_number"), link=links.select("id", "unit_id"))

@@ -156,12 +156,6 @@ def l02(spark: SparkSession, sf: str) -> DataFrame:
     return L.backfill(frame(spark, sf, "parts"), "notes", F.col("voltage"), {"12V": "low.pdf", "24V": "high.pdf"}).select("id", "notes")
 
 
-@query("L03", "SELECT make, model, engine, year, min(id) AS id, count(*) AS merged FROM (SELECT id, CASE make WHEN 'Brand#11' THEN 'Brand#12' ELSE make END AS make, model, engine, year FROM applications) GROUP BY make, model, engine, year")
-def l03(spark: SparkSession, sf: str) -> DataFrame:
-    apps = frame(spark, sf, "applications").withColumn("model", F.concat(F.regexp_replace("model", " ", "   "), F.lit(".")))
-    return L.tidy_applications(apps, {"Brand#11": "Brand#12"})
-
-
 @query("L06", "SELECT unit_id, cross_ref_number, maker, min(id) AS id FROM (SELECT *, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' ELSE interchange_type END AS maker FROM cross_references) GROUP BY 1, 2, 3")
 def l06(spark: SparkSession, sf: str) -> DataFrame:
     renamed = T.renamed(F.col("interchange_type"), {"ALFA ROMEO": "Alfa Romeo", "Alfa-romeo.": "Alfa Romeo"})
@@ -185,24 +179,6 @@ def l09(spark: SparkSession, sf: str) -> DataFrame:
     return L.normalize_applications(frame(spark, sf, "applications"))
 
 
-@query("L10", "SELECT unit_id, cross_ref_number, CASE interchange_type WHEN 'WAI' THEN 'WAI' WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa-Romeo' WHEN 'FORD' THEN 'Ford' WHEN 'BOSCH-' THEN 'Bosch-' ELSE interchange_type END AS maker, first(id ORDER BY length(notes) DESC, id) AS id FROM cross_references GROUP BY 1, 2, 3")
-def l10(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frame(spark, sf, "cross_references").withColumn("maker", T.maker_name(F.col("interchange_type"), {"WAI": "WAI"}))
-    return R.first_of(rows, ["unit_id", "cross_ref_number", "maker"], [F.length("notes").desc(), F.col("id")]).select("unit_id", "cross_ref_number", "maker", "id")
-
-
-@query("L13", r"SELECT unit_id, number, min(id) AS id, count(*) AS merged FROM (SELECT id, unit_id, regexp_replace(CASE WHEN contains(n, '(') AND NOT contains(n, ')') THEN regexp_replace(n, '\s*\([^)]*$', '') ELSE n END, '^(.+?)\s+\(([^)]+)\)(.*)$', '\1') AS number FROM (SELECT id, unit_id, regexp_replace(cross_ref_number, '(?i)\s+Pg\.\s*\d+\s*$', '') AS n FROM cross_references)) GROUP BY unit_id, number")
-def l13(spark: SparkSession, sf: str) -> DataFrame:
-    n = T.drop_open_paren(T.drop_page_reference(F.col("cross_ref_number")))
-    return frame(spark, sf, "cross_references").withColumn("n", n).groupBy("unit_id", F.coalesce(T.annotation(F.col("n"))["base"], "n").alias("number")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
-
-
-@query("L14", "SELECT id, CASE WHEN yt_number <> '' THEN yt_number ELSE coalesce((SELECT min(j.yt_number) FROM units j WHERE j.unit_type = u.unit_type AND j.yt_number <> ''), '') END AS yt_number FROM units u")
-def l14(spark: SparkSession, sf: str) -> DataFrame:
-    known = frame(spark, sf, "units").where("yt_number <> ''").groupBy("unit_type").agg(F.min("yt_number").alias("known"))
-    return frame(spark, sf, "units").join(known, "unit_type", "left").select("id", F.coalesce(T.nullif_blank(F.col("yt_number")), "known", F.lit("")).alias("yt_number"))
-
-
 @query("L15", f"SELECT kept AS id FROM ({_PAIRS}) UNION ALL SELECT min(id) FROM substitutes WHERE substitute_unit_id IS NULL GROUP BY unit_id, substitute_number")
 def l15(spark: SparkSession, sf: str) -> DataFrame:
     s = frame(spark, sf, "substitutes")

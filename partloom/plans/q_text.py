@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.functions import lines as L, money as M, rules, text as T, years as Y
+from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.registry import query, table
 
@@ -153,13 +154,8 @@ _GEN = ", ".join(f"'{m}'" for m in rules.GENERATOR_MAKERS)
 @query("H19", f"""SELECT id, CASE WHEN upper(trim(family)) = 'TILT&TRIM' THEN 'Motor' WHEN upper(trim(family)) IN ('DD', 'PMGR') THEN 'Starter' WHEN regexp_matches({_YT}, '^[45][0-9]{{5}}$') THEN 'Generator'
 WHEN regexp_matches({_YT}, '^[0-9]{{6,}}$') AND manufacturer IN ({_GEN}) THEN 'Generator' WHEN unit_type <> '' THEN unit_type WHEN manufacturer = 'Romaine Electric' THEN 'Alternator' ELSE '' END AS category FROM units""")
 def h19(spark: SparkSession, sf: str) -> DataFrame:
-    family, yt = F.upper(F.trim("family")), F.expr(_YT)
-    category = (
-        F.when(family == "TILT&TRIM", "Motor").when(family.isin("DD", "PMGR"), "Starter").when(yt.rlike(r"^[45]\d{5}$"), "Generator")
-        .when(yt.rlike(r"^\d{6,}$") & F.col("manufacturer").isin(*rules.GENERATOR_MAKERS), "Generator").when(F.col("unit_type") != "", F.col("unit_type"))
-        .when(F.col("manufacturer") == "Romaine Electric", "Alternator").otherwise("")
-    )
-    return frame(spark, sf, "units").select("id", category.alias("category"))
+    u = frame(spark, sf, "units").withColumn("yt_number", F.expr(_YT))
+    return u.select("id", L.unit_category(rules.GENERATOR_MAKERS).alias("category"))
 
 
 @query("H20", "SELECT pos, CASE WHEN contains(options, 'Manual') THEN 'Manual' WHEN contains(options, 'Automatic') THEN 'Automatic' ELSE '' END AS token, array_to_string(list_filter(list_transform(string_split(options, ';'), lambda x: trim(x)), lambda x: x NOT IN ('Automatic', 'Manual')), ';') AS rest FROM staging_applications")
