@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from partloom.functions.text import strip
+from partloom.functions.text import strip, title_case
 
 
 def interchange_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,21 +40,101 @@ def rejoin(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(text, "\n"), start, fold, end), "\n")
 
 
-#: An engine size and the years at a line's end, the rightmost that fit.
-_YEARS = r"((?:19|20)\d{2}(?:\s*-\s*(?:(?:19|20)\d{2}|\d{2}))?)"
-_ENGINE = r"(\d+\.\d+L|\d+\s*cyl|V\d+)"
+_YEARS = r"\d{4}-\d{4}"
+#: Where a model ends and its engine begins.
+_ENGINE = r"\b(?:[LVH]\d\s+\d+\.\d+L\b|\d+\.\d+L\b|Diesel\b|Turbo\b|Gas\b)"
+_SUBSTITUTE = r"YouTech\s*:\s*\d{5,}"
 
 
-def application_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, make, model, engine, year) of blocks: a line without a year names the make, those with one a model, engine and year."""
-    rows = df.select(key, F.posexplode(F.split(rejoin(F.col(text)), "\n")).alias("at", "line")).withColumn("line", strip(F.col("line"))).where("line <> ''")
-    years = F.regexp_extract_all("line", F.lit(_YEARS), F.lit(1))
-    year = F.when(F.size(years) > 0, F.element_at(years, -1))
-    above = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("year", year).withColumn("make", F.last(F.when(F.col("year").isNull(), F.col("line")), ignorenulls=True).over(above))
-    head = strip(F.expr("substring(line, 1, length(line) - length(substring_index(line, year, -1)) - length(year))"))
-    engine = F.regexp_extract(head, rf"(?i){_ENGINE}", 1)
-    return (
-        rows.where("year IS NOT NULL").withColumn("head", head).withColumn("engine", engine)
-        .select(key, F.coalesce("make", F.lit("")).alias("make"), strip(F.expr("replace(head, engine, '')")).alias("model"), "engine", F.regexp_replace("year", r"\s*-\s*", "-").alias("year"))
-    )
+def _leaks(line: Column) -> Column:
+    """Whether a line of applications is one of interchange numbers."""
+    listed = line.rlike(r"^[A-Z][\w\s&.]*:\s*[\w-]+.*\|") | (line.rlike(r"\|.*\|") & line.contains(":"))
+    return ~line.rlike(_YEARS) & ~line.contains(";") & listed
+
+
+def _read_block(text: Column, attributes: list[str]) -> Column:
+    """Structs (make, text) of a block: the makes with the text of their models, lines of other sections left out."""
+    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
+    pair = "array<struct<make:string,text:string>>"
+
+    def flushed(s: Column) -> Column:
+        return F.concat(s["out"], F.array(F.struct(s["make"].alias("make"), s["held"].alias("text"))))
+
+    def state(make: Column, held: Column, out: Column, skip: Column) -> Column:
+        return F.struct(make.alias("make"), held.alias("held"), out.alias("out"), skip.alias("skip"))
+
+    def step(s: Column, line: Column) -> Column:
+        no = F.lit(False)
+        name = F.regexp_replace(F.regexp_replace(F.lower(line), " ", "_"), "-", "_")
+        other = _leaks(line) | line.rlike(f"^{_SUBSTITUTE}")
+        open_make = (s["make"] != "") & (s["held"] == "")
+        bracket = open_make & line.rlike(r"^\(.+\)$")
+        plain = ~line.rlike(_YEARS) & ~line.contains(";")
+        wrapped = open_make & (line.rlike("^[-&/]") | (plain & ~line.rlike(r"\d") & (F.length(line) < 40)))
+        make = line.rlike("^[A-Za-z]") & plain & ~line.rlike(r"\d{2,}[A-Z]") & (F.length(line) < 80)
+        ends = (s["make"] != "") & (s["held"] != "")
+        longer = F.concat(s["make"], F.lit(" "), line)
+        new_make = state(title_case(line), F.when(ends, "").otherwise(s["held"]), F.when(ends, flushed(s)).otherwise(s["out"]), no)
+        model = state(s["make"], F.when(s["held"] == "", line).otherwise(F.concat(s["held"], F.lit(" "), line)), s["out"], no)
+        return (
+            F.when(other, s)
+            .when(name.isin(attributes), state(s["make"], s["held"], s["out"], F.lit(True)))
+            .when(s["skip"], state(s["make"], s["held"], s["out"], no))
+            .when(bracket, state(title_case(longer), s["held"], s["out"], no))
+            .when(wrapped, state(longer, s["held"], s["out"], no))
+            .when(make, new_make)
+            .otherwise(model)
+        )
+
+    start = state(F.lit(""), F.lit(""), F.array().cast(pair), F.lit(False))
+    end = lambda s: F.when((s["make"] != "") & (s["held"] != ""), flushed(s)).otherwise(s["out"])
+    return F.when(~text.rlike(_YEARS) & text.rlike(_SUBSTITUTE), F.array().cast(pair)).otherwise(F.aggregate(lines, start, step, end))
+
+
+def application_blocks(df: DataFrame, key: str, text: str, attributes: list[str]) -> DataFrame:
+    """(key, make, model, engine, year) of application texts: lines of makes, each with entries `model engine years` that semicolons part.
+
+    A make may go on in the next lines. The years are the rightmost of an entry. Leaked lines of interchanges and substitutes, and names of
+    attributes with the line of their value, are left out; so are entries without a model.
+    """
+    blocks = df.select(key, F.explode(_read_block(F.col(text), attributes)).alias("b")).select(key, "b.make", F.explode(F.split("b.text", ";")).alias("entry"))
+    entry = blocks.withColumn("entry", strip(F.col("entry"))).where("entry <> ''")
+    years = F.regexp_extract_all("entry", F.lit(f"({_YEARS})"), F.lit(1))
+    rows = entry.withColumn("year", F.when(F.size(years) > 0, F.element_at(years, -1)).otherwise(""))
+    tail = F.length(F.element_at(F.split("entry", _YEARS), -1)) + 9
+    head = F.when(F.col("year") == "", F.col("entry")).otherwise(strip(F.substring(F.col("entry"), F.lit(1), F.length("entry") - tail)))
+    rows = rows.withColumn("head", head)
+    before = F.split("head", _ENGINE, 2)[0]
+    model = F.regexp_replace(strip(before), ",+$", "")
+    engine = strip(F.substring(F.col("head"), F.length(before) + 1, F.length("head")))
+    return rows.select(key, "make", F.substring(model, 1, 150).alias("model"), F.substring(engine, 1, 150).alias("engine"), F.substring("year", 1, 50).alias("year")).where("model <> ''")
+
+
+def application_lines(lines: Column) -> Column:
+    """Structs (make, model) of the lines of an application section.
+
+    A line with years, or a word for all models, ends an entry; those before it are the make. Such a line without a make goes on with the
+    model before, as does a bare year.
+    """
+    pair = "array<struct<make:string,model:string>>"
+
+    def step(s: Column, raw: Column) -> Column:
+        line = strip(raw)
+        ends = line.rlike(_YEARS) | line.isin("All Models", "Various", "Salt Spreader", "All") | (line.contains(";") & (F.length(line) > 8))
+        more = (s["make"] == "") & (F.size(s["out"]) > 0) & (ends | line.rlike(r"^\d{4}$"))
+        last = F.element_at(s["out"], -1)
+        joined = F.concat(last["model"], F.when(last["model"].endswith("-"), "").otherwise(" "), line)
+        grown = F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(F.struct(last["make"].alias("make"), joined.alias("model"))))
+        added = F.concat(s["out"], F.array(F.struct(s["make"].alias("make"), line.alias("model"))))
+        make = F.when(s["make"] == "", line).otherwise(F.concat(s["make"], F.lit(" "), line))
+        state = lambda m, out: F.struct(m.alias("make"), out.alias("out"))
+        return F.when(more, state(F.lit(""), grown)).when(ends, state(F.lit(""), added)).otherwise(state(make, s["out"]))
+
+    start = F.struct(F.lit("").alias("make"), F.array().cast(pair).alias("out"))
+    left = lambda s: F.struct(strip(s["make"]).alias("make"), F.lit("").alias("model"))
+    return F.aggregate(lines, start, step, lambda s: F.when(strip(s["make"]) != "", F.concat(s["out"], F.array(left(s)))).otherwise(s["out"]))
+
+
+def numbers_in(c: Column, pattern: str) -> Column:
+    """All part numbers in a text that have the form of a catalog's."""
+    return F.regexp_extract_all(c, F.lit(pattern), F.lit(1))

@@ -75,3 +75,21 @@ MAKER_ACRONYMS = [
     "WAI", "PIC", "OEM", "GM", "BMW", "MES", "EGI", "API", "TSA", "MGU", "BEPCO", "BBB", "ACDelco", "NAPA", "OE", "AC", "DC", "LRI", "SAE",
     "IMS", "JD", "GMC", "DRI", "SEG", "CAE",
 ]
+
+# Names of attributes that leak into application texts; the value is on the next line.
+ATTRIBUTE_NAMES = [
+    "manufacture", "oe_manufacturer", "family", "voltage", "mounting_type", "series", "amperage_rating", "fan_type", "regulator_type",
+    "rotation_direction", "ground_type", "ground_polarity", "mounting_ear_quantity", "plug_type", "plug_clock_rear_view",
+    "plug_clock_rear_view_main_mounting_ear_at", "pulley_belt_type", "pulley_groove_quantity", "pulley_class", "pulley_outside_diameter",
+    "outside_diameter", "decoupled", "decoupled_or_clutch_pulley", "stator_type", "stator_leads", "circuit_type", "generator_rotation",
+    "starter_rotation", "design", "power_rating", "kw", "tooth_quantity", "case_grounding", "nose_cone_type", "over-crank_protection",
+    "solenoid_attached", "re-clockable_flange", "spline_quantity", "starter_drive_housing_position", "mounting_bolt_hole_quantity",
+    "mounting_hardware_included", "mounting_shims_included",
+]
+
+# What part numbers of three catalogs look like: within a line, and for the third as a whole word.
+NUMBER_PATTERNS = {
+    "jn": r"(?<![A-Z0-9])(\d{3}-[0-9A-Z]{4,8}\*?)(?![A-Z0-9])",
+    "metro": r"(?<![A-Z0-9])(\d{2}-(?=[0-9A-Z-]*\d)[0-9A-Z]{3,}(?:-[0-9A-Z]+)*\*?)(?![A-Z0-9])",
+    "transpo": r"^(?=.*[A-Z])(?=.*\d)([A-Z0-9-]{3,20})$",
+}

@@ -229,17 +229,6 @@ def l27(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "staging_interchange").select("pos", "our_number").join(one, "our_number", "left").select("pos", "part_id")
 
 
-@query("L29", "SELECT id, CASE WHEN notes = '' THEN 'fits ' || make ELSE notes || chr(10) || 'fits ' || make END AS notes, make, model, '200' || cast(id % 9 AS string) AS year FROM parts JOIN (SELECT id AS aid, make, model FROM applications) ON aid = id")
-def l29(spark: SparkSession, sf: str) -> DataFrame:
-    """A note for each application line of a sheet, and the line itself read as make, model and year."""
-    from partloom.functions.lines import application_blocks
-
-    block = F.concat("make", F.lit("\n"), "model", F.lit(" 200"), (F.col("id") % 9).cast("string"))
-    apps = application_blocks(frame(spark, sf, "applications").select("id", block.alias("text")), "id", "text").drop("engine")
-    parts = frame(spark, sf, "parts").select("id", "notes").join(apps, "id")
-    return parts.withColumn("notes", T.append_text(F.col("notes"), F.concat(F.lit("fits "), "make")))
-
-
 @query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
 def l31(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_interchange(routed(spark, sf))
