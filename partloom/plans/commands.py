@@ -610,3 +610,74 @@ def fill_oem_numbers(parts: DataFrame, interchanges: DataFrame, sources: dict[st
             "voltage": F.when(F.col("voltage") == "", F.coalesce("_linked", "_owned", F.lit(""))).otherwise(F.col("voltage")),
         }
     ).select(*parts.columns)
+
+
+def cleanup_leaked_parts(parts: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parts, items): parts whose yt number holds a leaked list deleted with their items; with only the name leaked, deleted too if they have items, else blanked."""
+    leaked = lambda c: F.coalesce(F.col(c).contains("|"), F.lit(False))
+    used = items.where("part_id IS NOT NULL").select(F.col("part_id").alias("id")).distinct().withColumn("_used", F.lit(True))
+    marked = cut_lineage(parts.join(used, "id", "left").withColumn("_gone", leaked("yt_number") | (leaked("part_name") & F.coalesce("_used", F.lit(False)))))
+    left = K.set_where(marked.where(~F.col("_gone")), leaked("part_name"), part_name=F.lit(""), notes=F.lit(""))
+    return left.select(*parts.columns), K.cascade(items, marked.where("_gone"), "part_id")
+
+
+def import_components(staged: DataFrame, xrefs: DataFrame, links: DataFrame, parts: DataFrame, known: DataFrame, known_links: DataFrame, units: DataFrame) -> dict[str, DataFrame]:
+    """Components by yt number: parts created or completed, and the interchanges and unit links that they lack.
+
+    xrefs are (pos, yt_number, number, maker), links (pos, yt_number, unit_number), known (yt_number, number, maker), known_links (yt_number, unit_id).
+    """
+    norm = lambda df, *cols: df.withColumns({c: T.normalize_space(F.col(c)) for c in cols})
+    part = cut_lineage(staged_entities(norm(staged, "yt_number", "part_name", "category"), parts, "yt_number", ["part_name", "category"]))
+    have = part.select("yt_number")
+    xref = new_relations(norm(xrefs, "yt_number", "number", "maker").where("number <> ''").join(have, "yt_number", "left_semi"), known, ["yt_number", "number", "maker"])
+    unit = units.where("unit_number IS NOT NULL").groupBy(T.normalize_space(F.col("unit_number")).alias("unit_number")).agg(F.max("id").alias("unit_id"))
+    link = new_relations(norm(links, "yt_number", "unit_number").join(have, "yt_number", "left_semi").join(unit, "unit_number"), known_links, ["yt_number", "unit_id"])
+    return {"part": part, "interchange": xref.select("yt_number", "number", "maker"), "link": link.select("yt_number", "unit_id")}
+
+
+def import_by_references(staged: DataFrame, refs: DataFrame, known: DataFrame, identifiers: DataFrame, interchanges: DataFrame, source: str) -> dict[str, DataFrame]:
+    """A catalog's parts, and the interchanges of all their references, with the part that a number alone names. Notes tell the source, type and number."""
+    norm = lambda df, *cols: df.withColumns({c: T.normalize_space(F.col(c)) for c in cols})
+    clean = norm(staged, "number", "part_name", "category", "code", "maker").withColumn("category", F.coalesce(T.nullif_blank(F.col("category")), F.col("code")))
+    part = cut_lineage(staged_entities(clean, known, "number", ["part_name", "category", "maker"]))
+    first = R.first_of(clean.where("number <> ''"), ["number"], [F.col("pos")]).select("number", F.coalesce(T.nullif_blank(F.col("part_name")), F.col("number")).alias("_first"))
+    part = part.join(first, "number").withColumn("part_name", F.when(F.col("change") == "created", F.col("_first")).otherwise(F.col("part_name"))).drop("_first")
+    rows = norm(refs, "number", "ref_number", "ref_type", "notes").where("ref_number <> ''").join(part.select("number"), "number", "left_semi")
+    kind = F.lower(F.coalesce(T.nullif_blank(F.col("ref_type")), F.lit("reference")))
+    told = F.concat(F.lit(f"{source} "), kind, F.lit(": "), "ref_number", F.when(F.col("notes") != "", F.concat(F.lit(" | "), "notes")).otherwise(""))
+    new = new_relations(rows.withColumn("text", told), interchanges, ["number", "ref_number"])
+    target = identifiers.select(F.col("identifier").alias("ref_number"), F.col("id").alias("other"))
+    return {"part": part, "interchange": new.join(target, "ref_number", "left").select("number", "ref_number", "other", F.col("text").alias("notes"))}
+
+
+def import_boms(products: DataFrame, rows: DataFrame, refs: DataFrame, units: DataFrame, boms: DataFrame, parts: DataFrame) -> dict[str, DataFrame]:
+    """BOMs of units by their numbers: headers created or completed, items with their parts, stub parts, and labelled cross references.
+
+    products are (name, description), rows (pos, name, text, qty, jn, oem), refs (pos, name, ref_type, maker, ref_number), units (number, id), boms (name, id, unit_id,
+    description), parts (id, j_and_n, oem_number). A part is found by jn, else by oem; qty that is no number is 1.
+    """
+    unit = units.where("number <> ''").groupBy("number").agg(F.max("id").alias("_unit"))
+    old = boms.groupBy("name").agg(F.min("id").alias("id"), F.min_by("unit_id", "id").alias("unit_id"), F.min_by("description", "id").alias("_old"))
+    both = products.join(unit.withColumnRenamed("number", "name"), "name", "left").join(old, "name", "left")
+    text, owner = F.coalesce(T.nullif_blank(F.col("_old")), "description", F.lit("")), F.coalesce("unit_id", "_unit")
+    differs = (text != F.coalesce("_old", F.lit(""))) | (F.col("unit_id").isNull() & F.col("_unit").isNotNull())
+    change = F.when(F.col("id").isNull(), "created").when(differs, "updated").otherwise("kept")
+    header = cut_lineage(both.select("name", "id", owner.alias("unit_id"), text.alias("description"), change.alias("change")))
+    by = lambda c: parts.where(F.coalesce(c, F.lit("")) != "").groupBy(F.col(c).alias("number")).agg(F.max("id").alias("part_id"))
+    known = by("j_and_n").withColumn("by", F.lit("jn")).unionByName(by("oem_number").withColumn("by", F.lit("oem")))
+    clean = rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("jn", "oem", "text")}).withColumns(
+        {"by": F.when(F.col("jn") != "", "jn").otherwise("oem"), "number": F.coalesce(T.nullif_blank(F.col("jn")), "oem")}
+    )
+    item = clean.where("number <> ''").join(header.select("name"), "name", "left_semi").join(known, ["number", "by"], "left")
+    item = item.withColumn("qty", F.coalesce(F.col("qty").try_cast("int"), F.lit(1)))
+    stub = R.first_of(item.where("part_id IS NULL"), ["number"], [F.col("pos")]).select("number", F.col("text").alias("label"))
+    every = unit.select(F.col("number").alias("name"), F.col("_unit").alias("unit_id"))
+    named = refs.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("maker", "ref_number")}).where("ref_number <> ''").join(every, "name")
+    label = lambda word: F.concat(F.lit(word), F.when(F.col("maker") != "", F.concat(F.lit(": "), "maker")).otherwise(""))
+    kind = F.when(F.col("ref_type") == "substitute", label("Substitute")).when(F.col("ref_type") == "superseded_by", "Superseded By").otherwise(label("Reference"))
+    xref = R.first_of(named.withColumn("label", kind), ["unit_id", "ref_number", "label"], [F.col("pos")])
+    xref = xref.join(unit.select(F.col("number").alias("ref_number"), F.col("_unit").alias("other")), "ref_number", "left").withColumn("other", F.nullif("other", "unit_id"))
+    return {
+        "bom": header, "item": item.select("pos", "name", "number", "part_id", "qty"), "part": stub,
+        "xref": xref.select("unit_id", F.col("ref_number").alias("number"), "label", "other"),
+    }

@@ -428,3 +428,91 @@ UNION ALL SELECT 'link', id, NULL, NULL, NULL, unit_id FROM r WHERE (NOT moves O
 def l14(spark: SparkSession, sf: str) -> DataFrame:
     units, links = L.cleanup_units(frame(spark, sf, "loose_units"), frame(spark, sf, "cross_references"), frame(spark, sf, "application_units"), rules.GENERATOR_MAKERS)
     return stacked(unit=units.select("id", "unit_number", "category", "yt_number"), link=links.select("id", "unit_id"))
+
+
+_LEAKED = "(SELECT id, CASE WHEN id % 6 = 1 THEN 'Bosch: 1 | ' || yt_number ELSE yt_number END AS yt_number, CASE WHEN id % 5 = 2 THEN part_name || ' | Delco: 2' ELSE part_name END AS part_name, notes FROM parts)"
+_FEW_ITEMS = "(SELECT id, part_id FROM bom_items WHERE part_id IS NULL OR part_id % 3 = 0)"
+
+
+@query("L07", f"""WITH p AS (SELECT *, contains(yt_number, '|') OR (contains(part_name, '|') AND id IN (SELECT part_id FROM {_FEW_ITEMS} WHERE part_id IS NOT NULL)) AS gone FROM {_LEAKED})
+SELECT 'part' AS kind, id, CASE WHEN contains(part_name, '|') THEN '' ELSE part_name END AS part_name, CASE WHEN contains(part_name, '|') THEN '' ELSE notes END AS notes FROM p WHERE NOT gone
+UNION ALL SELECT 'item', id, NULL, NULL FROM {_FEW_ITEMS} i WHERE part_id IS NULL OR part_id NOT IN (SELECT id FROM p WHERE gone)""")
+def l07(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists leaked into some parts' numbers and names; a third of the parts has items."""
+    yt = F.when(F.col("id") % 6 == 1, F.concat(F.lit("Bosch: 1 | "), "yt_number")).otherwise(F.col("yt_number"))
+    name = F.when(F.col("id") % 5 == 2, F.concat("part_name", F.lit(" | Delco: 2"))).otherwise(F.col("part_name"))
+    items = frame(spark, sf, "bom_items").select("id", "part_id").where("part_id IS NULL OR part_id % 3 = 0")
+    parts, items = L.cleanup_leaked_parts(frame(spark, sf, "parts").select("id", yt.alias("yt_number"), name.alias("part_name"), "notes"), items)
+    return stacked(part=parts.drop("yt_number"), item=items.select("id"))
+
+
+@query("L22", """WITH s AS (SELECT pos, yt_part AS yt_number, part_name, CASE WHEN pos % 3 = 0 THEN '' ELSE 'Kits' END AS category FROM staging_bom WHERE yt_part <> ''),
+f AS (SELECT yt_number, arg_min(part_name, pos) FILTER (part_name <> '') AS part_name, arg_min(category, pos) FILTER (category <> '') AS category FROM s GROUP BY 1),
+o AS (SELECT yt_number, max(id) AS id, arg_max(part_name, id) AS part_name, arg_max(category, id) AS category FROM (SELECT id, yt_number, CASE WHEN id % 2 = 0 THEN '' ELSE part_name END AS part_name, CASE WHEN id % 3 = 0 THEN '' ELSE category END AS category FROM parts) GROUP BY 1),
+x AS (SELECT our_number AS yt_number, their_number AS number, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker FROM staging_interchange WHERE our_number IN (SELECT yt_number FROM f) AND their_number <> '')
+SELECT 'part' AS kind, f.yt_number, o.id, coalesce(nullif(o.part_name, ''), f.part_name, '') AS label, coalesce(nullif(o.category, ''), f.category, '') AS maker,
+  CASE WHEN o.id IS NULL THEN 'created' WHEN (o.part_name = '' AND f.part_name <> '') OR (o.category = '' AND f.category <> '') THEN 'updated' ELSE 'kept' END AS change FROM f LEFT JOIN o USING (yt_number)
+UNION ALL SELECT DISTINCT 'interchange', yt_number, NULL::bigint, number, maker, NULL FROM x WHERE NOT EXISTS (SELECT 1 FROM part_interchanges i JOIN parts p ON p.id = i.part_id WHERE p.yt_number = x.yt_number AND i.interchange_number = x.number AND i.source_name = x.maker)
+UNION ALL SELECT DISTINCT 'link', b.yt_part, u.id, NULL, NULL, NULL FROM staging_bom b JOIN (SELECT unit_number, max(id) AS id FROM units WHERE unit_number IS NOT NULL GROUP BY 1) u ON u.unit_number = 'U' || substr(b.yt_number, 3)
+  WHERE b.yt_part <> '' AND NOT EXISTS (SELECT 1 FROM part_units k JOIN parts p ON p.id = k.part_id WHERE p.yt_number = b.yt_part AND k.unit_id = u.id)""")
+def l22(spark: SparkSession, sf: str) -> DataFrame:
+    staged = frame(spark, sf, "staging_bom")
+    parts = frame(spark, sf, "parts").select("id", "yt_number", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("part_name")).alias("part_name"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("category")).alias("category"))
+    numbers = parts.select(F.col("id").alias("part_id"), "yt_number").where("yt_number <> ''")
+    known = frame(spark, sf, "part_interchanges").join(numbers, "part_id").select("yt_number", F.col("interchange_number").alias("number"), F.col("source_name").alias("maker"))
+    linked = frame(spark, sf, "part_units").join(numbers, "part_id").select("yt_number", "unit_id")
+    xrefs = frame(spark, sf, "staging_interchange").select("pos", F.col("our_number").alias("yt_number"), F.col("their_number").alias("number"), F.col("manufacturer").alias("maker"))
+    links = staged.where("yt_part <> ''").select("pos", F.col("yt_part").alias("yt_number"), F.concat(F.lit("U"), F.expr("substr(yt_number, 3)")).alias("unit_number"))
+    components = staged.select("pos", F.col("yt_part").alias("yt_number"), "part_name", F.when(F.col("pos") % 3 == 0, "").otherwise("Kits").alias("category"))
+    got = L.import_components(components, xrefs, links, parts, known, linked, frame(spark, sf, "units"))
+    part = got["part"].select("yt_number", "id", F.col("part_name").alias("label"), F.col("category").alias("maker"), "change")
+    return stacked(part=part, interchange=got["interchange"].withColumnRenamed("number", "label"), link=got["link"].withColumnRenamed("unit_id", "id"))
+
+
+@query("L27", f"""WITH s AS (SELECT pos, trim(number) AS number, part_name, coalesce(nullif(category, ''), code) AS category, maker FROM staging_master),
+f AS (SELECT number, arg_min(part_name, pos) AS first_name, arg_min(part_name, pos) FILTER (part_name <> '') AS part_name, arg_min(category, pos) FILTER (category <> '') AS category, arg_min(maker, pos) FILTER (maker <> '') AS maker FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY number, ref_number ORDER BY pos) AS k FROM staging_refs WHERE ref_number <> '' AND number IN (SELECT number FROM f) AND (number, ref_number) NOT IN (SELECT 'J' || cast(part_id AS string), interchange_number FROM part_interchanges))
+SELECT 'part' AS kind, f.number, NULL AS ref_number, k.id AS other, CASE WHEN k.id IS NULL THEN coalesce(nullif(first_name, ''), f.number) ELSE coalesce(nullif(k.part_name, ''), f.part_name, '') END || '/' || coalesce(nullif(k.category, ''), f.category, '') || '/' || coalesce(nullif(k.maker, ''), f.maker, '') AS label,
+  CASE WHEN k.id IS NULL THEN 'created' WHEN (k.part_name = '' AND f.part_name <> '') OR (k.category = '' AND f.category <> '') OR (k.maker = '' AND f.maker <> '') THEN 'updated' ELSE 'kept' END AS notes FROM f LEFT JOIN master_parts k USING (number)
+UNION ALL SELECT 'interchange', number, ref_number, o.id, NULL, 'Metro ' || lower(coalesce(nullif(ref_type, ''), 'reference')) || ': ' || ref_number || CASE WHEN notes <> '' THEN ' | ' || notes ELSE '' END FROM r LEFT JOIN {_ONE} o ON o.identifier = ref_number WHERE k = 1""")
+def l27(spark: SparkSession, sf: str) -> DataFrame:
+    one = R.unambiguous(frame(spark, sf, "parts"), "id", ["part_number", "manufacturer_number", "yt_number", "j_and_n"])
+    have = frame(spark, sf, "part_interchanges").select(F.concat(F.lit("J"), "part_id").alias("number"), F.col("interchange_number").alias("ref_number"))
+    got = L.import_by_references(frame(spark, sf, "staging_master"), frame(spark, sf, "staging_refs"), frame(spark, sf, "master_parts"), one, have, "Metro")
+    part = got["part"].select("number", F.col("id").alias("other"), F.concat_ws("/", "part_name", "category", "maker").alias("label"), F.col("change").alias("notes"))
+    return stacked(part=part, interchange=got["interchange"])
+
+
+_PRODUCTS = "(SELECT CASE WHEN pos <= 29 THEN 'BOM ' || cast(pos AS string) ELSE yt_number END AS name, notes AS description FROM staging_products)"
+
+
+@query("L24", f"""WITH unit AS (SELECT yt_number AS number, max(id) AS id FROM line_units GROUP BY 1), old AS (SELECT name, min(id) AS id, arg_min(unit_id, id) AS unit_id FROM (SELECT id, name, coalesce(unit_id, NULL) AS unit_id FROM boms) GROUP BY 1),
+first AS (SELECT b.name, b.id, b.unit_id FROM boms b JOIN old ON old.id = b.id),
+h AS (SELECT p.name, o.id, coalesce(o.unit_id, u.id) AS unit_id, p.description, CASE WHEN o.id IS NULL THEN 'created' WHEN p.description <> '' OR (o.unit_id IS NULL AND u.id IS NOT NULL) THEN 'updated' ELSE 'kept' END AS change FROM {_PRODUCTS} p LEFT JOIN unit u ON u.number = p.name LEFT JOIN first o ON o.name = p.name),
+known AS (SELECT 'jn' AS by, j_and_n AS number, max(id) AS part_id FROM parts WHERE j_and_n <> '' GROUP BY 2 UNION ALL SELECT 'oem', manufacturer_number, max(id) FROM parts GROUP BY 2),
+r AS (SELECT pos, yt_number AS name, part_name AS text, CASE WHEN pos % 4 = 0 THEN 'as req' ELSE cast(pos % 9 AS string) END AS qty, CASE WHEN pos % 3 = 0 THEN '' ELSE jn_part END AS jn, CASE WHEN pos % 5 = 0 THEN '' ELSE 'MF' || substr(yt_part, 3) END AS oem FROM staging_bom),
+i AS (SELECT pos, name, text, coalesce(try_cast(qty AS int), 1) AS qty, CASE WHEN jn <> '' THEN 'jn' ELSE 'oem' END AS by, CASE WHEN jn <> '' THEN jn ELSE oem END AS number FROM r WHERE (jn <> '' OR oem <> '') AND name IN (SELECT name FROM h)),
+j AS (SELECT i.*, k.part_id FROM i LEFT JOIN known k ON k.by = i.by AND k.number = i.number),
+x AS (SELECT s.pos, u.id AS unit_id, s.ref_number, CASE lower(ref_type) WHEN 'substitute' THEN 'Substitute' WHEN 'superseded_by' THEN 'Superseded By' ELSE 'Reference' END || CASE WHEN lower(ref_type) <> 'superseded_by' AND maker <> '' THEN ': ' || maker ELSE '' END AS label
+  FROM (SELECT pos, 'YT' || substr(number, 2) AS name, CASE WHEN starts_with(ref_number, 'J') THEN 'YT' || substr(ref_number, 2) ELSE ref_number END AS ref_number, ref_type, maker FROM staging_refs WHERE ref_number <> '') s JOIN unit u ON u.number = s.name)
+SELECT 'bom' AS kind, name, id, unit_id AS other, description AS label, change AS number, NULL::int AS qty FROM h UNION ALL SELECT 'item', name, pos, part_id, NULL, number, qty FROM j
+UNION ALL SELECT 'part', NULL, NULL, NULL, arg_min(text, pos), number, NULL FROM j WHERE part_id IS NULL GROUP BY number
+UNION ALL SELECT DISTINCT 'xref', NULL, x.unit_id, CASE WHEN u.id <> x.unit_id THEN u.id END, label, ref_number, NULL FROM x LEFT JOIN unit u ON u.number = x.ref_number""")
+def l24(spark: SparkSession, sf: str) -> DataFrame:
+    """BOMs of units: headers, items with quantities as text, stub parts, and references with labels."""
+    i = F.col("pos")
+    products = frame(spark, sf, "staging_products").select(F.when(i <= 29, F.concat(F.lit("BOM "), i.cast("string"))).otherwise(F.col("yt_number")).alias("name"), F.col("notes").alias("description"))
+    rows = frame(spark, sf, "staging_bom").select(
+        "pos", F.col("yt_number").alias("name"), F.col("part_name").alias("text"), F.when(i % 4 == 0, "as req").otherwise((i % 9).cast("string")).alias("qty"),
+        F.when(i % 3 == 0, "").otherwise(F.col("jn_part")).alias("jn"), F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("MF"), F.expr("substr(yt_part, 3)"))).alias("oem"),
+    )
+    as_unit = lambda c: F.when(F.col(c).startswith("J"), F.concat(F.lit("YT"), F.expr(f"substr({c}, 2)"))).otherwise(F.col(c))
+    refs = frame(spark, sf, "staging_refs").select("pos", as_unit("number").alias("name"), F.lower("ref_type").alias("ref_type"), "maker", as_unit("ref_number").alias("ref_number"))
+    units = frame(spark, sf, "line_units").select(F.col("yt_number").alias("number"), "id")
+    boms = frame(spark, sf, "boms").select("id", "name", "unit_id", F.lit("").alias("description"))
+    parts = frame(spark, sf, "parts").select("id", "j_and_n", F.col("manufacturer_number").alias("oem_number"))
+    got = L.import_boms(products, rows, refs, units, boms, parts)
+    return stacked(
+        bom=got["bom"].select("name", "id", F.col("unit_id").alias("other"), F.col("description").alias("label"), F.col("change").alias("number")),
+        item=got["item"].select("name", F.col("pos").alias("id"), F.col("part_id").alias("other"), "number", "qty"), part=got["part"], xref=got["xref"].withColumnRenamed("unit_id", "id"),
+    )

@@ -162,14 +162,6 @@ def l06(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "cross_references").groupBy("unit_id", "cross_ref_number", renamed.alias("maker")).agg(F.min("id").alias("id"))
 
 
-@query("L07", "SELECT i.id FROM bom_items i WHERE part_id IS NULL OR part_id NOT IN (SELECT id FROM parts WHERE id % 6 = 1)")
-def l07(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts whose number holds a leaked list go, with their BOM items."""
-    number = F.when(F.col("id") % 6 == 1, F.concat(F.lit("Bosch: 1 | "), "part_name")).otherwise(F.col("part_name"))
-    leaked = frame(spark, sf, "parts").where(number.contains("|"))
-    return K.cascade(frame(spark, sf, "bom_items"), leaked, "part_id").select("id")
-
-
 _SEG = "CASE WHEN regexp_matches(y, '^[0-9]{2}-[0-9]{2}$') THEN CASE WHEN a > b THEN (CASE WHEN a >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN b >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) ELSE (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) END ELSE y END"
 
 
@@ -192,14 +184,6 @@ def l20(spark: SparkSession, sf: str) -> DataFrame:
     return K.set_where(frame(spark, sf, "units").join(n, "unit_type_id", "left"), F.col("unit_type") == "", unit_type=F.col("n_name")).select("id", "unit_type")
 
 
-@query("L22", "SELECT DISTINCT p.id AS part_id, u.id AS unit_id FROM staging_interchange s JOIN units u ON u.unit_number = s.our_number JOIN parts p ON p.manufacturer_number = 'MF' || substr(s.their_number, 2)")
-def l22(spark: SparkSession, sf: str) -> DataFrame:
-    s = frame(spark, sf, "staging_interchange")
-    u = frame(spark, sf, "units").where("unit_number IS NOT NULL").select(F.col("unit_number").alias("our_number"), F.col("id").alias("unit_id"))
-    p = frame(spark, sf, "parts").select("manufacturer_number", F.col("id").alias("part_id"))
-    return s.join(u, "our_number").withColumn("manufacturer_number", F.concat(F.lit("MF"), F.expr("substr(their_number, 2)"))).join(p, "manufacturer_number").select("part_id", "unit_id").distinct()
-
-
 @query("L23", "SELECT unit_id, CASE WHEN interchange_type = 'BOSCH-' THEN 'family' ELSE 'interchange' END AS output, count(DISTINCT cross_ref_number) AS n FROM cross_references WHERE NOT contains(cross_ref_number, '|') GROUP BY 1, 2")
 def l23(spark: SparkSession, sf: str) -> DataFrame:
     """Interchanges of a unit; rows of one label are its family instead, and numbers with a leaked list are dropped."""
@@ -207,28 +191,12 @@ def l23(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "cross_references").where(~F.col("cross_ref_number").contains("|")).groupBy("unit_id", output.alias("output")).agg(F.count_distinct("cross_ref_number").alias("n"))
 
 
-@query("L24", "SELECT i.id, p.id AS part_id, coalesce(try_cast(CASE WHEN i.id % 4 = 0 THEN 'as req' ELSE cast(i.unit_qty AS string) END AS int), 1) AS qty FROM bom_items i LEFT JOIN parts p ON p.id = i.part_id AND p.is_active")
-def l24(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.when(F.col("id") % 4 == 0, "as req").otherwise(F.col("unit_qty").cast("string"))
-    p = frame(spark, sf, "parts").where("is_active").select(F.col("id").alias("part_id"), F.col("id").alias("found"))
-    return frame(spark, sf, "bom_items").join(p, "part_id", "left").select("id", F.col("found").alias("part_id"), F.coalesce(raw.try_cast("int"), F.lit(1)).alias("qty"))
-
-
 @query("L26", "SELECT c_custkey, c_name, n_name AS c_nationkey_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
 def l26(spark: SparkSession, sf: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     return L.flatten(read("customer").select("c_custkey", "c_name", "c_nationkey"), {"c_nationkey": (read("nation"), "n_nationkey", "n_name")})
 
 
-_ONE = "(SELECT identifier, min(id) AS id FROM (SELECT id, unnest([manufacturer_number, yt_number, j_and_n]) AS identifier FROM parts) WHERE identifier <> '' GROUP BY 1 HAVING count(DISTINCT id) = 1)"
-
-
-@query("L27", f"SELECT s.pos, o.id AS part_id FROM staging_interchange s LEFT JOIN {_ONE} o ON o.identifier = s.our_number")
-def l27(spark: SparkSession, sf: str) -> DataFrame:
-    one = R.unambiguous(frame(spark, sf, "parts"), "id", ["manufacturer_number", "yt_number", "j_and_n"]).select(F.col("identifier").alias("our_number"), F.col("id").alias("part_id"))
-    return frame(spark, sf, "staging_interchange").select("pos", "our_number").join(one, "our_number", "left").select("pos", "part_id")
-
-
 @query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
 def l31(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_interchange(routed(spark, sf))
