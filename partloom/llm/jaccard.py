@@ -22,9 +22,9 @@ WORDS = 5
 LEAST = 0.8
 BANDS = 24
 ROWS = 5
-#: Up to this size all pairs of a bucket are compared. In larger ones all are compared with one member, then those that are not connected to
-#: it yet with all, in blocks of BLOCK by BLOCK sets.
-SMALL, BLOCK = 16, 256
+#: Up to this size all pairs of a bucket are compared. In larger ones all are compared with the member that meets most others, then those that are
+#: not connected to it yet with all, in blocks of BLOCK by BLOCK sets.
+SMALL, BLOCK = 16, 512
 _CHUNK = 8192
 _MULTIPLY = np.random.default_rng([SEED, 1]).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng([SEED, 2]).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -124,9 +124,13 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", words: int = WO
     nodes = cut(prints.groupBy("d", "fp").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n_rows")))
     keys = prints.join(nodes.select("key"), "key", "left_semi").select("d", F.explode("bands").alias("g"))
     size = F.count(F.lit(1))
-    sizes = keys.groupBy("g").agg(size.alias("n"), size.alias("n_rows"), F.min("d").alias("root")).where("n > 1")
+    sizes = keys.groupBy("g").agg(size.alias("n"), size.alias("n_rows")).where("n > 1")
     members = cut(join_spread(keys, sizes, ["g"], "n_rows", ["d"]))
-    small, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    small, crowded = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+    met = crowded.groupBy("d").agg(F.sum("n").alias("met"))
+    weighed = crowded.join(met, "d")
+    roots = weighed.groupBy("g").agg(F.max_by("d", F.struct("met", "d")).alias("root"), size.alias("n_rows"))
+    large = cut(join_spread(crowded, roots, ["g"], "n_rows", ["d"]))
     among = small.select("g", F.col("d").alias("a")).join(small.select("g", F.col("d").alias("b")), "g").where("a < b").select("a", "b")
     to_root = large.where("d <> root").select(F.col("root").alias("a"), F.col("d").alias("b"))
     pairs = cut(among.unionByName(to_root).unionByName(_fingerprint_pairs(nodes.where("d <> 0"))).distinct())

@@ -12,6 +12,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from partloom.llm import common, embeddings, linededup, simhash
+from partloom.llm import components as components_module
 from partloom.llm.components import components
 
 
@@ -31,7 +32,10 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [10**6, 0])
+def test_components(spark, monkeypatch, per_task):
+    """With one exchange a step, and with minima that are combined first."""
+    monkeypatch.setattr(components_module, "ROWS_PER_TASK", per_task)
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(60)] + [(200, 100 + i) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
     u = Union()
