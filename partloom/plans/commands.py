@@ -13,16 +13,6 @@ from partloom.operators import dml as K, nested as N, relations as R
 from partloom.operators.lineage import cut_lineage
 
 
-def audit(expected: DataFrame, stored: DataFrame, key: list[str], value: str, loose: bool = True) -> DataFrame:
-    """(key..., expected, stored, status): MATCH, MISMATCH, MISSING_IN_DB or EXTRA_IN_DB for each key of either side."""
-    e = expected.select(*key, F.col(value).alias("expected"), F.lit(True).alias("_e"))
-    s = stored.select(*key, F.col(value).alias("stored"), F.lit(True).alias("_s"))
-    form = T.normalize_text if loose else (lambda c: c)
-    same = form(F.coalesce("expected", F.lit(""))) == form(F.coalesce("stored", F.lit("")))
-    status = F.when(F.col("_s").isNull(), "MISSING_IN_DB").when(F.col("_e").isNull(), "EXTRA_IN_DB").when(same, "MATCH").otherwise("MISMATCH")
-    return e.join(s, key, "full").select(*key, "expected", "stored", status.alias("status"))
-
-
 def backfill(df: DataFrame, column: str, by: Column, table: dict[str, str]) -> DataFrame:
     """Blank values filled by a map."""
     return K.set_where(df, K.blank(F.col(column)) & T.mapped(by, table).isNotNull(), **{column: T.mapped(by, table)})
@@ -681,3 +671,108 @@ def import_boms(products: DataFrame, rows: DataFrame, refs: DataFrame, units: Da
         "bom": header, "item": item.select("pos", "name", "number", "part_id", "qty"), "part": stub,
         "xref": xref.select("unit_id", F.col("ref_number").alias("number"), "label", "other"),
     }
+
+
+def _finding(df: DataFrame, category: str, field: Column, status: str, severity: str, tag: str, expected: Column | None = None, stored: Column | None = None) -> DataFrame:
+    text = lambda c: F.substring(F.coalesce(c.cast("string"), F.lit("")), 1, 500) if c is not None else F.lit("")
+    return df.select(
+        "unit", F.lit(category).alias("category"), field.alias("field"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(tag).alias("tag"), text(expected).alias("expected"), text(stored).alias("stored")
+    )
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def audit_attributes(expected: DataFrame, stored: DataFrame, known: Iterable[str]) -> DataFrame:
+    """Findings of attributes (unit, field, value): values are alike but for case and spaces; fields that no column is known for are flagged."""
+    e = expected.select("unit", "field", T.normalize_space(F.col("value")).alias("e")).where("e <> ''")
+    s = stored.select("unit", "field", T.normalize_space(F.col("value")).alias("s")).where("s <> ''")
+    mapped = F.col("field").isin(*known)
+    both = cut_lineage(e.where(mapped).join(s.where(mapped), ["unit", "field"], "full"))
+    have = both.where("e IS NOT NULL AND s IS NOT NULL")
+    same = T.normalize_text(F.col("e")) == T.normalize_text(F.col("s"))
+    tell = lambda df, *how: _finding(df, "ATTRIBUTE", F.col("field"), *how, F.col("e"), F.col("s"))
+    return _united([
+        tell(both.where("e IS NULL"), "EXTRA_IN_DB", "INFO", "db_value_no_pdf_source"), tell(both.where("s IS NULL"), "MISSING_IN_DB", "ERROR", "pdf_attr_not_imported"),
+        tell(have.where(same), "MATCH", "INFO", ""), tell(have.where(~same), "MISMATCH", "ERROR", "attr_value_differs"),
+        _finding(e.where(~mapped), "ATTRIBUTE", F.col("field"), "FLAG", "WARN", "unmapped_attr_key", F.col("e")),
+    ])
+
+
+def audit_interchanges(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Findings of interchanges (unit, maker, number), each row by itself; makers are alike but for case, and several spellings of one are flagged."""
+    key = ["unit", "_maker", "number"]
+    norm = lambda df: df.select("unit", T.strip(F.coalesce("maker", F.lit(""))).alias("maker"), T.strip(F.coalesce("number", F.lit(""))).alias("number")).withColumn("_maker", F.lower("maker"))
+    e, s = norm(expected), norm(stored)
+    shown = F.concat_ws(": ", "maker", "number")
+    spelled = s.groupBy(*key).agg(F.array_sort(F.collect_set("maker")).alias("makers")).where(F.size("makers") > 1)
+    tell = lambda df, status, severity, tag, *values: _finding(df, "INTERCHANGE", F.concat_ws(":", "maker", "number"), status, severity, tag, *values)
+    return _united([
+        tell(e.join(s.select(*key), key, "left_anti"), "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", shown), tell(e.join(s.select(*key), key, "left_semi"), "MATCH", "INFO", "", shown, shown),
+        tell(s.join(e.select(*key), key, "left_anti"), "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", None, shown),
+        _finding(spelled, "INTERCHANGE", F.concat_ws(":", "_maker", "number"), "FLAG", "ERROR", "case_variant_dupe", None, F.array_join("makers", " | ")),
+    ])
+
+
+def audit_applications(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Findings of applications (unit, make, model, engine, year; stored ones with id), alike by text and by years of four digits; odd years, engines and models are flagged."""
+    names = ("make", "model", "engine")
+    key = ["unit", *[f"_{c}" for c in (*names, "year")]]
+    norm = lambda df: df.withColumns({**{f"_{c}": T.normalize_text(F.coalesce(c, F.lit(""))) for c in names}, "_year": Y.expand_audit(F.col("year"))})
+    e, s = norm(expected), cut_lineage(norm(stored))
+    whole, named = F.concat_ws("/", *names, "year"), F.concat_ws("/", *names)
+    year = T.strip(F.coalesce("year", F.lit("")))
+    forms = s.groupBy(*key).agg(F.array_sort(F.collect_set(year)).alias("years"), F.min_by(named, "id").alias("named")).where(F.size("years") > 1)
+    tell = lambda df, field, status, severity, tag, *values: _finding(df, "APPLICATION", field, status, severity, tag, *values)
+    flags = {
+        ("year_2digit", "WARN"): year.rlike(r"^\d{2}-\d{2}$"), ("year_pipe_noise", "ERROR"): F.coalesce("year", F.lit("")).contains("|"),
+        ("year_same_start_end", "WARN"): year.rlike(r"^(\d{4})-\1$"), ("line_wrap_year_in_engine", "ERROR"): F.coalesce("engine", F.lit("")).rlike(r"\d{4}-\s+\d{4}"),
+        ("submodel_list_not_split", "ERROR"): T.strip(F.coalesce("model", F.lit(""))).rlike(r"^[\w./]+-[A-Z](,[A-Z])+$"),
+    }
+    return _united([
+        tell(e.join(s.select(*key), key, "left_anti"), whole, "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", whole), tell(e.join(s.select(*key), key, "left_semi"), whole, "MATCH", "INFO", "", whole),
+        tell(s.join(e.select(*key), key, "left_anti"), whole, "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", None, whole),
+        tell(forms, F.col("named"), "FLAG", "ERROR", "year_format_dupe", F.array_join("years", " / ")),
+        *[tell(s.where(cond), named, "FLAG", severity, tag, None, F.col("year")) for (tag, severity), cond in flags.items()],
+    ])
+
+
+def audit_items(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Findings of BOM items (unit, number, text, jn; stored ones with id), one for each number of a unit, ignoring case: the last row counts."""
+    one = lambda df, by, side: df.where(F.coalesce("number", F.lit("")) != "").groupBy("unit", F.upper("number").alias("number")).agg(F.max_by(T.strip(F.coalesce("jn", F.lit(""))), by).alias(side), F.max_by("text", by).alias(f"{side}_text"))
+    both = cut_lineage(one(expected, "pos", "e").join(one(stored, "id", "s"), ["unit", "number"], "full"))
+    differs = (F.col("e") != "") & (F.col("s") != "") & (T.normalize_text(F.col("e")) != T.normalize_text(F.col("s")))
+    wrapped = stored.where(F.coalesce("jn", F.lit("")).rlike(r"\d-\s+\d"))
+    tell = lambda df, *how: _finding(df, "BOM", F.col("number"), *how)
+    have = F.col("e").isNotNull() & F.col("s").isNotNull()
+    return _united([
+        tell(both.where("s IS NULL"), "MISSING_IN_DB", "ERROR", "pdf_bom_item_missing", F.col("e_text")), tell(both.where("e IS NULL"), "EXTRA_IN_DB", "INFO", "db_bom_item_not_in_pdf", None, F.col("s_text")),
+        tell(both.where(have & differs), "MISMATCH", "WARN", "bom_jn_differs", F.col("e"), F.col("s")), tell(both.where(have & ~differs), "MATCH", "INFO", "", F.col("e_text"), F.col("s_text")),
+        tell(wrapped, "FLAG", "ERROR", "jn_line_wrap", None, F.col("jn")),
+    ])
+
+
+def audit_substitutes(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Findings of substitutes (unit, number), each row by itself."""
+    s = stored.select("unit", T.strip(F.coalesce("number", F.lit(""))).alias("number"))
+    key, shown = ["unit", "number"], F.col("number")
+    tell = lambda df, status, severity, tag, *values: _finding(df, "SUBSTITUTE", shown, status, severity, tag, *values)
+    e = expected.select(*key)
+    return _united([
+        tell(e.join(s, key, "left_anti"), "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", shown), tell(e.join(s, key, "left_semi"), "MATCH", "INFO", "", shown, shown),
+        tell(s.where("number <> ''").join(e, key, "left_anti"), "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", None, shown),
+    ])
+
+
+def audit_counts(findings: DataFrame) -> DataFrame:
+    """(kind, name, n) of findings: how many of each severity, of each category and status but matches, and of each tag."""
+    rows = F.array(
+        F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("name")),
+        F.when(F.col("status") != "MATCH", F.struct(F.lit("issue").alias("kind"), F.concat_ws(":", "category", "status").alias("name"))),
+        F.when(F.col("tag") != "", F.struct(F.lit("tag").alias("kind"), F.col("tag").alias("name"))),
+    )
+    return findings.select(F.explode(F.array_compact(rows)).alias("r")).groupBy("r.kind", "r.name").agg(F.count(F.lit(1)).alias("n"))

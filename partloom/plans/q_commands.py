@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.functions import rules
 from partloom.operators import dml as K, relations as R
+from partloom.operators.lineage import cut_lineage
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.q_relations import FILLED_SQL, filled
@@ -516,3 +518,60 @@ def l24(spark: SparkSession, sf: str) -> DataFrame:
         bom=got["bom"].select("name", "id", F.col("unit_id").alias("other"), F.col("description").alias("label"), F.col("change").alias("number")),
         item=got["item"].select("name", F.col("pos").alias("id"), F.col("part_id").alias("other"), "number", "qty"), part=got["part"], xref=got["xref"].withColumnRenamed("unit_id", "id"),
     )
+
+
+_FOUND = "SELECT unit, '{c}' AS category, {f} AS field, '{s}' AS status, '{v}' AS severity, '{t}' AS tag FROM {src}"
+_ATTR = {
+    "e": "SELECT id AS unit, field, value FROM (SELECT id, unnest(['family', 'maker', 'colour']) AS field, unnest([CASE WHEN id % 3 = 0 THEN '' ELSE family END, CASE WHEN id % 4 = 0 THEN 'Other' ELSE ' ' || upper(manufacturer) END, CASE WHEN id % 10 = 0 THEN 'red' ELSE '' END]) AS value FROM units)",
+    "s": "SELECT id AS unit, field, value FROM (SELECT id, unnest(['family', 'maker']) AS field, unnest([CASE WHEN id % 7 = 0 THEN '' ELSE family END, manufacturer]) AS value FROM units)",
+}
+
+
+def _finds(category: str, *rows: tuple[str, str, str, str, str]) -> str:
+    return " UNION ALL ".join(_FOUND.format(c=category, f=f, s=s, v=v, t=t, src=src) for f, s, v, t, src in rows)
+
+
+_APPS_E = "SELECT id, id % 50 AS unit, make, model, engine, CASE WHEN id % 4 = 0 THEN '1999-2001' ELSE year END AS year FROM applications WHERE id % 7 <> 0"
+_APPS_S = "SELECT id, id % 50 AS unit, upper(make) AS make, CASE WHEN id % 9 = 0 THEN 'GS-A,B' ELSE model END AS model, CASE WHEN id % 11 = 0 THEN '2000- 2002' ELSE engine END AS engine, CASE WHEN id % 13 = 0 THEN '2000-2000' ELSE year END AS year FROM applications WHERE id % 8 <> 0"
+_NORM_YEAR = "CASE WHEN regexp_matches(trim(year), '^[0-9]{2}-[0-9]{2}$') THEN (CASE WHEN substr(trim(year), 1, 2)::int >= 70 THEN '19' ELSE '20' END) || substr(trim(year), 1, 2) || '-' || (CASE WHEN substr(trim(year), 4, 2)::int >= 70 THEN '19' ELSE '20' END) || substr(trim(year), 4, 2) ELSE trim(year) END"
+_NORMED = "SELECT *, concat_ws('|', unit, lower(make), lower(model), lower(engine), {y}) AS k, concat_ws('/', make, model, engine, year) AS whole, concat_ws('/', make, model, engine) AS named FROM ({src})"
+_ITEMS_E = "SELECT pos, cast(substr(yt_number, 3) AS bigint) AS unit, lower(yt_part) AS number, part_name AS text, CASE WHEN pos % 3 = 0 THEN 'jn ' ELSE jn_part END AS jn FROM staging_bom"
+_ITEMS_S = "SELECT id, bom_id % 300 AS unit, yt_number AS number, description AS text, CASE WHEN id % 5 = 0 THEN '130- 05' ELSE j_and_n END AS jn FROM bom_items"
+_ONE_ITEM = "SELECT unit, upper(number) AS number, arg_max(trim(jn), {by}) AS jn FROM ({src}) WHERE number <> '' GROUP BY 1, 2"
+
+
+@query("L01", f"""WITH ae AS (SELECT unit, field, trim(value) AS v FROM ({_ATTR["e"]}) WHERE trim(value) <> ''), as_ AS (SELECT unit, field, trim(value) AS v FROM ({_ATTR["s"]}) WHERE trim(value) <> ''),
+ab AS (SELECT coalesce(e.unit, s.unit) AS unit, coalesce(e.field, s.field) AS field, e.v AS ev, s.v AS sv FROM (SELECT * FROM ae WHERE field <> 'colour') e FULL JOIN as_ s ON e.unit = s.unit AND e.field = s.field),
+xe AS (SELECT unit_id AS unit, trim(upper(interchange_type)) AS maker, cross_ref_number AS number FROM cross_references WHERE id % 5 <> 0), xs AS (SELECT unit_id AS unit, interchange_type AS maker, cross_ref_number AS number FROM cross_references WHERE id % 6 <> 0 UNION ALL SELECT unit_id, 'ford', cross_ref_number FROM cross_references WHERE id % 12 = 1),
+ne AS ({_NORMED.format(y=_NORM_YEAR, src=_APPS_E)}), ns AS ({_NORMED.format(y=_NORM_YEAR, src=_APPS_S)}),
+ie AS ({_ONE_ITEM.format(by="pos", src=_ITEMS_E)}), is_ AS ({_ONE_ITEM.format(by="id", src=_ITEMS_S)}), ib AS (SELECT coalesce(e.unit, s.unit) AS unit, coalesce(e.number, s.number) AS number, e.jn AS ej, s.jn AS sj FROM ie e FULL JOIN is_ s ON e.unit = s.unit AND e.number = s.number),
+ue AS (SELECT unit_id AS unit, CASE WHEN id % 4 = 0 THEN 'Q' ELSE substitute_number END AS number FROM substitutes), us AS (SELECT unit_id AS unit, substitute_number AS number FROM substitutes WHERE id % 3 <> 0),
+found AS ({_finds("ATTRIBUTE", ("field", "EXTRA_IN_DB", "INFO", "db_value_no_pdf_source", "ab WHERE ev IS NULL"), ("field", "MISSING_IN_DB", "ERROR", "pdf_attr_not_imported", "ab WHERE sv IS NULL"), ("field", "MATCH", "INFO", "", "ab WHERE lower(ev) = lower(sv)"), ("field", "MISMATCH", "ERROR", "attr_value_differs", "ab WHERE lower(ev) <> lower(sv)"), ("field", "FLAG", "WARN", "unmapped_attr_key", "ae WHERE field = 'colour'"))}
+UNION ALL {_finds("INTERCHANGE", ("concat_ws(':', maker, number)", "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", "xe WHERE (unit, lower(maker), number) NOT IN (SELECT unit, lower(maker), number FROM xs)"), ("concat_ws(':', maker, number)", "MATCH", "INFO", "", "xe WHERE (unit, lower(maker), number) IN (SELECT unit, lower(maker), number FROM xs)"), ("concat_ws(':', maker, number)", "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", "xs WHERE (unit, lower(maker), number) NOT IN (SELECT unit, lower(maker), number FROM xe)"), ("m || ':' || number", "FLAG", "ERROR", "case_variant_dupe", "(SELECT unit, lower(maker) AS m, number FROM xs GROUP BY 1, 2, 3 HAVING count(DISTINCT maker) > 1)"))}
+UNION ALL {_finds("APPLICATION", ("whole", "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", "ne WHERE k NOT IN (SELECT k FROM ns)"), ("whole", "MATCH", "INFO", "", "ne WHERE k IN (SELECT k FROM ns)"), ("whole", "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", "ns WHERE k NOT IN (SELECT k FROM ne)"), ("named", "FLAG", "ERROR", "year_format_dupe", "(SELECT unit, k, arg_min(named, id) AS named FROM ns GROUP BY 1, 2 HAVING count(DISTINCT trim(year)) > 1)"), ("named", "FLAG", "WARN", "year_2digit", "ns WHERE regexp_matches(trim(year), '^[0-9]{2}-[0-9]{2}$')"), ("named", "FLAG", "ERROR", "year_pipe_noise", "ns WHERE contains(year, '|')"), ("named", "FLAG", "WARN", "year_same_start_end", "ns WHERE regexp_matches(trim(year), '^[0-9]{4}-[0-9]{4}$') AND substr(trim(year), 1, 4) = substr(trim(year), 6, 4)"), ("named", "FLAG", "ERROR", "line_wrap_year_in_engine", "ns WHERE engine = '2000- 2002'"), ("named", "FLAG", "ERROR", "submodel_list_not_split", "ns WHERE model = 'GS-A,B'"))}
+UNION ALL {_finds("BOM", ("number", "MISSING_IN_DB", "ERROR", "pdf_bom_item_missing", "ib WHERE sj IS NULL"), ("number", "EXTRA_IN_DB", "INFO", "db_bom_item_not_in_pdf", "ib WHERE ej IS NULL"), ("number", "MISMATCH", "WARN", "bom_jn_differs", "ib WHERE ej <> '' AND sj <> '' AND lower(ej) <> lower(sj)"), ("number", "MATCH", "INFO", "", "ib WHERE ej IS NOT NULL AND sj IS NOT NULL AND NOT (ej <> '' AND sj <> '' AND lower(ej) <> lower(sj))"), ("number", "FLAG", "ERROR", "jn_line_wrap", f"({_ITEMS_S}) WHERE jn = '130- 05'"))}
+UNION ALL {_finds("SUBSTITUTE", ("number", "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", "ue WHERE (unit, number) NOT IN (SELECT unit, number FROM us)"), ("number", "MATCH", "INFO", "", "ue WHERE (unit, number) IN (SELECT unit, number FROM us)"), ("number", "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", "us WHERE (unit, number) NOT IN (SELECT unit, number FROM ue)"))})
+SELECT 'finding' AS kind, unit, category, field, status, severity, tag, NULL::bigint AS n FROM found UNION ALL SELECT 'severity', NULL, NULL, severity, NULL, NULL, NULL, count(*) FROM found GROUP BY severity
+UNION ALL SELECT 'issue', NULL, NULL, category || ':' || status, NULL, NULL, NULL, count(*) FROM found WHERE status <> 'MATCH' GROUP BY 4 UNION ALL SELECT 'tag', NULL, NULL, tag, NULL, NULL, NULL, count(*) FROM found WHERE tag <> '' GROUP BY tag""")
+def l01(spark: SparkSession, sf: str) -> DataFrame:
+    """Five kinds of rows, expected and stored, of which some differ; every finding, and what is counted of them."""
+    i = F.col("id")
+    u, x, s = frame(spark, sf, "units"), frame(spark, sf, "cross_references"), frame(spark, sf, "substitutes")
+    long = lambda df, cols: df.select(i.alias("unit"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in cols.items()])).alias("a")).select("unit", "a.*")
+    unless = lambda k, v, c: F.when(i % k == 0, v).otherwise(c)
+    wanted = {"family": unless(3, "", F.col("family")), "maker": unless(4, "Other", F.concat(F.lit(" "), F.upper("manufacturer"))), "colour": unless(10, "red", F.lit(""))}
+    attributes = L.audit_attributes(long(u, wanted), long(u, {"family": unless(7, "", F.col("family")), "maker": F.col("manufacturer")}), ["family", "maker"])
+    as_x = lambda df, maker: df.select(F.col("unit_id").alias("unit"), maker.alias("maker"), F.col("cross_ref_number").alias("number"))
+    stored = as_x(x.where(i % 6 != 0), F.col("interchange_type")).unionByName(as_x(x.where(i % 12 == 1), F.lit("ford")))
+    interchanges = L.audit_interchanges(as_x(x.where(i % 5 != 0), F.upper("interchange_type")), stored)
+    apps = frame(spark, sf, "applications").withColumn("unit", i % 50)
+    expected = apps.where(i % 7 != 0).select("unit", "make", "model", "engine", unless(4, "1999-2001", F.col("year")).alias("year"))
+    have = apps.where(i % 8 != 0).select("id", "unit", F.upper("make").alias("make"), unless(9, "GS-A,B", F.col("model")).alias("model"), unless(11, "2000- 2002", F.col("engine")).alias("engine"), unless(13, "2000-2000", F.col("year")).alias("year"))
+    bom = frame(spark, sf, "staging_bom").select("pos", F.expr("cast(substr(yt_number, 3) AS bigint)").alias("unit"), F.lower("yt_part").alias("number"), F.col("part_name").alias("text"), F.when(F.col("pos") % 3 == 0, "jn ").otherwise(F.col("jn_part")).alias("jn"))
+    items = frame(spark, sf, "bom_items").select("id", (F.col("bom_id") % 300).alias("unit"), F.col("yt_number").alias("number"), F.col("description").alias("text"), unless(5, "130- 05", F.col("j_and_n")).alias("jn"))
+    as_s = lambda df, number: df.select(F.col("unit_id").alias("unit"), number.alias("number"))
+    substitutes = L.audit_substitutes(as_s(s, unless(4, "Q", F.col("substitute_number"))), as_s(s.where(i % 3 != 0), F.col("substitute_number")))
+    kinds = (attributes, interchanges, L.audit_applications(expected, have), L.audit_items(bom, items), substitutes)
+    found = cut_lineage(functools.reduce(DataFrame.unionByName, [k.withColumn("unit", F.col("unit").cast("long")) for k in kinds]))
+    counts = L.audit_counts(found).select("kind", F.col("name").alias("field"), "n")
+    return stacked(finding=found.drop("expected", "stored")).unionByName(counts, allowMissingColumns=True)

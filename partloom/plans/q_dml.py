@@ -143,14 +143,6 @@ def k19(spark: SparkSession, sf: str) -> DataFrame:
     return K.replace_children(frame(spark, sf, "bom_items").select("id", "bom_id"), changed.select(F.col("id").alias("bom_id")), rows, "bom_id")
 
 
-@query("L01", """WITH e AS (SELECT seed_id, part_name FROM seed_parts WHERE seed_id IS NOT NULL), s AS (SELECT seed_id, upper(replace(part_name, 'Original ', '')) AS part_name FROM target_parts WHERE seed_id IS NOT NULL)
-SELECT CASE WHEN s.seed_id IS NULL THEN 'MISSING_IN_DB' WHEN e.seed_id IS NULL THEN 'EXTRA_IN_DB' WHEN lower(e.part_name) = lower(s.part_name) THEN 'MATCH' ELSE 'MISMATCH' END AS status, count(*) AS n FROM e FULL JOIN s ON e.seed_id = s.seed_id GROUP BY 1""")
-def l01(spark: SparkSession, sf: str) -> DataFrame:
-    e = frame(spark, sf, "seed_parts").where("seed_id IS NOT NULL")
-    s = frame(spark, sf, "target_parts").where("seed_id IS NOT NULL").withColumn("part_name", F.upper(F.expr("replace(part_name, 'Original ', '')")))
-    return L.audit(e, s, ["seed_id"], "part_name").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("L02", "SELECT id, CASE WHEN notes <> '' THEN notes WHEN voltage = '12V' THEN 'low.pdf' WHEN voltage = '24V' THEN 'high.pdf' ELSE notes END AS notes FROM parts")
 def l02(spark: SparkSession, sf: str) -> DataFrame:
     return L.backfill(frame(spark, sf, "parts"), "notes", F.col("voltage"), {"12V": "low.pdf", "24V": "high.pdf"}).select("id", "notes")
