@@ -327,14 +327,6 @@ def sync_catalog(tables: dict[str, SyncTable], budget: float, done: Iterable[str
     return out, report
 
 
-def flatten(facts: DataFrame, lookups: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """A star of facts with each key column replaced by its lookup's name: column -> (table, key, name)."""
-    out = facts
-    for column, (table, key, name) in lookups.items():
-        out = out.join(table.select(F.col(key).alias(column), F.col(name).alias(f"{column}_name")), column, "left").drop(column)
-    return out
-
-
 def _completed(rows: DataFrame, all_rows: DataFrame, scope: list[str], number: str, name: str) -> DataFrame:
     """rows with a flag `name`: whether a number of the scope that does not end with a dash starts with the row's, less its last character. Case is folded."""
     whole = all_rows.where(~F.col(number).endswith("-")).select(*scope, F.lower(number).alias("_stem"))
@@ -776,3 +768,52 @@ def audit_counts(findings: DataFrame) -> DataFrame:
         F.when(F.col("tag") != "", F.struct(F.lit("tag").alias("kind"), F.col("tag").alias("name"))),
     )
     return findings.select(F.explode(F.array_compact(rows)).alias("r")).groupBy("r.kind", "r.name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def import_guide_xrefs(rows: DataFrame, units: DataFrame, xrefs: DataFrame) -> dict[str, DataFrame]:
+    """units (id, family) and new cross references of a guide's interchanges (pos, unit_number, number, maker).
+
+    Rows of the maker `Model Number` tell the family of a unit without one, the first of them, and are no cross references.
+    """
+    clean = rows.withColumns({c: T.normalize_space(F.col(c)) for c in ("unit_number", "number", "maker")}).where("number <> ''")
+    number = units.where("unit_number IS NOT NULL").select(T.normalize_space(F.col("unit_number")).alias("unit_number"), F.col("id").alias("unit_id"))
+    found = cut_lineage(clean.join(number, "unit_number"))
+    model = F.lower("maker") == "model number"
+    told = found.where(model).groupBy(F.col("unit_id").alias("id")).agg(F.min_by("number", "pos").alias("_told"))
+    family = F.coalesce(T.nullif_blank(F.trim("family")), "_told", F.lit(""))
+    known = xrefs.select("unit_id", F.col("cross_ref_number").alias("number"), F.col("interchange_type").alias("maker"))
+    new = new_relations(found.where(~model), known, ["unit_id", "number", "maker"])
+    return {"unit": units.select("id", "family").join(told, "id", "left").select("id", family.alias("family")), "xref": new.select("unit_id", "number", "maker")}
+
+
+#: The steps of a star's import in their order.
+STAR_STEPS = ("unit", "part", "application", "bom", "xref")
+
+
+def import_star(tables: dict[str, DataFrame], lookups: dict[str, DataFrame], start: str = "unit", limit: int | None = None) -> dict[str, DataFrame]:
+    """Rows of each step from `start` on, with ids replaced by the names of lookups (id, name): unit, part, application, bom, xref.
+
+    tables are unit (pos, number, type_id, maker_id, note), part (pos, number, class, type_id, maker_id, note), application (id, make_id, model_id, engine, years, number, position),
+    bom (number, part_number) and xref (pos, number, other, type_id). A number counts once. What a step needs of earlier ones is taken whether they run or
+    not, as a resumed run finds them done. limit takes the first rows of each table, in its own order, for a trial.
+    """
+    tables = {k: df.limit(limit) if limit else df for k, df in tables.items()}
+    named = lambda df, column, lookup, into: df.join(lookups[lookup].select(F.col("id").alias(column), F.col("name").alias(into)), column, "left")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    once = lambda df: R.first_of(df.where(text("number") != ""), ["number"], [F.col("pos")])
+    unit = named(named(once(tables["unit"]), "type_id", "unit_type", "type"), "maker_id", "maker", "maker")
+    unit = unit.select("number", text("type").alias("label"), text("maker").alias("maker"), F.substring(text("note"), 1, 500).alias("notes"))
+    part = named(named(once(tables["part"]), "type_id", "part_type", "type"), "maker_id", "maker", "maker")
+    part = part.select("number", F.coalesce(T.nullif_blank(F.col("class")), "number").alias("name"), text("type").alias("label"), text("maker").alias("maker"), text("note").alias("notes"))
+    units, parts = cut_lineage(unit.select("number")), cut_lineage(part.select("number"))
+    apps = named(named(tables["application"], "make_id", "make", "make"), "model_id", "model", "model")
+    title = T.join_non_blank(" ", *[text(c) for c in ("make", "model", "engine", "years")])
+    name = F.concat(F.coalesce(T.nullif_blank(F.substring(title, 1, 200)), F.concat(F.lit("App-"), "id")), F.lit(" [#"), "id", F.lit("]"))
+    linked = apps.join(units.withColumn("linked", F.lit(True)), "number", "left")
+    application = linked.select(F.col("id").cast("string").alias("number"), name.alias("name"), F.when(F.col("linked"), F.col("number")).alias("other"), F.when(F.col("linked"), F.col("position")).alias("label"))
+    bom = tables["bom"].join(units, "number", "left_semi").join(parts.withColumnRenamed("number", "part_number"), "part_number", "left_semi").select("number", F.col("part_number").alias("other")).distinct()
+    xref = named(tables["xref"].where((text("number") != "") & (text("other") != "")).join(units, "number", "left_semi"), "type_id", "relation", "label")
+    xref = xref.select("number", "other", text("label").alias("label")).distinct().join(units.select(F.col("number").alias("other"), F.lit(True).alias("_unit")), "other", "left")
+    xref = xref.select("number", "other", "label", F.coalesce(F.col("_unit") & (F.col("other") != F.col("number")), F.lit(False)).cast("string").alias("notes"))
+    made = {"unit": unit, "part": part, "application": application, "bom": bom, "xref": xref}
+    return {k: made[k] for k in STAR_STEPS[STAR_STEPS.index(start) :]}

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.functions import rules
+from partloom.functions.lines import application_blocks
 from partloom.operators import dml as K, relations as R
 from partloom.operators.lineage import cut_lineage
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.q_relations import FILLED_SQL, filled
+from partloom.plans.q_text import BLOCKS_SQL, block_texts
 from partloom.plans.registry import query
 from partloom.sources import csv as C
 
@@ -575,3 +578,55 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
     found = cut_lineage(functools.reduce(DataFrame.unionByName, [k.withColumn("unit", F.col("unit").cast("long")) for k in kinds]))
     counts = L.audit_counts(found).select("kind", F.col("name").alias("field"), "n")
     return stacked(finding=found.drop("expected", "stored")).unionByName(counts, allowMissingColumns=True)
+
+
+_GUIDE = "(SELECT pos, our_number AS unit_number, their_number AS number, CASE WHEN pos % 7 = 0 THEN 'model  NUMBER' ELSE manufacturer END AS maker FROM staging_interchange)"
+
+
+@query("L23", f"""WITH g AS (SELECT pos, u.id AS unit_id, trim(g.number) AS number, trim(regexp_replace(maker, '\\s+', ' ', 'g')) AS maker FROM {_GUIDE} g JOIN units u ON u.unit_number = trim(g.unit_number) WHERE trim(g.number) <> ''),
+t AS (SELECT unit_id, arg_min(number, pos) AS told FROM g WHERE lower(maker) = 'model number' GROUP BY 1), blocks AS ({BLOCKS_SQL})
+SELECT 'unit' AS kind, u.id, coalesce(nullif(trim(family), ''), told, '') AS number, NULL AS maker FROM units u LEFT JOIN t ON t.unit_id = u.id
+UNION ALL SELECT DISTINCT 'xref', unit_id, number, maker FROM g WHERE lower(maker) <> 'model number' AND NOT EXISTS (SELECT 1 FROM cross_references c WHERE c.unit_id = g.unit_id AND c.cross_ref_number = g.number AND c.interchange_type = g.maker)
+UNION ALL SELECT DISTINCT 'application', id % 100, concat_ws('/', make, model, engine, year), NULL FROM blocks""")
+def l23(spark: SparkSession, sf: str) -> DataFrame:
+    """A guide's interchanges, of which some tell a unit's family, and the applications in its texts; BOMs and substitutes are as in L28."""
+    rows = frame(spark, sf, "staging_interchange").select("pos", F.col("our_number").alias("unit_number"), F.col("their_number").alias("number"), F.when(F.col("pos") % 7 == 0, "model  NUMBER").otherwise(F.col("manufacturer")).alias("maker"))
+    got = L.import_guide_xrefs(rows, frame(spark, sf, "units"), frame(spark, sf, "cross_references"))
+    texts = block_texts(frame(spark, sf, "applications"))
+    found = application_blocks(texts, "id", "text", rules.ATTRIBUTE_NAMES)
+    apps = found.select((F.col("id") % 100).alias("id"), F.concat_ws("/", "make", "model", "engine", "year").alias("number")).distinct()
+    return stacked(unit=got["unit"].withColumnRenamed("family", "number"), xref=got["xref"].withColumnRenamed("unit_id", "id"), application=apps)
+
+
+_STAR_UNITS = "(SELECT c_custkey AS pos, CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 9 = 1 THEN 'P1' ELSE 'C' || cast(c_custkey AS string) END AS number, c_nationkey AS type_id, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey % 6 END AS maker_id, c_mktsegment AS note FROM customer)"
+_STAR_PARTS = "(SELECT p_partkey AS pos, 'P' || cast(p_partkey AS string) AS number, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_type END AS class, p_size AS type_id, p_partkey % 7 AS maker_id, p_brand AS note FROM part)"
+_STAR_APPS = "(SELECT o_orderkey AS id, o_custkey % 30 AS make_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 5 END AS model_id, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END AS engine, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE '1999-2001' END AS years, 'C' || cast(o_custkey AS string) AS number, o_orderpriority AS position FROM orders)"
+
+
+@query("L26", f"""WITH nat AS (SELECT n_nationkey AS id, n_name AS name FROM nation), reg AS (SELECT r_regionkey AS id, r_name AS name FROM region),
+u0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY pos) AS k FROM {_STAR_UNITS} WHERE number <> '') WHERE k = 1), p0 AS (SELECT * FROM {_STAR_PARTS}),
+b AS (SELECT DISTINCT 'C' || cast(l_orderkey % 200 AS string) AS number, 'P' || cast(l_partkey AS string) AS other FROM lineitem),
+x AS (SELECT DISTINCT 'C' || cast(l_suppkey AS string) AS number, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN 'C' || cast(l_partkey % 120 AS string) ELSE 'X' || cast(l_partkey AS string) END AS other, l_linenumber % 6 AS type_id FROM lineitem)
+SELECT 'unit' AS kind, number, NULL AS name, coalesce(nat.name, '') AS label, coalesce(reg.name, '') AS maker, note AS notes, NULL AS other FROM u0 LEFT JOIN nat ON nat.id = type_id LEFT JOIN reg ON reg.id = maker_id
+UNION ALL SELECT 'part', number, coalesce(nullif(class, ''), number), coalesce(nat.name, ''), coalesce(reg.name, ''), note, NULL FROM p0 LEFT JOIN nat ON nat.id = type_id LEFT JOIN reg ON reg.id = maker_id
+UNION ALL SELECT 'application', cast(a.id AS string), coalesce(nullif(concat_ws(' ', nat.name, reg.name, nullif(engine, ''), years), ''), 'App-' || a.id) || ' [#' || a.id || ']', CASE WHEN a.number IN (SELECT number FROM u0) THEN position END, NULL, NULL, CASE WHEN a.number IN (SELECT number FROM u0) THEN a.number END
+  FROM {_STAR_APPS} a LEFT JOIN nat ON nat.id = make_id LEFT JOIN reg ON reg.id = model_id
+UNION ALL SELECT 'bom', number, NULL, NULL, NULL, NULL, other FROM b WHERE number IN (SELECT number FROM u0) AND other IN (SELECT number FROM p0)
+UNION ALL SELECT DISTINCT 'xref', number, NULL, coalesce(reg.name, ''), NULL, CASE WHEN other <> number AND other IN (SELECT number FROM u0) THEN 'true' ELSE 'false' END, other FROM x LEFT JOIN reg ON reg.id = type_id WHERE other <> '' AND number IN (SELECT number FROM u0)
+UNION ALL SELECT 'resumed', step, NULL, NULL, NULL, NULL, NULL FROM (VALUES ('bom'), ('xref')) AS t(step)""")
+def l26(spark: SparkSession, sf: str) -> DataFrame:
+    """A star of facts and lookups as five steps, and which of them a run that goes on at the BOMs has."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    nation, region = read("nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), read("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    with_tables = lambda sql, **tables: spark.sql(re.sub(r"\bFROM (\w+)\)$", r"FROM {\1})", f"SELECT * FROM {sql}"), **tables)
+    line = read("lineitem")
+    unit_of = lambda n: F.concat(F.lit("C"), n.cast("string")).alias("number")
+    other = F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, F.concat(F.lit("C"), F.col("l_partkey") % 120)).otherwise(F.concat(F.lit("X"), "l_partkey"))
+    tables = {
+        "unit": with_tables(_STAR_UNITS, customer=read("customer")), "part": with_tables(_STAR_PARTS, part=read("part")), "application": with_tables(_STAR_APPS, orders=read("orders")),
+        "bom": line.select(unit_of(F.col("l_orderkey") % 200), F.concat(F.lit("P"), "l_partkey").alias("part_number")),
+        "xref": line.select(unit_of(F.col("l_suppkey")), other.alias("other"), (F.col("l_linenumber") % 6).alias("type_id")),
+    }
+    lookups = {"unit_type": nation, "part_type": nation, "make": nation, "maker": region, "model": region, "relation": region}
+    resumed = spark.createDataFrame([(s,) for s in L.import_star(tables, lookups, start="bom")], "number string")
+    return stacked(**L.import_star(tables, lookups), resumed=resumed)

@@ -176,19 +176,6 @@ def l20(spark: SparkSession, sf: str) -> DataFrame:
     return K.set_where(frame(spark, sf, "units").join(n, "unit_type_id", "left"), F.col("unit_type") == "", unit_type=F.col("n_name")).select("id", "unit_type")
 
 
-@query("L23", "SELECT unit_id, CASE WHEN interchange_type = 'BOSCH-' THEN 'family' ELSE 'interchange' END AS output, count(DISTINCT cross_ref_number) AS n FROM cross_references WHERE NOT contains(cross_ref_number, '|') GROUP BY 1, 2")
-def l23(spark: SparkSession, sf: str) -> DataFrame:
-    """Interchanges of a unit; rows of one label are its family instead, and numbers with a leaked list are dropped."""
-    output = F.when(F.col("interchange_type") == "BOSCH-", "family").otherwise("interchange")
-    return frame(spark, sf, "cross_references").where(~F.col("cross_ref_number").contains("|")).groupBy("unit_id", output.alias("output")).agg(F.count_distinct("cross_ref_number").alias("n"))
-
-
-@query("L26", "SELECT c_custkey, c_name, n_name AS c_nationkey_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
-def l26(spark: SparkSession, sf: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
-    return L.flatten(read("customer").select("c_custkey", "c_name", "c_nationkey"), {"c_nationkey": (read("nation"), "n_nationkey", "n_name")})
-
-
 @query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
 def l31(spark: SparkSession, sf: str) -> DataFrame:
     return L.import_interchange(routed(spark, sf))

@@ -225,11 +225,17 @@ _BLOCKS = {
 }
 
 
-@query("H23", _found_sql(("make", "model", "engine", "year"), list(_BLOCKS.values()), "applications"))
+BLOCKS_SQL = _found_sql(("make", "model", "engine", "year"), list(_BLOCKS.values()), "applications")
+
+
+def block_texts(apps: DataFrame) -> DataFrame:
+    return apps.select("id", _one_of(list(_BLOCKS)).alias("text"))
+
+
+@query("H23", BLOCKS_SQL)
 def h23(spark: SparkSession, sf: str) -> DataFrame:
     """Texts of nine forms: wrapped makes, several models, leaked lines of other sections, and some with nothing to find."""
-    texts = frame(spark, sf, "applications").select("id", _one_of(list(_BLOCKS)).alias("text"))
-    return L.application_blocks(texts, "id", "text", rules.ATTRIBUTE_NAMES)
+    return L.application_blocks(block_texts(frame(spark, sf, "applications")), "id", "text", rules.ATTRIBUTE_NAMES)
 
 
 #: Lines of an application section, with the entries in them.
