@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import money as M, text as T
 from partloom.operators import relations as R, search as S
@@ -378,17 +378,21 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return paged.select("id", "page", F.sum("total").over(Window.partitionBy("invoice_id", "page")).cast("decimal(14,2)").alias("page_total"))
 
 
-def page_links(number: int, last: int, around: int = 2) -> list[int | None]:
-    """Page numbers to show about the current one, None for a gap."""
-    shown = sorted({1, last, *range(max(1, number - around), min(last, number + around) + 1)})
-    out: list[int | None] = []
-    for p in shown:
-        if out and out[-1] is not None and p > out[-1] + 1:
-            out.append(None)
-        out.append(p)
-    return out
+def page_links(number: Column, last: Column, around: int = 2) -> Column:
+    """Page numbers to show about the current one, null for a gap."""
+    near = F.sequence(F.greatest(F.lit(1), number - around), F.least(last, number + around))
+    shown = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1), last), near)))
+    return F.flatten(F.transform(shown, lambda p, i: F.when((i > 0) & (p > F.get(shown, i - 1) + 1), F.array(F.lit(None).cast("int"), p)).otherwise(F.array(p))))
 
 
-@query("E11", "SELECT * FROM (VALUES (0, 1), (1, NULL), (2, 8), (3, 9), (4, 10), (5, 11), (6, 12), (7, NULL), (8, 40)) AS t(place, page)")
+_SHOWN = "list_sort(list_distinct(list_concat([1, last], range(greatest(1, number - 2), least(last, number + 2) + 1))))"
+
+
+@query("E11", f"""WITH n AS (SELECT cast((count(*) + 6) // 7 AS int) AS last FROM parts), s AS (SELECT number, {_SHOWN} AS s FROM (SELECT last, cast(unnest(range(1, last + 1)) AS int) AS number FROM n)),
+f AS (SELECT number, flatten(list_transform(s, lambda p, i: CASE WHEN i > 1 AND p > s[i - 1] + 1 THEN [NULL, p] ELSE [p] END)) AS pages FROM s)
+SELECT number, cast(generate_subscripts(pages, 1) - 1 AS int) AS place, cast(unnest(pages) AS int) AS page FROM f""")
 def e11(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(page_links(10, 40))), "place int, page int")
+    """The links under every page of the parts, seven to a page."""
+    n = frame(spark, sf, "parts").agg(F.ceil(F.count(F.lit(1)) / 7).cast("int").alias("last"))
+    each = n.select("last", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("number"))
+    return each.select("number", F.posexplode(page_links(F.col("number"), F.col("last"))).alias("place", "page"))

@@ -27,12 +27,15 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     return C.normalized(raw, C.PART_ALIASES)
 
 
-_HEADERS = ["Part #", "SKU", "J & N", "Mfr No.", "Vendor", "Unit Type", "Voltage", " key "]
+_ALIASES = {"parts": C.PART_ALIASES, "units": C.UNIT_ALIASES}
+#: Each alias as a header of an upload might write it, and one that is no alias.
+_WRITTEN = [(t, f" {alias.replace('_', '  ').upper()} ", column) for t, aliases in _ALIASES.items() for alias, column in {**aliases, "voltage": "voltage"}.items()]
 
 
-@query("A04", "SELECT * FROM (VALUES ('Part #', 'part_number'), ('SKU', 'part_number'), ('J & N', 'j_and_n'), ('Mfr No.', 'manufacturer_number'), ('Vendor', 'primary_vendor'), ('Unit Type', 'category'), ('Voltage', 'voltage'), (' key ', 'manufacturer_number')) AS t(header, mapped)")
+@query("A04", f"SELECT * FROM (VALUES {', '.join(f'({t!r}, {h!r}, {c!r})' for t, h, c in _WRITTEN)}) AS t(upload, header, mapped)")
 def a04(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(h, C.header(h, C.PART_ALIASES)) for h in _HEADERS], "header string, mapped string")
+    """All aliases of both kinds of upload, in capitals and with spare spaces."""
+    return spark.createDataFrame([(t, h, C.header(h, _ALIASES[t])) for t, h, _ in _WRITTEN], "upload string, header string, mapped string")
 
 
 @query("A05", "SELECT name, min(pos) AS pos FROM (SELECT * FROM (VALUES ('part_number', 0), ('part_name', 1), ('voltage', 2)) AS t(name, pos) UNION ALL SELECT CASE WHEN p_size = 7 THEN 'voltage' ELSE 'size_' || cast(p_size AS string) END, 3 + p_size FROM part) GROUP BY name")
