@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.llm import jaccard, langid, linededup, packing, quality as rules
+from partloom.llm.common import bound_batches
 from partloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,11 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from what the stage is given. Rejects null texts, those without a letter and those mostly outside any one language; ids play no part."""
+    bound_batches(spark)
     return langid.keep_pure(docs.select(*COLUMNS), langid.learn(docs), least_share=LEAST_LANGUAGE_SHARE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs; a document of which nothing is left goes. Rows alike in doc_id and text keep the same lines; null texts stay."""
+    bound_batches(spark)
     out = linededup.dedup_lines(docs)
     left = (F.col("n_deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return out.where(left).withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows, and nulls and texts without words among themselves, are alike. A null doc_id comes last, so that such a row stays only if its
     component has no other. Whole texts count, however long. An empty table gives an empty one.
     """
+    bound_batches(spark)
     rows = docs.withColumn("_row", F.monotonically_increasing_id())  # the same each time, since docs is read from Parquet
     found = rows.select("_row", "doc_id").join(jaccard.near_duplicates(rows, "_row"), "_row")
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
@@ -50,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs every row, repeated ones each, into sequences; a null or empty text is the one id 0, a very long one is cut. An empty table gives an empty one."""
+    bound_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 

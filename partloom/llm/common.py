@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """For an application's own session: Arrow batches of few rows and bytes, since texts are long and workers hold a batch several times over.
+
+    Operators do not call this; they work with batches of any size. Queries and the pipeline do.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_FRAME))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def small(frames: Iterable[pd.DataFrame], rows: int = ROWS_PER_FRAME) -> Iterator[pd.DataFrame]:
     """Frames of at most so many rows. Spark bounds the bytes of what it sends by spark.sql.execution.arrow.maxBytesPerBatch."""
     for frame in frames:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.llm import embeddings, langid, linededup, packing, pieces, quality as _quality, sharding, simhash, toxicity, urls
-from partloom.llm.common import crc_fold, table
+from partloom.llm.common import bound_batches, crc_fold, table
 
 
 #: A tokenizer file of the installed package; packing takes any path.
@@ -74,8 +75,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    every = {
         "op1_language": op1_language,
         "op2_sharding": op2_sharding,
         "op3_pieces": op3_pieces,
@@ -87,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
     }
+    return {name: _bounded(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
