@@ -32,8 +32,6 @@ class Rule:
     most: float | None = None
 
 
-#: base_failed of the contract, stated in whole numbers: 100 * n_repeat_words > 30 * n_words.
-BASE = (Rule("few_words", "n_words", None, 20), Rule("repeats", "n_repeat_words", "n_words", None, 0.30))
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 16.0),
     Rule("symbols", "n_symbols", "n_words", None, 0.25),
@@ -108,11 +106,12 @@ def _broken(rule: Rule, m: Column) -> Column:
 def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "quality") -> DataFrame:
     """df with a struct column of measures, base_failed, the names of broken rules, and kept.
 
-    Null and empty texts have no words, so that they fail. Each row is judged alone: repeated rows
-    and ties get equal results. Columns of df stay, but for one named as `into`.
+    Null and empty texts have no words, so that they fail; a very long text is measured whole. Each row is judged alone: repeated rows
+    and ties get equal results. Columns of df stay, but for one named as `into`. An empty table gives an empty one.
     """
 
     def verdict(m: Column) -> Column:
+        # The contract's base, in whole numbers: fewer than 20 words, or over 30 % of them in repeated windows.
         base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
         broken = F.filter(F.array(*[_broken(r, m) for r in rules]), lambda x: x.isNotNull())
         kept = ~base & (F.size(broken) == 0)
