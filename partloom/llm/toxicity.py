@@ -233,12 +233,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small(frames):
-            found: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(2 * FOLDS, np.int64))
+            found: dict[str, list[int]] = defaultdict(lambda: [0] * (2 * FOLDS))
             for y, k, t in zip(frame["y"], frame["fold"], frame["text"], strict=True):
                 own = {plain(x) for x in set(tokens(t))}
                 for term in {k for w in own if w for k in terms(w)} | {""}:
                     found[term][2 * k + int(y > 0)] += 1
-            yield pd.DataFrame([(k, *v.tolist()) for k, v in found.items()], columns=["term", *counters])
+            yield pd.DataFrame([(k, *v) for k, v in found.items()], columns=["term", *counters])
 
     counters = [f"{kind}{k}" for k in range(FOLDS) for kind in ("clean", "bad")]
     counted = texts.select("y", "fold", "text").mapInPandas(count, f"term string, {', '.join(f'{c} long' for c in counters)}").groupBy("term").agg(*[F.sum(c).alias(c) for c in counters])
