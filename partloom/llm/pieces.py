@@ -76,6 +76,7 @@ class Codec:
         plain = rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+"
         self.chunks = None if crossing else re.compile(f"{line}|{plain}" if line else plain).findall
         self.known: dict[str, bytes] = {}
+        self.singles = frozenset(p for p in self.score if len(p) == 1)
 
     def unknown_score(self, c: str) -> float:
         """Of a character that goes by its bytes."""
@@ -87,6 +88,12 @@ class Codec:
         if self.ranked and n > LONG:
             return self._best_of_long(text, literal)
         score, came, by = [0.0] + [low] * n, [0] * (n + 1), [-1] * (n + 1)
+        if not literal and self.singles.issuperset(text):  # no character goes by its bytes
+            for end, (length, i, s) in self.automaton.iter(text):
+                value = score[end + 1 - length] + s
+                if value > score[end + 1]:
+                    score[end + 1], came[end + 1], by[end + 1] = value, end + 1 - length, i
+            return self._path(text, came, by)
         single, at = self.score, 0
         ends: Iterable = self.automaton.iter(text)
         for end, (length, i, s) in chain(ends, [(n - 1, (0, -1, low))]):
@@ -158,6 +165,10 @@ class Codec:
             out.append(ids)
         return b"".join(out)
 
+    def decode_own(self, ids: bytes) -> str:
+        """decode() of what encode() gave."""
+        return self._text(map(self.bytes_.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
     def decode(self, ids: Iterable[int | None]) -> str:
         """The text of ids; one that is null or not in the vocabulary is a replacement character, as are bytes that are no text.
 
@@ -168,6 +179,9 @@ class Codec:
             parts: Iterable[bytes] = [self.bytes_[i] if i is not None and 0 <= i < size else b"\xef\xbf\xbd" for i in found]
         else:
             parts = map(self.bytes_.__getitem__, found)
+        return self._text(parts)
+
+    def _text(self, parts: Iterable[bytes]) -> str:
         got = b"".join(parts).removeprefix(b" ")
         try:
             return got.decode("utf-8", "surrogatepass")
@@ -225,7 +239,7 @@ def digest(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text"
         c = codec(model)
         for x in frames:
             ids = [c.encode(t or "") for t in x["text"]]
-            same = [None if t is None else c.decode(np.frombuffer(i, "<u4").tolist()) == t for t, i in zip(x["text"], ids, strict=True)]
+            same = [None if t is None else c.decode_own(i) == t for t, i in zip(x["text"], ids, strict=True)]
             yield pd.DataFrame({"doc_id": x["doc_id"], "n_ids": [len(i) // 4 for i in ids], "ids_crc32": [zlib.crc32(i) for i in ids], "round_trip": pd.array(same, "boolean")})
 
     return by_text(df, doc_id, text, work, "n_ids long, ids_crc32 long, round_trip boolean")
