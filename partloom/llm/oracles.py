@@ -119,5 +119,29 @@ SELECT d.doc_id, len(string_split(d.text, chr(10)))::int AS n_lines, coalesce(g.
 FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.text = d.text"""
 
 
+def op13_sql() -> str:
+    one = lambda c, letter: f"CASE WHEN {c} THEN '{letter}' ELSE '' END"
+    return rf"""
+WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM raw),
+known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+docs AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  {one("len(w) < 100", "A")} || {one("100 * len(list_distinct(w)) < 80 * len(w)", "B")} ||
+  {one("100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text)", "C")} ||
+  {one("regexp_matches(text, '[#$%&*|]')", "D")} || {one("first < s.doc_id", "E")} AS fails FROM split s LEFT JOIN known k ON s.doc_id = k.doc_id),
+masks AS (SELECT part, fails, good, toxic, count(*) AS n FROM docs GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::int AS step FROM orders),
+met AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, n, good, toxic, fails, contains(fails, substr(filter_order, step, 1)) AS hit,
+  len(list_intersect(string_split(substr(filter_order, 1, step - 1), ''), string_split(fails, ''))) > 0 AND step > 1 AND fails <> '' AS gone FROM masks, steps),
+counted AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::bigint AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::bigint AS removed,
+  sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::bigint AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END)::bigint AS unique_fails,
+  sum(CASE WHEN hit AND NOT gone THEN n * good ELSE 0 END)::bigint AS good_lost, sum(CASE WHEN hit AND NOT gone THEN n * toxic ELSE 0 END)::bigint AS toxic_lost
+  FROM met GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::bigint AS shapley FROM counted"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": op2_sql(), "op5_quality": op5_sql(), "op8_lines": op8_sql(), "op10_urls": op10_sql()}
+    return {"op2_sharding": op2_sql(), "op5_quality": op5_sql(), "op8_lines": op8_sql(), "op10_urls": op10_sql(), "op13_audit": op13_sql()}

@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import embeddings, langid, linededup, packing, pieces, quality as _quality, sharding, simhash, toxicity, urls
+from partloom.llm import audit, embeddings, langid, linededup, packing, pieces, quality as _quality, sharding, simhash, toxicity, urls
 from partloom.llm.common import bound_batches, crc_fold, table
 
 
@@ -75,6 +75,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
+        "op13_audit": op13_audit,
     }
     return {name: _bounded(query) for name, query in every.items()}
 
