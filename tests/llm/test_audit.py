@@ -68,11 +68,9 @@ def test_no_rows(spark):
 
 
 def test_states_are_entered_once_and_filters_are_free(spark, monkeypatch):
-    entered = []
-    real = audit.DataFrame.persist
-    monkeypatch.setattr(audit.DataFrame, "persist", lambda self, *a: entered.append(1) or real(self, *a))
     rows = spark.createDataFrame([("p", True, False, True, False, 3), ("p", True, True, False, True, 2), ("p", False, False, False, False, 5)], "part string, X boolean, Y boolean, good boolean, toxic boolean, n long")
+    entered, real = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *a: entered.append(1) or real(self, *a))
     got = {(r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.good_lost, r.toxic_lost, r.shapley) for r in audit.interactions(rows, "XY").collect()}
     assert got == {("XY", 1): (5, 5, 0, 3, 2, 8), ("XY", 2): (5, 0, 2, 0, 0, 2), ("YX", 1): (8, 2, 0, 0, 2, 2), ("YX", 2): (5, 3, 2, 3, 0, 8)}
     assert len(entered) == 4
-    rows.unpersist()
