@@ -119,6 +119,31 @@ SELECT d.doc_id, len(string_split(d.text, chr(10)))::int AS n_lines, coalesce(g.
 FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.text = d.text"""
 
 
+#: Embeddings as whole numbers; only usable vectors.
+_WHOLE = """v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+
+def op11_sql() -> str:
+    return f"""
+WITH {_WHOLE},
+r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, e FROM v WHERE label IS NOT NULL),
+met AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, cast(list_inner_product(a.e, b.e) AS bigint) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM met WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::int AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN met m ON p.anchor_id = m.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+
+def op12_sql() -> str:
+    return f"""
+WITH {_WHOLE},
+met AS (SELECT a.vec_id AS query_id, b.vec_id, cast(list_inner_product(a.e, b.e) AS bigint) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER w)::int AS rank, vec_id, score FROM met WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+
 def op13_sql() -> str:
     one = lambda c, letter: f"CASE WHEN {c} THEN '{letter}' ELSE '' END"
     return rf"""
@@ -144,4 +169,4 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": op2_sql(), "op5_quality": op5_sql(), "op8_lines": op8_sql(), "op10_urls": op10_sql(), "op13_audit": op13_sql()}
+    return {"op2_sharding": op2_sql(), "op5_quality": op5_sql(), "op8_lines": op8_sql(), "op10_urls": op10_sql(), "op11_negatives": op11_sql(), "op12_topk": op12_sql(), "op13_audit": op13_sql()}

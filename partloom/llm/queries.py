@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from partloom.llm import audit, embeddings, langid, linededup, packing, pieces, quality as _quality, sharding, simhash, toxicity, urls
+from partloom.llm import audit, embeddings, langid, linededup, negatives, packing, pieces, quality as _quality, sharding, simhash, topk, toxicity, urls
 from partloom.llm.common import bound_batches, crc_fold, table
 
 
@@ -75,6 +75,15 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -100,6 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_embeddings": op9_embeddings,
         "op10_urls": op10_urls,
+        "op11_negatives": op11_negatives,
+        "op12_topk": op12_topk,
         "op13_audit": op13_audit,
     }
     return {name: _bounded(query) for name, query in every.items()}
