@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partloom.llm.common import cut, fresh, join_spread
+from partloom.llm.common import ROWS_PER_TASK, cut, fresh, join_spread
 
 
 @dataclass(frozen=True)
@@ -64,25 +65,37 @@ def host_links(pages: DataFrame, host: str, html: str) -> DataFrame:
     )
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 1000, check_every: int = 4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, check_every: int = 4, per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Personalised PageRank of (kind, host) from seeds (kind, host, seed).
 
     Trust flows along links and distrust against them; each kind's seeds sum to 1. A host without
-    links of its kind passes nothing on. It ends when scores move by `tolerance` or less in all; not having
-    settled in `rounds` is an error. Every check_every rounds the lineage is cut in the shared folder.
+    links of its kind passes nothing on. It ends when scores move by `tolerance` or less in all; each round moves at most `damping` of what the
+    one before moved, so that log(tolerance / 2) / log(damping) rounds are enough, and a few more for the rounding of sums. Every check_every rounds the
+    lineage is cut in the shared folder. The edges of a host that has over per_task of them are dealt to several tasks, to each of which its score
+    is copied; the list of such hosts, at most one for each per_task edges, is what is broadcast.
     """
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     )
-    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    edges = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
+    both = cut(both)
+    fan = F.count(F.lit(1))
+    out = both.groupBy("kind", "src").agg(F.sum("n").alias("total"), fan.alias("fan"), fan.alias("n_rows"))
+    met = join_spread(both, out, ["kind", "src"], "n_rows", ["dst"], per_task=per_task)
+    splits = F.ceil(F.col("fan") / per_task).cast("int")
+    edges = cut(
+        met.select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("total")).alias("share"), F.pmod(F.xxhash64("dst"), splits).cast("int").alias("salt"))
+    )
+    hubs = cut(out.where(F.col("fan") > per_task).select("kind", F.col("src").alias("host"), splits.alias("splits")))
+    spread = not hubs.isEmpty()
     start = cut(seeds)
     ranks = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    for done in range(check_every, rounds + 1, check_every):
+    for _ in range(check_every, int(math.log(tolerance / 2) / math.log(damping)) + 4 * check_every, check_every):
         before = ranks
         for _ in range(check_every):
+            copies = ranks.join(F.broadcast(hubs), ["kind", "host"], "left") if spread else ranks.withColumn("splits", F.lit(1))
+            salts = F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("salt")
             flow = (
-                ranks.join(edges.withColumnRenamed("src", "host"), ["kind", "host"])
+                copies.select("kind", "host", "score", salts).join(edges, ["kind", "host", "salt"])
                 .groupBy("kind", F.col("dst").alias("host"))
                 .agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
             )
@@ -94,8 +107,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
             .groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d")).agg(F.sum("d")).first()[0]
         )
         if (moved or 0.0) <= tolerance:
-            return ranks
-    raise RuntimeError(f"scores did not settle in {rounds} rounds")
+            break
+    return ranks
 
 
 def judge(pages: DataFrame, url: str = "url", html: str = "html", rules: tuple[UrlRule, ...] = RULES, most_distrust: float = 0.5) -> DataFrame:
