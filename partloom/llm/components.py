@@ -10,16 +10,17 @@ from partloom.llm.common import ROWS_PER_TASK, cut, join_spread
 ROWS_PER_PART, LEAST_PARTS = 50_000, 8
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of links: the smallest node that it reaches, itself included.
 
     Each step takes a minimum for each node and gives it to the node's links. With so few links that a node cannot have too many for
     one task, that is one exchange; else minima combine before the shuffle, and the links of a node with very many are dealt to several
-    tasks. Each round is written to the shared folder, in parts of some size. Links with a null end are left out.
+    tasks. Each round is written to the shared folder, in parts of some size. Links with a null end are left out. It ends when nothing
+    changes: every round but the last lowers an end of some link, so that it does end, after about log2 of the links or fewer rounds.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state, total = None, edges.count()
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         made = (_step if 2 * total <= ROWS_PER_TASK else _spread_step)(both)
         edges = cut(made.where("u <> v").distinct().coalesce(max(LEAST_PARTS, 2 * total // ROWS_PER_PART)))
@@ -27,8 +28,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -
         if now == state:
             break
         state, total = now, now[0]
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -35,6 +35,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(hashes(text, words))
 
 
+def digest(s: np.ndarray) -> int:
+    """A signed 64-bit hash of a whole set, 0 for the empty one."""
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).astype(np.int64)) if len(s) else 0
+
+
 def bands(s: np.ndarray) -> np.ndarray:
     """A key for each band of a set, none for the empty set."""
     if not len(s):
@@ -58,12 +65,10 @@ def _alike(one: np.ndarray, others: list[np.ndarray], least: float) -> np.ndarra
 
 def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, d, fp, bands): d is a digest of the whole set, 0 for the empty one."""
-    import xxhash
-
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in few(frames):
             sets = [shingles(t, words) for t in x["text"]]
-            d = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            d = np.array([digest(s) for s in sets], np.int64)
             fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
             yield pd.DataFrame({"key": x["key"], "d": d, "fp": fp, "bands": [bands(s) for s in sets]})
 
@@ -115,7 +120,8 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
     """(key, component), a row for each row of df: equal for rows connected by links of similarity `least` or more.
 
-    key is a long that differs in all rows and is the same whenever df is computed. Texts of fewer words
+    key is a long that differs in all rows. It must be stored with the rows, or follow from where they are stored: df is read twice, and a
+    key that is drawn anew each time, or that depends on how a scan is split, gives a text to another row, which is an error here. Texts of fewer words
     than a shingle are one shingle; those without words, and nulls, are alike. Equal sets, such as those of repeated rows, are compared
     once. All words of a very long text count; a pair at the very threshold is linked. Other columns of df, whatever their names, are not
     carried. An empty table gives an empty one.
@@ -129,19 +135,24 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", words: int = WO
     small, crowded = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
     met = crowded.groupBy("d").agg(F.sum("n").alias("met"))
     weighed = crowded.join(met, "d")
-    roots = weighed.groupBy("g").agg(F.max_by("d", F.struct("met", "d")).alias("root"), size.alias("n_rows"))
+    roots = cut(weighed.groupBy("g").agg(F.max_by("d", F.struct("met", "d")).alias("root"), size.alias("n_rows")))
     large = cut(join_spread(crowded, roots, ["g"], "n_rows", ["d"]))
     among = small.select("g", F.col("d").alias("a")).join(small.select("g", F.col("d").alias("b")), "g").where("a < b").select("a", "b")
     to_root = large.where("d <> root").select(F.col("root").alias("a"), F.col("d").alias("b"))
     pairs = cut(among.unionByName(to_root).unionByName(_fingerprint_pairs(nodes.where("d <> 0"))).distinct())
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d", "left_semi").select("key", "d")
+    wanted = cut(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "d", "left_semi").select("key", "d"))
 
     def sets_of(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in few(frames):
-            yield pd.DataFrame({"d": x["d"], "s": [shingles(t, words).tobytes() for t in x["text"]]})
+            sets = [shingles(t, words) for t in x["text"]]
+            if any(digest(s) != d for s, d in zip(sets, x["d"], strict=True)):
+                raise ValueError(f"{key} belongs to another row than when df was read first")
+            yield pd.DataFrame({"d": x["d"], "s": [s.tobytes() for s in sets]})
 
     texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key").select("d", "text")
     sets = cut(texts.mapInPandas(sets_of, "d long, s binary"))
+    if sets.count() != wanted.count():
+        raise ValueError(f"{key} belongs to another row than when df was read first, or to none")
     from_a = sets.withColumnRenamed("d", "a").join(pairs.groupBy("a").agg(size.alias("n_rows")), "a")
     both = join_spread(pairs, from_a, ["a"], "n_rows", ["b"]).join(sets.select(F.col("d").alias("b"), F.col("s").alias("t")), "b")
     links = cut(both.mapInPandas(_verify(least), "a long, b long"))
@@ -149,8 +160,10 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", words: int = WO
 
     # What is left of large buckets: members of another component than the root's, against all of the bucket.
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-    placed = large.join(of("d"), "d", "left").join(of("root"), "root", "left")
-    placed = cut(placed.select("g", "d", "n", F.coalesce("d_in", "d").alias("component"), (F.coalesce("d_in", "d") != F.coalesce("root_in", "root")).alias("asks")))
+    # A root's component goes to its buckets before these are spread over their members.
+    of_roots = roots.join(of("root"), "root", "left").select("g", F.coalesce("root_in", "root").alias("root_in"), "n_rows")
+    placed = join_spread(large.join(of("d"), "d", "left"), of_roots, ["g"], "n_rows", ["d"])
+    placed = cut(placed.select("g", "d", "n", F.coalesce("d_in", "d").alias("component"), (F.coalesce("d_in", "d") != F.col("root_in")).alias("asks")))
     open_ = placed.groupBy("g").agg(F.count_if("asks").alias("n_ask"), size.alias("n_rows")).where("n_ask > 0")
     rest = cut(join_spread(placed, open_, ["g"], "n_rows", ["d"]))
     if not rest.isEmpty():

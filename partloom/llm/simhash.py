@@ -158,13 +158,16 @@ def links(prints: DataFrame) -> DataFrame:
     found = []
     for depth in range(6):
         level = cut(todo.mapInPandas(_split, shape))
-        hot = cut(level.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_ROWS).select("g"))
+        size = F.count(F.lit(1))
+        hot = cut(level.groupBy("g").agg(size.alias("n"), size.alias("n_rows")).where(F.col("n") > BUCKET_ROWS))
         some = depth < 5 and not hot.isEmpty()
-        cold = level.join(hot, "g", "left_anti") if some else level
+        # Rows know whether their bucket is hot; those of a very large one are dealt to several tasks.
+        told = join_spread(level, hot, ["g"], "n_rows", ["fp"], "left") if some else level
+        cold = told.where("n IS NULL") if some else level
         found.append(cold.select("g", "fp").repartition("g").sortWithinPartitions("g").mapInPandas(_links, "a long, b long"))
         if not some:
             break
-        todo = level.join(hot, "g", "left_semi")
+        todo = told.where("n IS NOT NULL").drop("n")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
