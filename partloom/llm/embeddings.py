@@ -43,6 +43,14 @@ def layout(n: Column, least: float = LEAST) -> tuple[Column, Column]:
     return bits, F.when(share < 1, F.ceil(math.log(MISS) / F.log1p(-share))).otherwise(1).cast("int")
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x at length 1. Where squares would leave the range of doubles, a row is scaled by its largest component first."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    far = (most > 1e100) | (most < 1e-100)
+    x = np.where(far, x / most, x) if far.any() else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @cache
 def _rotation(dim: int, n: int) -> np.ndarray:
     """The nth random orthogonal matrix."""
@@ -87,8 +95,7 @@ def _buckets(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each vector and table."""
     for frame in small(frames):
         for (dim, bits, tables), rows in frame.groupby(["dim", "bits", "tables"], sort=False):
-            x = np.array(rows["embedding"].tolist(), np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit(np.array(rows["embedding"].tolist(), np.float64))
             code, factor, q, scale = encode(x, int(rows["h1"].iat[0]) & 0x7FFFFFFF, int(bits * tables))
             packed = (q[:, : dim // 2 * 2 : 2] << 4 | q[:, 1::2]) if dim > 1 else q
             if dim % 2 and dim > 1:
@@ -203,8 +210,7 @@ def _exact(least: float) -> object:
         for whole in runs(frames, "g"):
             out = []
             for (dim, bits), frame in whole.groupby(["dim", "bits"], sort=False):
-                x = np.array(frame["embedding"].tolist(), np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(np.array(frame["embedding"].tolist(), np.float64))
                 key = _keys(np.frombuffer(b"".join(frame["code"]), np.uint8).reshape(len(frame), -1), int(bits), int(frame["tables"].iat[0]))
                 rep, copies, side, table = (frame[k].to_numpy() for k in ("rep", "copies", "side", "t"))
                 own = frame["h1"].to_numpy()
@@ -275,7 +281,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     groups = given.groupBy("label_hash", "dim").agg(F.count(F.lit(1)).alias("n")).withColumns({"bits": bits, "tables": tables})
     # Equal vectors have one representative, so that each embedding is taken once.
     chosen = given.select("h1", "h2", F.col("rep").alias("vec_id"), "copies", "label_hash", "dim")
-    one = rows.where("fine").select("h1", "h2", "vec_id", "embedding").join(chosen, ["h1", "h2", "vec_id"]).dropDuplicates(["vec_id", "h1", "h2"])
+    # Rows alike combine before they move, so that no vector's copies meet in one task.
+    one = rows.where("fine").select("h1", "h2", "vec_id", "embedding").dropDuplicates(["h1", "h2", "vec_id"]).join(chosen, ["h1", "h2", "vec_id"])
     vectors = cut(
         join_spread(one, groups, ["label_hash", "dim"], "n", ["vec_id"])
         .select(F.col("vec_id").alias("rep"), "h1", "label_hash", "dim", "bits", "tables", "copies", "embedding")

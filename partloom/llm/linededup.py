@@ -156,9 +156,10 @@ def _intervals(carried: dict[int, tuple[list[int], list[int]]]) -> object:
 
 def suffix_array(df: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[DataFrame, DataFrame, int]:
     """(suffixes, array, depth): the suffixes that hold min_words words with their rank, and each distinct one once in order with its first place."""
-    lines = cut(_lines(df, doc_id, text))
+    # Rows alike in id and text are one document from here on; their lines combine before they move.
+    lines = cut(_lines(df, doc_id, text).dropDuplicates([*_DOC, "k"]))
     twice = _ranks(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["h1", "h2"], "r")
-    active = join_spread(lines, twice, ["h1", "h2"], "n", ["dk", "k"]).drop("h1", "h2").repartition("dk").dropDuplicates([*_DOC, "k"])
+    active = join_spread(lines, twice, ["h1", "h2"], "n", ["dk", "k"]).drop("h1", "h2").repartition("dk")
     shape = "dk long, doc_id string, th long, k int, r long, least int, ids array<long>, lines array<int>"
     found = cut(active.withColumn("doc_id", F.col("doc_id").cast("string")).sortWithinPartitions(*_DOC, "k").mapInPandas(_suffixes(min_words), shape))
     depth = found.agg(F.max(F.size("ids"))).first()[0] or 0
@@ -213,11 +214,14 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
     Other columns stay, but for those named as the new ones.
     """
     rows = df.drop("n_lines", "n_deleted", "deleted_runs")
-    id_, th = fresh(rows, "_id", "_th")
-    own = fresh(rows, "_text_hash")[0]
-    found = repeated_runs(rows, doc_id, text, min_words).select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("runs").alias("deleted_runs"))
-    docs = rows.withColumn(own, F.xxhash64(text))
-    joined = docs.join(found, docs[doc_id].eqNullSafe(found[id_]) & (docs[own] == found[th]), "left")
+    none, id_, th, at, n = fresh(rows, "_none", "_id", "_th", "_at", "_n")
+    key = [none, id_, th]
+    of = lambda i: {none: i.isNull(), id_: F.coalesce(i.cast("string"), F.lit(""))}
+    found = repeated_runs(rows, doc_id, text, min_words).withColumnsRenamed({"doc_id": "of", "th": th}).withColumns(of(F.col("of"))).select(*key, F.col("runs").alias("deleted_runs"))
+    docs = rows.withColumns({**of(F.col(doc_id)), th: F.xxhash64(text)})
+    alike = docs.groupBy(*key).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1)
+    facts = found.join(alike, key, "left").na.fill(1, [n])
+    joined = join_spread(docs.withColumn(at, F.monotonically_increasing_id()), facts, key, n, [at], "left")
     gone = F.col("deleted_runs")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.exists(gone, lambda r: (r["first"] <= i) & (i <= r["last"]))), "\n")
@@ -228,4 +232,4 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_w
             "n_deleted": F.coalesce(n_gone, F.lit(0)),
             text: F.when(gone.isNotNull(), left).otherwise(F.col(text)),
         }
-    ).drop(id_, th, own)
+    ).drop(*key, at)
