@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import ROWS_PER_FRAME, WordTable, by_text, crc_fold, small
+from partloom.llm.common import ROWS_PER_FRAME, WordTable, by_text, crc_fold, cut, join_spread, small
 
 UNKNOWN = "und"
 #: First code points of script ranges; a range ends where the next begins. Fixed values of Unicode.
@@ -37,8 +37,8 @@ SCRIPT_SHARE = 0.01
 WRONG_SCRIPT, SWITCH = -30.0, 12.0
 #: Documents of each language to learn from, about: they are drawn by a hash of the id.
 PER_LANGUAGE = 2000
-#: More languages than that are an error: each is a column of the model, and their names are gathered.
-MAX_LANGUAGES = 1000
+#: Up to so many languages their shares are broadcast to the texts; beyond, texts move to the shares.
+BROADCAST_LANGUAGES = 10_000
 
 
 def script_of(word: str) -> str:
@@ -94,17 +94,17 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learn from a sample of about per_language whole texts of each non-null language.
 
     What reaches the driver is the trigrams of that sample, so that the model's size is bounded by
-    the parameter. Languages with fewer texts use all. More than MAX_LANGUAGES languages are an error.
+    the parameter and the number of languages, of which there may be any. Languages with fewer texts use all. A null text, or one without letters,
+    teaches nothing; of a very long one all words count, and repeated rows each. A null key is drawn like any other.
     """
-    docs = docs.where(F.col(lang).isNotNull())
-    totals = {r[0]: r[1] for r in docs.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"there are more than {MAX_LANGUAGES} languages to learn")
-    langs = sorted(totals)
-    share = F.lit(0)
-    for x in langs:
-        share = F.when(F.col(lang) == x, F.lit(min(1_000_000, -(-1_000_000 * per_language // totals[x])))).otherwise(share)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("language sample")), F.lit(1_000_000)) < share)
+    rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    totals = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.least(F.lit(1_000_000), F.ceil(1_000_000 * per_language / F.col("n")))))
+    langs = sorted(r[0] for r in totals.select("lang").toLocalIterator())
+    if len(langs) <= BROADCAST_LANGUAGES:
+        met = rows.join(F.broadcast(totals.drop("n")), "lang")
+    else:
+        met = join_spread(rows, totals, ["lang"], "n", ["key"])
+    sample = met.where(F.pmod(F.xxhash64("key", F.lit("language sample")), F.lit(1_000_000)) < F.col("share"))
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in small(frames):
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                         found[one, "g", g] += 1
             yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "kind", "name", "n"])
 
-    counted = sample.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(count, "lang string, kind string, name string, n long")
+    counted = sample.select("lang", "text").mapInPandas(count, "lang string, kind string, name string, n long")
     rows = counted.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")).toPandas()
     column = {x: i for i, x in enumerate(langs)}
     g = rows[rows["kind"] == "g"]
@@ -149,7 +149,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     lengths = np.array([len(scores[i]) for i in order])
     if not len(order) or not lengths[0]:
-        return [np.zeros(0, np.int16) for _ in scores]
+        return [np.zeros(0, np.int32) for _ in scores]
     k = scores[0].shape[1]
     active = [int(n) for n in np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")]  # documents longer than t
     first = np.concatenate(([0], np.cumsum(active)))
@@ -157,9 +157,9 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     for rank, i in enumerate(order):
         by_time[first[: lengths[rank]] + rank] = scores[i]
     value = by_time[: active[0]].astype(np.float64)
-    came = np.zeros((first[-1], k), np.int16)
-    own = np.arange(k, dtype=np.int16)
-    final = np.zeros(len(order), np.int16)
+    came = np.zeros((first[-1], k), np.int32)
+    own = np.arange(k, dtype=np.int32)
+    final = np.zeros(len(order), np.int32)
     for t in range(1, len(active)):
         m = active[t]
         if m < active[t - 1]:
@@ -171,7 +171,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         came[first[t] : first[t] + m] = np.where(stay, own, top[:, None])
         value = np.where(stay, value, jump[:, None]) + by_time[first[t] : first[t] + m]
     final[: len(value)] = value.argmax(axis=1)
-    path = np.empty(first[-1], np.int16)
+    path = np.empty(first[-1], np.int32)
     now = final
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
@@ -179,7 +179,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
         if t:
             now = now.copy()
             now[:m] = came[first[t] : first[t] + m][np.arange(m), now[:m]]
-    out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(scores)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(scores)
     for rank, i in enumerate(order):
         out[i] = path[first[: lengths[rank]] + rank]
     return out
@@ -202,13 +202,13 @@ class Labeller:
             rows = self.table.store[n]
             letters = rows[:, k]
             if not len(n) or not k:
-                out.append((np.zeros(len(n), np.int16), letters))
+                out.append((np.zeros(len(n), np.int32), letters))
                 continue
             same = _constant(rows[:, :k])
             if same is None:
                 waiting.append(len(out))
                 mixed.append(rows[:, :k])
-            out.append((np.full(len(n), same or 0, np.int16), letters))
+            out.append((np.full(len(n), same or 0, np.int32), letters))
         for at, path in zip(waiting, viterbi(mixed), strict=True):
             out[at] = (path, out[at][1])
         return out
