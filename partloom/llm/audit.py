@@ -16,7 +16,7 @@ from itertools import combinations, permutations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from partloom.llm.common import SPACE, cut, join_spread, let, shared_folder
+from partloom.llm.common import SPACE, cut, join_spread, let, remove, shared_folder
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The filters of the contract: what a text fails by. E, copies of an earlier text, needs the whole table.
@@ -54,13 +54,12 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return every.select("part", *LETTERS, F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"), "n")
 
 
-def explore(rows: DataFrame, letters: Sequence[str]) -> DataFrame:
+def explore(rows: DataFrame, letters: Sequence[str], folder: str) -> DataFrame:
     """(part, state, kept, and for each letter removed_, good_, toxic_): what each state keeps and what each edge from it removes.
 
     rows has part, a boolean for each letter that says whether the row fails, good, toxic, and n, the rows it stands for. A state is the
-    sorted letters of the filters applied; a part without rows in a state has no row there.
+    sorted letters of the filters applied; a part without rows in a state has no row there. The counts are written to `folder`.
     """
-    folder = f"{shared_folder(rows.sparkSession)}/audit-{uuid.uuid4().hex}"
     total = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
     seen: set[frozenset[str]] = set()
 
@@ -85,9 +84,11 @@ def explore(rows: DataFrame, letters: Sequence[str]) -> DataFrame:
 def interactions(rows: DataFrame, letters: Sequence[str] = LETTERS) -> DataFrame:
     """The audit of any filters over rows as explore() takes them: a row for each part, order and step."""
     states = ["".join(sorted(s)) for k in range(len(letters) + 1) for s in combinations(letters, k)]
-    found = explore(rows, letters)
+    folder = f"{shared_folder(rows.sparkSession)}/audit-{uuid.uuid4().hex}"
+    found = explore(rows, letters, folder)
     parts = found.where("state = ''").select("part", F.explode(F.array(*[F.lit(s) for s in states])).alias("state"))
     filled = cut(parts.join(found, ["part", "state"], "left").na.fill(0))
+    remove(rows.sparkSession, folder)
     each = [F.struct(F.lit(x).alias("filter"), F.col(f"removed_{x}").alias("removed"), F.col(f"good_{x}").alias("good_lost"), F.col(f"toxic_{x}").alias("toxic_lost")) for x in letters]
     edges = filled.select("part", "state", F.explode(F.array(*each)).alias("e")).select("part", "state", "e.*").where(~F.col("state").contains(F.col("filter")))
     steps = [("".join(p), i + 1, p[i], "".join(sorted(p[:i])), "".join(sorted(p[: i + 1]))) for p in permutations(letters) for i in range(len(letters))]

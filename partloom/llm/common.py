@@ -16,6 +16,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROWS_PER_FRAME = 1000
 #: Rows of one key that a join gives to one task.
 ROWS_PER_TASK = 200_000
+#: A bucket with more than so many times the mean of its group is uneven.
+UNEVEN = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bound_batches(spark: SparkSession) -> None:
     """For an application's own session: Arrow batches of few rows and bytes, since texts are long and workers hold a batch several times over.
 
-    Operators do not call this; they work with batches of any size. Queries and the pipeline do.
+    Operators do not call this; they work with batches of any size.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_FRAME))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def bounded_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of this one and bounded batches; the one given is left as it is."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    bound_batches(own)
+    return own
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write one."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def small(frames: Iterable[pd.DataFrame], rows: int = ROWS_PER_FRAME) -> Iterator[pd.DataFrame]:
     """Frames of at most so many rows. Spark bounds the bytes of what it sends by spark.sql.execution.arrow.maxBytesPerBatch."""
     for frame in frames:
@@ -77,21 +96,34 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def gapless(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str, per_task: int | None = None) -> DataFrame:
     """df with a number from 0 without gaps within each group, without a group in one task.
 
     Rows are numbered within (group, bucket) in the given order; the counts of a group's earlier buckets are added. bucket is an
     integer column. The counts are joined by the keys by which the rows are dealt already; Spark may broadcast them
-    where it finds them small.
+    where it finds them small. A bucket that has over per_task rows and several times the mean of its group (as where very many rows are alike, so that
+    nothing else tells them apart) is written once with the places of its rows, and cut by them into parts that are numbered alone.
     """
-    at, b, n, start = fresh(df, "_at", "_bucket", "_n", "_start")
+    per_task = per_task or ROWS_PER_TASK
+    at, b, n, part, start, mean, place = fresh(df, "_at", "_bucket", "_n", "_part", "_start", "_mean", "_place")
+    count = F.count(F.lit(1)).alias(n)
     rows = df.withColumn(b, bucket)
-    sums = rows.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n))
-    before = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*group, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
-    within = Window.partitionBy(*group, b).orderBy(*order)
-    placed = rows.withColumn(at, F.row_number().over(within)).join(starts, [*group, b])
-    return placed.withColumn(name, (F.col(start) + F.col(at) - 1).cast("long")).drop(b, at, start)
+    sums = cut(rows.groupBy(*group, b).agg(count))
+    uneven = sums.join(sums.groupBy(*group).agg(F.avg(n).alias(mean)), group) if group else sums.withColumn(mean, F.avg(n).over(Window.partitionBy(F.lit(0))))
+    hot = cut(uneven.where((F.col(n) > per_task) & (F.col(n) > UNEVEN * F.col(mean))).drop(mean))
+    if hot.isEmpty():
+        rows, sums = rows.withColumn(part, F.lit(0)), sums.withColumn(part, F.lit(0))
+    else:  # at most one hot bucket for each per_task rows
+        told = rows.join(F.broadcast(hot), [*group, b], "left")
+        split = cut(told.where(F.col(n).isNotNull()).withColumn(place, F.monotonically_increasing_id()))
+        split = split.withColumn(part, F.pmod(F.xxhash64(place), F.ceil(F.col(n) / per_task)).cast("int")).drop(n, place)
+        rows = told.where(F.col(n).isNull()).drop(n).withColumn(part, F.lit(0)).unionByName(split)
+        sums = sums.join(F.broadcast(hot.drop(n)), [*group, b], "left_anti").withColumn(part, F.lit(0)).unionByName(split.groupBy(*group, b, part).agg(count))
+    before = Window.partitionBy(*group).orderBy(b, part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*group, b, part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(*group, b, part).orderBy(*order)
+    placed = rows.withColumn(at, F.row_number().over(within)).join(starts, [*group, b, part])
+    return placed.withColumn(name, (F.col(start) + F.col(at) - 1).cast("long")).drop(b, part, at, start)
 
 
 def join_spread(rows: DataFrame, facts: DataFrame, key: list[str], size: str, spread: list[str], how: str = "inner", per_task: int | None = None, total: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.llm import audit, embeddings, langid, linededup, negatives, packing, pieces, quality as _quality, sharding, simhash, topk, toxicity, urls
-from partloom.llm.common import bound_batches, crc_fold, table
+from partloom.llm.common import bounded_session, crc_fold, table
 
 
 #: A tokenizer file of the installed package; packing takes any path.
@@ -91,8 +91,7 @@ def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        bound_batches(spark)
-        return query(spark, sf_dir)
+        return query(bounded_session(spark), sf_dir)
 
     return run
 
