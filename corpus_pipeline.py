@@ -9,10 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partloom.llm import jaccard, langid, linededup, packing, quality as rules
-from partloom.llm.common import bound_batches
+from partloom.llm.common import bound_batches, bounded_session, cut, remove, shared_folder
 from partloom.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -39,6 +40,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where(left).withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the column _row, a long that differs in all rows and stays however a scan is cut into tasks: from the row's file and place in it.
+
+    Files are numbered in the order of their names, a table as long as the list of files. What is not read from files is written down first.
+    """
+    try:
+        at = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    files = cut(at.select("_file").distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file"))))
+    place = F.shiftleft(F.col("_no").cast("long"), 40) + F.col("_at")
+    return at.join(F.broadcast(files), "_file").select(*COLUMNS, place.alias("_row"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash over five words, with exact similarity: one row of each component of texts alike by 0.8 or more stays, of the smallest doc_id any row.
 
@@ -46,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     component has no other. Whole texts count, however long. An empty table gives an empty one.
     """
     bound_batches(spark)
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # the same each time, since docs is read from Parquet
+    rows = numbered(docs)
     found = rows.select("_row", "doc_id").join(jaccard.near_duplicates(rows, "_row"), "_row")
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")).select("first._row")
     return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
@@ -68,14 +83,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; between stages the rows are in Parquet in the shared checkpoint folder."""
-    from partloom.llm.common import shared_folder
+    """STAGES applied to documents; between stages the rows are in Parquet in the shared checkpoint folder, where the last one's are left.
 
+    Each stage's rows are removed when the next has its own. The caller's session is left as it is; a stage that is called alone sets its session's batches.
+    """
+    own = bounded_session(spark)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = own.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(own, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = own.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(own, f"{folder}/{before}")
+        before = name
     return docs
 
 
