@@ -77,12 +77,47 @@ def page(df: DataFrame, number: int, per_page: int, order: list[Column]) -> Data
 
 
 def tiered(base: DataFrame, direct: Column, deep: Column, q: str, least: int = 3) -> DataFrame:
-    """Direct hits; deep hits too only if nothing is hit directly and q has `least` characters. With the column `tier`."""
-    ranked = base.withColumn("tier", tier(direct))
-    hits = base.where(direct)
-    if not hits.isEmpty():
-        return ranked.where(direct)
-    return ranked.where(direct | deep) if len(q.strip()) >= least else ranked.where(F.lit(False))
+    """Direct hits; deep hits only if nothing is hit directly and q has `least` characters. With the column `tier`.
+
+    Whether anything is hit directly is a scalar subquery of the plan, so that the choice needs no action at the driver.
+    """
+    hit = F.coalesce(direct, F.lit(False))
+    ranked = base.withColumn("tier", tier(hit))
+    if len(q.strip()) < least:
+        return ranked.where(hit)
+    return ranked.where(hit | (F.coalesce(deep, F.lit(False)) & ~base.where(hit).exists()))
+
+
+def accumulated(stages: list[DataFrame], ends: list[str], order: str, limit: int, last_share: int = 3) -> DataFrame:
+    """(id, stage, rank): the ids at the `ends` of rows, read stage by stage in `order` until there are `limit` of them.
+
+    The row at which the limit is reached counts whole, so that one id more than the limit may come of it. Of the last stage no more rows are
+    read than last_share times the room that the ones before left. A stage is a frame of `order` (a number without ties) and the ends; earlier stages
+    are read first. What is sorted is bounded by the limit: the first ids of each stage, each with the row where it comes first.
+    """
+    def told(df: DataFrame, n: int) -> DataFrame:
+        each = [F.struct(F.col(e).cast("long").alias("id"), F.lit(k).alias("end")) for k, e in enumerate(ends)]
+        return df.select(F.lit(n).alias("stage"), F.col(order).alias("row"), F.explode(F.array(*each)).alias("e")).select("stage", "row", "e.id", "e.end").where("id IS NOT NULL")
+
+    def firsts(df: DataFrame) -> DataFrame:
+        """The ids that come first, each with its first place; a row's second id may be one too many."""
+        seen = df.groupBy("id").agg(F.min(F.struct("stage", "row", "end")).alias("at"))
+        return seen.orderBy("at").limit(limit + len(ends) - 1)
+
+    early, late = stages[:-1], stages[-1]
+    before = told(early[0], 0)
+    for n, df in enumerate(early[1:], 1):
+        before = before.unionByName(told(df, n))
+    head = firsts(before)
+    room = head.agg(F.greatest(F.lit(0), F.lit(limit) - F.count(F.lit(1))).alias("room")).scalar()
+    rows = late.orderBy(order).limit(last_share * limit)
+    numbered = rows.withColumn("_nth", F.row_number().over(Window.orderBy(order)))  # no more rows than the limit allows
+    tail = told(numbered.where(F.col("_nth") <= last_share * room), len(early))
+    known = head.select("id", "at.stage", "at.row", "at.end").unionByName(tail.select("id", "stage", "row", "end"))
+    ranked = firsts(known).withColumn("rank", F.row_number().over(Window.orderBy("at")))
+    edge = ranked.where(F.col("rank") == limit).agg(F.max("at")).scalar()
+    inside = (F.col("rank") <= limit) | ((F.col("at.stage") == edge["stage"]) & (F.col("at.row") == edge["row"]))
+    return ranked.where(F.coalesce(inside, F.lit(False))).select("id", F.col("at.stage").alias("stage"), "rank")
 
 
 def dropdown(df: DataFrame, column: str, q: str = "") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import money as M, text as T
 from partloom.operators import relations as R, search as S
+from partloom.operators.lineage import own_folder
+from partloom.operators.substrings import Index
 from partloom.plans.domain import frame
 from partloom.plans.registry import query
 
@@ -159,11 +161,13 @@ _PATHS += [f"SELECT part_id FROM {t} WHERE unit_id IN {_IDS['units']}" for t in
 def c18(spark: SparkSession, sf: str) -> DataFrame:
     """Parts related to a number by any of 23 paths: each table's own texts, and numbers of the parts and units that it points to."""
     q = "117"
-    hits = {t: S.search(frame(spark, sf, t), q, list(cols)).select("id") for t, cols in _NUMBERS.items()}
+    searched = _NUMBERS | {t: cols for t, (cols, _) in _RELATED.items()}
+    index = Index(spark, own_folder(spark, "index"), {t: (frame(spark, sf, t), "id", cols) for t, cols in searched.items()})
+    hits = {t: index.search(t, q).select("id") for t in _NUMBERS}
     paths = []
     for t, (cols, far) in _RELATED.items():
         rows = frame(spark, sf, t)
-        paths.append(S.search(rows, q, list(cols)).select("part_id"))
+        paths.append(index.search(t, q, cols).select("part_id"))
         if far:
             paths.append(rows.join(hits["parts"].withColumnRenamed("id", far), far, "left_semi").select("part_id"))
     for t in ("part_owners", "part_units"):

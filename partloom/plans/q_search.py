@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import text as T, years as Y
 from partloom.operators import search as S
+from partloom.operators.lineage import own_folder
+from partloom.operators.substrings import Index
 from partloom.plans.domain import frame
 from partloom.plans.registry import query, table
 from partloom.sources import csv as C
@@ -100,9 +102,10 @@ def b01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("B02", "SELECT id FROM parts WHERE contains(lower(part_name), 'green') OR contains(lower(oem), 'green') OR contains(lower(notes), 'green') UNION ALL SELECT -id FROM parts WHERE contains(lower(notes), '%')")
 def b02(spark: SparkSession, sf: str) -> DataFrame:
-    p = frame(spark, sf, "parts")
-    literal = S.search(p, "%", ["notes"]).select((-F.col("id")).alias("id"))
-    return S.search(p, " Green ", ["part_name", "oem", "notes"]).select("id").unionByName(literal)
+    """By an index of trigrams; a query's wildcards are characters like others."""
+    index = Index(spark, own_folder(spark, "index"), {"parts": (frame(spark, sf, "parts"), "id", ["part_name", "oem", "notes"])})
+    literal = index.search("parts", "%", ["notes"]).select((-F.col("id")).alias("id"))
+    return index.search("parts", " Green ").select("id").unionByName(literal)
 
 
 @query("B03", "SELECT id FROM cross_references WHERE starts_with(lower(cross_ref_number), 'x1') AND ends_with(cross_ref_number, '-')")
@@ -314,15 +317,92 @@ PER_KIND = 40
 
 @query("G06", " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS kind, id, {n} AS number, {t} AS title FROM {v} WHERE contains(lower({n}), '12') ORDER BY {n}, id LIMIT {PER_KIND})" for k, v, n, t in _HITS))
 def g06(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {view: (frame(spark, sf, view), "id", [n for _, v, n, _ in _HITS if v == view]) for _, view, _, _ in _HITS}
+    index = Index(spark, own_folder(spark, "index"), tables)
     out = None
     for kind, view, number, title in _HITS:
-        hits = S.search(frame(spark, sf, view), "12", [number]).select(F.lit(kind).alias("kind"), "id", F.col(number).alias("number"), F.col(title).alias("title"))
+        hits = index.search(view, "12", [number]).select(F.lit(kind).alias("kind"), "id", F.col(number).alias("number"), F.col(title).alias("title"))
         hits = hits.orderBy("number", "id").limit(PER_KIND)
         out = hits if out is None else out.unionByName(hits)
     return out.dropDuplicates(["kind", "id"])
 
 
-@query("G07", "SELECT unit_id AS id FROM cross_references WHERE contains(lower(cross_ref_number), 'x12') OR contains(lower(interchange_type), 'x12') UNION SELECT cross_ref_unit_id FROM cross_references WHERE cross_ref_unit_id IS NOT NULL AND (contains(lower(cross_ref_number), 'x12') OR contains(lower(interchange_type), 'x12'))")
+#: Lookups of a number: what is matched, and the most ids: one that the first stage fills, one that only the last does, and more than there are.
+_LOOKUPS = [("reference", "10", 7), ("reference", "10", 60), ("reference", "10", 100_000), ("reference", "x12", 40), ("substitute", "s5", 7), ("substitute", "5", 60), ("substitute", "5", 100_000)]
+
+
+def _lookup_sql(kind: str, q: str, most: int) -> str:
+    """Rows in the order in which they are read; an id counts where it comes first."""
+    if kind == "reference":
+        table, other, starts = "cross_references", "cross_ref_unit_id", [f"starts_with(lower({c}), '{q}')" for c in ("cross_ref_number", "interchange_type")]
+        holds = " OR ".join(f"(contains(lower({c}), '{q}') AND NOT starts_with(lower({c}), '{q}'))" for c in ("cross_ref_number", "interchange_type"))
+    else:
+        table, other, starts = "substitutes", "substitute_unit_id", [f"starts_with(lower(substitute_number), '{q}')"]
+        holds = f"contains(lower(substitute_number), '{q}') AND NOT starts_with(lower(substitute_number), '{q}')"
+    last = len(starts)
+    early = " UNION ALL ".join(f"SELECT {n} AS stage, id AS place, unit_id, {other} AS other FROM {table} WHERE {w}" for n, w in enumerate(starts))
+    ids = lambda rows: f"SELECT stage, place, 0 AS e, unit_id AS id FROM {rows} WHERE unit_id IS NOT NULL UNION ALL SELECT stage, place, 1, other FROM {rows} WHERE other IS NOT NULL"
+    return f"""SELECT '{kind}' AS kind, '{q}' AS q, {most} AS most, id, stage, cast(row_number() OVER (ORDER BY stage, place, e) AS int) AS rank FROM (
+  WITH early AS ({early}), had AS (SELECT count(DISTINCT id) AS n FROM ({ids("early")})),
+  late AS (SELECT {last} AS stage, id AS place, unit_id, {other} AS other FROM {table} WHERE {holds} QUALIFY row_number() OVER (ORDER BY id) <= 3 * greatest(0, {most} - (SELECT n FROM had))),
+  every_row AS (SELECT * FROM early UNION ALL SELECT * FROM late),
+  firsts AS (SELECT id, min(struct_pack(stage := stage, place := place, e := e)) AS f FROM ({ids("every_row")}) GROUP BY id),
+  counted AS (SELECT f.stage AS stage, f.place AS place, f.e AS e, id, sum(count(*)) OVER (ORDER BY f.stage, f.place) - count(*) AS before FROM firsts GROUP BY f.stage, f.place, f.e, id)
+  SELECT * FROM (SELECT stage, place, e, id, min(row_number) OVER (PARTITION BY stage, place) AS begins FROM (SELECT *, row_number() OVER (ORDER BY stage, place, e) AS row_number FROM counted)) WHERE begins <= {most})"""
+
+
+@query("G07", " UNION ALL ".join(f"SELECT * FROM ({_lookup_sql(*x)})" for x in _LOOKUPS))
 def g07(spark: SparkSession, sf: str) -> DataFrame:
-    hits = S.search(frame(spark, sf, "cross_references"), "x12", ["cross_ref_number", "interchange_type"])
-    return hits.select(F.explode(F.array_compact(F.array("unit_id", "cross_ref_unit_id"))).alias("id")).distinct()
+    """Units that a number leads to: rows that begin with it, then those whose maker does, then those that hold it, until there are enough units."""
+    x, s = frame(spark, sf, "cross_references"), frame(spark, sf, "substitutes")
+    number, maker, own = F.lower("cross_ref_number"), F.lower("interchange_type"), F.lower("substitute_number")
+    out = None
+    for kind, q, most in _LOOKUPS:
+        within = lambda c: c.contains(q) & ~c.startswith(q)  # noqa: B023, E731  used at once
+        if kind == "reference":
+            stages, ends = [x.where(number.startswith(q)), x.where(maker.startswith(q)), x.where(within(number) | within(maker))], ["unit_id", "cross_ref_unit_id"]
+        else:
+            stages, ends = [s.where(own.startswith(q)), s.where(within(own))], ["unit_id", "substitute_unit_id"]
+        found = S.accumulated(stages, ends, "id", most).select(F.lit(kind).alias("kind"), F.lit(q).alias("q"), F.lit(most).alias("most"), "id", "stage", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: A direct search, one that finds something only in related tables or texts, and one too short for that.
+_TIERED = ("mf11", "x117", "z7", "tomato", "u1")
+_SORTED = "ORDER BY tier, nullif(yt_number, '') NULLS LAST, nullif(part_number, '') NULLS LAST, id"
+
+
+def _tiered_sql(q: str) -> str:
+    has = lambda *cols: "(" + " OR ".join(f"coalesce(contains(lower({c}), '{q}'), false)" for c in cols) + ")"
+    direct, texts = has("manufacturer_number", "yt_number", "j_and_n", "oem"), has("part_number", "part_name", "notes", "voltage")
+    units = f"(SELECT id FROM units WHERE {has('unit_number')})"
+    related = f"""SELECT part_id FROM part_owners WHERE unit_id IN {units} UNION ALL SELECT part_id FROM part_units WHERE unit_id IN {units}
+      UNION ALL SELECT unnest([part_id, interchange_part_id]) FROM part_interchanges WHERE {has("interchange_number")} UNION ALL SELECT part_id FROM part_supersedings WHERE {has("old_part_number")}"""
+    deep = f"({texts} OR id IN (SELECT part_id FROM ({related}) WHERE part_id IS NOT NULL))" if len(q) >= 3 else "false"
+    return f"""SELECT '{q}' AS q, id, tier, cast(row_number() OVER ({_SORTED}) AS int) AS rank FROM (SELECT *, CASE WHEN {direct} THEN 0 ELSE 1 END AS tier FROM parts
+      WHERE is_active AND ({direct} OR ({deep} AND NOT EXISTS (SELECT 1 FROM parts WHERE is_active AND {direct})))) {_SORTED} LIMIT 50"""
+
+
+@query("F02b", " UNION ALL ".join(f"SELECT * FROM ({_tiered_sql(q)})" for q in _TIERED))
+def f02b(spark: SparkSession, sf: str) -> DataFrame:
+    """First pages of the part list's search: numbers of the part itself, and only where none has it, its texts, units, interchanges and earlier numbers."""
+    p = frame(spark, sf, "parts").where("is_active")
+    tables = {n: frame(spark, sf, n) for n in ("units", "part_owners", "part_units", "part_interchanges", "part_supersedings")}
+    out = None
+    for q in _TIERED:
+        has = lambda *cols: T.any_of([F.coalesce(T.contains_text(F.col(c), q), F.lit(False)) for c in cols])  # noqa: B023, E731  used at once
+        units = tables["units"].where(has("unit_number")).select(F.col("id").alias("unit_id"))
+        ends = F.explode(F.array("part_id", "interchange_part_id")).alias("id")
+        related = [tables[n].join(units, "unit_id", "left_semi").select(F.col("part_id").alias("id")) for n in ("part_owners", "part_units")]
+        related += [tables["part_interchanges"].where(has("interchange_number")).select(ends), tables["part_supersedings"].where(has("old_part_number")).select(F.col("part_id").alias("id"))]
+        ids = related[0]
+        for more in related[1:]:
+            ids = ids.unionByName(more)
+        known = p.join(ids.where("id IS NOT NULL").distinct().withColumn("_related", F.lit(True)), "id", "left")
+        deep = has("part_number", "part_name", "notes", "voltage") | F.col("_related")
+        order = [F.col("tier"), *S.blanks_last("yt_number", "part_number"), F.col("id")]
+        page = S.tiered(known, has("manufacturer_number", "yt_number", "j_and_n", "oem"), deep, q).orderBy(*order).limit(50)
+        page = page.select(F.lit(q).alias("q"), "id", "tier", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+        out = page if out is None else out.unionByName(page)
+    return out
