@@ -40,8 +40,10 @@ def rejoin(text: Column) -> Column:
     return F.array_join(F.aggregate(F.split(text, "\n"), start, fold, end), "\n")
 
 
+#: Years of an application, and what stands for all of a make's models.
 _YEARS = r"\d{4}-\d{4}"
-#: Where a model ends and its engine begins.
+_EVERY_MODEL = ("All Models", "Various", "Salt Spreader", "All")
+#: Where a model ends and its engine begins, and a substitute's line.
 _ENGINE = r"\b(?:[LVH]\d\s+\d+\.\d+L\b|\d+\.\d+L\b|Diesel\b|Turbo\b|Gas\b)"
 _SUBSTITUTE = r"YouTech\s*:\s*\d{5,}"
 
@@ -120,7 +122,7 @@ def application_lines(lines: Column) -> Column:
 
     def step(s: Column, raw: Column) -> Column:
         line = strip(raw)
-        ends = line.rlike(_YEARS) | line.isin("All Models", "Various", "Salt Spreader", "All") | (line.contains(";") & (F.length(line) > 8))
+        ends = line.rlike(_YEARS) | line.isin(*_EVERY_MODEL) | (line.contains(";") & (F.length(line) > 8))
         more = (s["make"] == "") & (F.size(s["out"]) > 0) & (ends | line.rlike(r"^\d{4}$"))
         last = F.element_at(s["out"], -1)
         joined = F.concat(last["model"], F.when(last["model"].endswith("-"), "").otherwise(" "), line)

@@ -38,8 +38,8 @@ def append_text(existing: Column, extra: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Each run of letters with a capital first, as in `Alfa-Romeo` and `O'Neil`."""
-    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), F.initcap), "")
+    """Each run of letters with a capital first, as in `Alfa-Romeo`, `O'Neil` and `Mañana`."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1)), F.initcap), "")
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:

@@ -149,6 +149,18 @@ SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppk
   'T' || cast(l_partkey AS string) AS their_number,
   CASE l_suppkey % 4 WHEN 0 THEN 'U' || cast(l_partkey % 150 AS string) WHEN 1 THEN 'YT' || cast(l_partkey % 400 AS string) WHEN 2 THEN 'Q' || cast(l_partkey AS string) ELSE '' END AS our_number
 FROM lineitem""",
+    "guide_texts": """
+SELECT o_orderkey AS id, 'YT' || cast(o_custkey AS string) || chr(10) || CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'APPLICATION' || chr(10) END ||
+  CASE o_orderkey % 5 WHEN 0 THEN 'gamma' WHEN 1 THEN 'Volvo' || chr(10) || 'Stern Drive' WHEN 2 THEN 'ford' || chr(10) || '(Europe)' WHEN 3 THEN 'OMC Engine' || chr(10) || '- Inboard &' || chr(10) || 'V-Drive' ELSE 'case' END || chr(10) ||
+  CASE WHEN o_orderkey % 13 = 0 THEN 'Fan Type' || chr(10) || 'Internal' || chr(10) ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN 'Bosch: 12 | Delco: 45' || chr(10) ELSE '' END ||
+  'Model ' || cast(o_custkey % 90 AS string) || CASE o_custkey % 6 WHEN 0 THEN ' 2.0L' WHEN 1 THEN ' Diesel' WHEN 2 THEN ', V8 5.7L' WHEN 3 THEN ' V8 350 5.7L Turbo' ELSE '' END || ' ' || cast(1960 + o_orderkey % 50 AS string) ||
+  CASE o_orderkey % 7 WHEN 0 THEN '-' || chr(10) WHEN 1 THEN ' ' || chr(10) || ' -' WHEN 2 THEN '' ELSE '-' END || cast(1980 + o_custkey % 40 AS string) || CASE WHEN o_orderkey % 7 = 2 THEN ' only' ELSE '' END ||
+  CASE o_custkey % 4 WHEN 0 THEN '; Fiesta 1.4L 1999-' || cast(2000 + o_orderkey % 20 AS string) || ';; Tamd' WHEN 1 THEN ', 1991-1992 or later' ELSE '' END || chr(10) ||
+  CASE WHEN o_orderkey % 2 = 0 THEN 'opel' || chr(10) || 'Corsa 7277CC 1.2L 2000-' || cast(2001 + o_orderkey % 9 AS string) || '; Astra' || chr(10) ELSE '' END ||
+  CASE WHEN o_orderkey % 17 = 0 THEN 'YouTech : ' || cast(100000 + o_custkey AS string) || chr(10) ELSE '' END ||
+  CASE WHEN o_orderkey % 3 = 0 THEN 'INTERCHANGE' || chr(10) || 'Bosch: B' || cast(o_custkey AS string) || ', 12-' || cast(100 + o_orderkey % 900 AS string) || '-X | 400-' || chr(10) || lpad(cast(o_custkey % 100000 AS string), 5, '0') || ' | Lucas: IN' || cast(o_orderkey AS string) || chr(10) ELSE '' END ||
+  CASE WHEN o_orderkey % 8 = 0 THEN 'POSSIBLE SUBSTITUTIONS' || chr(10) || 'YouTech : 123456 or 130-05AB*' ELSE '' END AS text
+FROM orders""",
     "seed_parts": """
 SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_partkey END AS seed_id, 'PN-' || cast(p_partkey AS string) AS part_number, p_name AS part_name,
   'seed ' || p_type AS notes, cast(p_retailprice AS decimal(10,2)) AS price, p_brand AS oem
@@ -180,4 +192,6 @@ def oracle(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views} {body}"

@@ -15,7 +15,7 @@ from partloom.operators.lineage import cut_lineage
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.q_relations import FILLED_SQL, filled
-from partloom.plans.q_text import BLOCKS_SQL, block_texts
+from partloom.plans.q_guides import BLOCKS_SQL, application_texts
 from partloom.plans.registry import query
 from partloom.sources import csv as C
 
@@ -583,18 +583,17 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
 _GUIDE = "(SELECT pos, our_number AS unit_number, their_number AS number, CASE WHEN pos % 7 = 0 THEN 'model  NUMBER' ELSE manufacturer END AS maker FROM staging_interchange)"
 
 
-@query("L23", f"""WITH g AS (SELECT pos, u.id AS unit_id, trim(g.number) AS number, trim(regexp_replace(maker, '\\s+', ' ', 'g')) AS maker FROM {_GUIDE} g JOIN units u ON u.unit_number = trim(g.unit_number) WHERE trim(g.number) <> ''),
-t AS (SELECT unit_id, arg_min(number, pos) AS told FROM g WHERE lower(maker) = 'model number' GROUP BY 1), blocks AS ({BLOCKS_SQL})
+@query("L23", f"""{BLOCKS_SQL}, g AS (SELECT pos, u.id AS unit_id, trim(g.number) AS number, trim(regexp_replace(maker, '\\s+', ' ', 'g')) AS maker FROM {_GUIDE} g JOIN units u ON u.unit_number = trim(g.unit_number) WHERE trim(g.number) <> ''),
+t AS (SELECT unit_id, arg_min(number, pos) AS told FROM g WHERE lower(maker) = 'model number' GROUP BY 1)
 SELECT 'unit' AS kind, u.id, coalesce(nullif(trim(family), ''), told, '') AS number, NULL AS maker FROM units u LEFT JOIN t ON t.unit_id = u.id
 UNION ALL SELECT DISTINCT 'xref', unit_id, number, maker FROM g WHERE lower(maker) <> 'model number' AND NOT EXISTS (SELECT 1 FROM cross_references c WHERE c.unit_id = g.unit_id AND c.cross_ref_number = g.number AND c.interchange_type = g.maker)
-UNION ALL SELECT DISTINCT 'application', id % 100, concat_ws('/', make, model, engine, year), NULL FROM blocks""")
+UNION ALL SELECT DISTINCT 'application', cast(substr(key, 2) AS bigint) % 100, concat_ws('/', make, model, engine, year), NULL FROM applications_read WHERE model <> ''""")
 def l23(spark: SparkSession, sf: str) -> DataFrame:
     """A guide's interchanges, of which some tell a unit's family, and the applications in its texts; BOMs and substitutes are as in L28."""
     rows = frame(spark, sf, "staging_interchange").select("pos", F.col("our_number").alias("unit_number"), F.col("their_number").alias("number"), F.when(F.col("pos") % 7 == 0, "model  NUMBER").otherwise(F.col("manufacturer")).alias("maker"))
     got = L.import_guide_xrefs(rows, frame(spark, sf, "units"), frame(spark, sf, "cross_references"))
-    texts = block_texts(frame(spark, sf, "applications"))
-    found = application_blocks(texts, "id", "text", rules.ATTRIBUTE_NAMES)
-    apps = found.select((F.col("id") % 100).alias("id"), F.concat_ws("/", "make", "model", "engine", "year").alias("number")).distinct()
+    found = application_blocks(application_texts(spark, sf), "key", "text", rules.ATTRIBUTE_NAMES)
+    apps = found.select((F.substring("key", 2, 20).cast("long") % 100).alias("id"), F.concat_ws("/", "make", "model", "engine", "year").alias("number")).distinct()
     return stacked(unit=got["unit"].withColumnRenamed("family", "number"), xref=got["xref"].withColumnRenamed("unit_id", "id"), application=apps)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.functions import lines as L, money as M, rules, text as T, years as Y
@@ -173,102 +171,6 @@ def h21(spark: SparkSession, sf: str) -> DataFrame:
     return L.interchange_pairs(frame(spark, sf, "parts").select("id", F.expr(_IX).alias("text")), "id", "text")
 
 
-def _filled(s: str) -> Column:
-    """A text in which {y} is a year and {i} the id of the row."""
-    year = (F.lit(2002) + F.col("id") % 8).cast("string")
-    parts = [F.lit(x) if n % 2 == 0 else year if x == "y" else F.col("id").cast("string") for n, x in enumerate(re.split(r"\{([yi])\}", s))]
-    return F.concat(*parts)
-
-
-def _filled_sql(s: str) -> str:
-    parts = [f"'{x}'" if n % 2 == 0 else "cast(2002 + id % 8 AS string)" if x == "y" else "cast(id AS string)" for n, x in enumerate(re.split(r"\{([yi])\}", s))]
-    return " || ".join(parts).replace("\n", "' || chr(10) || '")
-
-
-def _one_of(texts: list[str]) -> Column:
-    return F.element_at(F.array(*map(_filled, texts)), (F.col("id") % len(texts) + 1).cast("int"))
-
-
-def _found_sql(names: tuple[str, ...], found: list[list[tuple[str, ...]]], source: str) -> str:
-    """The rows that are in each of the texts that _one_of() deals."""
-    columns = lambda row: ", ".join(f"{_filled_sql(v)} AS {c}" for c, v in zip(names, row, strict=True))
-    return " UNION ALL ".join(f"SELECT id, {columns(row)} FROM {source} WHERE id % {len(found)} = {k}" for k, rows in enumerate(found) for row in rows)
-
-
-_WRAPPED = {
-    "Model 2000-\n{y} x\n130-\n05{i}\nend": "Model 2000-{y} x\n130-05{i}\nend",
-    "Model 1999\n-{y}\nB  \nC": "Model 1999-{y}\nB\nC",
-    "no year\n{i}\n12-x": "no year\n{i}\n12-x",
-    "A 12-\n-7\n2000-\nx{i}": "A 12-\n-7\n2000-\nx{i}",
-}
-
-
-@query("H22", f"SELECT id, CASE id % 4 {' '.join(f'WHEN {k} THEN {_filled_sql(v)}' for k, v in enumerate(_WRAPPED.values()))} END AS text FROM parts")
-def h22(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of four forms, of which two have lines to join."""
-    return frame(spark, sf, "parts").select("id", L.rejoin(_one_of(list(_WRAPPED))).alias("text"))
-
-
-#: Application texts, good and bad, with the entries in them.
-_BLOCKS = {
-    "gamma\nModel 2.0L 1999-{y}": [("Gamma", "Model", "2.0L", "1999-{y}")],
-    "ford\n(Europe)\nFocus 1999-2001; Fiesta Diesel 2001-2004\nopel\nCorsa 7277CC 1.2L 2000-{y}": [
-        ("Ford (Europe)", "Focus", "", "1999-2001"), ("Ford (Europe)", "Fiesta", "Diesel", "2001-2004"), ("Opel", "Corsa 7277CC", "1.2L", "2000-{y}"),
-    ],
-    "OMC Engine\n- Inboard &\nV-Drive\nBig Block V8 5.7L\n1990-{y}": [],
-    "OMC Engine\n- Inboard &\nV-Drive\nBig Block V8 5.7L 1990-{y}": [("Omc Engine - Inboard & V-Drive", "Big Block", "V8 5.7L", "1990-{y}")],
-    "Mercruiser\nStern Drive\n350, V8 5.7L 1990-{y}; 1991-1992": [("Mercruiser Stern Drive", "350", "V8 5.7L", "1990-{y}")],
-    "Volvo\nBosch: 123 | Delco: 45\nFan Type\nInternal\nYouTech : 123456\nPenta 2.5L 2001-{y};; Tamd": [("Volvo", "Penta", "2.5L", "2001-{y}"), ("Volvo", "Tamd", "", "")],
-    "YouTech : 123456\nsomething": [],
-    "1999-{y} only": [],
-    "case\nX 100 1990-1991, 1992-{y} or later": [("Case", "X 100 1990-1991", "", "1992-{y}")],
-}
-
-
-BLOCKS_SQL = _found_sql(("make", "model", "engine", "year"), list(_BLOCKS.values()), "applications")
-
-
-def block_texts(apps: DataFrame) -> DataFrame:
-    return apps.select("id", _one_of(list(_BLOCKS)).alias("text"))
-
-
-@query("H23", BLOCKS_SQL)
-def h23(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts of nine forms: wrapped makes, several models, leaked lines of other sections, and some with nothing to find."""
-    return L.application_blocks(block_texts(frame(spark, sf, "applications")), "id", "text", rules.ATTRIBUTE_NAMES)
-
-
-#: Lines of an application section, with the entries in them.
-_SECTIONS = {
-    "Volvo|Penta|2.5 1999-{y}": [("Volvo Penta", "2.5 1999-{y}")],
-    "Force|All Models|40; 50; 60HP|Suzuki|Various": [("Force", "All Models 40; 50; 60HP"), ("Suzuki", "Various")],
-    "Mariner|DF 1990-1999, 2000-|{y}|left over": [("Mariner", "DF 1990-1999, 2000-{y}"), ("left over", "")],
-    "1999-2001": [("", "1999-2001")],
-}
-_SECTION_ROWS = [[(*row, " - ".join(x for x in row if x)) for row in rows] for rows in _SECTIONS.values()]
-
-
-@query("L29", f"SELECT r.id, r.make, r.model, r.name, CASE WHEN p.notes = '' THEN 'sheet ' || cast(r.id % 3 AS string) ELSE p.notes || chr(10) || 'sheet ' || cast(r.id % 3 AS string) END AS notes FROM ({_found_sql(('make', 'model', 'name'), _SECTION_ROWS, 'parts')}) r JOIN parts p ON p.id = r.id")
-def l29(spark: SparkSession, sf: str) -> DataFrame:
-    """A sheet's notes added to those of its part, and the applications in its lines."""
-    found = frame(spark, sf, "parts").select("id", "notes", F.explode(L.application_lines(F.split(_one_of(list(_SECTIONS)), r"\|"))).alias("x"))
-    name = F.coalesce(T.nullif_blank(T.join_non_blank(" - ", F.col("x.make"), F.col("x.model"))), F.lit("Unknown Application"))
-    sheet = F.concat(F.lit("sheet "), (F.col("id") % 3).cast("string"))
-    return found.select("id", "x.make", "x.model", name.alias("name"), T.append_text(F.col("notes"), sheet).alias("notes"))
-
-
-@query("M01", "SELECT id, 'jn' AS kind, '400-' || lpad(cast(id % 100000 AS string), 5, '0') AS number FROM parts UNION ALL SELECT id, 'jn', '130-05AB*' FROM parts UNION ALL SELECT id, 'metro', '12-' || cast(100 + id % 900 AS string) || '-X' FROM parts UNION ALL SELECT id, 'transpo', 'IN' || cast(id AS string) FROM parts")
-def m01(spark: SparkSession, sf: str) -> DataFrame:
-    """Part numbers of three catalogs among others and what only looks like them."""
-    i = F.col("id")
-    text = F.concat(F.lit("see 400-"), F.lpad((i % 100000).cast("string"), 5, "0"), F.lit(", X400-12345 and 130-05AB* or 12-"), (100 + i % 900).cast("string"), F.lit("-X, 99-ABC, 1-2"))
-    words = F.array(F.concat(F.lit("IN"), i.cast("string")), F.lit("12345"), F.lit("ABC"), F.lit("in-1"))
-    p = frame(spark, sf, "parts").select("id", text.alias("text"), words.alias("words"))
-    of = lambda df, kind: df.select("id", F.lit(kind).alias("kind"), F.explode(L.numbers_in(F.col("t"), rules.NUMBER_PATTERNS[kind])).alias("number"))
-    whole, each = p.select("id", F.col("text").alias("t")), p.select("id", F.explode("words").alias("t"))
-    return of(whole, "jn").unionByName(of(whole, "metro")).unionByName(of(each, "transpo"))
-
-
 @query("H24", "SELECT id FROM boms WHERE contains(CASE WHEN id % 3 = 0 THEN name || '|x' ELSE name END, '|')")
 def h24(spark: SparkSession, sf: str) -> DataFrame:
     leaky = F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("|x"))).otherwise(F.col("name"))

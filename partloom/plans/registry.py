@@ -51,7 +51,7 @@ def customer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from partloom.plans import q_commands, q_dml, q_nested, q_relations, q_search, q_text  # noqa: F401  they register themselves
+    from partloom.plans import q_commands, q_dml, q_guides, q_nested, q_relations, q_search, q_text  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:
