@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.operators.lineage import cut_lineage
+from partloom.operators.search import placed
 
 
 def set_where(df: DataFrame, cond: Column, **values: Column) -> DataFrame:
@@ -15,12 +16,29 @@ def blank(c: Column) -> Column:
     return c.isNull() | (c.cast("string") == "")
 
 
+def with_ids(df: DataFrame, known: DataFrame, order: list[Column], id_: str = "id") -> DataFrame:
+    """df in which rows without an id have the next ones after the highest of known, without gaps, in an order without ties.
+
+    Places come from a distributed sort that is written once, so that a task that runs again gives the same ids. df is read for either kind of rows.
+    """
+    new = placed(df.where(F.col(id_).isNull()), order)
+    highest = F.coalesce(known.agg(F.max(id_)).scalar(), F.lit(0))
+    return df.where(F.col(id_).isNotNull()).unionByName(new.withColumn(id_, (highest + 1 + F.col("place")).cast("long")).select(*df.columns))
+
+
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], pos: str, columns: list[str]) -> DataFrame:
-    """target with rows laid over it by key: the last row of a key wins. `change` tells created, updated and kept rows."""
-    last = rows.groupBy(*key).agg(*[F.max_by(c, pos).alias(f"_{c}") for c in columns]).withColumn("_new", F.lit(True))
+    """target with rows laid over it by key: the last row of a key wins. `change` tells created, updated and kept rows.
+
+    Where target has ids, a created row gets the next one, in the order in which its key came first.
+    """
+    last = rows.groupBy(*key).agg(F.min(pos).alias("_pos"), *[F.max_by(c, pos).alias(f"_{c}") for c in columns]).withColumn("_new", F.lit(True))
     both = target.withColumn("_old", F.lit(True)).join(last, key, "full")
     change = F.when(F.col("_old").isNull(), "created").when(F.col("_new"), "updated").otherwise("kept")
-    return both.select(*key, *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], change.alias("change"))
+    ids = [c for c in ("id",) if c in target.columns]
+    laid = both.select(*ids, "_pos", *key, *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns], change.alias("change"))
+    if not ids:
+        return laid.drop("_pos")
+    return with_ids(cut_lineage(laid), target, [F.col("_pos")]).drop("_pos")
 
 
 def backfilled(target: DataFrame, seed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from partloom.functions import text as T, years as Y
 from partloom.operators import dml as K, nested as N, relations as R
 from partloom.operators.lineage import cut_lineage
+from partloom.operators.publish import Made, Store, run_tables
 
 
 def backfill(df: DataFrame, column: str, by: Column, table: dict[str, str]) -> DataFrame:
@@ -295,7 +296,7 @@ def sync_table(t: SyncTable) -> Synced:
     n_filled = sum((F.when(F.col(c).eqNullSafe(F.col(f"_old_{c}")), 0).otherwise(1) for c in t.fill), F.lit(0))
     kept = filled.join(old, "id").withColumn("_filled", n_filled).withColumn("change", F.when(F.col("_filled") > 0, "fill").otherwise("kept"))
     columns = [c for c in target.columns if c != "id"]
-    added = new.select(F.lit(None).cast("long").alias("id"), *columns, F.lit(0).alias("_filled"), F.lit("insert").alias("change"))
+    added = K.with_ids(new.withColumn("id", F.lit(None).cast("long")), target, [F.col("seed_id")]).select("id", *columns, F.lit(0).alias("_filled"), F.lit("insert").alias("change"))
     rows = cut_lineage(kept.select("id", *columns, "_filled", "change").unionByName(added))
     seeded = t.seed.where("seed_id IS NOT NULL")
     unknown = seeded.join(target.select("seed_id"), "seed_id", "left_anti").agg(F.count(F.lit(1)).alias("_unknown"))
@@ -306,25 +307,23 @@ def sync_table(t: SyncTable) -> Synced:
     return Synced(rows.drop("_filled"), counts)
 
 
-def sync_catalog(tables: dict[str, SyncTable], budget: float, done: Iterable[str] = (), clock: Callable[[], float] = time.monotonic) -> tuple[dict[str, DataFrame], list[Row]]:
-    """Synchronises tables in order until the budget of seconds is spent: (rows of each table, a report row of each).
+COUNTS = ("inserted", "conflicts", "updated", "skipped")
 
-    The time is looked at before each table, which is written whole to the shared folder before the next. Tables that were `done` in an earlier run
-    and those not reached stay as they are; a later run goes on with the names that the report tells as done.
+
+def sync_catalog(store: Store, run: str, tables: dict[str, SyncTable], budget: float, clock: Callable[[], float] = time.monotonic) -> list[Row]:
+    """Synchronises tables in order until the budget of seconds is spent, and gives a report row of each.
+
+    The time is looked at before each table. A table that is whole is in the run's progress, so that an attempt that is killed or out of time is gone on with
+    by the next one of the same run; readers of the store see all of the run's tables at once, when the last is whole.
     """
-    end, finished, out, report = clock() + budget, set(done), {}, []
-    stopped = False
-    for name, t in tables.items():
-        state, counts = "done before", Row(inserted=0, conflicts=0, updated=0, skipped=0)
-        out[name] = t.target
-        if name not in finished:
-            stopped = stopped or clock() >= end
-            state = "left"
-            if not stopped:
-                synced = sync_table(t)
-                out[name], counts, state = synced.rows, synced.counts.first(), "done"
-        report.append(Row(table_name=name, state=state, **counts.asDict()))
-    return out, report
+    end = clock() + budget
+
+    def made(t: SyncTable) -> Made:
+        synced = sync_table(t)
+        return synced.rows, synced.counts.first().asDict()
+
+    told = run_tables(store, run, {name: (lambda t=t: made(t)) for name, t in tables.items()}, lambda: clock() < end)
+    return [Row(table_name=name, state=state, **{c: int(counts.get(c, 0)) if state == "done" else 0 for c in COUNTS}) for name, (state, counts) in told.items()]
 
 
 def _completed(rows: DataFrame, all_rows: DataFrame, scope: list[str], number: str, name: str) -> DataFrame:
@@ -436,8 +435,9 @@ def new_relations(rows: DataFrame, known: DataFrame, key: list[str]) -> DataFram
 
 
 def import_master(staged: DataFrame, refs: DataFrame, known: DataFrame, prefix: str = "JN:") -> dict[str, DataFrame]:
-    """parts, and relations by kind (number, other, ref_number, notes): a catalog's parts and what its references say, by their own numbers.
+    """parts, and relations by kind (number, part_id, other, other_id, ref_number, notes): a catalog's parts and what its references say, by their own numbers.
 
+    New parts get ids in the order of the file, and relations point to parts by id, new ones included.
     A part superseded by one of the catalog makes that one's superseding; by another it only gets a line of notes. The first of several
     equal relations counts. `other` is the part that a number is, where the catalog has it and it is not the part itself.
     """
@@ -445,7 +445,9 @@ def import_master(staged: DataFrame, refs: DataFrame, known: DataFrame, prefix:
     named = clean.withColumns({"part_name": F.coalesce(T.nullif_blank(F.col("part_name")), F.lit("")), "category": F.coalesce(T.nullif_blank(F.col("category")), F.col("code"))})
     parts = cut_lineage(staged_entities(named, known, "number", ["part_name", "category"]))
     first_name = R.first_of(named.where("number <> ''"), ["number"], [F.col("pos")]).select("number", F.coalesce(T.nullif_blank(F.col("part_name")), F.col("number")).alias("_first"))
+    first_at = named.where("number <> ''").groupBy("number").agg(F.min("pos").alias("_pos"))
     parts = parts.join(first_name, "number").withColumn("part_name", F.when(F.col("change") == "created", F.col("_first")).otherwise(F.col("part_name"))).drop("_first")
+    parts = cut_lineage(K.with_ids(cut_lineage(parts.join(first_at, "number")), known, [F.col("_pos")]).drop("_pos"))
     have = parts.select("number")
     rows = refs.select("pos", *[T.normalize_space(F.col(c)).alias(c) for c in ("number", "ref_number", "ref_type", "maker", "notes")]).where("ref_number <> ''").join(have, "number", "left_semi")
     rows = rows.join(have.select(F.col("number").alias("ref_number"), F.col("number").alias("other")), "ref_number", "left").withColumn("other", F.nullif("other", "number"))
@@ -459,7 +461,9 @@ def import_master(staged: DataFrame, refs: DataFrame, known: DataFrame, prefix:
         "interchange": own(F.col("kind").isin("reference", "interchange")),
         "superseding": own(F.col("kind") == "superseded_from").unionByName(of(by & F.col("other").isNotNull(), "other", "number", F.concat(F.lit(prefix), "number"))),
     }
-    out = {name: R.first_of(df, ["number", "ref_number"], [F.col("pos")]).drop("pos") for name, df in streams.items()}
+    by_number = lambda number, id_: parts.select(F.col("number").alias(number), F.col("id").alias(id_))
+    first = {name: R.first_of(df, ["number", "ref_number"], [F.col("pos")]).drop("pos") for name, df in streams.items()}
+    out = {name: df.join(by_number("number", "part_id"), "number").join(by_number("other", "other_id"), "other", "left") for name, df in first.items()}
     maker = F.when(F.col("maker") != "", F.concat(F.lit(" ("), "maker", F.lit(")"))).otherwise("")
     told = rows.where(by & F.col("other").isNull()).withColumn("line", F.concat(F.lit("Superseded by: "), "ref_number", maker))
     lines = R.ordered_concat(told, ["number"], "line", "pos", "\n")
@@ -470,6 +474,7 @@ def import_line(products: DataFrame, xrefs: DataFrame, substitutes: DataFrame, b
     """A product line by yt numbers: units, cross references, substitutes, stub parts, BOMs and items that it adds or changes.
 
     Blank columns of units are filled, and notes appended. A unit with a BOM of the line's name gets no other. known_xrefs and known_subs are by unit_id.
+    New units and parts get ids in the order of their files, new BOMs in the order of their units' ids; what hangs on them points to them by id.
     """
     clean = products.withColumns({c: T.normalize_space(F.col(c)) for c in ("yt_number", "manufacturer", "family", "notes")}).where("yt_number <> ''")
     filled = staged_entities(clean, units, "yt_number", ["manufacturer", "family"])
@@ -479,7 +484,10 @@ def import_line(products: DataFrame, xrefs: DataFrame, substitutes: DataFrame, b
     adds = (F.col("_new") != "") & ~old.contains(F.col("_new"))
     notes = F.when(adds, T.strip(F.concat_ws("\n", old, "_new"))).otherwise(old)
     change = F.when((F.col("change") == "kept") & adds, "updated").otherwise(F.col("change"))
-    unit = cut_lineage(noted.withColumns({"notes": notes, "change": change}).select("yt_number", "id", "manufacturer", "family", "notes", "change"))
+    first_at = clean.groupBy("yt_number").agg(F.min("pos").alias("_pos"))
+    unit = cut_lineage(noted.withColumns({"notes": notes, "change": change}).join(first_at, "yt_number").select("yt_number", "id", "manufacturer", "family", "notes", "change", "_pos"))
+    unit = cut_lineage(K.with_ids(unit, units, [F.col("_pos")]).drop("_pos"))
+    unit_ids = unit.select("yt_number", F.col("id").alias("unit_id"))
     names = unit.select("yt_number")
     ids = units.join(names, "yt_number", "left_semi").select(F.col("id").alias("unit_id"), "yt_number")
     found = xrefs.select("pos", T.normalize_space(F.col("our_number")).alias("yt_number"), T.normalize_space(F.col("their_number")).alias("number"), T.normalize_space(F.col("manufacturer")).alias("label"))
@@ -488,19 +496,25 @@ def import_line(products: DataFrame, xrefs: DataFrame, substitutes: DataFrame, b
     xref = new_relations(found.where("number <> ''").join(names, "yt_number", "left_semi"), have, xref_key)
     subs = substitutes.select("pos", T.normalize_space(F.col("yt_number")).alias("yt_number"), T.normalize_space(F.col("substitute_yt")).alias("number")).where("number <> ''").join(names, "yt_number", "left_semi")
     have = known_subs.join(ids, "unit_id").select("yt_number", F.col("substitute_number").alias("number"))
-    target = names.select(F.col("yt_number").alias("number"), F.col("yt_number").alias("other"))
+    target = unit.select(F.col("yt_number").alias("number"), F.col("yt_number").alias("other"), F.col("id").alias("other_id"))
     substitute = new_relations(subs, have, ["yt_number", "number"]).join(target, "number", "left")
     rows = bom.withColumns({c: T.normalize_space(F.col(c)) for c in ("yt_number", "part_name", "yt_part", "jn_part")})
     stub = R.first_of(rows.where("yt_part <> ''"), ["yt_part"], [F.col("pos")])
     for column in ("yt_number", "part_number"):
         stub = stub.join(parts.where(F.col(column).isNotNull()).select(F.col(column).alias("yt_part")), "yt_part", "left_anti")
+    stub = cut_lineage(K.with_ids(cut_lineage(stub.withColumn("id", F.lit(None).cast("long"))), parts, [F.col("pos")]))
     named = boms.join(ids, "unit_id").select("yt_number", "name").where(F.col("name") == F.concat("yt_number", F.lit(" BOM"))).select("yt_number")
-    new_bom = cut_lineage(rows.select("yt_number").distinct().join(names, "yt_number", "left_semi").join(named, "yt_number", "left_anti"))
-    item = rows.where("yt_part <> ''").join(new_bom, "yt_number", "left_semi")
+    new_bom = cut_lineage(rows.select("yt_number").distinct().join(unit_ids, "yt_number").join(named, "yt_number", "left_anti").withColumn("id", F.lit(None).cast("long")))
+    new_bom = cut_lineage(K.with_ids(new_bom, boms, [F.col("unit_id")]))
+    # A part's number is its yt number, else its own; of several the highest id counts.
+    numbered = [parts.where(F.col(c).isNotNull() & (F.col(c) != "")).groupBy(F.col(c).alias("yt_part")).agg(F.max("id").alias(f"_{c}")) for c in ("yt_number", "part_number")]
+    item = rows.where("yt_part <> ''").join(new_bom.select("yt_number", F.col("id").alias("bom_id")), "yt_number").join(numbered[0], "yt_part", "left").join(numbered[1], "yt_part", "left")
+    item = item.join(stub.select("yt_part", F.col("id").alias("_stub")), "yt_part", "left").withColumn("part_id", F.coalesce("_yt_number", "_part_number", "_stub"))
     return {
-        "unit": unit, "xref": xref.select(*xref_key), "substitute": substitute.select("yt_number", "number", "other"),
-        "part": stub.select(F.col("yt_part").alias("number"), F.col("part_name").alias("label")),
-        "bom": new_bom.select("yt_number", F.concat("yt_number", F.lit(" BOM")).alias("label")), "item": item.select("pos", "yt_number", F.col("yt_part").alias("number"), F.col("part_name").alias("label")),
+        "unit": unit, "xref": xref.join(unit_ids, "yt_number").select(*xref_key, "unit_id"), "substitute": substitute.join(unit_ids, "yt_number").select("yt_number", "number", "other", "unit_id", "other_id"),
+        "part": stub.select("id", F.col("yt_part").alias("number"), F.col("part_name").alias("label")),
+        "bom": new_bom.select("id", "unit_id", "yt_number", F.concat("yt_number", F.lit(" BOM")).alias("label")),
+        "item": item.select("pos", "yt_number", F.col("yt_part").alias("number"), F.col("part_name").alias("label"), F.col("bom_id").alias("unit_id"), F.col("part_id").alias("other_id")),
     }
 
 

@@ -93,20 +93,20 @@ FROM customer""",
 SELECT p_partkey AS pos, 'YT' || cast(p_partkey AS string) AS yt_number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' Maker  ' || cast(p_partkey % 5 AS string) END AS manufacturer,
   CASE p_partkey % 4 WHEN 0 THEN 'TILT' WHEN 1 THEN 'TRIM' ELSE '' END AS family, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'fits ' || p_type END AS notes FROM part""",
     "line_units": """
-SELECT c_custkey AS id, 'YT' || cast(c_custkey % 120 AS string) AS yt_number, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Old' END AS manufacturer, CASE WHEN c_custkey % 5 = 0 THEN 'DD' ELSE '' END AS family,
-  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'seen' ELSE 'fits STANDARD' END AS notes FROM customer WHERE c_custkey <= 150""",
+SELECT c_custkey AS id, 'YT' || cast(c_custkey - c_custkey % 3 AS string) AS yt_number, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Old' END AS manufacturer, CASE WHEN c_custkey % 5 = 0 THEN 'DD' ELSE '' END AS family,
+  CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'seen' ELSE 'fits STANDARD' END AS notes FROM customer WHERE c_custkey % 5 <> 4""",
     "staging_substitutes": """
 SELECT s_suppkey AS pos, 'YT' || cast(s_suppkey AS string) AS yt_number, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'YT' || cast(s_suppkey * 7 % 300 AS string) END AS substitute_yt FROM supplier""",
     "staging_bom": """
 SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'YT' || cast(l_orderkey % 300 AS string) AS yt_number, 'Part ' || cast(l_partkey % 50 AS string) AS part_name,
   CASE WHEN l_suppkey % 6 = 0 THEN '' ELSE 'YT' || cast(l_partkey % 400 AS string) END AS yt_part, 'JN' || cast(l_partkey % 90 AS string) AS jn_part FROM lineitem WHERE l_linenumber <= 2""",
     "staging_master": """
-SELECT p_partkey AS pos, ' J' || cast(p_partkey % 150 AS string) AS number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS part_name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS category,
+SELECT p_partkey AS pos, ' J' || cast(p_partkey - p_partkey % 3 AS string) AS number, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS part_name, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END AS category,
   CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'C' || cast(p_size AS string) END AS code, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'about ' || p_brand END AS description, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS maker FROM part""",
     "master_parts": """
-SELECT p_partkey AS id, 'J' || cast(p_partkey AS string) AS number, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'kept name' END AS part_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'kept' END AS category, '' AS maker FROM part WHERE p_partkey <= 120 AND p_partkey % 5 < 2""",
+SELECT p_partkey AS id, 'J' || cast(p_partkey AS string) AS number, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'kept name' END AS part_name, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'kept' END AS category, '' AS maker FROM part WHERE p_partkey % 5 < 2""",
     "staging_refs": """
-SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'J' || cast(l_partkey % 170 AS string) AS number, CASE WHEN l_suppkey % 11 = 0 THEN '' WHEN l_linenumber = 2 THEN 'MF' || cast(l_partkey % 600 AS string) ELSE 'J' || cast(l_suppkey % 200 AS string) END AS ref_number,
+SELECT (l_orderkey * 10 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS pos, 'J' || cast(l_partkey AS string) AS number, CASE WHEN l_suppkey % 11 = 0 THEN '' WHEN l_linenumber = 2 THEN 'MF' || cast(l_partkey % 600 AS string) ELSE 'J' || cast(l_partkey - 3 + l_suppkey % 7 AS string) END AS ref_number,
   CASE l_linenumber WHEN 1 THEN 'Substitute' WHEN 2 THEN 'interchange' WHEN 3 THEN 'superseded_from' WHEN 4 THEN 'superseded_by' WHEN 5 THEN '' ELSE 'Original_Number' END AS ref_type,
   CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'Maker ' || cast(l_suppkey % 4 AS string) END AS maker, l_returnflag AS notes FROM lineitem""",
     "loose_units": """

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from partloom.functions import rules
 from partloom.functions.lines import application_blocks
 from partloom.operators import dml as K, relations as R
-from partloom.operators.lineage import cut_lineage
+from partloom.operators.lineage import cut_lineage, own_folder
+from partloom.operators.publish import Store
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.q_relations import FILLED_SQL, filled
@@ -33,10 +34,12 @@ _BACKFILLED = "(SELECT * REPLACE (coalesce(seed_id, CASE WHEN id IN (SELECT seed
 _INSERTS = f"(SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY part_number ORDER BY seed_id) AS n FROM seed_parts WHERE seed_id IS NOT NULL AND seed_id NOT IN (SELECT seed_id FROM {_BACKFILLED} WHERE seed_id IS NOT NULL) AND part_number NOT IN (SELECT part_number FROM target_parts)) WHERE n = 1)"
 
 
-@query("K04", f"SELECT seed_id, part_number FROM {_INSERTS}")
+@query("K04", f"SELECT (SELECT max(id) FROM target_parts) + row_number() OVER (ORDER BY seed_id) AS id, seed_id, part_number FROM {_INSERTS}")
 def k04(spark: SparkSession, sf: str) -> DataFrame:
     seed = frame(spark, sf, "seed_parts")
-    return K.insert_only(K.backfilled(frame(spark, sf, "target_parts"), seed), seed, ["part_number"]).select("seed_id", "part_number")
+    target = frame(spark, sf, "target_parts")
+    new = cut_lineage(K.insert_only(K.backfilled(target, seed), seed, ["part_number"]).withColumn("id", F.lit(None).cast("long")))
+    return K.with_ids(new, target, [F.col("seed_id")]).select("id", "seed_id", "part_number")
 
 
 def _parts_sync(spark: SparkSession, sf: str) -> L.SyncTable:
@@ -49,9 +52,12 @@ _SYNCED = f"""SELECT t.id, t.seed_id, t.part_number, {_FILL("part_name")} AS par
 
 
 @query("L35", f"""SELECT id, seed_id, part_number, part_name, notes, price, oem, CASE WHEN n > 0 THEN 'fill' ELSE 'kept' END AS change FROM ({_SYNCED})
-UNION ALL SELECT NULL, seed_id, part_number, part_name, notes, price, oem, 'insert' FROM {_INSERTS}""")
+UNION ALL SELECT (SELECT max(id) FROM target_parts) + row_number() OVER (ORDER BY seed_id), seed_id, part_number, part_name, notes, price, oem, 'insert' FROM {_INSERTS}""")
 def l35(spark: SparkSession, sf: str) -> DataFrame:
-    return L.sync_table(_parts_sync(spark, sf)).rows
+    """What readers of the published catalog see."""
+    store = Store(spark, own_folder(spark, "catalog"))
+    L.sync_catalog(store, "nightly", {"parts": _parts_sync(spark, sf)}, 3600.0)
+    return store.tables()["parts"]
 
 
 _VENDORS = "(SELECT * REPLACE (coalesce(seed_id, CASE WHEN id IN (SELECT seed_id FROM seed_vendors) THEN id END) AS seed_id) FROM target_vendors)"
@@ -64,14 +70,20 @@ v AS (SELECT (SELECT count(*) FROM seed_vendors WHERE seed_id NOT IN (SELECT see
   (SELECT count(*) FROM {_VENDORS} t JOIN seed_vendors s ON s.seed_id = t.seed_id WHERE t.notes = '' AND s.notes <> '') AS updated, (SELECT count(*) FROM seed_vendors) AS total)
 SELECT 1 AS run, 'parts' AS table_name, 'done' AS state, inserted::bigint AS inserted, (unknown - inserted)::bigint AS conflicts, updated::bigint AS updated, greatest(0, total - unknown - updated)::bigint AS skipped FROM p
 UNION ALL SELECT 1, 'vendors', 'left', 0, 0, 0, 0 UNION ALL SELECT 2, 'parts', 'done before', 0, 0, 0, 0
-UNION ALL SELECT 2, 'vendors', 'done', inserted, unknown - inserted, updated, greatest(0, total - unknown - updated) FROM v""")
+UNION ALL SELECT 2, 'vendors', 'done', inserted, unknown - inserted, updated, greatest(0, total - unknown - updated) FROM v
+UNION ALL SELECT 3, 'parts', 'published', inserted + (SELECT count(*) FROM target_parts), 0, 0, 0 FROM p UNION ALL SELECT 3, 'vendors', 'published', inserted + (SELECT count(*) FROM target_vendors), 0, 0, 0 FROM v""")
 def k07(spark: SparkSession, sf: str) -> DataFrame:
-    """A sync whose budget ends after the first table, and the run that goes on from there. The clock counts how often it is asked."""
+    """A sync whose budget ends after the first table, the attempt that goes on from there, and how many rows readers see then. The clock counts how often it is asked."""
     tables = {"parts": _parts_sync(spark, sf), "vendors": L.SyncTable(frame(spark, sf, "target_vendors"), frame(spark, sf, "seed_vendors"), ("name",), ("notes",))}
-    _, first = L.sync_catalog(tables, 2, clock=itertools.count().__next__)
-    _, second = L.sync_catalog(tables, 2, [r.table_name for r in first if r.state == "done"], clock=itertools.count().__next__)
-    rows = [(run, *r) for run, report in ((1, first), (2, second)) for r in report]
-    return spark.createDataFrame(rows, "run int, table_name string, state string, inserted long, conflicts long, updated long, skipped long")
+    store = Store(spark, own_folder(spark, "catalog"))
+    attempts = [L.sync_catalog(store, "nightly", tables, 2, clock=itertools.count().__next__) for _ in range(2)]
+    rows = [(n, *r) for n, report in enumerate(attempts, 1) for r in report]
+    report = spark.createDataFrame(rows, "run int, table_name string, state string, inserted long, conflicts long, updated long, skipped long")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("conflicts", "updated", "skipped")]
+    for name, df in store.tables().items():
+        seen = df.agg(F.count(F.lit(1)).alias("inserted"))
+        report = report.unionByName(seen.select(F.lit(3).alias("run"), F.lit(name).alias("table_name"), F.lit("published").alias("state"), "inserted", *zero))
+    return report
 
 
 _BARE = "yt_number = '' AND manufacturer = '' AND unit_type_category = ''"
@@ -266,35 +278,38 @@ _REF_ROWS = """parts_ AS (SELECT DISTINCT trim(number) AS number FROM staging_ma
 
 @query("L25", f"""WITH {_REF_ROWS},
 staged AS (SELECT pos, trim(number) AS number, part_name, coalesce(nullif(category, ''), code) AS category FROM staging_master),
-first AS (SELECT number, arg_min(part_name, pos) AS first_name, arg_min(part_name, pos) FILTER (part_name <> '') AS part_name, arg_min(category, pos) FILTER (category <> '') AS category FROM staged GROUP BY 1),
+first AS (SELECT number, min(pos) AS pos, arg_min(part_name, pos) AS first_name, arg_min(part_name, pos) FILTER (part_name <> '') AS part_name, arg_min(category, pos) FILTER (category <> '') AS category FROM staged GROUP BY 1),
 super AS (SELECT pos, number, other, ref_number, notes FROM refs WHERE kind = 'superseded_from' UNION ALL SELECT pos, other, number, 'JN:' || number, notes FROM refs WHERE kind = 'superseded_by' AND other IS NOT NULL),
 rel AS (SELECT 'substitute' AS kind, pos, number, other, ref_number, notes FROM refs WHERE kind = 'substitute' UNION ALL SELECT 'interchange', pos, number, other, ref_number, notes FROM refs WHERE kind IN ('reference', 'interchange') UNION ALL SELECT 'superseding', * FROM super),
+ids AS (SELECT f.number, coalesce(k.id, (SELECT max(id) FROM master_parts) + row_number() OVER (PARTITION BY k.id IS NULL ORDER BY f.pos)) AS id FROM first f LEFT JOIN master_parts k USING (number)),
 lines AS (SELECT number, 'Superseded by: ' || ref_number || CASE WHEN maker <> '' THEN ' (' || maker || ')' ELSE '' END AS line, min(pos) AS p FROM refs WHERE kind = 'superseded_by' AND other IS NULL GROUP BY 1, 2)
-SELECT 'part' AS kind, f.number, CASE WHEN k.id IS NULL THEN coalesce(nullif(f.first_name, ''), f.number) ELSE coalesce(nullif(k.part_name, ''), f.part_name, '') END AS label, coalesce(nullif(k.category, ''), f.category, '') AS other, NULL AS ref_number,
-  CASE WHEN k.id IS NULL THEN 'created' WHEN (k.part_name = '' AND f.part_name <> '') OR (k.category = '' AND f.category <> '') THEN 'updated' ELSE 'kept' END AS notes FROM first f LEFT JOIN master_parts k USING (number)
-UNION ALL SELECT kind, number, NULL, arg_min(other, pos) FILTER (n = 1), ref_number, arg_min(notes, pos) FROM (SELECT *, row_number() OVER (PARTITION BY kind, number, ref_number ORDER BY pos) AS n FROM rel) WHERE n = 1 GROUP BY kind, number, ref_number
-UNION ALL SELECT 'note', number, NULL, NULL, NULL, string_agg(line, chr(10) ORDER BY p) FROM lines GROUP BY number""")
+SELECT 'part' AS kind, f.number, i.id AS part_id, NULL::bigint AS other_id, CASE WHEN k.id IS NULL THEN coalesce(nullif(f.first_name, ''), f.number) ELSE coalesce(nullif(k.part_name, ''), f.part_name, '') END AS label, coalesce(nullif(k.category, ''), f.category, '') AS other, NULL AS ref_number,
+  CASE WHEN k.id IS NULL THEN 'created' WHEN (k.part_name = '' AND f.part_name <> '') OR (k.category = '' AND f.category <> '') THEN 'updated' ELSE 'kept' END AS notes FROM first f JOIN ids i USING (number) LEFT JOIN master_parts k USING (number)
+UNION ALL SELECT kind, r.number, i.id, o.id, NULL, other, ref_number, notes FROM (SELECT *, row_number() OVER (PARTITION BY kind, number, ref_number ORDER BY pos) AS n FROM rel) r JOIN ids i ON i.number = r.number LEFT JOIN ids o ON o.number = r.other WHERE n = 1
+UNION ALL SELECT 'note', number, NULL, NULL, NULL, NULL, NULL, string_agg(line, chr(10) ORDER BY p) FROM lines GROUP BY number""")
 def l25(spark: SparkSession, sf: str) -> DataFrame:
     """A master catalog: parts created or completed, then substitutes, interchanges and supersedings, and notes on what supersedes a part."""
     got = L.import_master(frame(spark, sf, "staging_master"), frame(spark, sf, "staging_refs"), frame(spark, sf, "master_parts"))
-    parts = got.pop("part").select("number", F.col("part_name").alias("label"), F.col("category").alias("other"), F.col("change").alias("notes"))
+    parts = got.pop("part").select("number", F.col("id").alias("part_id"), F.col("part_name").alias("label"), F.col("category").alias("other"), F.col("change").alias("notes"))
     return stacked(part=parts, **got)
 
 
-@query("L28", """WITH prod AS (SELECT yt_number, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS manufacturer, family, notes FROM staging_products),
+@query("L28", """WITH prod AS (SELECT pos, yt_number, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS manufacturer, family, notes FROM staging_products),
 old AS (SELECT yt_number, max(id) AS id, arg_max(manufacturer, id) AS manufacturer, arg_max(family, id) AS family, arg_max(notes, id) AS notes FROM line_units GROUP BY 1),
 ids AS (SELECT id AS unit_id, yt_number FROM line_units WHERE yt_number IN (SELECT yt_number FROM prod)),
 x AS (SELECT our_number AS yt_number, their_number AS number, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS label FROM staging_interchange WHERE their_number <> '' AND our_number IN (SELECT yt_number FROM prod)),
+u AS (SELECT p.yt_number, coalesce(o.id, (SELECT max(id) FROM line_units) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY p.pos)) AS id FROM prod p LEFT JOIN old o USING (yt_number)),
 s AS (SELECT yt_number, substitute_yt AS number FROM staging_substitutes WHERE substitute_yt <> '' AND yt_number IN (SELECT yt_number FROM prod)),
-stub AS (SELECT yt_part AS number, arg_min(part_name, pos) AS label FROM staging_bom WHERE yt_part <> '' AND yt_part NOT IN (SELECT yt_number FROM parts) AND yt_part NOT IN (SELECT part_number FROM parts WHERE part_number IS NOT NULL) GROUP BY 1),
-b AS (SELECT DISTINCT yt_number FROM staging_bom WHERE yt_number IN (SELECT yt_number FROM prod) AND yt_number NOT IN (SELECT i.yt_number FROM boms JOIN ids i USING (unit_id) WHERE name = i.yt_number || ' BOM'))
-SELECT 'unit' AS kind, p.yt_number, o.id, coalesce(nullif(o.manufacturer, ''), p.manufacturer) AS label, coalesce(nullif(o.family, ''), p.family) AS number,
+stub AS (SELECT (SELECT max(id) FROM parts) + row_number() OVER (ORDER BY p) AS id, number, label FROM (SELECT yt_part AS number, min(pos) AS p, arg_min(part_name, pos) AS label FROM staging_bom WHERE yt_part <> '' AND yt_part NOT IN (SELECT yt_number FROM parts) AND yt_part NOT IN (SELECT part_number FROM parts WHERE part_number IS NOT NULL) GROUP BY 1)),
+b AS (SELECT (SELECT max(id) FROM boms) + row_number() OVER (ORDER BY unit_id) AS id, * FROM (SELECT DISTINCT yt_number, u.id AS unit_id FROM staging_bom JOIN u USING (yt_number) WHERE yt_number NOT IN (SELECT i.yt_number FROM boms JOIN ids i USING (unit_id) WHERE name = i.yt_number || ' BOM'))),
+target AS (SELECT number, arg_min(id, route) AS id FROM (SELECT yt_number AS number, max(id) AS id, 0 AS route FROM parts WHERE yt_number <> '' GROUP BY 1 UNION ALL SELECT part_number, max(id), 1 FROM parts WHERE part_number <> '' GROUP BY 1 UNION ALL SELECT number, id, 2 FROM stub) GROUP BY 1)
+SELECT 'unit' AS kind, p.yt_number, u.id, NULL::bigint AS unit_id, NULL::bigint AS other_id, coalesce(nullif(o.manufacturer, ''), p.manufacturer) AS label, coalesce(nullif(o.family, ''), p.family) AS number,
   CASE WHEN p.notes <> '' AND NOT contains(coalesce(o.notes, ''), p.notes) THEN CASE WHEN coalesce(o.notes, '') = '' THEN p.notes ELSE o.notes || chr(10) || p.notes END ELSE coalesce(o.notes, '') END AS notes,
-  CASE WHEN o.id IS NULL THEN 'created' WHEN (o.manufacturer = '' AND p.manufacturer <> '') OR (o.family = '' AND p.family <> '') OR (p.notes <> '' AND NOT contains(o.notes, p.notes)) THEN 'updated' ELSE 'kept' END AS change FROM prod p LEFT JOIN old o USING (yt_number)
-UNION ALL SELECT DISTINCT 'xref', x.yt_number, NULL::bigint, x.label, x.number, NULL, NULL FROM x WHERE NOT EXISTS (SELECT 1 FROM cross_references c JOIN ids USING (unit_id) WHERE ids.yt_number = x.yt_number AND c.cross_ref_number = x.number AND c.interchange_type = x.label)
-UNION ALL SELECT DISTINCT 'substitute', s.yt_number, NULL::bigint, CASE WHEN s.number IN (SELECT yt_number FROM prod) THEN s.number END, s.number, NULL, NULL FROM s WHERE NOT EXISTS (SELECT 1 FROM substitutes c JOIN ids USING (unit_id) WHERE ids.yt_number = s.yt_number AND c.substitute_number = s.number)
-UNION ALL SELECT 'part', NULL, NULL, label, number, NULL, NULL FROM stub UNION ALL SELECT 'bom', yt_number, NULL, yt_number || ' BOM', NULL, NULL, NULL FROM b
-UNION ALL SELECT 'item', yt_number, pos, part_name, yt_part, NULL, NULL FROM staging_bom WHERE yt_part <> '' AND yt_number IN (SELECT yt_number FROM b)""")
+  CASE WHEN o.id IS NULL THEN 'created' WHEN (o.manufacturer = '' AND p.manufacturer <> '') OR (o.family = '' AND p.family <> '') OR (p.notes <> '' AND NOT contains(o.notes, p.notes)) THEN 'updated' ELSE 'kept' END AS change FROM prod p JOIN u USING (yt_number) LEFT JOIN old o USING (yt_number)
+UNION ALL SELECT DISTINCT 'xref', x.yt_number, NULL::bigint, u.id, NULL::bigint, x.label, x.number, NULL, NULL FROM x JOIN u USING (yt_number) WHERE NOT EXISTS (SELECT 1 FROM cross_references c JOIN ids USING (unit_id) WHERE ids.yt_number = x.yt_number AND c.cross_ref_number = x.number AND c.interchange_type = x.label)
+UNION ALL SELECT DISTINCT 'substitute', s.yt_number, NULL::bigint, u.id, o.id, o.yt_number, s.number, NULL, NULL FROM s JOIN u USING (yt_number) LEFT JOIN u o ON o.yt_number = s.number WHERE NOT EXISTS (SELECT 1 FROM substitutes c JOIN ids USING (unit_id) WHERE ids.yt_number = s.yt_number AND c.substitute_number = s.number)
+UNION ALL SELECT 'part', NULL, id, NULL, NULL, label, number, NULL, NULL FROM stub UNION ALL SELECT 'bom', yt_number, id, unit_id, NULL, yt_number || ' BOM', NULL, NULL, NULL FROM b
+UNION ALL SELECT 'item', s.yt_number, pos, b.id, t.id, part_name, yt_part, NULL, NULL FROM staging_bom s JOIN b USING (yt_number) LEFT JOIN target t ON t.number = yt_part WHERE yt_part <> ''""")
 def l28(spark: SparkSession, sf: str) -> DataFrame:
     """A product line: all six kinds of rows that its import adds or changes."""
     names = ("staging_products", "staging_interchange", "staging_substitutes", "staging_bom", "line_units", "parts", "boms", "cross_references", "substitutes")

@@ -21,14 +21,14 @@ def k01(spark: SparkSession, sf: str) -> DataFrame:
 _BATCH = "SELECT 'PN-' || cast(id AS string) AS part_number, part_name, id AS pos FROM seed_parts WHERE id % 4 = 0 UNION ALL SELECT 'PN-' || cast(id + 1 AS string), 'late ' || part_name, id + 1000000 FROM seed_parts WHERE id % 4 = 3"
 
 
-@query("K02", f"""WITH b AS ({_BATCH}), l AS (SELECT part_number, arg_max(part_name, pos) AS part_name FROM b GROUP BY 1), t AS (SELECT part_number, min(part_name) AS part_name FROM target_parts GROUP BY 1)
-SELECT coalesce(t.part_number, l.part_number) AS part_number, CASE WHEN l.part_number IS NULL THEN t.part_name ELSE l.part_name END AS part_name, CASE WHEN t.part_number IS NULL THEN 'created' WHEN l.part_number IS NULL THEN 'kept' ELSE 'updated' END AS change FROM t FULL JOIN l ON t.part_number = l.part_number""")
+@query("K02", f"""WITH b AS ({_BATCH}), l AS (SELECT part_number, arg_max(part_name, pos) AS part_name, min(pos) AS first FROM b GROUP BY 1), t AS (SELECT part_number, min(part_name) AS part_name, min(id) AS id FROM target_parts GROUP BY 1)
+SELECT coalesce(t.id, (SELECT max(id) FROM t) + row_number() OVER (PARTITION BY t.id IS NULL ORDER BY l.first)) AS id, coalesce(t.part_number, l.part_number) AS part_number, CASE WHEN l.part_number IS NULL THEN t.part_name ELSE l.part_name END AS part_name, CASE WHEN t.part_number IS NULL THEN 'created' WHEN l.part_number IS NULL THEN 'kept' ELSE 'updated' END AS change FROM t FULL JOIN l ON t.part_number = l.part_number""")
 def k02(spark: SparkSession, sf: str) -> DataFrame:
     seed = frame(spark, sf, "seed_parts")
     number = lambda c: F.concat(F.lit("PN-"), c.cast("string")).alias("part_number")
     early = seed.where("id % 4 = 0").select(number(F.col("id")), "part_name", F.col("id").alias("pos"))
     late = seed.where("id % 4 = 3").select(number(F.col("id") + 1), F.concat(F.lit("late "), "part_name").alias("part_name"), (F.col("id") + 1000000).alias("pos"))
-    target = frame(spark, sf, "target_parts").groupBy("part_number").agg(F.min("part_name").alias("part_name"))
+    target = frame(spark, sf, "target_parts").groupBy("part_number").agg(F.min("part_name").alias("part_name"), F.min("id").alias("id"))
     return K.upsert(target, early.unionByName(late), ["part_number"], "pos", ["part_name"])
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import text as T, years as Y
-from partloom.operators import search as S
-from partloom.operators.lineage import own_folder
+from partloom.operators import dml as K, search as S
+from partloom.operators.lineage import cut_lineage, own_folder
 from partloom.operators.substrings import Index
 from partloom.plans.domain import frame
 from partloom.plans.registry import query, table
@@ -68,10 +68,11 @@ def a09(spark: SparkSession, sf: str) -> DataFrame:
     return C.inspect({t: table(spark, sf, t) for t in ("region", "part")})
 
 
-@query("A10", "SELECT DISTINCT their_number FROM staging_interchange WHERE their_number NOT IN (SELECT 'T' || cast(id AS string) FROM parts WHERE id % 2 = 0)")
+@query("A10", "SELECT (SELECT max(id) FROM parts WHERE id % 2 = 0) + row_number() OVER (ORDER BY their_number) AS id, their_number FROM (SELECT DISTINCT their_number FROM staging_interchange WHERE their_number NOT IN (SELECT 'T' || cast(id AS string) FROM parts WHERE id % 2 = 0))")
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    have = frame(spark, sf, "parts").where("id % 2 = 0").select(F.concat(F.lit("T"), F.col("id")).alias("their_number"))
-    return C.append_new(have, frame(spark, sf, "staging_interchange").select("their_number"), ["their_number"])
+    have = frame(spark, sf, "parts").where("id % 2 = 0").select("id", F.concat(F.lit("T"), F.col("id")).alias("their_number"))
+    new = C.append_new(have, frame(spark, sf, "staging_interchange").select("their_number"), ["their_number"])
+    return K.with_ids(cut_lineage(new.withColumn("id", F.lit(None).cast("long"))), have, [F.col("their_number")]).select("id", "their_number")
 
 
 @query("A11", "SELECT cast(doc_id AS string) AS doc_id, substr(text, 1, 500) AS text FROM documents")

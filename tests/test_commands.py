@@ -3,7 +3,11 @@
 import itertools
 import random
 
-from partloom.operators import relations as R
+import pytest
+
+from partloom.operators import dml as K, relations as R
+from partloom.operators.lineage import own_folder
+from partloom.operators.publish import Store, run_tables
 from partloom.plans import commands as L
 from pyspark.sql import functions as F
 
@@ -64,13 +68,53 @@ def test_a_sync_stops_at_its_budget_and_goes_on(spark):
     one = L.SyncTable(target, seed, ("number",), ("name",))
     tables = {"a": one, "b": one, "c": one}
     clock = itertools.count().__next__
-    out, report = L.sync_catalog(tables, 2, clock=clock)
+    store = Store(spark, own_folder(spark, "catalog"))
+    report = L.sync_catalog(store, "run", tables, 2, clock=clock)
     assert [(r.table_name, r.state) for r in report] == [("a", "done"), ("b", "left"), ("c", "left")]
     assert (report[0].inserted, report[0].conflicts, report[0].updated, report[0].skipped) == (1, 1, 1, 0)
-    assert rows(out["a"].select("seed_id", "number", "name", "change")) == [(1, "P1", "One", "fill"), (2, "P2", "Two", "insert"), (None, "P9", "own", "kept")]
-    assert rows(out["b"]) == rows(target)
-    _, report = L.sync_catalog(tables, 100, done=["a"], clock=clock)
-    assert [r.state for r in report] == ["done before", "done", "done"]
+    assert store.version() == 0 and store.tables() == {} and set(store.progress("run")) == {"a"}
+    report = L.sync_catalog(store, "run", tables, 100, clock=clock)
+    assert [r.state for r in report] == ["done before", "done", "done"] and store.version() == 1
+    got = store.tables()
+    assert rows(got["a"].select("id", "seed_id", "number", "name", "change")) == [(1, 1, "P1", "One", "fill"), (10, 2, "P2", "Two", "insert"), (9, None, "P9", "own", "kept")]
+    assert sorted(got) == ["a", "b", "c"] and rows(got["b"]) == rows(got["a"])
+
+
+def test_a_killed_run_goes_on_and_readers_see_whole_versions(spark):
+    store = Store(spark, own_folder(spark, "catalog"))
+    frame = lambda v: spark.createDataFrame([(v,)], "v int")
+    made = []
+
+    def make(name, v, fails=False):
+        def run():
+            made.append(name)
+            if fails:
+                raise KeyboardInterrupt  # as by a kill between two tables
+            return frame(v), {"n": v}
+
+        return run
+
+    run_tables(store, "first", {"a": make("a", 1), "b": make("b", 1)})
+    with pytest.raises(KeyboardInterrupt):
+        run_tables(store, "second", {"a": make("a", 2), "b": make("b", 2, fails=True), "c": make("c", 2)})
+    seen = lambda: {n: df.first().v for n, df in store.tables().items()}
+    assert seen() == {"a": 1, "b": 1} and store.version() == 1
+    made.clear()
+    again = Store(spark, store.folder)  # another process
+    told = run_tables(again, "second", {"a": make("a", 3), "b": make("b", 2), "c": make("c", 2)})
+    assert made == ["b", "c"] and told == {"a": ("done before", {"n": 2}), "b": ("done", {"n": 2}), "c": ("done", {"n": 2})}
+    assert seen() == {"a": 2, "b": 2, "c": 2} and {n: df.first().v for n, df in store.tables(1).items()} == {"a": 1, "b": 1}
+    again._write(f"{store.folder}/versions/3.json", "{}")
+    with pytest.raises(FileExistsError):  # the number was taken meanwhile
+        again._write(f"{store.folder}/versions/3.json", "{}")
+
+
+def test_new_rows_get_the_next_ids(spark):
+    known = spark.createDataFrame([(7,), (3,)], "id long")
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [(4, 99)], "id long, pos int").repartition(5)
+    got = rows(K.with_ids(df, known, [F.col("pos")]))
+    assert got == sorted([(8 + i, i) for i in range(50)] + [(4, 99)], key=repr)
+    assert rows(K.with_ids(df.where("pos = 3"), known.where("false"), [F.col("pos")])) == [(1, 3)]
 
 
 def test_catalog_references_by_kind(spark):
@@ -78,7 +122,8 @@ def test_catalog_references_by_kind(spark):
     known = spark.createDataFrame([(5, "B", "", "kept", "")], "id long, number string, part_name string, category string, maker string")
     refs = [(1, "A", "B", "Superseded_By", "M", ""), (2, "A", "Z", "superseded_by", "M", "n"), (3, "B", "A", "superseded_from", "", ""), (4, "A", "A", "", "", "x"), (5, "A", "A", "interchange", "", "y"), (6, "Q", "A", "substitute", "", ""), (7, "B", "S", "substitute", "M", "n"), (8, "A", "Z", "superseded_by", "M", "again")]
     got = L.import_master(staged, spark.createDataFrame(refs, "pos long, number string, ref_number string, ref_type string, maker string, notes string"), known)
-    assert rows(got["part"].select("number", "id", "part_name", "category", "change")) == [("A", None, "A", "C1", "created"), ("B", 5, "Bee", "kept", "updated")]
+    assert rows(got["part"].select("number", "id", "part_name", "category", "change")) == [("A", 6, "A", "C1", "created"), ("B", 5, "Bee", "kept", "updated")]
+    assert rows(got["superseding"].select("number", "part_id", "other", "other_id")) == [("B", 5, "A", 6), ("B", 5, "A", 6)]
     tell = lambda kind: rows(got[kind].select("number", "other", "ref_number", "notes"))
     assert tell("superseding") == [("B", "A", "A", ""), ("B", "A", "JN:A", "M")]
     assert tell("interchange") == [("A", None, "A", "x")] and tell("substitute") == [("B", None, "S", "M | n")]
