@@ -25,12 +25,36 @@ def merge_map(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.select(*keys, F.col("id").alias("loser")).join(first, keys).where("loser <> survivor").select("loser", "survivor")
 
 
-def normalize_applications(apps: DataFrame) -> DataFrame:
-    """Years split to rows, expanded and put in order; submodels split; equal rows merged into the lowest id."""
-    rows = N.split_rows(apps, "year")
-    rows = rows.withColumn("year", Y.fix_direction(Y.expand_range(F.col("year"))))
-    rows = N.submodels(rows, "engine")
-    return rows.groupBy("make", "model", "engine", "year").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("merged"))
+def normalize_applications(apps: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(applications, links): years expanded, split and put in order, submodels split, and equal rows merged into the lowest id, with all links following.
+
+    What is split goes, and its clones get the next ids in the order of their originals; a clone may be split again. Every row knows the application that it comes
+    from, so that links fan out to all clones and collapse on what those are merged into in one pass, whatever happened between. Links of one application and
+    unit become one with the last position that is not blank: the survivor's own counts first, then those of rows that were there, then of clones.
+    """
+    segments = F.filter(F.transform(F.split("year", r"\|"), T.strip), lambda x: x != "")
+    years = F.array_distinct(F.transform(segments, Y.expand_range))
+    several = F.col("year").contains("|") & (F.size(years) > 0)
+    each = F.when(several, years).otherwise(F.array(Y.expand_range(F.col("year"))))
+    rows = apps.select(F.col("id").alias("origin"), "make", "model", "engine", (several & (F.size(years) > 1)).alias("split"), F.posexplode(each).alias("at", "year"))
+    rows = cut_lineage(rows.withColumn("id", F.when(~F.col("split"), F.col("origin"))))
+    rows = cut_lineage(K.with_ids(rows, apps, [F.col("origin"), F.col("at")]).drop("at"))
+    shape = r"^([\w.]+)-([A-Z](?:,[A-Z])+)$"
+    letters = F.split(F.regexp_extract("model", shape, 2), ",")
+    models = F.when(F.col("model").rlike(shape), F.transform(letters, lambda x: F.concat(F.regexp_extract("model", shape, 1), F.lit("-"), x))).otherwise(F.array("model"))
+    parts = rows.select("origin", "make", "engine", "year", F.col("id").alias("was"), (F.col("split") | (F.size(models) > 1)).alias("cloned"), F.size(models).alias("n"), F.posexplode(models).alias("at", "model"))
+    parts = cut_lineage(parts.withColumn("id", F.when(F.col("n") == 1, F.col("was"))))
+    parts = K.with_ids(parts, rows, [F.col("was"), F.col("at")]).withColumn("year", Y.fix_direction(F.col("year")))
+    parts = cut_lineage(parts.select("origin", "id", "cloned", "make", "model", "engine", "year"))
+    key = ["make", "model", "engine", "year"]
+    merged = parts.groupBy(*key).agg(F.min("id").alias("survivor"), F.count(F.lit(1)).alias("merged"))
+    known = cut_lineage(merged)
+    to = parts.join(known, key).select(F.col("origin").alias("application_id"), "id", "cloned", "survivor")
+    met = links.withColumnRenamed("id", "link").join(to, "application_id")
+    order = F.struct((F.col("id") != F.col("survivor")).alias("other"), "cloned", F.when(F.col("cloned"), F.col("id")).alias("clone"), "link")
+    last = F.coalesce(F.max_by("position", F.when(F.col("position") != "", order)), F.lit(""))
+    out = met.groupBy(F.col("survivor").alias("application_id"), "unit_id").agg(last.alias("position"), F.count(F.lit(1)).alias("merged"))
+    return known.withColumnRenamed("survivor", "id"), out
 
 
 def cleanup_applications(apps: DataFrame, links: DataFrame, renames: dict[str, str], pairs: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:

@@ -157,10 +157,29 @@ def l06(spark: SparkSession, sf: str) -> DataFrame:
 _SEG = "CASE WHEN regexp_matches(y, '^[0-9]{2}-[0-9]{2}$') THEN CASE WHEN a > b THEN (CASE WHEN a >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN b >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) ELSE (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) END ELSE y END"
 
 
-@query("L09", f"""WITH s AS (SELECT DISTINCT id, make, model, engine, trim(unnest(string_split(year, '|'))) AS y FROM applications), r AS (SELECT *, try_cast(substr(y, 1, 2) AS int) AS a, try_cast(substr(y, 4, 2) AS int) AS b FROM s), e AS (SELECT id, make, model, engine, {_SEG} AS year FROM r),
-f AS (SELECT id, make, model, engine, CASE WHEN regexp_matches(year, '^[0-9]{{4}}-[0-9]{{4}}$') AND substr(year, 1, 4) > substr(year, 6, 4) THEN substr(year, 6, 4) || '-' || substr(year, 1, 4) ELSE year END AS year FROM e) SELECT make, model, engine, year, min(id) AS id, count(*) AS merged FROM f GROUP BY make, model, engine, year""")
+_MODELS = "CASE WHEN id % 11 = 0 THEN '3.0GSM-A,B' WHEN id % 13 = 0 THEN 'X.1-C,A,B' ELSE model END"
+
+
+@query("L09", f"""WITH a AS (SELECT id, make, {_MODELS} AS model, engine, year FROM applications),
+s AS (SELECT id, trim(unnest(string_split(year, '|'))) AS y, generate_subscripts(string_split(year, '|'), 1) AS i FROM a),
+e AS (SELECT id, i, {_SEG} AS seg FROM (SELECT *, try_cast(substr(y, 1, 2) AS int) AS a, try_cast(substr(y, 4, 2) AS int) AS b FROM s WHERE y <> '')),
+u AS (SELECT id, seg, min(i) AS i, count(*) OVER (PARTITION BY id) AS n FROM e GROUP BY id, seg),
+one AS (SELECT a.id AS origin, a.id, false AS cloned, make, model, engine, coalesce(seg, year) AS year FROM a LEFT JOIN u USING (id) WHERE coalesce(n, 0) < 2
+  UNION ALL SELECT a.id, (SELECT max(id) FROM a) + row_number() OVER (ORDER BY a.id, i), true, make, model, engine, seg FROM a JOIN u USING (id) WHERE n > 1),
+two AS (SELECT origin, id, cloned, make, model, engine, year FROM one WHERE NOT regexp_matches(model, '^[\\w.]+-[A-Z](,[A-Z])+$')
+  UNION ALL SELECT origin, (SELECT max(id) FROM one) + row_number() OVER (ORDER BY id, k), true, make, base || '-' || letter, engine, year FROM (
+    SELECT *, regexp_extract(model, '^([\\w.]+)-', 1) AS base, unnest(string_split(regexp_extract(model, '-([A-Z,]+)$', 1), ',')) AS letter, generate_subscripts(string_split(regexp_extract(model, '-([A-Z,]+)$', 1), ','), 1) AS k
+    FROM one WHERE regexp_matches(model, '^[\\w.]+-[A-Z](,[A-Z])+$'))),
+f AS (SELECT * REPLACE (CASE WHEN regexp_matches(year, '^[0-9]{{4}}-[0-9]{{4}}$') AND substr(year, 1, 4) > substr(year, 6, 4) THEN substr(year, 6, 4) || '-' || substr(year, 1, 4) ELSE year END AS year) FROM two),
+c AS (SELECT *, min(id) OVER (PARTITION BY make, model, engine, year) AS survivor FROM f)
+SELECT 'application' AS kind, id, make, model, engine, year, NULL::bigint AS unit_id, NULL AS position, count(*) AS merged FROM (SELECT survivor AS id, make, model, engine, year FROM c) GROUP BY ALL
+UNION ALL SELECT 'link', survivor, NULL, NULL, NULL, NULL, unit_id, coalesce(arg_max(position, (c.id <> survivor, cloned, CASE WHEN cloned THEN c.id ELSE 0 END, l.id)) FILTER (position <> ''), ''), count(*)
+FROM application_units l JOIN c ON c.origin = l.application_id GROUP BY survivor, unit_id""")
 def l09(spark: SparkSession, sf: str) -> DataFrame:
-    return L.normalize_applications(frame(spark, sf, "applications"))
+    """Applications after all five steps, and their links."""
+    apps, links = L.normalize_applications(frame(spark, sf, "applications").withColumn("model", F.expr(_MODELS)), frame(spark, sf, "application_units"))
+    apps = apps.withColumn("kind", F.lit("application"))
+    return apps.unionByName(links.withColumnRenamed("application_id", "id").withColumn("kind", F.lit("link")), allowMissingColumns=True)
 
 
 @query("L15", f"SELECT kept AS id FROM ({_PAIRS}) UNION ALL SELECT min(id) FROM substitutes WHERE substitute_unit_id IS NULL GROUP BY unit_id, substitute_number")
