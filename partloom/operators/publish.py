@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,10 +71,16 @@ class Store:
         self._write(f"{self.folder}/runs/{run}/{table}.json", json.dumps(told))
         return told
 
-    def publish(self, run: str) -> int:
-        """The run's tables, and those of the last version that it does not have, as the next version. Of two that publish at once one fails."""
+    def names(self) -> list[str]:
+        """The tables of the last version."""
         last = self.version()
+        return sorted(json.loads(self._read(f"{self.folder}/versions/{last}.json"))) if last else []
+
+    def publish(self, run: str, drop: Iterable[str] = ()) -> int:
+        """The run's tables, and those of the last version that it does not have, less those to drop, as the next version. Of two that publish at once one fails."""
+        last, gone = self.version(), set(drop)
         held = json.loads(self._read(f"{self.folder}/versions/{last}.json")) if last else {}
+        held = {t: p for t, p in held.items() if t not in gone}
         held |= {t: x["path"] for t, x in self.progress(run).items()}
         self._write(f"{self.folder}/versions/{last + 1}.json", json.dumps(held, sort_keys=True))
         return last + 1

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.operators.lineage import cut_lineage
@@ -48,14 +53,53 @@ def with_prefix_of(rows: DataFrame, others: DataFrame, scope: list[str], column:
     return rows.join(prefixes(others, scope, column, 1), [*scope, column], "left_semi").select(*rows.columns)
 
 
-def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str, head: int = 3) -> DataFrame:
-    """The same without a scope. The first `head` characters are the join key, so that no pair of others is compared; shorter values join on their length too."""
+def _prefix_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of values in order, those that the next value of the others begins with; at the end those that are open still, and the first of the others.
+
+    A value can only begin a later one if it begins all between them, so that what waits is a chain of values each of which begins the next.
+    """
+    waiting: list[str] = []
+    head, part, found = None, None, []
+    for x in frames:
+        for value, asks, holds, part in zip(x["value"], x["asks"], x["holds"], x["part"], strict=True):
+            while waiting and not value.startswith(waiting[-1]):
+                waiting.pop()
+            if holds:
+                found += waiting
+                waiting = []
+                head = value if head is None else head
+            if asks:
+                waiting.append(value)
+        if found:
+            yield pd.DataFrame({"value": found, "kind": "found", "part": part})
+            found = []
+    rest = [(v, "open") for v in waiting] + ([] if head is None else [(head, "head")])
+    if rest:
+        yield pd.DataFrame(rest, columns=["value", "kind"]).assign(part=part)
+
+
+def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is a proper prefix of some other value, without a scope.
+
+    In the order of all distinct values those that begin with a value come right after it, so that it is a prefix of another exactly if it is one of the next
+    that is different. One sort decides that, without pairs, whatever the values begin with; only the first value of each range, and what a range
+    leaves open, is carried over.
+    """
     value = F.col(column)
-    heads = others.select(F.col(column).alias("_longer")).distinct()
-    heads = heads.withColumn("_k", F.explode(F.sequence(F.lit(1), F.least(F.length("_longer"), F.lit(head))))).withColumn("_head", F.substr("_longer", F.lit(1), F.col("_k")))
-    keyed = rows.withColumn("_k", F.least(F.length(value), F.lit(head))).withColumn("_head", F.substr(value, F.lit(1), F.col("_k")))
-    cond = (keyed["_k"] == heads["_k"]) & (keyed["_head"] == heads["_head"]) & heads["_longer"].startswith(keyed[column]) & (F.length(heads["_longer"]) > F.length(keyed[column]))
-    return keyed.join(heads, cond, "left_semi").drop("_k", "_head")
+    of = lambda df, asks: df.select(value.alias("value"), F.lit(asks).alias("asks"), F.lit(not asks).alias("holds"))
+    both = of(rows, True).unionByName(of(others, False)).where("value IS NOT NULL").groupBy("value").agg(F.max("asks").alias("asks"), F.max("holds").alias("holds"))
+    ranged = both.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
+    told = cut_lineage(ranged.mapInPandas(_prefix_chains, "value string, kind string, part int"))
+    heads = {r["part"]: r["value"] for r in told.where("kind = 'head'").collect()}  # one for each range
+    last = told.agg(F.max("part")).first()[0]
+    coming, after = None, []
+    for part in range((-1 if last is None else last), -1, -1):
+        after.append((part, coming))
+        coming = heads.get(part, coming)
+    following = rows.sparkSession.createDataFrame(after, "part int, coming string")
+    crossing = told.where("kind = 'open'").join(F.broadcast(following), "part").where(F.col("coming").startswith(F.col("value")))
+    found = told.where("kind = 'found'").select("value").unionByName(crossing.select("value"))
+    return rows.join(found.withColumnRenamed("value", column), column, "left_semi").select(*rows.columns)
 
 
 def survivors(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -84,35 +128,61 @@ def ordered_concat(df: DataFrame, keys: list[str], value: str, pos: str, sep: st
     return first.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda x: x[value]), sep).alias(value))
 
 
+def _filler(run: list[str], columns: list[str], heads: dict[int, tuple[tuple, list[str]]] | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fills the rows of a range. Without heads it gives the range's end instead: (_range, first and last run, whether the run changes, values at the end)."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, number, broken = None, None, None, False
+        held = [""] * len(columns)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = pd.DataFrame({c: batch.column(c).to_pandas() for c in run}).astype(object)
+            of = of.where(of.notna(), None)
+            keys = list(of.itertuples(index=False, name=None))
+            if key is None:
+                number = batch.column("_range")[0].as_py()
+                first = keys[0]
+                key, held = (first, held) if heads is None else heads[number]
+            changed = np.fromiter((k != before for k, before in zip(keys, [key, *keys], strict=False)), bool, len(keys))
+            runs = np.cumsum(changed)
+            for n, c in enumerate(columns):
+                value = batch.column(c).to_pandas().astype(object)
+                value = value.where(value.notna() & (value != ""), None)
+                if runs[0] == 0 and value.iat[0] is None:
+                    value.iat[0] = held[n] or None
+                filled = value.groupby(runs).ffill()
+                filled = filled.where(filled.notna(), "")
+                held = [*held[:n], filled.iat[-1], *held[n + 1 :]]
+                if heads is not None:
+                    batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array(filled.tolist(), pa.string()))
+            key, broken = keys[-1], broken or bool(changed.any())
+            if heads is not None:
+                yield batch.drop_columns(["_range"])
+        if heads is None and number is not None:
+            end = {"_range": [number], "first": [[None if v is None else str(v) for v in first]], "last": [[None if v is None else str(v) for v in key]], "broken": [broken], "at_end": [held]}
+            yield pa.RecordBatch.from_pydict(end, pa.schema([("_range", pa.int32()), ("first", pa.list_(pa.string())), ("last", pa.list_(pa.string())), ("broken", pa.bool_()), ("at_end", pa.list_(pa.string()))]))
+
+    return work
+
+
 def fill_down(df: DataFrame, run: list[str], columns: list[str], pos: str) -> DataFrame:
-    """Blanks take the value above, within rows that follow one another in the order of pos with equal `run` columns.
+    """Blanks take the value above, within rows that follow one another in the order of pos with equal `run` columns, which are texts.
 
-    The rows are dealt to ranges of pos. Each is filled alone; what a range begins with is carried over from the ranges before
-    it, of which only the first and last rows and the values at their end are gathered.
+    The rows are sorted into ranges of pos once, and move no more. What a range begins with is carried over from the ranges before it, of which only
+    the first and last run and the values at their end are gathered; then each is filled where it lies.
     """
-    ranged = cut_lineage(df.repartitionByRange(pos).withColumn("_range", F.spark_partition_id()))
-    order = Window.partitionBy("_range").orderBy(pos)
-    changed = F.lit(False)
-    for c in run:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(order))
-    new = F.when(F.row_number().over(order) == 1, 0).otherwise(changed.cast("int"))
-    marked = ranged.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy("_range", "_run").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumns({f"_at_{c}": F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(within) for c in columns})
-    row = F.struct(*run)
-    values = F.struct(*[F.col(f"_at_{c}").alias(c) for c in columns])
-    ends = marked.groupBy("_range").agg(F.min_by(row, pos).alias("first"), F.max_by(row, pos).alias("last"), (F.max("_run") > 0).alias("broken"), F.max_by(values, pos).alias("at_end"))
-    heads, before, held = [], None, [""] * len(columns)
-    for e in sorted(ends.collect(), key=lambda e: e["_range"]):  # a row for each range
-        head = held if before is not None and tuple(before) == tuple(e["first"]) else [""] * len(columns)
-        heads.append((e["_range"], *head))
+    ranged = cut_lineage(df.repartitionByRange(pos).sortWithinPartitions(pos).withColumn("_range", F.spark_partition_id()))
+    shape = "_range int, first array<string>, last array<string>, broken boolean, at_end array<string>"
+    ends = ranged.select("_range", *run, *columns).mapInArrow(_filler(run, columns, None), shape).collect()  # a row for each range
+    heads, before, held = {}, None, [""] * len(columns)
+    for e in sorted(ends, key=lambda e: e["_range"]):
+        first, last = tuple(e["first"]), tuple(e["last"])
+        head = held if before == first else [""] * len(columns)
+        heads[e["_range"]] = first, head
         held = [v or ("" if e["broken"] else h) for v, h in zip(e["at_end"], head, strict=True)]
-        before = e["last"]
-    carried = df.sparkSession.createDataFrame(heads, ", ".join(["_range int", *[f"_from_{c} string" for c in columns]]))
-    filled = marked.join(F.broadcast(carried), "_range")
-    for c in columns:
-        filled = filled.withColumn(c, F.coalesce(f"_at_{c}", F.when(F.col("_run") == 0, F.col(f"_from_{c}")), F.lit("")))
-    return filled.select(*df.columns)
+        before = last
+    return ranged.mapInArrow(_filler(run, columns, heads), df.schema)
 
 
 def pages_of(df: DataFrame, keys: list[str], order: list[Column], first: int, then: int) -> DataFrame:

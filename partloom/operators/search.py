@@ -51,8 +51,8 @@ def tier(direct: Column) -> Column:
     return F.when(F.coalesce(direct, F.lit(False)), 0).otherwise(1)
 
 
-def placed(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with `place`, its position from 0 in an order without ties, by a distributed sort.
+def placed(df: DataFrame, order: list[Column], part: str | None = None) -> DataFrame:
+    """df with `place`, its position from 0 in an order without ties, by a distributed sort; with `part`, also the number of its range by that name.
 
     Rows are sorted into ranges and numbered within each; the sizes of the ranges before are added. Only one
     count for each range is gathered.
@@ -63,7 +63,36 @@ def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     sizes = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return keyed.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_at")).drop("_id", "_range", "_at", "_start")
+    found = keyed.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_at")).drop("_id", "_at", "_start")
+    return found.withColumnRenamed("_range", part) if part else found.drop("_range")
+
+
+class PageIndex:
+    """An order of a table, stored in ranges with their bounds and counts, of which a page reads those that it lies in.
+
+    Rows are sorted once and written with their places, a folder for each range. What the driver holds is a row for each range.
+    """
+
+    def __init__(self, df: DataFrame, order: list[Column], folder: str) -> None:
+        self.spark, self.folder = df.sparkSession, folder
+        rows = placed(df, order, "_part").withColumn("_part", F.col("_part").cast("long"))
+        rows.write.partitionBy("_part").parquet(f"{folder}/rows")
+        self.schema = rows.schema
+        bounds = self._stored().groupBy("_part").agg(F.min("place").alias("first"), F.max("place").alias("last")).collect()
+        self.bounds = sorted((r["first"], r["last"], r["_part"]) for r in bounds)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/rows")
+
+    def page(self, number: int, per_page: int) -> DataFrame:
+        """As page() gives it, in the order, with each row's place."""
+        per_page = min(per_page, 500) if per_page > 0 else 50
+        total = self.bounds[-1][1] + 1 if self.bounds else 0
+        first = (min(max(1, number), max(1, -(-total // per_page))) - 1) * per_page
+        last = first + per_page - 1
+        parts = [p for a, b, p in self.bounds if a <= last and b >= first]
+        rows = self._stored().where(F.col("_part").isin(*parts) if parts else F.lit(False))
+        return rows.where((F.col("place") >= first) & (F.col("place") <= last)).orderBy("place").drop("_part")
 
 
 def page(df: DataFrame, number: int, per_page: int, order: list[Column]) -> DataFrame:

@@ -75,19 +75,31 @@ def cleanup_applications(apps: DataFrame, links: DataFrame, renames: dict[str, s
     return rows.join(equal.select(F.col("loser").alias("id")), "id", "left_anti"), K.repoint(links, equal, "application_id", ["unit_id"], ["position"])
 
 
-def acronyms(df: DataFrame, column: str, explicit: list[str], longest: int = 4) -> dict[str, str]:
-    """Names in capitals that stay so: the explicit ones, and single words of at most `longest` letters or digits that the column has in capitals.
+def acronyms(df: DataFrame, column: str, explicit: list[str], longest: int = 4) -> DataFrame:
+    """(word, form) of names in capitals that stay so: the explicit ones, and single words of at most `longest` letters or digits that the column has in capitals."""
+    word = T.strip(F.regexp_replace(T.strip(F.col(column)), r"\.+$", ""))
+    short = df.select(word.alias("word")).where(F.col("word").rlike(f"^[A-Z0-9]{{1,{longest}}}$") & F.col("word").rlike("[A-Z]")).distinct()
+    given = df.sparkSession.createDataFrame([(x.upper(), x) for x in explicit], "word string, form string")
+    return short.join(given, "word", "left_anti").withColumn("form", F.col("word")).unionByName(given)
+
+
+def with_maker_names(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """df with makers' names in one spelling: tokens that words (word, form) has in its form, others in title case, as maker_name() does with a map.
 
-    What is gathered are distinct words of so few characters.
+    Each distinct name is taken apart once and its tokens are joined with the words, of which there may be any number.
     """
-    word = T.strip(F.regexp_replace(T.strip(F.col(column)), r"\.+$", ""))
-    short = df.select(word.alias("w")).where(F.col("w").rlike(f"^[A-Z0-9]{{1,{longest}}}$") & F.col("w").rlike("[A-Z]")).distinct()
-    return {r.w: r.w for r in short.collect()} | {x.upper(): x for x in explicit}
+    names = cut_lineage(df.select(F.col(column).alias("_name")).distinct())
+    bare = T.strip(F.regexp_replace(T.strip(F.coalesce("_name", F.lit(""))), r"\.+$", ""))
+    tokens = names.select("_name", F.posexplode(F.filter(F.split(bare, T.BLANK), lambda t: t != "")).alias("_at", "_token")).withColumn("word", F.upper("_token"))
+    formed = tokens.join(words, "word", "left").select(F.col("_name").alias("_of"), F.struct("_at", F.coalesce("form", T.title_case(F.col("_token"))).alias("form")).alias("t"))
+    built = formed.groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["form"]), " ").alias("_built"))
+    spelled = names.join(built, F.col("_name").eqNullSafe(F.col("_of")), "left").select("_name", F.coalesce("_built", F.lit("")).alias("_built"))
+    return df.join(spelled, F.col(column).eqNullSafe(F.col("_name"))).withColumn(column, F.col("_built")).select(*df.columns)
 
 
 def normalize_makers(xrefs: DataFrame, explicit: list[str]) -> DataFrame:
     """xrefs with makers in one spelling; of those alike then in unit, number and maker the one with the longest notes stays, of equals the lowest id."""
-    named = xrefs.withColumn("interchange_type", T.maker_name(F.col("interchange_type"), acronyms(xrefs, "interchange_type", explicit)))
+    named = with_maker_names(xrefs, "interchange_type", acronyms(xrefs, "interchange_type", explicit))
     return R.first_of(named, ["unit_id", "cross_ref_number", "interchange_type"], [F.length(F.coalesce("notes", F.lit(""))).desc(), F.col("id")])
 
 
@@ -169,12 +181,23 @@ def import_applications(filled: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def import_interchange(routed: DataFrame) -> DataFrame:
-    """Routed rows without bogus makers, one a number, maker and target: unit hits and part hits."""
-    maker = T.normalize_space(F.col("manufacturer"))
-    rows = routed.where((maker != "") & (F.col("route") != "none")).withColumn("maker", maker)
+def import_interchange(routed: DataFrame, units: DataFrame, xrefs: DataFrame, interchanges: DataFrame) -> DataFrame:
+    """(output, target_id, maker, their_number, pos, other_id): routed rows without bogus makers, one a number, maker and target, that are not stored yet.
+
+    Numbers are cut to 100 characters and makers to 150. xrefs are stored by (unit_id, cross_ref_number, interchange_type), interchanges by (part_id,
+    interchange_number, source_name). A unit's row has in other_id the unit that the number is, if it is another.
+    """
+    maker, number = F.substring(T.normalize_space(F.col("manufacturer")), 1, 150), F.substring("their_number", 1, 100)
+    rows = routed.where((maker != "") & (F.col("route") != "none")).withColumns({"maker": maker, "whole": F.col("their_number"), "their_number": number})
     output = F.when(F.col("route") == "part_yt", "part").otherwise("unit")
-    return rows.groupBy(output.alias("output"), "target_id", "maker", "their_number").agg(F.min("pos").alias("pos"))
+    key = ["output", "target_id", "maker", "their_number"]
+    new = rows.withColumn("output", output).groupBy(*key).agg(F.min_by("whole", "pos").alias("whole"), F.min("pos").alias("pos"))
+    stored = lambda df, output, *columns: df.select(F.lit(output).alias("output"), *[F.col(c).alias(k) for c, k in zip(columns, key[1:], strict=True)])
+    have = stored(xrefs, "unit", "unit_id", "interchange_type", "cross_ref_number").unionByName(stored(interchanges, "part", "part_id", "source_name", "interchange_number"))
+    named = units.where("unit_number <> ''").groupBy(F.col("unit_number").alias("whole")).agg(F.max("id").alias("_other"))
+    left = new.join(have.distinct(), key, "left_anti").join(named, "whole", "left")
+    other = F.when((F.col("output") == "unit") & (F.col("_other") != F.col("target_id")), F.col("_other"))
+    return left.select(*key, "pos", other.alias("other_id"))
 
 
 def missing_bom_items(links: DataFrame, items: DataFrame) -> DataFrame:

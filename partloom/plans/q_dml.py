@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from partloom.functions import rules, text as T
 from partloom.operators import dml as K, relations as R
+from partloom.operators.lineage import own_folder
+from partloom.operators.publish import Store
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
 from partloom.plans.q_relations import ROUTED_SQL, routed
 from partloom.plans.registry import query
 from partloom.sources import csv as C
+from partloom.streaming import ledger
 
 
 @query("K01", "SELECT id, CASE WHEN id % 3 = 0 AND is_active THEN 'bulk' ELSE notes END AS notes FROM parts")
@@ -85,14 +88,34 @@ def k11(spark: SparkSession, sf: str) -> DataFrame:
     return K.set_null(left, frame(spark, sf, "parts").where("NOT is_active"), "part_id").select("id", "bom_id", "part_id")
 
 
-@query("K12", "SELECT p.id, cast(p.stock_quantity - coalesce(sum(l.quantity), 0) AS bigint) AS stock FROM parts p LEFT JOIN (SELECT part_id, CASE line_number WHEN 2 THEN 0 WHEN 3 THEN quantity + 1 ELSE quantity END AS quantity FROM invoice_items) l ON l.part_id = p.id GROUP BY p.id, p.stock_quantity")
-def k12(spark: SparkSession, sf: str) -> DataFrame:
+_STOCK = "SELECT p.id, cast(p.stock_quantity - coalesce(sum(l.quantity), 0) AS bigint) AS stock FROM parts p LEFT JOIN (SELECT part_id, CASE line_number WHEN 2 THEN 0 WHEN 3 THEN quantity + 1 ELSE quantity END AS quantity FROM invoice_items) l ON l.part_id = p.id GROUP BY p.id, p.stock_quantity"
+
+
+def _line_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Lines are created; line 2 of each invoice is deleted again and line 3 grows by one."""
     items = frame(spark, sf, "invoice_items").select("part_id", "line_number", "quantity")
     none, line = F.lit(None).cast("long"), F.col("line_number")
     made = items.select(none.alias("old_part"), none.alias("old_qty"), F.col("part_id").alias("new_part"), F.col("quantity").cast("long").alias("new_qty"))
     changed = items.where(line.isin(2, 3)).select(F.col("part_id").alias("old_part"), F.col("quantity").cast("long").alias("old_qty"), F.when(line == 3, F.col("part_id")).alias("new_part"), F.when(line == 3, F.col("quantity") + 1).cast("long").alias("new_qty"))
-    return K.stock_after(frame(spark, sf, "parts"), K.ledger(made.unionByName(changed)))
+    return made.unionByName(changed)
+
+
+@query("K12", _STOCK)
+def k12(spark: SparkSession, sf: str) -> DataFrame:
+    return K.stock_after(frame(spark, sf, "parts"), K.ledger(_line_changes(spark, sf)))
+
+
+@query("K12b", _STOCK)
+def k12b(spark: SparkSession, sf: str) -> DataFrame:
+    """The same changes as a stream of several batches, of which the last comes twice; the stock is read from the last version."""
+    folder = own_folder(spark, "ledger")
+    changes = _line_changes(spark, sf)
+    changes.repartition(6).write.parquet(f"{folder}/changes")
+    store = Store(spark, f"{folder}/store")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    ledger.fold_versions(stream, store, f"{folder}/state").awaitTermination()
+    ledger.apply_batch(store, spark.read.parquet(f"{folder}/changes"), ledger.through(store.names()))
+    return K.stock_after(frame(spark, sf, "parts"), ledger.movements(store))
 
 
 @query("K13", "SELECT t.id, t.price IS DISTINCT FROM s.price AS touched FROM target_parts t JOIN seed_parts s ON s.id = t.id")
@@ -148,10 +171,19 @@ def l02(spark: SparkSession, sf: str) -> DataFrame:
     return L.backfill(frame(spark, sf, "parts"), "notes", F.col("voltage"), {"12V": "low.pdf", "24V": "high.pdf"}).select("id", "notes")
 
 
-@query("L06", "SELECT unit_id, cross_ref_number, maker, min(id) AS id FROM (SELECT *, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' ELSE interchange_type END AS maker FROM cross_references) GROUP BY 1, 2, 3")
+_SOURCES = {"FORD": "Ford", "Delco 117": "WAI"}
+_SOURCE = "CASE source_name WHEN 'FORD' THEN 'Ford' WHEN 'Delco 117' THEN 'WAI' ELSE source_name END"
+
+
+@query("L06", f"""WITH p AS (SELECT *, {_SOURCE} AS maker, {_SOURCE} <> source_name AS moves FROM part_interchanges)
+SELECT 'xref' AS kind, unit_id AS owner, cross_ref_number AS number, maker, min(id) AS id FROM (SELECT *, CASE interchange_type WHEN 'ALFA ROMEO' THEN 'Alfa Romeo' WHEN 'Alfa-romeo.' THEN 'Alfa Romeo' ELSE interchange_type END AS maker FROM cross_references) GROUP BY 2, 3, 4
+UNION ALL SELECT 'interchange', part_id, interchange_number, maker, id FROM (SELECT *, bool_or(NOT moves) OVER w AS taken, row_number() OVER (PARTITION BY part_id, interchange_number, maker ORDER BY moves, id) AS n FROM p WINDOW w AS (PARTITION BY part_id, interchange_number, maker)) WHERE NOT moves OR (NOT taken AND n = 1)""")
 def l06(spark: SparkSession, sf: str) -> DataFrame:
+    """Makers merged in cross references, then in part interchanges: renamed, and those deleted that the maker has already."""
     renamed = T.renamed(F.col("interchange_type"), {"ALFA ROMEO": "Alfa Romeo", "Alfa-romeo.": "Alfa Romeo"})
-    return frame(spark, sf, "cross_references").groupBy("unit_id", "cross_ref_number", renamed.alias("maker")).agg(F.min("id").alias("id"))
+    xrefs = frame(spark, sf, "cross_references").groupBy(F.lit("xref").alias("kind"), F.col("unit_id").alias("owner"), F.col("cross_ref_number").alias("number"), renamed.alias("maker")).agg(F.min("id").alias("id"))
+    p = R.rewritten(frame(spark, sf, "part_interchanges"), "source_name", T.mapped(F.col("source_name"), _SOURCES), ["part_id", "interchange_number"], [F.col("id")])
+    return xrefs.unionByName(p.select(F.lit("interchange").alias("kind"), F.col("part_id").alias("owner"), F.col("interchange_number").alias("number"), F.col("source_name").alias("maker"), "id"))
 
 
 _SEG = "CASE WHEN regexp_matches(y, '^[0-9]{2}-[0-9]{2}$') THEN CASE WHEN a > b THEN (CASE WHEN a >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN b >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) ELSE (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 1, 2) || '-' || (CASE WHEN greatest(a, b) >= 70 THEN '19' ELSE '20' END) || substr(y, 4, 2) END ELSE y END"
@@ -195,9 +227,23 @@ def l20(spark: SparkSession, sf: str) -> DataFrame:
     return K.set_where(frame(spark, sf, "units").join(n, "unit_type_id", "left"), F.col("unit_type") == "", unit_type=F.col("n_name")).select("id", "unit_type")
 
 
-@query("L31", f"SELECT CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, target_id, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker, their_number, min(pos) AS pos FROM ({ROUTED_SQL}) WHERE route <> 'none' AND trim(manufacturer) <> '' GROUP BY 1, 2, 3, 4")
+_OFFERED = f"(SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN 'U' || substr(their_number, 2) ELSE their_number END AS their_number) FROM ({ROUTED_SQL}))"
+
+
+@query("L31", f"""WITH r AS (SELECT *, CASE WHEN route = 'part_yt' THEN 'part' ELSE 'unit' END AS output, trim(regexp_replace(manufacturer, '\\s+', ' ', 'g')) AS maker FROM {_OFFERED} WHERE route <> 'none'),
+stored AS (SELECT DISTINCT output, target_id, maker, their_number FROM r WHERE pos % 9 = 0 UNION SELECT 'unit', unit_id, interchange_type, cross_ref_number FROM cross_references UNION SELECT 'part', part_id, source_name, interchange_number FROM part_interchanges),
+named AS (SELECT unit_number, max(id) AS id FROM units WHERE unit_number <> '' GROUP BY 1)
+SELECT output, target_id, maker, their_number, min(pos) AS pos, min(CASE WHEN output = 'unit' AND n.id <> target_id THEN n.id END) AS other_id FROM r LEFT JOIN named n ON n.unit_number = their_number
+WHERE maker <> '' AND (output, target_id, maker, their_number) NOT IN (SELECT (output, target_id, maker, their_number) FROM stored) GROUP BY 1, 2, 3, 4""")
 def l31(spark: SparkSession, sf: str) -> DataFrame:
-    return L.import_interchange(routed(spark, sf))
+    """Of the rows a part is stored already, beside what the catalog holds."""
+    rows = routed(spark, sf).withColumn("their_number", F.when(F.col("pos") % 4 == 0, F.concat(F.lit("U"), F.expr("substr(their_number, 2)"))).otherwise(F.col("their_number")))
+    held = rows.where("pos % 9 = 0 AND route <> 'none'").withColumn("maker", T.normalize_space(F.col("manufacturer")))
+    columns = lambda part, *names: held.where((F.col("route") == "part_yt") == part).select(*[F.col(c).alias(n) for c, n in zip(("target_id", "their_number", "maker"), names, strict=True)])
+    stored_x, stored_p = ("unit_id", "cross_ref_number", "interchange_type"), ("part_id", "interchange_number", "source_name")
+    xrefs = frame(spark, sf, "cross_references").select(*stored_x).unionByName(columns(False, *stored_x))
+    interchanges = frame(spark, sf, "part_interchanges").select(*stored_p).unionByName(columns(True, *stored_p))
+    return L.import_interchange(rows, frame(spark, sf, "units"), xrefs, interchanges)
 
 
 @query("L34", "SELECT DISTINCT b.id AS bom_id, au.application_id AS part_id FROM boms b JOIN application_units au ON au.unit_id = b.unit_id WHERE NOT EXISTS (SELECT 1 FROM bom_items i WHERE i.bom_id = b.id AND i.part_id = au.application_id)")

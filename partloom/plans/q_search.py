@@ -257,11 +257,15 @@ def f05(spark: SparkSession, sf: str) -> DataFrame:
     return i.join(p, "part_id", "left").orderBy(shown.asc_nulls_last(), "id").limit(60).select("id")
 
 
-@query("F06", "SELECT id, 'third' AS page FROM (SELECT id FROM parts ORDER BY part_name, id LIMIT 25 OFFSET 50) UNION ALL SELECT id, 'past' FROM (SELECT id, row_number() OVER (ORDER BY part_name, id) AS n, count(*) OVER () AS c FROM parts) WHERE n > ((c + 24) // 25 - 1) * 25")
+@query("F06", "SELECT id, 'third' AS page FROM (SELECT id FROM parts ORDER BY part_name, id LIMIT 25 OFFSET 50) UNION ALL SELECT id, 'past' FROM (SELECT id, row_number() OVER (ORDER BY part_name, id) AS n, count(*) OVER () AS c FROM parts) WHERE n > ((c + 24) // 25 - 1) * 25 UNION ALL SELECT * FROM (SELECT id, 'bad' FROM parts ORDER BY part_name, id LIMIT 25) UNION ALL SELECT id, 'middle' FROM (SELECT id, row_number() OVER (ORDER BY part_name, id) - 1 AS n, count(*) OVER () AS c FROM parts) WHERE n // 25 = (c // 50)")
 def f06(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of a stored order: the third, one far past the end, one for a bad number, and one in the middle."""
     p = frame(spark, sf, "parts")
-    order = [F.col("part_name"), F.col("id")]
-    return S.page(p, 3, 25, order).select("id", F.lit("third").alias("page")).unionByName(S.page(p, 10**9, 25, order).select("id", F.lit("past").alias("page")))
+    index = S.PageIndex(p.select("id", "part_name"), [F.col("part_name"), F.col("id")], own_folder(spark, "pages"))
+    middle = (index.bounds[-1][1] + 1) // 50 + 1 if index.bounds else 1
+    wanted = {"third": 3, "past": 10**9, "bad": -4, "middle": middle}
+    pages = [index.page(n, 25).select("id", F.lit(name).alias("page")) for name, n in wanted.items()]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
 
 
 @query("F07", "SELECT count(*) AS total FROM applications WHERE is_active")

@@ -1,8 +1,14 @@
 """Small cases of the table operators."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from partloom.operators import dml as K, nested as N, relations as R, search as S
+from partloom.operators.lineage import own_folder
+from partloom.operators.publish import Store
+from partloom.plans import commands as L
 from partloom.sources import csv as C
 from partloom.streaming import ledger
 
@@ -100,3 +106,49 @@ def test_ledger_stream(spark, tmp_path):
     ledger.fold(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     moved = spark.read.parquet(str(tmp_path / "out")).groupBy("part_id").agg(F.sum("delta").alias("d"))
     assert rows(moved) == [(1, 0), (2, 0), (3, 2)]  # clearing the part of line 3 gives nothing back
+
+
+def test_ledger_versions_count_a_batch_once(spark):
+    shape = "old_part long, old_qty long, new_part long, new_qty long"
+    batch = lambda *r: spark.createDataFrame(r, shape)
+    store = Store(spark, own_folder(spark, "ledger"))
+    for n in range(5):
+        for _ in range(2):  # each comes twice
+            ledger.apply_batch(store, batch((None, None, 1, 5), (None, None, 2 + n, 1)), n, every=3)
+    assert store.names() == ["base-000000002", "delta-000000003", "delta-000000004"] and ledger.through(store.names()) == 4
+    assert rows(ledger.movements(store)) == [(1, 25), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)]
+    store.keep("batch-5", "base-000000005", batch((None, None, 9, 9)).select(F.lit(9).cast("long").alias("part_id"), F.lit(9).cast("long").alias("delta")), {})
+    ledger.apply_batch(store, batch((None, None, 1, 5)), 5, every=3)  # killed after it was written: what is there is published
+    assert rows(ledger.movements(store)) == [(9, 9)]
+
+
+def test_prefixes_of_one_head_need_no_pairs(spark):
+    """All values begin alike, over many ranges."""
+    rng = random.Random(3)
+    values = ["AAA" + "".join(rng.choices("ab", k=rng.randint(0, 7))) for _ in range(500)] + ["AAA", "AAB", "é", "éé", "", None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, n string").repartition(4)
+    some = df.where("id % 3 = 0")
+    for asked, others in ((df, df), (df, some), (some, df), (df, df.where("false"))):
+        held = [r.n for r in others.collect() if r.n is not None]
+        want = sorted((r.id, r.n) for r in asked.collect() if r.n is not None and any(h != r.n and h.startswith(r.n) for h in held))
+        got = R.with_prefix_anywhere(asked, others, "n")
+        assert sorted(map(tuple, got.collect())) == want
+    assert not re.search("(?i)cartesian|nestedloop", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_pages_of_a_stored_order(spark):
+    df = spark.createDataFrame([(i, i * 7 % 100) for i in range(503)], "id int, k int").repartition(7)
+    order = [F.col("k"), F.col("id")]
+    index = S.PageIndex(df, order, own_folder(spark, "pages"))
+    want = [r.id for r in df.orderBy(*order).collect()]
+    for n, first in ((1, 0), (3, 40), (26, 500), (99, 500), (-1, 0)):
+        assert [r.id for r in index.page(n, 20).collect()] == want[first : first + 20]
+    assert "PartitionFilters" in index.page(3, 20)._jdf.queryExecution().executedPlan().toString()
+    assert S.PageIndex(df.where("false"), order, own_folder(spark, "pages")).page(1, 20).count() == 0
+
+
+def test_makers_by_joined_words(spark):
+    df = spark.createDataFrame([(1, " alfa  ROMEO. "), (2, "wai"), (3, None), (4, "."), (5, "WAI")], "id int, m string")
+    words = L.acronyms(df, "m", ["O'X"])
+    assert rows(words) == [("O'X", "O'X"), ("WAI", "WAI")]
+    assert rows(L.with_maker_names(df, "m", words)) == [(1, "Alfa Romeo"), (2, "WAI"), (3, ""), (4, ""), (5, "WAI")]
