@@ -756,19 +756,36 @@ def audit_attributes(expected: DataFrame, stored: DataFrame, known: Iterable[str
     ])
 
 
+def _sided(expected: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of both sides with _side, and with _met whether the other side has their key too: one aggregate of the keys and one join, written once."""
+    both = cut_lineage(expected.withColumn("_side", F.lit("e")).unionByName(stored.withColumn("_side", F.lit("s")), allowMissingColumns=True))
+    sides = both.groupBy(*key).agg((F.count_distinct("_side") > 1).alias("_met"))
+    return both.join(sides, key, "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+
+
+def _told(df: DataFrame, category: str, cases: list[tuple]) -> DataFrame:
+    """The findings of rows in one pass: for each case (condition, field, status, severity, tag, expected, stored) that holds."""
+    text = lambda v: F.lit("") if v is None else F.substring(F.coalesce(v.cast("string"), F.lit("")), 1, 500)
+    each = [
+        F.when(F.coalesce(cond, F.lit(False)), F.struct("unit", F.lit(category).alias("category"), field.alias("field"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(tag).alias("tag"), text(e).alias("expected"), text(s).alias("stored")))
+        for cond, field, status, severity, tag, e, s in cases
+    ]
+    return df.select(F.explode(F.array_compact(F.array(*each))).alias("f")).select("f.*")
+
+
 def audit_interchanges(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of interchanges (unit, maker, number), each row by itself; makers are alike but for case, and several spellings of one are flagged."""
     key = ["unit", "_maker", "number"]
     norm = lambda df: df.select("unit", T.strip(F.coalesce("maker", F.lit(""))).alias("maker"), T.strip(F.coalesce("number", F.lit(""))).alias("number")).withColumn("_maker", F.lower("maker"))
-    e, s = norm(expected), norm(stored)
-    shown = F.concat_ws(": ", "maker", "number")
-    spelled = s.groupBy(*key).agg(F.array_sort(F.collect_set("maker")).alias("makers")).where(F.size("makers") > 1)
-    tell = lambda df, status, severity, tag, *values: _finding(df, "INTERCHANGE", F.concat_ws(":", "maker", "number"), status, severity, tag, *values)
-    return _united([
-        tell(e.join(s.select(*key), key, "left_anti"), "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", shown), tell(e.join(s.select(*key), key, "left_semi"), "MATCH", "INFO", "", shown, shown),
-        tell(s.join(e.select(*key), key, "left_anti"), "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", None, shown),
-        _finding(spelled, "INTERCHANGE", F.concat_ws(":", "_maker", "number"), "FLAG", "ERROR", "case_variant_dupe", None, F.array_join("makers", " | ")),
+    both = _sided(norm(expected), norm(stored), key)
+    shown, field = F.concat_ws(": ", "maker", "number"), F.concat_ws(":", "maker", "number")
+    ours = F.col("_side") == "e"
+    found = _told(both, "INTERCHANGE", [
+        (ours & ~F.col("_met"), field, "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", shown, None), (ours & F.col("_met"), field, "MATCH", "INFO", "", shown, shown),
+        (~ours & ~F.col("_met"), field, "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", None, shown),
     ])
+    spelled = both.where(~ours).groupBy(*key).agg(F.array_sort(F.collect_set("maker")).alias("makers")).where(F.size("makers") > 1)
+    return found.unionByName(_finding(spelled, "INTERCHANGE", F.concat_ws(":", "_maker", "number"), "FLAG", "ERROR", "case_variant_dupe", None, F.array_join("makers", " | ")))
 
 
 def audit_applications(expected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -776,22 +793,22 @@ def audit_applications(expected: DataFrame, stored: DataFrame) -> DataFrame:
     names = ("make", "model", "engine")
     key = ["unit", *[f"_{c}" for c in (*names, "year")]]
     norm = lambda df: df.withColumns({**{f"_{c}": T.normalize_text(F.coalesce(c, F.lit(""))) for c in names}, "_year": Y.expand_audit(F.col("year"))})
-    e, s = norm(expected), cut_lineage(norm(stored))
+    both = _sided(norm(expected), norm(stored), key)
     whole, named = F.concat_ws("/", *names, "year"), F.concat_ws("/", *names)
-    year = T.strip(F.coalesce("year", F.lit("")))
-    forms = s.groupBy(*key).agg(F.array_sort(F.collect_set(year)).alias("years"), F.min_by(named, "id").alias("named")).where(F.size("years") > 1)
-    tell = lambda df, field, status, severity, tag, *values: _finding(df, "APPLICATION", field, status, severity, tag, *values)
+    ours, year = F.col("_side") == "e", F.col("year")
     flags = {
         ("year_2digit", "WARN"): year.rlike(r"^\d{2}-\d{2}$"), ("year_pipe_noise", "ERROR"): F.coalesce("year", F.lit("")).contains("|"),
         ("year_same_start_end", "WARN"): year.rlike(r"^(\d{4})-\1$"), ("line_wrap_year_in_engine", "ERROR"): F.coalesce("engine", F.lit("")).rlike(r"\d{4}-\s+\d{4}"),
         ("submodel_list_not_split", "ERROR"): T.strip(F.coalesce("model", F.lit(""))).rlike(r"^[\w./]+-[A-Z](,[A-Z])+$"),
     }
-    return _united([
-        tell(e.join(s.select(*key), key, "left_anti"), whole, "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", whole), tell(e.join(s.select(*key), key, "left_semi"), whole, "MATCH", "INFO", "", whole),
-        tell(s.join(e.select(*key), key, "left_anti"), whole, "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", None, whole),
-        tell(forms, F.col("named"), "FLAG", "ERROR", "year_format_dupe", F.array_join("years", " / ")),
-        *[tell(s.where(cond), named, "FLAG", severity, tag, None, F.col("year")) for (tag, severity), cond in flags.items()],
+    found = _told(both, "APPLICATION", [
+        (ours & ~F.col("_met"), whole, "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", whole, None), (ours & F.col("_met"), whole, "MATCH", "INFO", "", whole, None),
+        (~ours & ~F.col("_met"), whole, "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", None, whole),
+        *[(~ours & cond, named, "FLAG", severity, tag, None, year) for (tag, severity), cond in flags.items()],
     ])
+    own = T.strip(F.coalesce("year", F.lit("")))
+    forms = both.where(~ours).groupBy(*key).agg(F.array_sort(F.collect_set(own)).alias("years"), F.min_by(named, "id").alias("named")).where(F.size("years") > 1)
+    return found.unionByName(_finding(forms, "APPLICATION", F.col("named"), "FLAG", "ERROR", "year_format_dupe", F.array_join("years", " / ")))
 
 
 def audit_items(expected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -811,24 +828,23 @@ def audit_items(expected: DataFrame, stored: DataFrame) -> DataFrame:
 
 def audit_substitutes(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of substitutes (unit, number), each row by itself."""
-    s = stored.select("unit", T.strip(F.coalesce("number", F.lit(""))).alias("number"))
-    key, shown = ["unit", "number"], F.col("number")
-    tell = lambda df, status, severity, tag, *values: _finding(df, "SUBSTITUTE", shown, status, severity, tag, *values)
-    e = expected.select(*key)
-    return _united([
-        tell(e.join(s, key, "left_anti"), "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", shown), tell(e.join(s, key, "left_semi"), "MATCH", "INFO", "", shown, shown),
-        tell(s.where("number <> ''").join(e, key, "left_anti"), "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", None, shown),
+    key, shown, ours = ["unit", "number"], F.col("number"), F.col("_side") == "e"
+    both = _sided(expected.select(*key), stored.select("unit", T.strip(F.coalesce("number", F.lit(""))).alias("number")), key)
+    return _told(both, "SUBSTITUTE", [
+        (ours & ~F.col("_met"), shown, "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", shown, None), (ours & F.col("_met"), shown, "MATCH", "INFO", "", shown, shown),
+        (~ours & ~F.col("_met") & (shown != ""), shown, "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", None, shown),
     ])
 
 
 def audit_counts(findings: DataFrame) -> DataFrame:
-    """(kind, name, n) of findings: how many of each severity, of each category and status but matches, and of each tag."""
+    """(kind, name, n) of findings: how many of each severity, of each category and status but matches, and of each tag. Findings are counted once, by what they have in common."""
+    counted = findings.groupBy("severity", "category", "status", "tag").agg(F.count(F.lit(1)).alias("n"))
     rows = F.array(
         F.struct(F.lit("severity").alias("kind"), F.col("severity").alias("name")),
         F.when(F.col("status") != "MATCH", F.struct(F.lit("issue").alias("kind"), F.concat_ws(":", "category", "status").alias("name"))),
         F.when(F.col("tag") != "", F.struct(F.lit("tag").alias("kind"), F.col("tag").alias("name"))),
     )
-    return findings.select(F.explode(F.array_compact(rows)).alias("r")).groupBy("r.kind", "r.name").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("n", F.explode(F.array_compact(rows)).alias("r")).groupBy("r.kind", "r.name").agg(F.sum("n").alias("n"))
 
 
 def import_guide_xrefs(rows: DataFrame, units: DataFrame, xrefs: DataFrame) -> dict[str, DataFrame]:
