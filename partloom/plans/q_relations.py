@@ -244,14 +244,13 @@ def d09(spark: SparkSession, sf: str) -> DataFrame:
 SELECT bill_to, 'group' AS level, NULL::bigint AS member, count(*) AS n, cast(sum(total) AS decimal(18,2)) AS total FROM named GROUP BY bill_to
 UNION ALL SELECT 'TOTAL', 'total', NULL, count(*), cast(sum(total) AS decimal(18,2)) FROM named UNION ALL SELECT bill_to, 'member', id, 1, cast(total AS decimal(18,2)) FROM named""")
 def d10b(spark: SparkSession, sf: str) -> DataFrame:
-    """The summary by the stored name, else the customer's: a row for each group, each of its invoices, and the grand total."""
+    """The summary by the stored name, else the customer's: a row for each group, each of its invoices, and the grand total, from one aggregate over all levels."""
     b = frame(spark, sf, "bill_to").select(F.col("id").alias("customer_id"), "name")
     named = frame(spark, sf, "invoices").join(b, "customer_id", "left").select(F.coalesce(T.nullif_blank(F.col("customer_name")), "name", F.lit("—")).alias("bill_to"), "id", "total")
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("total").cast("decimal(18,2)").alias("total")]
-    of = lambda df, level, member: df.select("bill_to", F.lit(level).alias("level"), member.cast("long").alias("member"), F.col("n").cast("long").alias("n"), F.col("total").cast("decimal(18,2)").alias("total"))
-    groups = of(named.groupBy("bill_to").agg(*sums), "group", F.lit(None))
-    total = of(named.agg(*sums).withColumn("bill_to", F.lit("TOTAL")), "total", F.lit(None))
-    return groups.unionByName(total).unionByName(of(named.withColumn("n", F.lit(1)), "member", F.col("id")))
+    levels = named.rollup("bill_to", "id").agg(F.count(F.lit(1)).alias("n"), F.sum("total").cast("decimal(18,2)").alias("total"), F.grouping_id().alias("_level"))
+    level = F.when(F.col("_level") == 0, "member").when(F.col("_level") == 1, "group").otherwise("total")
+    name = F.when(F.col("_level") == 3, "TOTAL").otherwise(F.col("bill_to"))
+    return levels.select(name.alias("bill_to"), level.alias("level"), F.col("id").cast("long").alias("member"), "n", "total")
 
 
 @query("D11", "SELECT size, count(*) AS groups FROM (SELECT bom_id, count(*) AS size FROM bom_items GROUP BY bom_id) GROUP BY size")

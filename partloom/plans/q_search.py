@@ -29,15 +29,28 @@ def a03(spark: SparkSession, sf: str) -> DataFrame:
     return C.normalized(raw, C.PART_ALIASES)
 
 
-_ALIASES = {"parts": C.PART_ALIASES, "units": C.UNIT_ALIASES}
-#: Each alias as a header of an upload might write it, and one that is no alias.
-_WRITTEN = [(t, f" {alias.replace('_', '  ').upper()} ", column) for t, aliases in _ALIASES.items() for alias, column in {**aliases, "voltage": "voltage"}.items()]
+#: Uploads of parts and of units with headers as people write them, and what each column is.
+_UPLOADS = {
+    "parts": (C.PART_ALIASES, {"Item #": ("id", "part_number"), " MFR  No. ": ("manufacturer_number", "manufacturer_number"), "YT #": ("yt_number", "yt_number"), "J&N No": ("j_and_n", "j_and_n"), "NAME": ("part_name", "part_name"),
+                               "Manufacture": ("oem", "oem"), "Unit Type": ("category", "category"), "Desc": ("notes", "notes"), "Voltage": ("voltage", "voltage")}),
+    "units": (C.UNIT_ALIASES, {"Unit No.": ("id", "unit_number"), "yt no": ("yt_number", "yt_number"), "MFR": ("manufacturer", "manufacturer"), "desc": ("unit_type", "description"), "Family": ("family", "family")}),
+}
 
 
-@query("A04", f"SELECT * FROM (VALUES {', '.join(f'({t!r}, {h!r}, {c!r})' for t, h, c in _WRITTEN)}) AS t(upload, header, mapped)")
+@query("A04", " UNION ALL ".join(f"SELECT '{t}' AS upload, id, '{name}' AS name, trim(coalesce(cast({c} AS string), '')) AS value FROM {t}" for t, (_, columns) in _UPLOADS.items() for c, name in columns.values()))
 def a04(spark: SparkSession, sf: str) -> DataFrame:
-    """All aliases of both kinds of upload, in capitals and with spare spaces."""
-    return spark.createDataFrame([(t, h, C.header(h, _ALIASES[t])) for t, h, _ in _WRITTEN], "upload string, header string, mapped string")
+    """Whole uploads from file to columns: written as CSV with such headers, and read again by the aliases."""
+    folder, out = own_folder(spark, "uploads"), None
+    for kind, (aliases, columns) in _UPLOADS.items():
+        key = {name: c for c, name in columns.values()}
+        sheet = frame(spark, sf, kind).select(*[F.col(c).cast("string").alias(h) for h, (c, _) in columns.items()])
+        sheet.write.csv(f"{folder}/{kind}", header=True, escape='"')
+        got = C.read_upload(spark, f"{folder}/{kind}", aliases)
+        id_ = next(n for n, c in key.items() if c == "id")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in got.columns])).alias("x")
+        rows = got.select(F.lit(kind).alias("upload"), F.col(id_).cast("long").alias("id"), each).select("upload", "id", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("A05", "SELECT name, min(pos) AS pos FROM (SELECT * FROM (VALUES ('part_number', 0), ('part_name', 1), ('voltage', 2)) AS t(name, pos) UNION ALL SELECT CASE WHEN p_size = 7 THEN 'voltage' ELSE 'size_' || cast(p_size AS string) END, 3 + p_size FROM part) GROUP BY name")
@@ -57,10 +70,16 @@ def a07(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.col("id").alias("target_id"), "seed_id").join(s.select(F.col("id").alias("seed_row"), "seed_id"), "seed_id").select("target_id", "seed_row")
 
 
-@query("A08", "SELECT * FROM (VALUES ('part_number', true), ('colour', false)) AS t(name, present)")
+#: Columns that are asked for, of which the last two are none of the table's.
+_PROBED = ("id", "part_number", "part_name", "yt_number", "cost_price", "price", "vendor_id", "notes", "colour", "seed_id")
+
+
+@query("A08", " UNION ALL ".join([f"SELECT '{c}' AS name, true AS present, count({c}) AS n_filled FROM parts" for c in _PROBED[:-2]] + [f"SELECT '{c}', false, 0" for c in _PROBED[-2:]]))
 def a08(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows have a value, of a column that a table may lack."""
     df = frame(spark, sf, "parts")
-    return spark.createDataFrame([(n, C.has_column(df, n)) for n in ("part_number", "colour")], "name string, present boolean")
+    counts = [F.struct(F.lit(c).alias("name"), F.lit(C.has_column(df, c)).alias("present"), (F.count(c) if C.has_column(df, c) else F.lit(0).cast("long")).alias("n_filled")) for c in _PROBED]
+    return df.agg(F.array(*counts).alias("x")).select(F.inline("x"))
 
 
 @query("A09", "SELECT 'region' AS table_name, 'r_regionkey,r_name' AS columns, count(*) AS n_rows FROM region UNION ALL SELECT 'part', 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice', count(*) FROM part")
