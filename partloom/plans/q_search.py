@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import text as T, years as Y
 from partloom.operators import dml as K, search as S
+from partloom.operators.counts import ValueCounts
 from partloom.operators.lineage import cut_lineage, own_folder
+from partloom.operators.publish import Store
 from partloom.operators.substrings import Index
 from partloom.plans.domain import frame
 from partloom.plans.registry import query, table
@@ -292,6 +294,21 @@ def f07(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "applications").where("is_active").agg(F.count(F.lit(1)).alias("total"))
 
 
+_CHANGED = "(SELECT make, model, engine FROM applications WHERE is_active AND id % 7 <> 0 UNION ALL SELECT 'New ' || make, model, '' FROM applications WHERE id % 5 = 0)"
+
+
+@query("F07b", f"SELECT '*' AS name, '' AS value, count(*) AS n FROM {_CHANGED} UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', {c}, count(*) FROM {_CHANGED} WHERE {c} <> '' GROUP BY {c}" for c in ("make", "model", "engine")))
+def f07b(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored total and dropdown values after some rows were deleted and others inserted; the last change comes twice."""
+    rows = frame(spark, sf, "applications").select("id", "make", "model", "engine", "is_active")
+    counts = ValueCounts(Store(spark, own_folder(spark, "counts")), ["make", "model", "engine"])
+    counts.build(rows.where("is_active"))
+    counts.merge("deleted", deleted=rows.where("is_active AND id % 7 = 0"))
+    for _ in range(2):
+        counts.merge("inserted", inserted=rows.where("id % 5 = 0").withColumns({"make": F.concat(F.lit("New "), "make"), "engine": F.lit("")}))
+    return counts.current()
+
+
 @query("F08", "SELECT id FROM units WHERE is_active ORDER BY manufacturer, id LIMIT 200")
 def f08(spark: SparkSession, sf: str) -> DataFrame:
     return frame(spark, sf, "units").where("is_active").orderBy("manufacturer", "id").limit(200).select("id")

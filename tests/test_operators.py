@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from partloom.operators import dml as K, nested as N, relations as R, search as S
+from partloom.operators.counts import ValueCounts
 from partloom.operators.lineage import own_folder
 from partloom.operators.publish import Store
 from partloom.plans import commands as L
@@ -147,6 +148,17 @@ def test_pages_of_a_stored_order(spark):
     assert S.PageIndex(df.where("false"), order, own_folder(spark, "pages")).page(1, 20).count() == 0
 
 
+def test_stored_counts_follow_changes(spark):
+    shape = "make string, model string"
+    df = spark.createDataFrame([("a", "x"), ("a", ""), (None, "x"), ("b", "y")], shape)
+    counts = ValueCounts(Store(spark, own_folder(spark, "counts")), ["make", "model"])
+    counts.build(df)
+    assert counts.total().first().n == 4 and rows(counts.dropdown("make")) == [("a",), ("b",)]
+    for _ in range(2):  # a change that comes twice counts once
+        counts.merge("one", inserted=spark.createDataFrame([("c", "x")], shape), deleted=spark.createDataFrame([("b", "y")], shape))
+    assert rows(counts.current()) == [("*", "", 4), ("make", "a", 2), ("make", "c", 1), ("model", "x", 3)]
+
+
 def test_makers_by_joined_words(spark):
     df = spark.createDataFrame([(1, " alfa  ROMEO. "), (2, "wai"), (3, None), (4, "."), (5, "WAI")], "id int, m string")
     words = L.acronyms(df, "m", ["O'X"])
