@@ -13,6 +13,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from partloom.functions.text import any_of, contains_text
+from partloom.operators.lineage import cut_lineage
 
 SIZE = 3
 #: Up to so many texts found are looked up by value, which skips files; more are joined.
@@ -34,6 +35,7 @@ def build(spark: SparkSession, folder: str, sources: Mapping[str, Source]) -> No
         rows = df.select(F.lit(name).alias("source"), F.col(id_).cast("long").alias("id"), F.lower(column).alias("text")).where("text <> '' AND id IS NOT NULL")
         every = rows if every is None else every.unionByName(rows)
     every = every.withColumn("text_id", F.xxhash64("text"))
+    every = cut_lineage(every)
     held = every.select("source", "text_id", "id")
     held.repartitionByRange("source", "text_id", "id").sortWithinPartitions("source", "text_id", "id").write.parquet(f"{folder}/rows")
     texts = every.select("source", "text_id", "text").distinct()
@@ -80,6 +82,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, tuple[DataFrame, str, Iterable[str]]]) -> None:
         self.spark, self.folder = spark, folder
         self.tables = {name: (df, id_, list(columns)) for name, (df, id_, columns) in tables.items()}
+        self._found: dict[str, DataFrame] = {}
         build(spark, folder, {f"{name}.{c}": (df, id_, c) for name, (df, id_, columns) in self.tables.items() for c in columns})
 
     def search(self, table: str, q: str, columns: Iterable[str] | None = None) -> DataFrame:
@@ -88,5 +91,9 @@ class Index:
         columns = list(columns or every)
         if not q.strip():
             return df
-        ids = find(self.spark, self.folder, q, [f"{table}.{c}" for c in columns]).select(F.col("id").alias(id_)).distinct()
+        if q not in self._found:  # all sources at once, since a query is often put to several tables
+            every = [f"{name}.{c}" for name, (_, _, all_) in self.tables.items() for c in all_]
+            self._found[q] = cut_lineage(find(self.spark, self.folder, q, every))
+        met = self._found[q].where(F.col("source").isin(*[f"{table}.{c}" for c in columns]))
+        ids = met.select(F.col("id").alias(id_)).distinct()
         return df.join(ids, id_, "left_semi").where(any_of([F.coalesce(contains_text(F.col(c), q.strip()), F.lit(False)) for c in columns]))

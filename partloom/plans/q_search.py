@@ -122,12 +122,13 @@ def b01(spark: SparkSession, sf: str) -> DataFrame:
     return S.where_equal(frame(spark, sf, "units"), family="DD", manufacturer="Hitachi", unit_type="").select("id")
 
 
-@query("B02", "SELECT id FROM parts WHERE contains(lower(part_name), 'green') OR contains(lower(oem), 'green') OR contains(lower(notes), 'green') UNION ALL SELECT -id FROM parts WHERE contains(lower(notes), '%')")
+@query("B02", "SELECT id FROM parts WHERE contains(lower(part_name), 'green') OR contains(lower(oem), 'green') OR contains(lower(notes), 'green') UNION ALL SELECT -id FROM parts WHERE contains(lower(notes), '%') UNION ALL SELECT id + 1000000000 FROM parts WHERE contains(lower(part_name), 'all wid') OR contains(lower(oem), 'all wid')")
 def b02(spark: SparkSession, sf: str) -> DataFrame:
     """By an index of trigrams; a query's wildcards are characters like others."""
     index = Index(spark, own_folder(spark, "index"), {"parts": (frame(spark, sf, "parts"), "id", ["part_name", "oem", "notes"])})
     literal = index.search("parts", "%", ["notes"]).select((-F.col("id")).alias("id"))
-    return index.search("parts", " Green ").select("id").unionByName(literal)
+    within = index.search("parts", "all wid", ["part_name", "oem"]).select((F.col("id") + 1_000_000_000).alias("id"))
+    return index.search("parts", " Green ").select("id").unionByName(literal).unionByName(within)
 
 
 @query("B03", "SELECT id FROM cross_references WHERE starts_with(lower(cross_ref_number), 'x1') AND ends_with(cross_ref_number, '-')")
