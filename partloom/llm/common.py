@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: A word is a run of characters outside this ASCII white space.
@@ -145,6 +147,11 @@ def join_spread(rows: DataFrame, facts: DataFrame, key: list[str], size: str, sp
     return dealt.join(copies, [*key, salt], how).drop(salt)
 
 
+def shipped(df: DataFrame, path: str) -> Broadcast[bytes]:
+    """A model file of the driver, of some megabytes whatever the data, sent to the executors, which need not have it."""
+    return df.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
 def by_text(df: DataFrame, doc_id: str, text: str, work: Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]], made: str) -> DataFrame:
     """work applied to frames (doc_id, text) and giving doc_id and the columns `made`. Ids go as strings, so that nulls do not turn others into floats."""
     kind = df.schema[doc_id].dataType

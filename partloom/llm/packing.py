@@ -14,9 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import by_text, cut, gapless
+from partloom.llm.common import by_text, cut, gapless, shipped
 
 CAPACITY = 2048
 #: Entries of each generation of a worker's cache from words to ids.
@@ -44,11 +45,11 @@ class Ids:
     differ from the tokenizer's own go through it whole. The cache has two generations: a full one is kept until the next is full.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, model: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(model)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
@@ -119,16 +120,18 @@ def _plain(text: str) -> bool:
 _IDS: dict[str, Ids] = {}  # a worker's own
 
 
-def _ids(path: str) -> Ids:
+def _ids(path: str, model: Broadcast[bytes]) -> Ids:
     if path not in _IDS:
-        _IDS[path] = Ids(path)
+        _IDS[path] = Ids(model.value)
     return _IDS[path]
 
 
 def tokenize(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): pieces of at most capacity ids; each document ends with id 0."""
+    """(doc_id, piece, start, length, ids_crc32): pieces of at most capacity ids; each document ends with id 0. tokenizer is a file of the driver."""
+    model = shipped(df, tokenizer)
+
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _ids(tokenizer)
+        ids = _ids(tokenizer, model)
         for frame in frames:
             at, piece, size, crc = [], [], [], []
             for n, raw in enumerate(ids.batch([t or "" for t in frame["text"]])):

@@ -15,12 +15,14 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from partloom.llm.common import by_text
+from partloom.llm.common import by_text, shipped
 
 SPACE = "▁"
 #: A unigram model's unknown character costs this much more than the worst piece.
@@ -39,11 +41,13 @@ class Codec:
     gives back every text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, source: str | bytes) -> None:
+        """source is a model, or the path of its file."""
         import ahocorasick
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        given = source if isinstance(source, bytes) else Path(source).read_bytes()
+        model = sentencepiece.SentencePieceProcessor(model_proto=given)
         size = model.get_piece_size()
         self.bytes_: list[bytes] = []
         self.byte_id: dict[int, int] = {}
@@ -59,7 +63,7 @@ class Codec:
                 self.score[piece] = (i, model.get_score(i))
                 self.bytes_.append(piece.replace(SPACE, " ").encode())
         if len(self.byte_id) < 256:
-            raise ValueError(f"{path} has no pieces for bytes")
+            raise ValueError("the model has no pieces for bytes")
         self.ranked = all(float(s).is_integer() for _, s in self.score.values())
         if self.ranked:
             by_rank = sorted(self.score, key=lambda p: (-self.score[p][1], self.score[p][0]))
@@ -192,9 +196,9 @@ class Codec:
 _CODECS: dict[str, Codec] = {}  # a worker's own
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, model: Broadcast[bytes]) -> Codec:
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = Codec(model.value)
     return _CODECS[path]
 
 
@@ -205,9 +209,11 @@ def encode(df: DataFrame, model: str, text: str = "text", into: str = "ids") ->
     columns stay, but for one named as `into`. An empty table gives an empty one.
     """
 
+    held = shipped(df, model)
+
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        c = codec(model)
+        c = codec(model, held)
         return pd.Series([None if t is None else np.frombuffer(c.encode(t), "<u4").astype(np.int32) for t in texts], dtype=object)
 
     return df.drop(into).withColumn(into, ids(df[text]))
@@ -220,9 +226,11 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -
     Other columns stay, but for one named as `into`. An empty table gives an empty one.
     """
 
+    held = shipped(df, model)
+
     @F.pandas_udf("string")
     def text(rows: pd.Series) -> pd.Series:
-        c = codec(model)
+        c = codec(model, held)
         return pd.Series([None if r is None else c.decode(None if i is None or i != i else int(i) for i in r) for r in rows], dtype=object)
 
     return df.drop(into).withColumn(into, text(df[ids]))
@@ -234,9 +242,10 @@ def digest(df: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text"
     A null text has no ids, crc 0 and a null round_trip. Repeated rows get equal results, and ties too; very long texts are encoded whole. An empty
     table gives an empty one. Other columns of df, whatever their names, are not carried.
     """
+    held = shipped(df, model)
 
     def work(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model)
+        c = codec(model, held)
         for x in frames:
             ids = [c.encode(t or "") for t in x["text"]]
             same = [None if t is None else c.decode_own(i) == t for t, i in zip(x["text"], ids, strict=True)]

@@ -220,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Learn from at most max_labelled texts with a non-null label; an id with several labels counts as toxic if one says so.
 
     Of an id with several texts the first in order counts, so that the bound holds. The lexicon is the terms and stems that toxic texts of the
-    sample hold beyond chance. The calibration is fitted to the output of trees for texts of a fold that neither they nor their lexicon have seen.
+    sample hold beyond chance. A null or empty text teaches as one without words; of a very long one all words count; labels of ids without a text,
+    and null ids, teach nothing; ties of the draw go by the id's hash. The bound is on texts, not on their bytes: what reaches the driver is their features and terms. The calibration is fitted to the output of trees for texts of a fold that neither they nor their lexicon have seen.
     """
     drawn = F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample"))
     sample = (
