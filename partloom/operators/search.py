@@ -105,8 +105,8 @@ def page(df: DataFrame, number: int, per_page: int, order: list[Column]) -> Data
     return placed(df, order).where((F.col("place") >= first) & (F.col("place") < first + per_page)).orderBy("place").drop("place")
 
 
-def tiered(base: DataFrame, direct: Column, deep: Column, q: str, least: int = 3) -> DataFrame:
-    """Direct hits; deep hits only if nothing is hit directly and q has `least` characters. With the column `tier`.
+def tiered(base: DataFrame, direct: Column, deep: Column, q: str, least: int = 3, probe: Column | None = None) -> DataFrame:
+    """Direct hits; deep hits only if nothing is hit by the probe (else directly) and q has `least` characters. With the column `tier`.
 
     Whether anything is hit directly is a scalar subquery of the plan, so that the choice needs no action at the driver.
     """
@@ -114,7 +114,8 @@ def tiered(base: DataFrame, direct: Column, deep: Column, q: str, least: int = 3
     ranked = base.withColumn("tier", tier(hit))
     if len(q.strip()) < least:
         return ranked.where(hit)
-    return ranked.where(hit | (F.coalesce(deep, F.lit(False)) & ~base.where(hit).exists()))
+    probed = hit if probe is None else F.coalesce(probe, F.lit(False))
+    return ranked.where(hit | (F.coalesce(deep, F.lit(False)) & ~base.where(probed).exists()))
 
 
 def accumulated(stages: list[DataFrame], ends: list[str], order: str, limit: int, last_share: int = 3) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from partloom.functions import text as T, years as Y
@@ -393,21 +395,21 @@ def _lookup_sql(kind: str, q: str, most: int) -> str:
   SELECT * FROM (SELECT stage, place, e, id, min(row_number) OVER (PARTITION BY stage, place) AS begins FROM (SELECT *, row_number() OVER (ORDER BY stage, place, e) AS row_number FROM counted)) WHERE begins <= {most})"""
 
 
+def _lookup(spark: SparkSession, sf: str, kind: str, q: str, most: int) -> DataFrame:
+    """(id, stage, rank): rows that begin with a number, then those whose maker does, then those that hold it, until there are enough units."""
+    within = lambda c: c.contains(q) & ~c.startswith(q)
+    if kind == "reference":
+        x, number, maker = frame(spark, sf, "cross_references"), F.lower("cross_ref_number"), F.lower("interchange_type")
+        return S.accumulated([x.where(number.startswith(q)), x.where(maker.startswith(q)), x.where(within(number) | within(maker))], ["unit_id", "cross_ref_unit_id"], "id", most)
+    s, number = frame(spark, sf, "substitutes"), F.lower("substitute_number")
+    return S.accumulated([s.where(number.startswith(q)), s.where(within(number))], ["unit_id", "substitute_unit_id"], "id", most)
+
+
 @query("G07", " UNION ALL ".join(f"SELECT * FROM ({_lookup_sql(*x)})" for x in _LOOKUPS))
 def g07(spark: SparkSession, sf: str) -> DataFrame:
-    """Units that a number leads to: rows that begin with it, then those whose maker does, then those that hold it, until there are enough units."""
-    x, s = frame(spark, sf, "cross_references"), frame(spark, sf, "substitutes")
-    number, maker, own = F.lower("cross_ref_number"), F.lower("interchange_type"), F.lower("substitute_number")
-    out = None
-    for kind, q, most in _LOOKUPS:
-        within = lambda c: c.contains(q) & ~c.startswith(q)  # noqa: B023, E731  used at once
-        if kind == "reference":
-            stages, ends = [x.where(number.startswith(q)), x.where(maker.startswith(q)), x.where(within(number) | within(maker))], ["unit_id", "cross_ref_unit_id"]
-        else:
-            stages, ends = [s.where(own.startswith(q)), s.where(within(own))], ["unit_id", "substitute_unit_id"]
-        found = S.accumulated(stages, ends, "id", most).select(F.lit(kind).alias("kind"), F.lit(q).alias("q"), F.lit(most).alias("most"), "id", "stage", "rank")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Units that a number leads to, with limits that are met early, late and never."""
+    found = [_lookup(spark, sf, kind, q, most).select(F.lit(kind).alias("kind"), F.lit(q).alias("q"), F.lit(most).alias("most"), "id", "stage", "rank") for kind, q, most in _LOOKUPS]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 #: A direct search, one that finds something only in related tables or texts, and one too short for that.
@@ -448,3 +450,37 @@ def f02b(spark: SparkSession, sf: str) -> DataFrame:
         page = page.select(F.lit(q).alias("q"), "id", "tier", F.row_number().over(Window.orderBy(*order)).alias("rank"))
         out = page if out is None else out.unionByName(page)
     return out
+
+
+#: A search that a unit's yt number meets, one that meets a maker and what leads to units, one that only leads to them, and one too short for that.
+_UNIT_SEARCHES = ("yt12", "ford", "hitachi", "x117", "s5")
+#: Fixed value: the most units that related numbers lead to.
+MOST_RELATED = 10_000
+_UNIT_SORTED = "ORDER BY tier, nullif(yt_number, '') NULLS LAST, nullif(unit_number, '') NULLS LAST, id"
+
+
+def _units_sql(q: str) -> str:
+    has = lambda *cols: "(" + " OR ".join(f"coalesce(contains(lower({c}), '{q}'), false)" for c in cols) + ")"
+    direct = has("unit_number", "yt_number", "manufacturer")
+    related = " UNION ALL ".join(f"SELECT id FROM ({_lookup_sql(kind, q, MOST_RELATED)})" for kind in ("reference", "substitute"))
+    deep = f"({has('family', 'unit_type')} OR id IN ({related}))" if len(q) >= 3 else "false"
+    return f"""SELECT '{q}' AS q, id, tier, cast(row_number() OVER ({_UNIT_SORTED}) AS int) AS rank FROM (SELECT *, CASE WHEN {direct} THEN 0 ELSE 1 END AS tier FROM units
+      WHERE is_active AND ({direct} OR ({deep} AND NOT EXISTS (SELECT 1 FROM units WHERE is_active AND {has("yt_number")}))) {_UNIT_SORTED} LIMIT 50)"""
+
+
+@query("F02c", " UNION ALL ".join(f"SELECT * FROM ({_units_sql(q)})" for q in _UNIT_SEARCHES))
+def f02c(spark: SparkSession, sf: str) -> DataFrame:
+    """First pages of the unit list's search: numbers and makers of the unit, and where no yt number has it, its other texts and what references and substitutes lead to."""
+    u = frame(spark, sf, "units").where("is_active")
+    pages = []
+    for q in _UNIT_SEARCHES:
+        has = lambda *cols: T.any_of([F.coalesce(T.contains_text(F.col(c), q), F.lit(False)) for c in cols])  # noqa: B023, E731  used at once
+        known, deep = u, has("family", "unit_type")
+        if len(q) >= 3:
+            ids = functools.reduce(DataFrame.unionByName, [_lookup(spark, sf, kind, q, MOST_RELATED).select("id") for kind in ("reference", "substitute")])
+            known = u.join(ids.distinct().withColumn("_related", F.lit(True)), "id", "left")
+            deep = deep | F.coalesce("_related", F.lit(False))
+        order = [F.col("tier"), *S.blanks_last("yt_number", "unit_number"), F.col("id")]
+        page = S.tiered(known, has("unit_number", "yt_number", "manufacturer"), deep, q, probe=has("yt_number")).orderBy(*order).limit(50)
+        pages.append(page.select(F.lit(q).alias("q"), "id", "tier", F.row_number().over(Window.orderBy(*order)).alias("rank")))
+    return functools.reduce(DataFrame.unionByName, pages)
