@@ -18,15 +18,21 @@ def interchange_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where("maker <> ''").select(key, "maker", F.explode(F.split("numbers", ",")).alias("number")).withColumn("number", strip(F.col("number"))).where("number <> ''")
 
 
+#: How a line ends and the next begins where a year range, its second year or a number was wrapped, and how long a number's line is at most.
+_WRAPPED_YEAR = (r"\d{4}-\s*$", r"^\d{4}\b")
+_WRAPPED_DASH = (r"\d{4}\s*$", r"^-\d{4}\b")
+_WRAPPED_NUMBER = (r"\d-\s*$", r"^\d")
+_NUMBER_LINE = 30
+
+
 def rejoin(text: Column) -> Column:
     """Lines put together again that were wrapped within a year range or a number; a line is joined to one other at most."""
 
     def fold(state: Column, line: Column) -> Column:
         cur, free = state["cur"], state["free"]
         nxt = F.regexp_replace(line, r"^\s+", "")
-        year = cur.rlike(r"\d{4}-\s*$") & nxt.rlike(r"^\d{4}\b")
-        dash = nxt.rlike(r"^-\d{4}\b") & cur.rlike(r"\d{4}\s*$")
-        number = cur.rlike(r"\d-\s*$") & nxt.rlike(r"^\d") & (F.length(cur) < 30)
+        year, dash, number = (cur.rlike(ends) & nxt.rlike(begins) for ends, begins in (_WRAPPED_YEAR, _WRAPPED_DASH, _WRAPPED_NUMBER))
+        number = number & (F.length(cur) < _NUMBER_LINE)
         join = free & (year | dash | number)
         done = F.when(join | cur.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(cur)))
         return F.struct(
@@ -46,11 +52,15 @@ _EVERY_MODEL = ("All Models", "Various", "Salt Spreader", "All")
 #: Where a model ends and its engine begins, and a substitute's line.
 _ENGINE = r"\b(?:[LVH]\d\s+\d+\.\d+L\b|\d+\.\d+L\b|Diesel\b|Turbo\b|Gas\b)"
 _SUBSTITUTE = r"YouTech\s*:\s*\d{5,}"
+#: A line of interchange numbers, and one that goes on with them.
+_LISTED, _LISTED_ON = r"^[A-Z][\w\s&.]*:\s*[\w-]+.*\|", r"\|.*\|"
+#: The longest line that is a make, and that goes on with one.
+_MAKE_LINE, _MORE_MAKE = 80, 40
 
 
 def _leaks(line: Column) -> Column:
     """Whether a line of applications is one of interchange numbers."""
-    listed = line.rlike(r"^[A-Z][\w\s&.]*:\s*[\w-]+.*\|") | (line.rlike(r"\|.*\|") & line.contains(":"))
+    listed = line.rlike(_LISTED) | (line.rlike(_LISTED_ON) & line.contains(":"))
     return ~line.rlike(_YEARS) & ~line.contains(";") & listed
 
 
@@ -72,8 +82,8 @@ def _read_block(text: Column, attributes: list[str]) -> Column:
         open_make = (s["make"] != "") & (s["held"] == "")
         bracket = open_make & line.rlike(r"^\(.+\)$")
         plain = ~line.rlike(_YEARS) & ~line.contains(";")
-        wrapped = open_make & (line.rlike("^[-&/]") | (plain & ~line.rlike(r"\d") & (F.length(line) < 40)))
-        make = line.rlike("^[A-Za-z]") & plain & ~line.rlike(r"\d{2,}[A-Z]") & (F.length(line) < 80)
+        wrapped = open_make & (line.rlike("^[-&/]") | (plain & ~line.rlike(r"\d") & (F.length(line) < _MORE_MAKE)))
+        make = line.rlike("^[A-Za-z]") & plain & ~line.rlike(r"\d{2,}[A-Z]") & (F.length(line) < _MAKE_LINE)
         ends = (s["make"] != "") & (s["held"] != "")
         longer = F.concat(s["make"], F.lit(" "), line)
         new_make = state(title_case(line), F.when(ends, "").otherwise(s["held"]), F.when(ends, flushed(s)).otherwise(s["out"]), no)

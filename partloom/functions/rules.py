@@ -59,15 +59,7 @@ MAKE_RENAMES = {
 # Makers whose units with long plain numbers are generators.
 GENERATOR_MAKERS = ("MAHLE", "Prestolite", "General Electric", "Hitachi", "Letrika", "United Technologies", "Polaris", "Yamaha", "Unknown")
 
-# Spellings of part makers, and makers whose parts of one number are another's (base, variant).
-PART_MAKER_RENAMES = {
-    "Leece Neville": "Leece-Neville",
-    "Paris Rhone": "Paris-Rhone",
-    "Mercedes Benz": "Mercedes-Benz",
-    "Harley Davidson": "Harley-Davidson",
-    "Poong Sung": "Poongsung",
-    "Nippondenso": "Nippon Denso",
-}
+# Makers whose parts of one number are another's (base, variant).
 MAKER_VARIANTS = [("Mitsubishi", "Mitsubishi Electric"), ("Hitachi", "Hitachi Automotive")]
 
 # makers' names that keep their capitals.
