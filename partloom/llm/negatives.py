@@ -38,7 +38,7 @@ def learn(x: np.ndarray, rounds: int = 6) -> np.ndarray:
     for m in range(pad.shape[1]):
         v, c = pad[:, m], pad[start, m].copy()
         for _ in range(rounds):
-            near = ((v[:, None] - c) ** 2).sum(axis=2).argmin(axis=1)
+            near = _nearest(v, c)
             n = np.bincount(near, minlength=len(c))
             for d in range(PAIR):
                 c[:, d] = np.where(n > 0, np.bincount(near, v[:, d], len(c)) / np.maximum(n, 1), c[:, d])
@@ -46,13 +46,19 @@ def learn(x: np.ndarray, rounds: int = 6) -> np.ndarray:
     return book
 
 
+def _nearest(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row; |v|^2 does not change which."""
+    return ((c**2).sum(axis=1) - 2 * (v @ c.T)).argmin(axis=1)
+
+
 def encode(x: np.ndarray, book: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the rows of x, none without a book, and the length of what they leave out, rounded up."""
     if book is None:
         rest, codes = x, np.zeros((len(x), 0), np.uint8)
     else:
         pad = np.pad(x, ((0, 0), (0, -x.shape[1] % PAIR))).reshape(len(x), -1, PAIR)
-        codes = np.stack([((pad[:, m, None] - c) ** 2).sum(axis=2).argmin(axis=1) for m, c in enumerate(book)], axis=1).astype(np.uint8)
+        with np.errstate(over="ignore", invalid="ignore"):  # any code will do, since the residual tells what it leaves out
+            codes = np.stack([_nearest(pad[:, m], c) for m, c in enumerate(book)], axis=1).astype(np.uint8)
         rest = (pad - book[np.arange(len(book)), codes]).reshape(len(x), -1)
     most = np.abs(rest).max(axis=1, initial=0)
     with np.errstate(over="ignore", invalid="ignore"):
@@ -68,8 +74,8 @@ def bounds(q: np.ndarray, norm: float, codes: np.ndarray, residual: np.ndarray,
         else:
             table = (np.pad(q, (0, -len(q) % PAIR)).reshape(-1, 1, PAIR) * book).sum(axis=2)
             s = np.zeros(len(codes))
-            for m in range(len(book)):
-                s += table[m][codes[:, m]]
+            for entries, of in zip(table, codes.T, strict=True):
+                s += entries.take(of)
         # A part for the rounding of the sum itself, which no product of lengths exceeds.
         off = norm * residual + SLACK * norm * (long + residual) + SLACK
         least, most = s - off, s + off
@@ -109,7 +115,8 @@ class Block:
 
     def __init__(self, c: pd.DataFrame, dim: int, book: Book) -> None:
         self.x, self.norm, self.residual = unpack(c["body"], dim), c["norm"].to_numpy(np.float64), c["residual"].to_numpy(np.float64)
-        self.codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)
+        # By column, as the lookups go.
+        self.codes = np.asfortranarray(np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1))
         self.id, self.label, self.book = c["vec_id"].to_numpy(np.int64), c["label"].to_numpy(np.int64), book.get(dim)
 
     def bounds(self, q: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +163,12 @@ def _negatives(book: Book, k: int) -> Callable[[Iterable[pd.DataFrame]], Iterato
             for i, row in enumerate(q.itertuples()):
                 least, most = b.bounds(a[i], row.norm)
                 other = b.label != row.label
+                least, most = np.where(other, least, -np.inf), np.where(other, most, -np.inf)
                 spans = [window(int(s)) for s in row.scores]
                 wanted, masks = np.zeros(len(b.id), bool), []
                 for lo, hi in spans:
-                    may = other & (most >= lo) & (least <= hi)
-                    sure = other & (least >= lo) & (most <= hi)
-                    may &= most >= _kth(least[sure], k)
+                    may = (most >= lo) & (least <= hi)
+                    may &= most >= _kth(least[may & (least >= lo) & (most <= hi)], k)
                     masks.append(may)
                     wanted |= may
                 at = np.flatnonzero(wanted)
