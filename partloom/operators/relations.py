@@ -41,16 +41,18 @@ def unambiguous(df: DataFrame, id_: str, columns: list[str]) -> DataFrame:
     return values.groupBy("identifier").agg(F.count_distinct(id_).alias("n"), F.min(id_).alias(id_)).where("n = 1").drop("n")
 
 
-def prefixes(df: DataFrame, scope: list[str], column: str, short_by: int = 0) -> DataFrame:
-    """(scope..., column): the distinct prefixes of the distinct values of each scope, at least `short_by` characters shorter, the empty one included."""
-    longer = df.select(*scope, F.col(column).alias("_longer")).where(F.length("_longer") >= short_by).distinct()
-    listed = longer.withColumn("_k", F.explode(F.sequence(F.lit(0), F.length("_longer") - short_by)))
-    return listed.select(*scope, F.substr("_longer", F.lit(1), "_k").alias(column)).distinct()
+def scoped(scope: list[str], value: Column) -> Column:
+    """A text that begins another's exactly if the value does, in an equal scope: scopes stand before it with their lengths. Null if one of them is."""
+    parts = [F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for c in scope]
+    return F.concat(*parts, value)
 
 
 def with_prefix_of(rows: DataFrame, others: DataFrame, scope: list[str], column: str) -> DataFrame:
-    """Rows whose value is a proper prefix of another's in the same scope. Prefixes are joined by equality, so that no pair of a scope's values is compared."""
-    return rows.join(prefixes(others, scope, column, 1), [*scope, column], "left_semi").select(*rows.columns)
+    """Rows whose value is a proper prefix of another's in the same scope, by one sort of the distinct values with their scopes before them."""
+    key = lambda df: df.select(scoped(scope, F.col(column)).alias("value"))
+    asked = key(rows)
+    found = prefixes_of(asked, asked if others is rows else key(others))
+    return rows.join(found, scoped(scope, rows[column]) == found["value"], "left_semi")
 
 
 def _prefix_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,7 +70,9 @@ def _prefix_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 found += waiting
                 waiting = []
                 head = value if head is None else head
-            if asks:
+            if asks and holds and same:
+                found.append(value)
+            elif asks:
                 waiting.append(value)
         if found:
             yield pd.DataFrame({"value": found, "kind": "found", "part": part})
@@ -78,17 +82,19 @@ def _prefix_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rest, columns=["value", "kind"]).assign(part=part)
 
 
-def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
-    """Rows whose value is a proper prefix of some other value, without a scope.
+def prefixes_of(asked: DataFrame, held: DataFrame, proper: bool = True) -> DataFrame:
+    """(value): the distinct values of asked that begin a value of held; unless proper, also those that held has itself. Both are frames of one text, `value`.
 
     In the order of all distinct values those that begin with a value come right after it, so that it is a prefix of another exactly if it is one of the next
     that is different. One sort decides that, without pairs, whatever the values begin with; only the first value of each range, and what a range
     leaves open, is carried over.
     """
-    value = F.col(column)
-    of = lambda df, asks: df.select(value.alias("value"), F.lit(asks).alias("asks"), F.lit(not asks).alias("holds"))
-    both = of(rows, True).unionByName(of(others, False)).where("value IS NOT NULL").groupBy("value").agg(F.max("asks").alias("asks"), F.max("holds").alias("holds"))
-    ranged = both.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
+    of = lambda df, asks: df.select("value", F.lit(asks).alias("asks"), F.lit(not asks).alias("holds"))
+    if asked is held:
+        both = asked.where("value IS NOT NULL").distinct().withColumns({"asks": F.lit(True), "holds": F.lit(True)})
+    else:
+        both = of(asked, True).unionByName(of(held, False)).where("value IS NOT NULL").groupBy("value").agg(F.max("asks").alias("asks"), F.max("holds").alias("holds"))
+    ranged = both.repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id()).withColumn("same", F.lit(not proper))
     told = cut_lineage(ranged.mapInPandas(_prefix_chains, "value string, kind string, part int"))
     heads = {r["part"]: r["value"] for r in told.where("kind = 'head'").collect()}  # one for each range
     last = told.agg(F.max("part")).first()[0]
@@ -96,9 +102,15 @@ def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str) -> Dat
     for part in range((-1 if last is None else last), -1, -1):
         after.append((part, coming))
         coming = heads.get(part, coming)
-    following = rows.sparkSession.createDataFrame(after, "part int, coming string")
-    crossing = told.where("kind = 'open'").join(F.broadcast(following), "part").where(F.col("coming").startswith(F.col("value")))
-    found = told.where("kind = 'found'").select("value").unionByName(crossing.select("value"))
+    following = asked.sparkSession.createDataFrame(after, "part int, coming string")
+    begins = F.substring(F.col("coming"), F.lit(1), F.length("value")) == F.col("value")
+    crossing = told.where("kind = 'open'").join(F.broadcast(following), "part").where(begins)
+    return told.where("kind = 'found'").select("value").unionByName(crossing.select("value"))
+
+
+def with_prefix_anywhere(rows: DataFrame, others: DataFrame, column: str) -> DataFrame:
+    """Rows whose value is a proper prefix of some other value, without a scope."""
+    found = prefixes_of(rows.select(F.col(column).alias("value")), others.select(F.col(column).alias("value")))
     return rows.join(found.withColumnRenamed("value", column), column, "left_semi").select(*rows.columns)
 
 

@@ -375,10 +375,12 @@ def sync_catalog(store: Store, run: str, tables: dict[str, SyncTable], budget: f
 
 def _completed(rows: DataFrame, all_rows: DataFrame, scope: list[str], number: str, name: str) -> DataFrame:
     """rows with a flag `name`: whether a number of the scope that does not end with a dash starts with the row's, less its last character. Case is folded."""
-    whole = all_rows.where(~F.col(number).endswith("-")).select(*scope, F.lower(number).alias("_stem"))
-    found = R.prefixes(whole, scope, "_stem").withColumn(name, F.lit(True))
-    stem = F.lower(F.substring(number, F.lit(1), F.length(number) - 1))
-    return rows.withColumn("_stem", stem).join(found, [*scope, "_stem"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_stem")
+    key = lambda value: R.scoped(scope, F.lower(value)).alias("value")
+    stem = F.substring(F.col(number), F.lit(1), F.length(number) - 1)
+    asked = rows.withColumn("_stem", key(stem))
+    found = R.prefixes_of(asked.select(F.col("_stem").alias("value")), all_rows.where(~F.col(number).endswith("-")).select(key(F.col(number))), proper=False)
+    told = found.select(F.col("value").alias("_stem"), F.lit(True).alias(name))
+    return asked.join(told, "_stem", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_stem")
 
 
 def cleanup_fragments(df: DataFrame, owner: str, number: str, label: str, siblings: bool = True) -> DataFrame:

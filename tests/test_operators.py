@@ -164,3 +164,77 @@ def test_makers_by_joined_words(spark):
     words = L.acronyms(df, "m", ["O'X"])
     assert rows(words) == [("O'X", "O'X"), ("WAI", "WAI")]
     assert rows(L.with_maker_names(df, "m", words)) == [(1, "Alfa Romeo"), (2, "WAI"), (3, ""), (4, ""), (5, "WAI")]
+
+
+def test_prefixes_of_scopes_need_no_list_of_prefixes(spark):
+    df = spark.createDataFrame([(1, "1", "A" * 400), (1, "1", "A" * 399), (11, "", "A"), (11, "", ""), (1, "1:A", "B"), (1, "1", ""), (None, "1", "A"), (2, "x", None)], "u int, s string, n string")
+    found = R.with_prefix_of(df, df, ["u", "s"], "n")
+    assert rows(found) == [(1, "1", ""), (1, "1", "A" * 399), (11, "", "")]
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_prefixes_count_equal_values_if_asked_to(spark):
+    asked, held = (spark.createDataFrame([(x,) for x in v], "value string").repartitionByRange(3, "value") for v in (["a", "ab", "b", "c", None], ["ab", "b", "ca", None]))
+    assert rows(R.prefixes_of(asked, held)) == [("a",), ("c",)]
+    assert rows(R.prefixes_of(asked, held, proper=False)) == [("a",), ("ab",), ("b",), ("c",)]
+
+
+def test_rows_without_a_key_are_dealt_by_their_values(spark):
+    items = spark.createDataFrame([(i, None, i % 3, "d") for i in range(300)] + [(900, 7, 1, "x"), (901, 8, 1, "")], "id long, part long, bom long, d string")
+    mapping = spark.createDataFrame([(7, 8)], "loser long, survivor long")
+    assert rows(K.repoint(items, mapping, "part", ["bom"], ["d"])) == sorted([(8, 1, 900, "x"), *[(None, b, b, "d") for b in range(3)]], key=repr)
+    moved = R.moved(items, mapping, "part", ["bom"], [F.col("id")])
+    assert moved.count() == 301 and moved.where("part = 8").first()["id"] == 901
+    found = R.looked_up(items, spark.createDataFrame([(7, "n")], "part int, name string").hint("merge"), "part")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dealt = found.where("part IS NULL").withColumn("at", F.spark_partition_id()).groupBy("at").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(dealt) > 1 and found.where("name = 'n'").count() == 1
+
+
+def test_makers_names_are_spelled_where_the_rows_lie(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "FORD"), (2, None), (3, "a b"), (4, "FORD"), (5, "FORD")], "id int, m string")
+    words = spark.createDataFrame([("FORD", "Ford Co")], "word string, form string")
+    want = [(1, "Ford Co"), (2, ""), (3, "A B"), (4, "Ford Co"), (5, "Ford Co")]
+    few = L.with_maker_names(df, "m", words)
+    assert rows(few) == want and "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(L, "NAMES", 1)
+    monkeypatch.setattr(L, "OFTEN", 2)
+    assert rows(L.with_maker_names(df, "m", words)) == want
+
+
+def test_identifiers_need_no_list_of_ids(spark):
+    df = spark.createDataFrame([(1, "a", "a"), (2, "b", "c"), (3, "c", None), (None, "d", ""), (4, "e", "x")], "id long, p string, q string")
+    found = R.unambiguous(df, "id", ["p", "q"])
+    assert rows(found) == [("a", 1), ("b", 2), ("e", 4), ("x", 4)]
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_items_at_ends_of_moves_are_settled_by_move(spark):
+    parts = spark.createDataFrame([(1, "Y", "A"), (2, "Y", "B"), (3, "Y", "C"), (4, "", "A"), (5, "Z", "A"), (6, "Z", "A")], "id long, yt_number string, oem string")
+    for c in ("part_number", "part_name", "manufacturer_number", "j_and_n", "category", "voltage"):
+        parts = parts.withColumn(c, F.lit("x"))
+    parts = parts.withColumn("cost_price", F.lit(1)).withColumn("price", F.lit(1))
+    items = spark.createDataFrame([(10, 1, 2, 5), (11, 1, 1, 5), (12, 1, 3, 5), (13, 2, 3, 1), (14, 2, 2, 1), (15, 3, None, 1), (16, 3, None, 1), (17, 4, 4, 1), (18, 4, 4, 1), (19, 5, 6, 2)], "id long, bom_id long, part_id long, unit_qty int")
+    boms = spark.createDataFrame([(b,) for b in range(1, 7)], "id long")
+    left, kept, got = L.cleanup_parts(parts, boms, items, {}, {}, [("B", "C"), ("A", "B")])
+    assert rows(left.select("id")) == [(1,), (4,), (5,)] and rows(kept) == [(b,) for b in range(1, 6)]
+    assert rows(got.select("id", "bom_id", "part_id")) == [(11, 1, 1), (14, 2, 1), (15, 3, None), (17, 4, 4), (19, 5, 5)]
+
+
+def test_texts_that_cannot_be_wrapped_are_not_taken_apart(spark):
+    texts = ["a \nb\t\u2028\n c\r\n", "", " ", "a\n\n", "no 7 end\nx", "1999-\n 2001", "1999\n-2001 ", "5- \n 6\n7", "x \u0085\ny", "b\u00a0 \nc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    folded = L2.rejoin(F.concat("text", F.lit("\n1999\nz")))
+    got = df.select(L2.rejoin(F.col("text")).alias("a"), folded.alias("b")).collect()
+    assert all(r["b"] == r["a"] + "\n1999\nz" for r in got[:5] + got[8:]) and [r["a"] for r in got[5:8]] == ["1999-2001", "1999-2001 ", "5-6\n7"]
+    assert df.select(L2.rejoin(F.col("text"))).columns[0].startswith("CASE WHEN")
+
+
+def test_texts_without_headings_are_one_section(spark):
+    df = spark.createDataFrame([("a\nb\n",), ("",), ("x\nAPPLICATION \ny",), ("MY APPLICATION\nz",)], "text string")
+    got = [[tuple(s) for s in r[0]] for r in df.select(G.sections(F.col("text"))).collect()]
+    assert got == [[("", "a\nb\n")], [("", "")], [("", "x"), ("APPLICATION", "y")], [("", "MY APPLICATION\nz")]]
+    assert df.select(G.sections(F.col("text"))).columns[0].startswith("CASE WHEN")
