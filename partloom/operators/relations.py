@@ -63,7 +63,7 @@ def _prefix_chains(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     waiting: list[str] = []
     head, part, found = None, None, []
     for x in frames:
-        for value, asks, holds, part in zip(x["value"], x["asks"], x["holds"], x["part"], strict=True):
+        for value, asks, holds, part, same in zip(x["value"], x["asks"], x["holds"], x["part"], x["same"], strict=True):
             while waiting and not value.startswith(waiting[-1]):
                 waiting.pop()
             if holds:
@@ -86,8 +86,8 @@ def prefixes_of(asked: DataFrame, held: DataFrame, proper: bool = True) -> DataF
     """(value): the distinct values of asked that begin a value of held; unless proper, also those that held has itself. Both are frames of one text, `value`.
 
     In the order of all distinct values those that begin with a value come right after it, so that it is a prefix of another exactly if it is one of the next
-    that is different. One sort decides that, without pairs, whatever the values begin with; only the first value of each range, and what a range
-    leaves open, is carried over.
+    that is different. One sort decides that, without pairs and without a list of prefixes, whatever the values begin with; only the first value of each
+    range, and what a range leaves open, is carried over.
     """
     of = lambda df, asks: df.select("value", F.lit(asks).alias("asks"), F.lit(not asks).alias("holds"))
     if asked is held:
