@@ -38,7 +38,7 @@ def resolve(rows: DataFrame, key: Column, targets: list[tuple[str, DataFrame, st
 def unambiguous(df: DataFrame, id_: str, columns: list[str]) -> DataFrame:
     """(identifier, id) for identifiers that stand for exactly one row, whichever of the columns they are in."""
     values = df.select(id_, F.explode(F.array(*columns)).alias("identifier")).where(F.col("identifier").isNotNull() & (F.col("identifier") != ""))
-    return values.groupBy("identifier").agg(F.count_distinct(id_).alias("n"), F.min(id_).alias(id_)).where("n = 1").drop("n")
+    return values.groupBy("identifier").agg(F.min(id_).alias(id_), F.max(id_).alias("_last")).where(F.col(id_) == F.col("_last")).drop("_last")
 
 
 def scoped(scope: list[str], value: Column) -> Column:
