@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.operators.lineage import cut_lineage
+from partloom.operators.relations import looked_up
 from partloom.operators.search import placed
 
 
@@ -85,7 +86,7 @@ def repoint(links: DataFrame, mapping: DataFrame, key: str, with_: list[str], pa
     Of a collapsed group the lowest id stays, with each payload's last non-blank value by id.
     """
     m = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"))
-    moved = links.join(m, key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
+    moved = looked_up(links, m, key).withColumn(key, F.coalesce("_to", key)).drop("_to")
     last = [F.max_by(F.col(c), F.when(~blank(F.col(c)), F.col(id_))).alias(c) for c in payload]
     return moved.groupBy(key, *with_).agg(F.min(id_).alias(id_), *last)
 

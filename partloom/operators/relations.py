@@ -227,14 +227,22 @@ def _settled(rows: DataFrame, unique: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_keep", ~F.col("_moves") | (~taken & (nth == 1))).where("_keep").drop("_keep", "_moves")
 
 
-def moved(rows: DataFrame, mapping: DataFrame, key: str, unique: list[str], order: list[Column]) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table's row of their key, nulls if there is none. Rows without a key, which one task would get, are dealt by all their values."""
+    own = F.xxhash64(F.col(key).cast("string"))
+    dealt = rows.withColumn("_deal", F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)).otherwise(own))
+    return dealt.join(table.withColumn("_deal", own), [key, "_deal"], "left").drop("_deal")
+
+
+def moved(rows: DataFrame, mapping: DataFrame, key: str, unique: list[str], order: list[Column], with_: Iterable[str] = ()) -> DataFrame:
     """rows with `key` moved from losers to survivors (loser, survivor), without those moved to where their `unique` values are already.
+    The order may be over columns `with_` of the mapping too, which are not kept.
 
     Rows that stay are kept whatever they repeat; of several moved rows alike the first in order is kept.
     """
-    to = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"))
-    both = rows.join(to, key, "left").withColumn("_moves", F.col("_to").isNotNull()).withColumn(key, F.coalesce("_to", key)).drop("_to")
-    return _settled(both, [key, *unique], order)
+    to = mapping.select(F.col("loser").alias(key), F.col("survivor").alias("_to"), *with_)
+    both = looked_up(rows, to, key).withColumn("_moves", F.col("_to").isNotNull()).withColumn(key, F.coalesce("_to", key)).drop("_to")
+    return _settled(both, [key, *unique], order).drop(*with_)
 
 
 def rewritten(rows: DataFrame, column: str, value: Column, unique: list[str], order: list[Column]) -> DataFrame:
