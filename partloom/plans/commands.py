@@ -282,8 +282,7 @@ def merge_unit_boms(boms: DataFrame, items: DataFrame, unique: Callable[[DataFra
     nth = Window.partitionBy("unit_id").orderBy(*order)
     placed = sized.withColumn("_nth", F.row_number().over(nth)).withColumn("survivor", F.first("id").over(nth))
     mapping = cut_lineage(placed.where("id <> survivor").select(F.col("id").alias("loser"), "survivor", "_nth"))
-    ranked = unique(items).join(mapping.select(F.col("loser").alias("bom_id"), "_nth"), "bom_id", "left")
-    after = R.moved(ranked, mapping, "bom_id", ["_unique"], [F.col("_nth"), F.col("id")])
+    after = R.moved(unique(items), mapping, "bom_id", ["_unique"], [F.col("_nth"), F.col("id")], ["_nth"])
     return boms.join(mapping.select(F.col("loser").alias("id")), "id", "left_anti"), after.select(*items.columns)
 
 
