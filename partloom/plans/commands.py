@@ -83,18 +83,28 @@ def acronyms(df: DataFrame, column: str, explicit: list[str], longest: int = 4)
     return short.join(given, "word", "left_anti").withColumn("form", F.col("word")).unionByName(given)
 
 
+#: Up to so many distinct names are sent to all tasks; of more, those of over OFTEN rows are.
+NAMES, OFTEN = 100_000, 200_000
+
+
 def with_maker_names(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
     """df with makers' names in one spelling: tokens that words (word, form) has in its form, others in title case, as maker_name() does with a map.
 
-    Each distinct name is taken apart once and its tokens are joined with the words, of which there may be any number.
+    Each distinct name is taken apart once and its tokens are joined with the words, of which there may be any number. Rows do not move to the few
+    names that most of them have.
     """
-    names = cut_lineage(df.select(F.col(column).alias("_name")).distinct())
+    names = cut_lineage(df.groupBy(F.col(column).alias("_name")).agg(F.count(F.lit(1)).alias("_n")))
     bare = T.strip(F.regexp_replace(T.strip(F.coalesce("_name", F.lit(""))), r"\.+$", ""))
     tokens = names.select("_name", F.posexplode(F.filter(F.split(bare, T.BLANK), lambda t: t != "")).alias("_at", "_token")).withColumn("word", F.upper("_token"))
     formed = tokens.join(words, "word", "left").select(F.col("_name").alias("_of"), F.struct("_at", F.coalesce("form", T.title_case(F.col("_token"))).alias("form")).alias("t"))
     built = formed.groupBy("_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["form"]), " ").alias("_built"))
-    spelled = names.join(built, F.col("_name").eqNullSafe(F.col("_of")), "left").select("_name", F.coalesce("_built", F.lit("")).alias("_built"))
-    return df.join(spelled, F.col(column).eqNullSafe(F.col("_name"))).withColumn(column, F.col("_built")).select(*df.columns)
+    spelled = names.join(built, F.col("_name").eqNullSafe(F.col("_of")), "left").select("_name", "_n", F.coalesce("_built", F.lit("")).alias("_built"))
+    known = F.col(column).eqNullSafe(F.col("_name"))
+    laid = lambda rows, table: rows.join(table, known).withColumn(column, F.col("_built")).select(*df.columns)
+    if names.count() <= NAMES:
+        return laid(df, F.broadcast(spelled))
+    often, seldom = F.broadcast(spelled.where(F.col("_n") > OFTEN)), spelled.where(F.col("_n") <= OFTEN)
+    return laid(df, often).unionByName(laid(df.join(often, known, "left_anti"), seldom))
 
 
 def normalize_makers(xrefs: DataFrame, explicit: list[str]) -> DataFrame:

@@ -248,7 +248,8 @@ m2 AS (SELECT id AS loser, survivor FROM ranked WHERE id <> survivor), left2 AS
 {_moved_items("bom_items", "m2", "i2")}, {_moved_items("i2", "m3", "i3")}, items AS (SELECT min(id) AS id, bom_id, part_id FROM i3 GROUP BY bom_id, part_id, unit_qty)
 SELECT 'part' AS kind, id, oem, NULL::bigint AS bom_id, NULL::bigint AS part_id FROM left2 WHERE id NOT IN (SELECT loser FROM m3) UNION ALL SELECT 'item', id, NULL, bom_id, part_id FROM items UNION ALL SELECT 'bom', id, NULL, NULL, NULL FROM boms WHERE id IN (SELECT bom_id FROM items)""")
 def l12(spark: SparkSession, sf: str) -> DataFrame:
-    parts, boms, items = L.cleanup_parts(frame(spark, sf, "parts"), frame(spark, sf, "boms"), frame(spark, sf, "bom_items"), {}, rules.OEM_RENAMES, _VARIANTS)
+    of_items = frame(spark, sf, "bom_items").select("id", "bom_id", "part_id", "unit_qty")
+    parts, boms, items = L.cleanup_parts(frame(spark, sf, "parts"), frame(spark, sf, "boms"), of_items, {}, rules.OEM_RENAMES, _VARIANTS)
     return stacked(part=parts.select("id", "oem"), item=items.select("id", "bom_id", "part_id"), bom=boms.select("id"))
 
 
