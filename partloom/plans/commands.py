@@ -468,8 +468,12 @@ def cleanup_parts(
         more = cut_lineage(left.where(F.col("oem") == variant).join(known, "yt_number").select(F.col("id").alias("loser"), "survivor").where("loser <> survivor"))
         moves.append(more)
         left = left.join(more.select(F.col("loser").alias("id")), "id", "left_anti")
+    ends = _united([m.select(F.explode(F.array("loser", "survivor")).alias("part_id")) for m in moves]).distinct().withColumn("_moving", F.lit(True))
+    told = cut_lineage(R.looked_up(items, ends, "part_id"))
+    at_ends = told.where("_moving").drop("_moving")  # only items of parts that are moved or moved to can meet
     for mapping in moves:
-        items = R.moved(items, mapping, "part_id", ["bom_id", "unit_qty"], [F.col("id")])
+        at_ends = R.moved(at_ends, mapping, "part_id", ["bom_id", "unit_qty"], [F.col("id")])
+    items = told.where("_moving IS NULL").drop("_moving").unionByName(at_ends)
     items = cut_lineage(R.first_of(items, ["bom_id", "part_id", "unit_qty"], [F.col("id")]))
     return left, boms.join(items.select(F.col("bom_id").alias("id")), "id", "left_semi"), items
 
@@ -477,9 +481,6 @@ def cleanup_parts(
 def staged_entities(staged: DataFrame, known: DataFrame, key: str, fill: list[str]) -> DataFrame:
     """(key, id, fill..., change) of all staged keys: what is stored, blanks filled by the first staged value that is not blank, by pos. id is null for new ones."""
     first = staged.where(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(*[F.min_by(F.col(c), F.when(~K.blank(F.col(c)), F.col("pos"))).alias(f"_{c}") for c in fill])
-    ends = _united([m.select(F.explode(F.array("loser", "survivor")).alias("part_id")) for m in moves]).distinct().withColumn("_moving", F.lit(True))
-    told = cut_lineage(R.looked_up(items, ends, "part_id"))
-    at_ends = told.where("_moving").drop("_moving")  # only items of parts that are moved or moved to can meet
     stored = known.groupBy(key).agg(F.max("id").alias("id"), *[F.max_by(F.coalesce(c, F.lit("")), "id").alias(c) for c in fill])
     both = first.join(stored, key, "left")
     filled = {c: F.coalesce(T.nullif_blank(F.col(c)), F.col(f"_{c}"), F.lit("")) for c in fill}
