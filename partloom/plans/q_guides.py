@@ -131,6 +131,8 @@ UNION ALL SELECT key, 'transpo', w FROM (SELECT key, unnest(regexp_split_to_arra
 def m01(spark: SparkSession, sf: str) -> DataFrame:
     """Part numbers of three catalogs in texts that hold others, and what only looks like them."""
     lined = texts(spark, sf).select("key", F.explode(F.split("text", "\n")).alias("line"))
-    words = lined.select("key", F.explode(F.split("line", r"[\s|,:;]+")).alias("line"))
-    of = lambda df, kind: df.select("key", F.lit(kind).alias("kind"), F.explode(L.numbers_in(F.col("line"), rules.NUMBER_PATTERNS[kind])).alias("number"))
-    return of(lined, "jn").unionByName(of(lined, "metro")).unionByName(of(words, "transpo"))
+    within = lambda c, kind: L.numbers_in(c, rules.NUMBER_PATTERNS[kind])
+    words = F.flatten(F.transform(F.split("line", r"[\s|,:;]+"), lambda w: within(w, "transpo")))
+    found = {"jn": within(F.col("line"), "jn"), "metro": within(F.col("line"), "metro"), "transpo": words}
+    tagged = lambda kind: F.transform(found[kind], lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("number")))
+    return lined.select("key", F.explode(F.concat(*map(tagged, found))).alias("n")).select("key", "n.*")  # texts are read once
