@@ -23,10 +23,15 @@ _WRAPPED_YEAR = (r"\d{4}-\s*$", r"^\d{4}\b")
 _WRAPPED_DASH = (r"\d{4}\s*$", r"^-\d{4}\b")
 _WRAPPED_NUMBER = (r"\d-\s*$", r"^\d")
 _NUMBER_LINE = 30
+#: A line end after which a line may go on, and blanks before the end of a line.
+_MAY_GO_ON, _BLANK_END = r"(?:\d-|\d{4})\s*[\u0085\u2028\u2029]?\n", r"[^\S\n]+(?=[\u0085\u2028\u2029]?(?:\n|\z))"
 
 
 def rejoin(text: Column) -> Column:
-    """Lines put together again that were wrapped within a year range or a number; a line is joined to one other at most."""
+    """Lines put together again that were wrapped within a year range or a number; a line is joined to one other at most.
+
+    A text none of whose lines may go on, as most prose, is not taken apart.
+    """
 
     def fold(state: Column, line: Column) -> Column:
         cur, free = state["cur"], state["free"]
@@ -43,7 +48,8 @@ def rejoin(text: Column) -> Column:
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(False).alias("free"))
     end = lambda s: F.when(s["cur"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["cur"])))
-    return F.array_join(F.aggregate(F.split(text, "\n"), start, fold, end), "\n")
+    folded = F.array_join(F.aggregate(F.split(text, "\n"), start, fold, end), "\n")
+    return F.when(text.rlike(_MAY_GO_ON), folded).otherwise(F.regexp_replace(text, _BLANK_END, ""))
 
 
 #: Years of an application, and what stands for all of a make's models.

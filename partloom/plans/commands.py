@@ -410,11 +410,11 @@ def cleanup_fragments(df: DataFrame, owner: str, number: str, label: str, siblin
     have = x.select(owner, F.col("number").alias("_number")).distinct().withColumn("_have", F.lit(True))
     checked = with_suffix.join(have, [owner, "_number"], "left")
     first = R.survivors(checked.where("_have is null"), [owner, "_number", "_label"], [F.col("id")])
-    bare = _completed(rows.where("_s.suffix = ''").drop("_s"), x, [owner], "number", "_done")
+    bare = cut_lineage(_completed(rows.where("_s.suffix = ''").drop("_s"), x, [owner], "number", "_done"))
     same = ["id", owner, "number", "label"]
     gone = checked.where("_have").select(*same).unionByName(first.where("not survivor").select(*same)).unionByName(bare.where("_done").select(*same))
     merged = first.where("survivor").select("id", owner, F.col("_number").alias("number"), F.col("_label").alias("label"), F.lit("merge").alias("action"))
-    left = merged.unionByName(bare.where("not _done").select(*same, F.lit("manual").alias("action")))
+    left = cut_lineage(merged.unionByName(bare.where("not _done").select(*same, F.lit("manual").alias("action"))))
     now = x.where(~F.coalesce(dash, F.lit(False))).unionByName(left.select(*same))
     open_ = _completed(_completed(left.where(dash), now, [owner], "number", "_own"), now, [], "number", "_any")
     broken = F.size(T.artifact_reasons(F.col("number"), F.col("label"))) > 0

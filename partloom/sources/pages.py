@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
-from partloom.functions.text import strip
+from partloom.functions.text import any_of, strip
 
 #: What a page does not show, what begins a line, and any other tag.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -27,7 +27,11 @@ def html_text(html: Column) -> Column:
 
 
 def sections(text: Column, headings: Iterable[str] = HEADINGS) -> Column:
-    """Structs (section, text): the lines under each heading, a fold over the lines of a document. What comes before the first one has no name; sections without lines are left out."""
+    """Structs (section, text): the lines under each heading, a fold over the lines of a document. What comes before the first one has no name; sections without lines are left out.
+
+    A text that holds no heading's words is one section as it is.
+    """
+    headings = list(headings)
     part = "array<struct<section:string,lines:array<string>>>"
 
     def closed(s: Column) -> Column:
@@ -39,4 +43,6 @@ def sections(text: Column, headings: Iterable[str] = HEADINGS) -> Column:
     none = F.array().cast("array<string>")
     step = lambda s, line: F.when(strip(line).isin(*headings), state(strip(line), none, closed(s))).otherwise(state(s["section"], F.concat(s["lines"], F.array(line)), s["out"]))
     found = F.aggregate(F.split(text, "\n"), state(F.lit(""), none, F.array().cast(part)), step, closed)
-    return F.transform(found, lambda x: F.struct(x["section"].alias("section"), F.array_join(x["lines"], "\n").alias("text")))
+    parts = F.transform(found, lambda x: F.struct(x["section"].alias("section"), F.array_join(x["lines"], "\n").alias("text")))
+    held = any_of([text.contains(h) for h in headings])
+    return F.when(~held, F.array(F.struct(F.lit("").alias("section"), text.alias("text")))).otherwise(parts)

@@ -9,8 +9,9 @@ from partloom.operators import dml as K, nested as N, relations as R, search as
 from partloom.operators.counts import ValueCounts
 from partloom.operators.lineage import own_folder
 from partloom.operators.publish import Store
+from partloom.functions import lines as L2
 from partloom.plans import commands as L
-from partloom.sources import csv as C
+from partloom.sources import csv as C, pages as G
 from partloom.streaming import ledger
 
 
