@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -760,47 +761,56 @@ def audit_attributes(expected: DataFrame, stored: DataFrame, known: Iterable[str
     e = expected.select("unit", "field", T.normalize_space(F.col("value")).alias("e")).where("e <> ''")
     s = stored.select("unit", "field", T.normalize_space(F.col("value")).alias("s")).where("s <> ''")
     mapped = F.col("field").isin(*known)
-    both = cut_lineage(e.where(mapped).join(s.where(mapped), ["unit", "field"], "full"))
-    have = both.where("e IS NOT NULL AND s IS NOT NULL")
-    same = T.normalize_text(F.col("e")) == T.normalize_text(F.col("s"))
-    tell = lambda df, *how: _finding(df, "ATTRIBUTE", F.col("field"), *how, F.col("e"), F.col("s"))
-    return _united([
-        tell(both.where("e IS NULL"), "EXTRA_IN_DB", "INFO", "db_value_no_pdf_source"), tell(both.where("s IS NULL"), "MISSING_IN_DB", "ERROR", "pdf_attr_not_imported"),
-        tell(have.where(same), "MATCH", "INFO", ""), tell(have.where(~same), "MISMATCH", "ERROR", "attr_value_differs"),
-        _finding(e.where(~mapped), "ATTRIBUTE", F.col("field"), "FLAG", "WARN", "unmapped_attr_key", F.col("e")),
+    same, field, e_, s_ = T.normalize_text(F.col("e")) == T.normalize_text(F.col("s")), F.col("field"), F.col("e"), F.col("s")
+    have = e_.isNotNull() & s_.isNotNull()
+    found = _told(e.where(mapped).join(s.where(mapped), ["unit", "field"], "full"), "ATTRIBUTE", [
+        (e_.isNull(), field, "EXTRA_IN_DB", "INFO", "db_value_no_pdf_source", e_, s_), (s_.isNull(), field, "MISSING_IN_DB", "ERROR", "pdf_attr_not_imported", e_, s_),
+        (have & same, field, "MATCH", "INFO", "", e_, s_), (have & ~same, field, "MISMATCH", "ERROR", "attr_value_differs", e_, s_),
     ])
+    return found.unionByName(_finding(e.where(~mapped), "ATTRIBUTE", field, "FLAG", "WARN", "unmapped_attr_key", e_))
 
 
-def _sided(expected: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    """The rows of both sides with _side, and with _met whether the other side has their key too: one aggregate of the keys and one join, written once."""
-    both = cut_lineage(expected.withColumn("_side", F.lit("e")).unionByName(stored.withColumn("_side", F.lit("s")), allowMissingColumns=True))
-    sides = both.groupBy(*key).agg((F.count_distinct("_side") > 1).alias("_met"))
-    return both.join(sides, key, "left").withColumn("_met", F.coalesce("_met", F.lit(False)))
+def _sided(expected: DataFrame, stored: DataFrame, key: list[str], order: list[Column], **of_key: Column) -> DataFrame:
+    """The different rows of both sides, with how often each side has one (_e, _s), and with _met whether both sides have its key.
+
+    Rows alike are counted before they move, `id` being the lowest of them; what tells of a key is a window over it. of_key are more columns of a key,
+    and _first marks one row of each, a stored one if there is any, the first in order.
+    """
+    side = lambda df, e, s: df.withColumns({"_e": F.lit(e), "_s": F.lit(s)})
+    both = side(expected, 1, 0).unionByName(side(stored, 0, 1), allowMissingColumns=True)
+    ids = [F.min("id").alias("id")] if "id" in stored.columns else []
+    counted = both.groupBy(*expected.columns).agg(F.sum("_e").alias("_e"), F.sum("_s").alias("_s"), *ids)
+    of = Window.partitionBy(*key).orderBy((F.col("_s") == 0), *order)
+    whole = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    known = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+    met = known & (F.max("_e").over(whole) > 0) & (F.max("_s").over(whole) > 0)
+    return counted.withColumns({"_met": met, "_first": F.row_number().over(of) == 1, **{n: c.over(whole) for n, c in of_key.items()}})
 
 
 def _told(df: DataFrame, category: str, cases: list[tuple]) -> DataFrame:
-    """The findings of rows in one pass: for each case (condition, field, status, severity, tag, expected, stored) that holds."""
+    """The findings of rows in one pass: for each case (condition, field, status, severity, tag, expected, stored[, how often]) that holds."""
     text = lambda v: F.lit("") if v is None else F.substring(F.coalesce(v.cast("string"), F.lit("")), 1, 500)
     each = [
-        F.when(F.coalesce(cond, F.lit(False)), F.struct("unit", F.lit(category).alias("category"), field.alias("field"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(tag).alias("tag"), text(e).alias("expected"), text(s).alias("stored")))
-        for cond, field, status, severity, tag, e, s in cases
+        F.when(F.coalesce(cond, F.lit(False)), F.struct("unit", F.lit(category).alias("category"), field.alias("field"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(tag).alias("tag"), text(e).alias("expected"), text(s).alias("stored"), (n[0] if n else F.lit(1)).cast("long").alias("n")))
+        for cond, field, status, severity, tag, e, s, *n in cases
     ]
-    return df.select(F.explode(F.array_compact(F.array(*each))).alias("f")).select("f.*")
+    found = df.select(F.inline(F.array(*each))).where("status IS NOT NULL")
+    if any(len(case) > 7 for case in cases):
+        found = found.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return found.drop("n")
 
 
 def audit_interchanges(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of interchanges (unit, maker, number), each row by itself; makers are alike but for case, and several spellings of one are flagged."""
     key = ["unit", "_maker", "number"]
     norm = lambda df: df.select("unit", T.strip(F.coalesce("maker", F.lit(""))).alias("maker"), T.strip(F.coalesce("number", F.lit(""))).alias("number")).withColumn("_maker", F.lower("maker"))
-    both = _sided(norm(expected), norm(stored), key)
-    shown, field = F.concat_ws(": ", "maker", "number"), F.concat_ws(":", "maker", "number")
-    ours = F.col("_side") == "e"
-    found = _told(both, "INTERCHANGE", [
-        (ours & ~F.col("_met"), field, "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", shown, None), (ours & F.col("_met"), field, "MATCH", "INFO", "", shown, shown),
-        (~ours & ~F.col("_met"), field, "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", None, shown),
+    both = _sided(norm(expected), norm(stored), key, [F.col("maker")], makers=F.collect_set(F.when(F.col("_s") > 0, F.col("maker"))))
+    shown, field, e, s, met = F.concat_ws(": ", "maker", "number"), F.concat_ws(":", "maker", "number"), F.col("_e"), F.col("_s"), F.col("_met")
+    return _told(both, "INTERCHANGE", [
+        ((e > 0) & ~met, field, "MISSING_IN_DB", "ERROR", "pdf_xref_not_in_db", shown, None, e), ((e > 0) & met, field, "MATCH", "INFO", "", shown, shown, e),
+        ((s > 0) & ~met, field, "EXTRA_IN_DB", "INFO", "db_xref_not_in_pdf", None, shown, s),
+        (F.col("_first") & (F.size("makers") > 1), F.concat_ws(":", "_maker", "number"), "FLAG", "ERROR", "case_variant_dupe", None, F.array_join(F.array_sort("makers"), " | "), F.lit(1)),
     ])
-    spelled = both.where(~ours).groupBy(*key).agg(F.array_sort(F.collect_set("maker")).alias("makers")).where(F.size("makers") > 1)
-    return found.unionByName(_finding(spelled, "INTERCHANGE", F.concat_ws(":", "_maker", "number"), "FLAG", "ERROR", "case_variant_dupe", None, F.array_join("makers", " | ")))
 
 
 def audit_applications(expected: DataFrame, stored: DataFrame) -> DataFrame:
@@ -808,46 +818,43 @@ def audit_applications(expected: DataFrame, stored: DataFrame) -> DataFrame:
     names = ("make", "model", "engine")
     key = ["unit", *[f"_{c}" for c in (*names, "year")]]
     norm = lambda df: df.withColumns({**{f"_{c}": T.normalize_text(F.coalesce(c, F.lit(""))) for c in names}, "_year": Y.expand_audit(F.col("year"))})
-    both = _sided(norm(expected), norm(stored), key)
-    whole, named = F.concat_ws("/", *names, "year"), F.concat_ws("/", *names)
-    ours, year = F.col("_side") == "e", F.col("year")
+    own = T.strip(F.coalesce("year", F.lit("")))
+    both = _sided(norm(expected), norm(stored), key, [F.col("id").asc_nulls_last()], years=F.collect_set(F.when(F.col("_s") > 0, own)))
+    whole, named, year, e, s, met = F.concat_ws("/", *names, "year"), F.concat_ws("/", *names), F.col("year"), F.col("_e"), F.col("_s"), F.col("_met")
     flags = {
         ("year_2digit", "WARN"): year.rlike(r"^\d{2}-\d{2}$"), ("year_pipe_noise", "ERROR"): F.coalesce("year", F.lit("")).contains("|"),
         ("year_same_start_end", "WARN"): year.rlike(r"^(\d{4})-\1$"), ("line_wrap_year_in_engine", "ERROR"): F.coalesce("engine", F.lit("")).rlike(r"\d{4}-\s+\d{4}"),
         ("submodel_list_not_split", "ERROR"): T.strip(F.coalesce("model", F.lit(""))).rlike(r"^[\w./]+-[A-Z](,[A-Z])+$"),
     }
-    found = _told(both, "APPLICATION", [
-        (ours & ~F.col("_met"), whole, "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", whole, None), (ours & F.col("_met"), whole, "MATCH", "INFO", "", whole, None),
-        (~ours & ~F.col("_met"), whole, "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", None, whole),
-        *[(~ours & cond, named, "FLAG", severity, tag, None, year) for (tag, severity), cond in flags.items()],
+    return _told(both, "APPLICATION", [
+        ((e > 0) & ~met, whole, "MISSING_IN_DB", "ERROR", "pdf_app_not_in_db", whole, None, e), ((e > 0) & met, whole, "MATCH", "INFO", "", whole, None, e),
+        ((s > 0) & ~met, whole, "EXTRA_IN_DB", "INFO", "db_app_not_in_pdf", None, whole, s),
+        *[((s > 0) & cond, named, "FLAG", severity, tag, None, year, s) for (tag, severity), cond in flags.items()],
+        (F.col("_first") & (F.size("years") > 1), named, "FLAG", "ERROR", "year_format_dupe", F.array_join(F.array_sort("years"), " / "), None, F.lit(1)),
     ])
-    own = T.strip(F.coalesce("year", F.lit("")))
-    forms = both.where(~ours).groupBy(*key).agg(F.array_sort(F.collect_set(own)).alias("years"), F.min_by(named, "id").alias("named")).where(F.size("years") > 1)
-    return found.unionByName(_finding(forms, "APPLICATION", F.col("named"), "FLAG", "ERROR", "year_format_dupe", F.array_join("years", " / ")))
 
 
 def audit_items(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of BOM items (unit, number, text, jn; stored ones with id), one for each number of a unit, ignoring case: the last row counts."""
     one = lambda df, by, side: df.where(F.coalesce("number", F.lit("")) != "").groupBy("unit", F.upper("number").alias("number")).agg(F.max_by(T.strip(F.coalesce("jn", F.lit(""))), by).alias(side), F.max_by("text", by).alias(f"{side}_text"))
-    both = cut_lineage(one(expected, "pos", "e").join(one(stored, "id", "s"), ["unit", "number"], "full"))
-    differs = (F.col("e") != "") & (F.col("s") != "") & (T.normalize_text(F.col("e")) != T.normalize_text(F.col("s")))
-    wrapped = stored.where(F.coalesce("jn", F.lit("")).rlike(r"\d-\s+\d"))
-    tell = lambda df, *how: _finding(df, "BOM", F.col("number"), *how)
-    have = F.col("e").isNotNull() & F.col("s").isNotNull()
-    return _united([
-        tell(both.where("s IS NULL"), "MISSING_IN_DB", "ERROR", "pdf_bom_item_missing", F.col("e_text")), tell(both.where("e IS NULL"), "EXTRA_IN_DB", "INFO", "db_bom_item_not_in_pdf", None, F.col("s_text")),
-        tell(both.where(have & differs), "MISMATCH", "WARN", "bom_jn_differs", F.col("e"), F.col("s")), tell(both.where(have & ~differs), "MATCH", "INFO", "", F.col("e_text"), F.col("s_text")),
-        tell(wrapped, "FLAG", "ERROR", "jn_line_wrap", None, F.col("jn")),
+    both = one(expected, "pos", "e").join(one(stored, "id", "s"), ["unit", "number"], "full")
+    e, s, e_text, s_text, number = F.col("e"), F.col("s"), F.col("e_text"), F.col("s_text"), F.col("number")
+    have, differs = e.isNotNull() & s.isNotNull(), (e != "") & (s != "") & (T.normalize_text(e) != T.normalize_text(s))
+    found = _told(both, "BOM", [
+        (s.isNull(), number, "MISSING_IN_DB", "ERROR", "pdf_bom_item_missing", e_text, None), (e.isNull(), number, "EXTRA_IN_DB", "INFO", "db_bom_item_not_in_pdf", None, s_text),
+        (have & differs, number, "MISMATCH", "WARN", "bom_jn_differs", e, s), (have & ~differs, number, "MATCH", "INFO", "", e_text, s_text),
     ])
+    wrapped = stored.where(F.coalesce("jn", F.lit("")).rlike(r"\d-\s+\d"))
+    return found.unionByName(_finding(wrapped, "BOM", number, "FLAG", "ERROR", "jn_line_wrap", None, F.col("jn")))
 
 
 def audit_substitutes(expected: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of substitutes (unit, number), each row by itself."""
-    key, shown, ours = ["unit", "number"], F.col("number"), F.col("_side") == "e"
-    both = _sided(expected.select(*key), stored.select("unit", T.strip(F.coalesce("number", F.lit(""))).alias("number")), key)
+    key, shown, e, s, met = ["unit", "number"], F.col("number"), F.col("_e"), F.col("_s"), F.col("_met")
+    both = _sided(expected.select(*key), stored.select("unit", T.strip(F.coalesce("number", F.lit(""))).alias("number")), key, [])
     return _told(both, "SUBSTITUTE", [
-        (ours & ~F.col("_met"), shown, "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", shown, None), (ours & F.col("_met"), shown, "MATCH", "INFO", "", shown, shown),
-        (~ours & ~F.col("_met") & (shown != ""), shown, "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", None, shown),
+        ((e > 0) & ~met, shown, "MISSING_IN_DB", "WARN", "pdf_substitute_not_in_db", shown, None, e), ((e > 0) & met, shown, "MATCH", "INFO", "", shown, shown, e),
+        ((s > 0) & ~met & (shown != ""), shown, "EXTRA_IN_DB", "INFO", "db_substitute_not_in_pdf", None, shown, s),
     ])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from partloom.functions import rules
 from partloom.functions.lines import application_blocks
 from partloom.operators import dml as K, relations as R
-from partloom.operators.lineage import cut_lineage, own_folder
+from partloom.operators.lineage import cut_lineage, own_folder, written
 from partloom.operators.publish import Store, run_tables
 from partloom.plans import commands as L
 from partloom.plans.domain import frame
@@ -591,9 +591,10 @@ def l01(spark: SparkSession, sf: str) -> DataFrame:
     as_s = lambda df, number: df.select(F.col("unit_id").alias("unit"), number.alias("number"))
     substitutes = L.audit_substitutes(as_s(s, unless(4, "Q", F.col("substitute_number"))), as_s(s.where(i % 3 != 0), F.col("substitute_number")))
     kinds = (attributes, interchanges, L.audit_applications(expected, have), L.audit_items(bom, items), substitutes)
-    found = cut_lineage(functools.reduce(DataFrame.unionByName, [k.withColumn("unit", F.col("unit").cast("long")) for k in kinds]))
+    found = functools.reduce(DataFrame.unionByName, [k.withColumn("unit", F.col("unit").cast("long")) for k in kinds])
+    found = written(found.drop("expected", "stored"), "findings")
     counts = L.audit_counts(found).select("kind", F.col("name").alias("field"), "n")
-    return stacked(finding=found.drop("expected", "stored")).unionByName(counts, allowMissingColumns=True)
+    return stacked(finding=found).unionByName(counts, allowMissingColumns=True)
 
 
 _GUIDE = "(SELECT pos, our_number AS unit_number, their_number AS number, CASE WHEN pos % 7 = 0 THEN 'model  NUMBER' ELSE manufacturer END AS maker FROM staging_interchange)"
