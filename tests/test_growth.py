@@ -1,5 +1,9 @@
 """Steps whose work must grow no faster than their input: what their plans move and keep, and rows against plain Python."""
 
+import pytest
+
+from partloom.operators import substrings
+from partloom.operators.lineage import own_folder
 from partloom.plans import commands as L
 
 
@@ -31,3 +35,16 @@ def test_audited_items_are_written_nowhere(spark):
     got = L.audit_items(expected, stored)
     assert rows(got.select("unit", "field", "status", "expected", "stored")) == [(1, "A", "MISSING_IN_DB", "t", ""), (2, "B", "MATCH", "t", "s"), (3, "C", "EXTRA_IN_DB", "", "s"), (3, "c", "FLAG", "", "5- 6")]
     assert plan(got).count("FullOuter") == 1
+
+
+def test_an_index_holds_texts_and_no_rows(spark):
+    """Rows with a text do not make the index larger; a character 0, ends of texts and texts longer than a batch are found as by a scan."""
+    table = [(i, t) for i in range(300) for t in ("a\0b", "Xé", "y" * 200 + "z")] + [(None, "xé"), (9, None), (9, "")]
+    df = spark.createDataFrame(table, "id long, t string")
+    index = substrings.Index(spark, own_folder(spark, "index"), {"t": (df, "id", ["t"])})
+    parquet = spark.read.parquet
+    assert parquet(f"{index.folder}/grams").count() == 3 + 2 + 201
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        parquet(f"{index.folder}/rows")
+    for q in ("\0b", "x", "é", "xé", "yyyz", "b", "zz"):
+        assert rows(index.search("t", q)) == sorted(((i, t) for i, t in table if i is not None and t and q in t.lower()), key=repr), q
