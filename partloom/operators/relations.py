@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from partloom.operators.lineage import cut_lineage
@@ -149,26 +150,26 @@ def _filler(run: list[str], columns: list[str], heads: dict[int, tuple[tuple, li
         for batch in batches:
             if not batch.num_rows:
                 continue
-            of = pd.DataFrame({c: batch.column(c).to_pandas() for c in run}).astype(object)
-            of = of.where(of.notna(), None)
-            keys = list(of.itertuples(index=False, name=None))
+            keyed = lambda i: tuple(batch.column(c)[i].as_py() for c in run)  # noqa: B023, E731
             if key is None:
                 number = batch.column("_range")[0].as_py()
-                first = keys[0]
+                first = keyed(0)
                 key, held = (first, held) if heads is None else heads[number]
-            changed = np.fromiter((k != before for k, before in zip(keys, [key, *keys], strict=False)), bool, len(keys))
-            runs = np.cumsum(changed)
+            place, changed = np.arange(batch.num_rows), np.zeros(batch.num_rows, bool)
+            changed[0] = keyed(0) != key
+            for c in run:
+                value = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                changed[1:] |= value[1:] != value[:-1]
+            begins = np.maximum.accumulate(np.where(changed, place, -1))  # -1: the run goes on from before
             for n, c in enumerate(columns):
-                value = batch.column(c).to_pandas().astype(object)
-                value = value.where(value.notna() & (value != ""), None)
-                if runs[0] == 0 and value.iat[0] is None:
-                    value.iat[0] = held[n] or None
-                filled = value.groupby(runs).ffill()
-                filled = filled.where(filled.notna(), "")
-                held = [*held[:n], filled.iat[-1], *held[n + 1 :]]
+                value = batch.column(c).cast(pa.string())
+                told = np.maximum.accumulate(np.where(pc.fill_null(pc.not_equal(value, ""), False).to_numpy(zero_copy_only=False), place, -1))
+                at = np.where((told >= 0) & (told >= begins), told, np.where(begins < 0, len(place), len(place) + 1))
+                filled = pa.concat_arrays([value, pa.array([held[n], ""], pa.string())]).take(pa.array(at))
+                held = [*held[:n], filled[-1].as_py(), *held[n + 1 :]]
                 if heads is not None:
-                    batch = batch.set_column(batch.schema.get_field_index(c), c, pa.array(filled.tolist(), pa.string()))
-            key, broken = keys[-1], broken or bool(changed.any())
+                    batch = batch.set_column(batch.schema.get_field_index(c), c, filled)
+            key, broken = keyed(-1), broken or bool(changed.any())
             if heads is not None:
                 yield batch.drop_columns(["_range"])
         if heads is None and number is not None:

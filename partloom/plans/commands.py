@@ -178,12 +178,12 @@ def import_applications(filled: DataFrame, units: DataFrame) -> DataFrame:
     cross reference, are left out. unit_id is the unit of that number, null if one is to be created.
     """
     bare = F.regexp_replace("part_number", ",+$", "")
-    rows = filled.where((F.col("part_number") != "") & ~bare.startswith("400-") & ~bare.startswith("410-"))
+    seen = filled.groupBy("make", "model", "engine", "part_number", "mfr", "year", "options").agg(F.min("pos").alias("pos"))
+    rows = seen.where((F.col("part_number") != "") & ~bare.startswith("400-") & ~bare.startswith("410-"))
     rows = rows.withColumn("_x", T.take_token(F.col("options"), ("Automatic", "Manual"))).withColumns({"transmission": F.col("_x.token"), "options": F.col("_x.rest")})
     key = ["make", "model", "engine", "part_number", "mfr", "transmission"]
-    out = rows.groupBy(*key).agg(F.min("pos").alias("pos"))
-    for column in ("year", "options"):
-        out = out.join(R.ordered_concat(rows, key, column, "pos", " | "), key, "left")
+    told = lambda c: F.array_join(F.filter(F.array_distinct(F.transform("_rows", lambda r: r[c])), lambda v: v != ""), " | ")
+    out = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "year", "options"))).alias("_rows")).select(*key, told("year").alias("year"), told("options").alias("options"))
     number = units.where("unit_number IS NOT NULL").groupBy(F.col("unit_number").alias("part_number")).agg(F.max("id").alias("unit_id"))
     return out.join(number, "part_number", "left").select(
         F.coalesce(T.nullif_blank(T.join_non_blank(" ", *[F.col(c) for c in ("make", "model", "engine", "transmission")])), F.lit("Unknown")).alias("name"),

@@ -48,3 +48,14 @@ def test_an_index_holds_texts_and_no_rows(spark):
         parquet(f"{index.folder}/rows")
     for q in ("\0b", "x", "é", "xé", "yyyz", "b", "zz"):
         assert rows(index.search("t", q)) == sorted(((i, t) for i, t in table if i is not None and t and q in t.lower()), key=repr), q
+
+
+def test_imported_applications_read_filled_rows_once(spark):
+    """Years and options in the order in which they come first, from one reading of the rows."""
+    schema = "pos int, make string, model string, engine string, part_number string, mfr string, year string, options string"
+    staged = [(1, "90-91", "AC; Automatic"), (2, "", "4WD;Automatic"), (3, "88-89", "AC;Automatic"), (4, "90-91", "Automatic"), (5, "88-89", "")]
+    filled = spark.createDataFrame([(pos, "M", "D", "", "U1", "", year, options) for pos, year, options in staged], schema)
+    got = L.import_applications(filled, spark.createDataFrame([(7, "U1")], "id long, unit_number string"))
+    told = [("Automatic", "1990-1991 | 1988-1989", "Automatic | AC | 4WD", 7), ("", "1988-1989", "", 7)]
+    assert rows(got.select("transmission", "year", "options", "unit_id")) == sorted(told, key=repr)
+    assert plan(got).count("Join") <= 1  # the units only
