@@ -222,10 +222,8 @@ def with_any(df: DataFrame, id_: str, paths: list[DataFrame]) -> DataFrame:
 
 def _settled(rows: DataFrame, unique: list[str], order: list[Column]) -> DataFrame:
     """rows without those with `_moves` whose unique values a row that stays has, or an earlier one that moves. Nulls are alike."""
-    group = Window.partitionBy(*unique)
-    taken = F.max(~F.col("_moves")).over(group)
-    nth = F.row_number().over(group.orderBy("_moves", *order))
-    return rows.withColumn("_keep", ~F.col("_moves") | (~taken & (nth == 1))).where("_keep").drop("_keep", "_moves")
+    nth = F.row_number().over(Window.partitionBy(*unique).orderBy("_moves", *order))  # rows that stay come first
+    return rows.withColumn("_keep", ~F.col("_moves") | (nth == 1)).where("_keep").drop("_keep", "_moves")
 
 
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -119,21 +119,26 @@ def cleanup_xrefs(xrefs: DataFrame, renames: dict[str, str], pairs: list[tuple[s
     their unit and maker have with an annotation deleted, makers renamed, and a variant maker's numbers that the base maker has deleted.
 
     Of rows that a cut or a new name makes alike in unit, maker and number, one that had it already stays, else the lowest id.
+    Cuts leave what a number has before its first space or parenthesis, its stem: rows move once, by unit and stem, and all steps go on where they lie.
     """
-    number, maker, same = F.col("cross_ref_number"), "interchange_type", ["unit_id", "interchange_type"]
-    out = xrefs
+    number, maker, unit, whole = F.col("cross_ref_number"), "interchange_type", ["unit_id", "_stem"], F.col("unit_id").isNotNull() & F.col("cross_ref_number").isNotNull()
+    out = xrefs.withColumn("_stem", F.regexp_extract(T.strip(number), r"^[^\s(]*", 0)).repartition(*unit)
     for fix in (T.drop_open_paren, T.drop_page_reference):
-        out = cut_lineage(R.rewritten(out, "cross_ref_number", T.nullif_blank(T.strip(fix(number))), same, [F.col("id")]))
-    out = out.where(~F.coalesce(T.is_page_reference(number), F.lit(False)))
+        out = R.rewritten(out, "cross_ref_number", T.nullif_blank(T.strip(fix(number))), [*unit, maker], [F.col("id")])
+    named = ~F.coalesce(T.is_page_reference(number), F.lit(False))
     tagged = out.withColumns({"_brand": F.lower(F.coalesce(maker, F.lit(""))), "_base": T.strip(T.annotation(number)["base"])})
-    annotated = tagged.where("_base IS NOT NULL").groupBy("unit_id", "_brand", F.col("_base").alias("cross_ref_number")).agg(F.min("id").alias("_by"), F.max("id").alias("_or"))
-    found = tagged.drop("_base").join(annotated, ["unit_id", "_brand", "cross_ref_number"], "left")
-    out = found.where(F.col("_by").isNull() | ((F.col("_by") == F.col("id")) & (F.col("_or") == F.col("id")))).select(*xrefs.columns)
-    out = cut_lineage(R.rewritten(out, maker, T.mapped(F.col(maker), renames), ["unit_id", "cross_ref_number"], [F.col("id")]))
+    # each row stands under its number, and once more under its number without the annotation, if it has one; as a generator's rows, since a filter by number would be worked out before the cuts too
+    under = [F.when(cond, F.struct(c.alias("under"), F.lit(tags).alias("tags"))) for cond, c, tags in ((named, number, False), (named & F.col("_base").isNotNull(), F.col("_base"), True))]
+    twice = tagged.withColumn("_u", F.explode(F.array(*under))).where("_u IS NOT NULL").withColumns({"_under": F.col("_u.under"), "_tags": F.col("_u.tags")})
+    of = Window.partitionBy(*unit, "_brand", "_under")
+    others = lambda f: F.when(whole, f(F.when(F.col("_tags"), F.col("id"))).over(of))
+    found = twice.withColumns({"_by": others(F.min), "_or": others(F.max)}).where("NOT _tags")
+    out = found.where(F.col("_by").isNull() | ((F.col("_by") == F.col("id")) & (F.col("_or") == F.col("id")))).select(*xrefs.columns, "_stem")
+    out = R.rewritten(out, maker, T.mapped(F.col(maker), renames), [*unit, "cross_ref_number"], [F.col("id")])
     for base, variant in pairs:
-        known = out.where(F.col(maker) == base).select("unit_id", "cross_ref_number", F.lit(variant).alias(maker))
-        out = out.join(known, ["unit_id", "cross_ref_number", maker], "left_anti").select(*xrefs.columns)
-    return out
+        had = whole & F.coalesce(F.max(F.col(maker) == base).over(Window.partitionBy(*unit, "cross_ref_number")), F.lit(False))
+        out = out.withColumn("_had", had).where(~(F.col("_had") & F.coalesce(F.col(maker) == variant, F.lit(False)))).drop("_had")
+    return out.select(*xrefs.columns)
 
 
 def unit_category(generator_makers: Iterable[str]) -> Column:

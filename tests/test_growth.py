@@ -59,3 +59,17 @@ def test_imported_applications_read_filled_rows_once(spark):
     told = [("Automatic", "1990-1991 | 1988-1989", "Automatic | AC | 4WD", 7), ("", "1988-1989", "", 7)]
     assert rows(got.select("transmission", "year", "options", "unit_id")) == sorted(told, key=repr)
     assert plan(got).count("Join") <= 1  # the units only
+
+
+def test_cross_references_move_once_for_all_steps(spark):
+    """Cuts, annotations and names meet within a unit and stem: the beginning of a number that no cut takes."""
+    x = [
+        (1, 5, "12 (12V", "B"), (2, 5, "12", "B"), (3, 5, "34(x", "B"), (4, 5, "34 Pg. 7", "B"), (5, 5, " Pg. 7", "B"), (6, 5, "56", "b"), (7, 5, "56 (new)", "B"),
+        (8, None, "56 (new)", "B"), (9, None, "56", "B"), (10, 5, "78", "V"), (11, 5, "78", "F"), (12, None, "78", "V"), (13, None, "78", "F"), (14, 5, None, "F"), (15, 5, "9 (x) Pg. 3", None), (16, 5, "(1) (2", "B"),
+    ]
+    got = L.cleanup_xrefs(spark.createDataFrame(x, "id long, unit_id long, cross_ref_number string, interchange_type string"), {"B": "Bosch"}, [("F", "V")])
+    told = {r.id: (r.cross_ref_number, r.interchange_type) for r in got.collect()}
+    want = {2: ("12", "Bosch"), 3: ("34", "Bosch"), 7: ("56 (new)", "Bosch"), 8: ("56 (new)", "Bosch"), 9: ("56", "Bosch"), 11: ("78", "F"), 12: ("78", "V"), 13: ("78", "F"), 14: (None, "F"), 15: ("9 (x)", None), 16: ("(1) (2", "Bosch")}
+    assert told == want
+    moves = plan(got.select("*"))
+    assert moves.count("Exchange") == 1 and "Join" not in moves
