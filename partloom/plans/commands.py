@@ -216,9 +216,25 @@ def import_interchange(routed: DataFrame, units: DataFrame, xrefs: DataFrame, in
     return left.select(*key, "pos", other.alias("other_id"))
 
 
-def missing_bom_items(links: DataFrame, items: DataFrame) -> DataFrame:
-    """(bom_id, part_id) links that no item has."""
-    return links.select("bom_id", "part_id").distinct().join(items.select("bom_id", "part_id"), ["bom_id", "part_id"], "left_anti")
+#: A BOM of up to so many different parts is compared with its unit's parts as a list.
+LISTED = 1000
+
+
+def missing_bom_items(boms: DataFrame, links: DataFrame, items: DataFrame) -> DataFrame:
+    """(bom_id, part_id) of BOMs (bom_id, unit_id) and the parts of their units, links (unit_id, part_id), that no item has.
+
+    A BOM takes its items to its unit as a list, so that what the links make of it does not move. BOMs of several units, and those
+    with more than LISTED parts, are rare: their rows are made different and compared with items by a join.
+    """
+    links = links.select("unit_id", "part_id").distinct()
+    had = items.where("bom_id IS NOT NULL AND part_id IS NOT NULL").groupBy("bom_id").agg(F.collect_set("part_id").alias("_had"))
+    of = boms.where("bom_id IS NOT NULL").groupBy("bom_id").agg(F.min("unit_id").alias("unit_id"), F.max("unit_id").alias("_last"))
+    of = of.join(had, "bom_id", "left").withColumn("_listed", (F.col("unit_id") == F.col("_last")) & (F.coalesce(F.size("_had"), F.lit(0)) <= LISTED))
+    has = F.coalesce(F.array_contains("_had", F.col("part_id")), F.lit(False))
+    listed = of.where("_listed").join(links, "unit_id").where(~has).select("bom_id", "part_id")
+    others = boms.join(of.where("NOT _listed").select("bom_id"), "bom_id", "left_semi").unionByName(boms.where("bom_id IS NULL"))
+    rest = others.join(links, "unit_id").select("bom_id", "part_id").distinct().join(items.select("bom_id", "part_id"), ["bom_id", "part_id"], "left_anti")
+    return listed.unionByName(rest)
 
 
 def clean_bom_items(items: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -248,5 +248,6 @@ def l31(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("L34", "SELECT DISTINCT b.id AS bom_id, au.application_id AS part_id FROM boms b JOIN application_units au ON au.unit_id = b.unit_id WHERE NOT EXISTS (SELECT 1 FROM bom_items i WHERE i.bom_id = b.id AND i.part_id = au.application_id)")
 def l34(spark: SparkSession, sf: str) -> DataFrame:
-    links = frame(spark, sf, "boms").select(F.col("id").alias("bom_id"), "unit_id").join(frame(spark, sf, "application_units").select("unit_id", F.col("application_id").alias("part_id")), "unit_id")
-    return L.missing_bom_items(links, frame(spark, sf, "bom_items"))
+    boms = frame(spark, sf, "boms").select(F.col("id").alias("bom_id"), "unit_id")
+    links = frame(spark, sf, "application_units").select("unit_id", F.col("application_id").alias("part_id"))
+    return L.missing_bom_items(boms, links, frame(spark, sf, "bom_items"))

@@ -73,3 +73,14 @@ def test_cross_references_move_once_for_all_steps(spark):
     assert told == want
     moves = plan(got.select("*"))
     assert moves.count("Exchange") == 1 and "Join" not in moves
+
+
+def test_missing_items_are_told_where_links_lie(spark):
+    """BOMs of one unit, of several, of none, and with more parts than a list holds, against all pairs; what links make does not move."""
+    boms, links = [(1, 5), (1, 5), (2, 5), (2, 6), (3, None), (4, 6), (None, 6)], [(5, p) for p in range(4)] + [(5, 0), (6, 9), (6, 1), (6, None), (None, 2)]
+    links += [(6, p) for p in range(2000, 2010)]
+    items = [(1, 0), (1, 0), (2, 9), (4, None), (None, 1), *[(4, p) for p in range(1000, 2005)]]
+    frame = lambda data, names: spark.createDataFrame(data, ", ".join(f"{n} long" for n in names))
+    got = L.missing_bom_items(frame(boms, ("bom_id", "unit_id")), frame(links, ("unit_id", "part_id")), frame(items, ("bom_id", "part_id")))
+    want = {(b, p) for b, u in boms for v, p in links if u is not None and u == v and (b is None or p is None or (b, p) not in items)}
+    assert rows(got) == sorted(want, key=repr)
